@@ -173,7 +173,7 @@ def _scan_postings(width: int, percent: int, sketch):
 
 def _scan_needed_sets(width: int, needed):
     def scan(batches):
-        bits = needed.value
+        bits, done = needed.value, set()
         for batch in batches:
             out: tuple[list, list] = ([], [])
             doc_ids = batch.column(0).to_pylist()
@@ -181,7 +181,8 @@ def _scan_needed_sets(width: int, needed):
                 if len(shingles) and doc_ids[row] is not None:
                     cls = set_class(shingles)
                     key = int(ts.mix(np.array([cls, doc_ids[row]], dtype=np.int64).view(U64)).sum() & U64((1 << NEEDED_BITS) - 1))
-                    if bits[key >> 3] >> (key & 7) & 1:
+                    if bits[key >> 3] >> (key & 7) & 1 and (cls, doc_ids[row]) not in done:
+                        done.add((cls, doc_ids[row]))
                         out[0].append(cls)
                         out[1].append(shingles.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["cls", "shingles"])
@@ -207,6 +208,13 @@ def _needed_filter(classes: DataFrame) -> np.ndarray:
     return packed
 
 
+def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """Whole sets of the classes in these pairs, read from their representatives' texts; repeated rows may repeat a class."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = rows.sparkSession.sparkContext.broadcast(_needed_filter(classes.join(named, "cls", "left_semi")))
+    return scratch.save(rows.mapInArrow(_scan_needed_sets(width, needed), "cls long, shingles array<long>"), name)
+
+
 def _multi_match(pairs: DataFrame) -> DataFrame:
     """Pairs that share the required number of prefix shingles; one row per pair and shared shingle comes in."""
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("level_a", "level_b")).alias("required"))
@@ -238,7 +246,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     sizes = F.size("sa") + F.size("sb")
-    return both.withColumn("inter", inter).where(F.col("inter") * 100 >= (sizes - F.col("inter")) * percent).select("a", "b")
+    return both.withColumn("inter", inter).where(F.col("inter") * 100 >= (sizes - F.col("inter")) * percent).select("a", "b").distinct()
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -287,12 +295,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     star = scratch.save(star, "star")
 
-    # Sets of the classes that the lists hold, and no others.
-    listed_classes = classes.join(lists.select("cls").distinct(), "cls", "left_semi")
-    needed = spark.sparkContext.broadcast(_needed_filter(listed_classes))
-    sets = scratch.save(rows.mapInArrow(_scan_needed_sets(width, needed), "cls long, shingles array<long>").dropDuplicates(["cls"]), "sets")
-
-    links = scratch.save(_verified(star, sets, percent), "links-star")
+    links = scratch.save(_verified(star, _sets_of(star, rows, classes, width, scratch, "sets-star"), percent), "links-star")
     first = scratch.save(components(links, scratch, "first").withColumnsRenamed({"node": "cls", "comp": "group"}), "groups")
 
     # Then the exact join across what these links have left apart.
@@ -303,7 +306,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
     met = sides[0].join(sides[1].withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & (F.col("group_a") != F.col("group_b")) & smaller & _fits(percent, "a", "b"))
     pairs = _multi_match(met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "level_a", "level_b")).join(star, ["a", "b"], "left_anti")
-    more = _verified(scratch.save(pairs, "pairs"), sets, percent)
+    pairs = scratch.save(pairs, "pairs")
+    more = _verified(pairs, _sets_of(pairs, rows, classes, width, scratch, "sets-across"), percent)
     all_links = scratch.save(links.unionByName(more), "links")
     groups = components(all_links, scratch, "all")
 

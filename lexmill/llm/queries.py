@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import jaccard_join
+from lexmill.llm import bpe, jaccard_join, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """Where the installed public vocabularies keep the word-ending BPE of 49k tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return jaccard_join.similarity_components(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_pii_deobfuscation, op7_bpe_trie)}
 ORACLES: dict[str, str] = {}
