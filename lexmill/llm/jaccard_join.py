@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.llm import counts
 from lexmill.llm import textscan as ts
 from lexmill.llm.components import components
 from lexmill.llm.store import Scratch
 
-#: 2**20 counters in 16 blocks: 4 MB, whatever the corpus.
-SKETCH_BITS, BLOCKS = 20, 16
+#: 2**20 counters: 8 MB, whatever the corpus.
+SKETCH_BITS = 20
 #: Bits of the filter that tells which sets verification needs: 1 MB; a full filter only lets more sets through.
 NEEDED_BITS = 23
 MAX_LEVEL = 8
@@ -92,35 +93,8 @@ def _scan_signatures(width: int):
 
 
 def _sketch_rows(sketch: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(sketch, BLOCKS)]
-    columns = {"block": pa.array(range(BLOCKS), pa.int32()), "counts": pa.array(parts, pa.binary())}
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(BLOCKS).cast(f.type)) for f in schema], schema=schema)
-
-
-def _sum_blocks(batches):
-    """Adds up the sketch blocks that a task reads, one at a time."""
-    size = (1 << SKETCH_BITS) // BLOCKS
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(pa.decompress(counts, decompressed_size=size * 8, codec="zstd", asbytes=True), dtype=np.int64)
-            sums[block] = sums.get(block, 0) + part
-    if sums:
-        packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
-
-
-def frequency_sketch(rows: DataFrame) -> np.ndarray:
-    """The summed sketch of (block, counts) rows: two rounds of adding, then 16 blocks to the driver."""
-    salted = rows.select("block", "counts").withColumn("salt", F.spark_partition_id() % 64)
-    once = salted.repartition("block", "salt").select("block", "counts").mapInArrow(_sum_blocks, "block int, counts binary")
-    total = once.repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
-    size = (1 << SKETCH_BITS) // BLOCKS
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for block, counts in total.collect():
-        part = pa.decompress(counts, decompressed_size=size * 8, codec="zstd", asbytes=True)
-        sketch[block * size : (block + 1) * size] = np.frombuffer(part, dtype=np.int64)
-    return sketch
+    columns = dict(zip(("block", "counts"), counts.rows(sketch).columns, strict=True))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(counts.BLOCKS).cast(f.type)) for f in schema], schema=schema)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -150,14 +124,14 @@ def _scan_postings(width: int, percent: int, sketch):
     names = ["token", "cls", "n", "pos", "level"]
 
     def scan(batches):
-        counts, done = sketch.value, set()
+        frequency, done = sketch.value, set()
         for batch in batches:
             tokens, rows = [], []
             for _, shingles in shingle_sets(batch.column(0), width):
                 if not len(shingles) or (cls := set_class(shingles)) in done:
                     continue
                 done.add(cls)
-                prefix, level = ordered_prefix(shingles, counts, percent)
+                prefix, level = ordered_prefix(shingles, frequency, percent)
                 tokens.append(prefix)
                 rows.append((cls, len(shingles), level, len(prefix)))
             if len(done) > 1_000_000:  # only spares copies; forgetting them costs rows that the shuffle drops
@@ -272,7 +246,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     scanned = scratch.save(rows.mapInArrow(_scan_signatures(width), "doc_id long, n long, cls long, block int, counts binary"), "scan")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(scanned.where("block is not null")))
+    sketch = spark.sparkContext.broadcast(counts.total(scanned.where("block is not null"), 1 << SKETCH_BITS))
     signatures = scanned.where("block is null").select("doc_id", "n", "cls")
     classes = signatures.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, jaccard_join, pii
+from lexmill.llm import bpe, html_text, jaccard_join, license_scan, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,31 @@ def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_table(_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_pii_deobfuscation, op7_bpe_trie)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op9_license_scan, op10_toxicity)
+}
 ORACLES: dict[str, str] = {}
