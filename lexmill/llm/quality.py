@@ -27,8 +27,8 @@ COMMON_WORDS = {
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?", "quote": r"'\"()\[\]\-", "symbol": r"#*$%&|<>@=+/\\^_~`{}", "latin": " -ɏ"}
 #: Below so many words a histogram says too little.
 GUARD_WORDS = 100
-#: Largest distances (0 to 1) at which a text is kept.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.45
+#: Largest distances (0 to 1) at which a text is kept, and what sampling adds to them: that over the root of n_words.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, NOISE = 0.22, 0.20, 0.6
 #: Bits that hold a word's position beside the hash of its window; longer texts are compared word by word.
 POSITION_BITS = 24
 
@@ -128,8 +128,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The base counts, base_failed, both distances and kept, one row per input row.
 
     Null and empty texts have no words and fail the base rules; a null or other language is
-    held against the shared reference, and so is nothing when no text of a language passes
-    the guard (then the distance is 0). Repeated rows repeat, a null id stays null, an empty
+    held against the shared reference; where no text of a language passes the guard, the
+    distances are 0. Repeated rows repeat, a null id stays null, an empty
     table gives an empty result, further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
@@ -150,5 +150,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.when(known, js_distance(p[:cut], q[:cut])).otherwise(0.0).alias("class_distance"),
         F.when(known, js_distance(p[cut:], q[cut:])).otherwise(0.0).alias("word_distance"),
     )
-    close = (F.col("n_words") < GUARD_WORDS) | ((F.col("class_distance") <= max_class) & (F.col("word_distance") <= max_word))
+    noise = NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    close = (F.col("n_words") < GUARD_WORDS) | ((F.col("class_distance") <= max_class + noise) & (F.col("word_distance") <= max_word + noise))
     return judged.withColumn("kept", ~F.col("base_failed") & close)
