@@ -189,10 +189,25 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     return scratch.save(rows.mapInArrow(_scan_needed_sets(width, needed), "cls long, shingles array<long>"), name)
 
 
-def _multi_match(pairs: DataFrame) -> DataFrame:
-    """Pairs that share the required number of prefix shingles; one row per pair and shared shingle comes in."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("level_a", "level_b")).alias("required"))
-    return counted.where("shared >= required").select("a", "b")
+def _overlap(percent: int, na, nb):
+    """How many shingles similar sets of these sizes share at least."""
+    return F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
+
+
+def _multi_match(percent: int, met: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough prefix shingles; one row per pair and shared shingle comes in.
+
+    They need as many as both levels require; and those up to the last one shared, with
+    all that follows it, must reach the overlap. A similar pair passes `_fits` at every
+    shingle it shares, so none of its own is missing from the count.
+    """
+    counted = met.groupBy("a", "b").agg(
+        F.count("*").alias("shared"),
+        F.min(F.least("level_a", "level_b")).alias("required"),
+        F.min(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1).alias("after"),
+        F.min(_overlap(percent, F.col("n_a"), F.col("n_b"))).alias("overlap"),
+    )
+    return counted.where("shared >= required and shared + after >= overlap").select("a", "b")
 
 
 def _fits(percent: int, a: str, b: str):
@@ -204,12 +219,11 @@ def _fits(percent: int, a: str, b: str):
     """
     na, nb, pa_, pb = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"pos_{a}"), F.col(f"pos_{b}")
     level = F.least(F.col(f"level_{a}"), F.col(f"level_{b}"))
-    overlap = lambda x, y: F.ceil((x + y) * percent / (100 + percent) - 1e-9)
     return (
         (na * 100 >= nb * percent)
-        & (pa_ < na - overlap(na, na) + level)
+        & (pa_ < na - _overlap(percent, na, na) + level)
         & (pb < nb - F.ceil(nb * percent / 100 - 1e-9) + level)
-        & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= overlap(na, nb))
+        & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= _overlap(percent, na, nb))
     )
 
 
@@ -261,11 +275,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     me, lead = F.struct("n", "cls", "pos", "level"), F.struct("lead.n", "lead.cls", "lead.pos", "lead.level")
     ordered = lists.where("cls <> lead.cls").select(F.least(me, lead).alias("x"), F.greatest(me, lead).alias("y"))
     star = _multi_match(
+        percent,
         ordered.select(
             *(F.col(f"x.{c}").alias(f"{c}_a") for c in ("cls", "n", "pos", "level")), *(F.col(f"y.{c}").alias(f"{c}_b") for c in ("cls", "n", "pos", "level"))
         )
         .where(_fits(percent, "a", "b"))
-        .withColumnsRenamed({"cls_a": "a", "cls_b": "b"})
+        .withColumnsRenamed({"cls_a": "a", "cls_b": "b"}),
     )
     star = scratch.save(star, "star")
 
@@ -279,7 +294,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sides = [across.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "level", "group"))) for s in "ab"]
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
     met = sides[0].join(sides[1].withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & (F.col("group_a") != F.col("group_b")) & smaller & _fits(percent, "a", "b"))
-    pairs = _multi_match(met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "level_a", "level_b")).join(star, ["a", "b"], "left_anti")
+    pairs = _multi_match(percent, met.withColumnsRenamed({"cls_a": "a", "cls_b": "b"})).join(star, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
     more = _verified(pairs, _sets_of(pairs, rows, classes, width, scratch, "sets-across"), percent)
     all_links = scratch.save(links.unionByName(more), "links")
