@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, html_text, jaccard_join, license_scan, pii, quality, toxicity
+from lexmill.llm import bpe, html_text, jaccard_join, license_scan, pii, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op9_license_scan, op10_toxicity)
+    for f in (op1_ngram_jaccard_join, op3_recompression_dedup, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op9_license_scan, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}

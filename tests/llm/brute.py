@@ -36,3 +36,27 @@ def jaccard_components(rows, width, percent):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def removed_words(rows, width=13):
+    """[(doc_id, n_words, n_removed, kept words)] in the order of the rows."""
+    first = {}
+    for i, t in rows:
+        w = words_of(t)
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w = words_of(t)
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[k : k + width])] < i:
+                gone.update(range(k, k + width))
+        out.append((i, len(w), len(gone), [x for k, x in enumerate(w) if k not in gone]))
+    return out
