@@ -10,6 +10,7 @@ the current node are the only ones held.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -205,6 +206,7 @@ def encode_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         names += ", ids array<int>, decoded string"
 
     def run(batches):
+        gc.disable()  # millions of small tuples and no cycles: scanning them again and again finds nothing
         encoder = _encoder(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -256,6 +257,36 @@ def repeated_stretches(rows: DataFrame, width: int, scratch: Scratch) -> DataFra
     return full.unionByName(first.select("doc_id", "start", F.lit(1).alias("count"), "whole"))
 
 
+def repeat_lists(rows: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, spans) of the documents that lose words; a list is bounded by its document."""
+    found = repeated_stretches(rows, width, scratch)
+    return scratch.save(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "whole")).alias("spans")), "lists")
+
+
+def cut_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts have lost what `remove_repeats` removes.
+
+    Texts that lose nothing are unchanged; in the others what lies between kept neighbours
+    stays as it was, and one space stands where words went. A null text stays null.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lists = repeat_lists(rows, width, Scratch(docs.sparkSession)).withColumnsRenamed({"doc_id": "__doc", "spans": "__spans"})
+    joined = docs.join(lists, docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
+    finish = _remove(width, True)
+
+    def run(batches):
+        for batch in batches:
+            k = batch.schema.get_field_index(text_col)
+            text, spans = batch.column(k), batch.column(batch.num_columns - 1)
+            done = finish([pa.RecordBatch.from_arrays([pa.nulls(len(text)).cast(pa.int64()), text.cast(pa.string()), spans], names=["doc_id", "text", "spans"])])
+            new = pa.chunked_array([d.column(4) for d in done], pa.string()).combine_chunks()
+            new = new.chunk(0) if isinstance(new, pa.ChunkedArray) else new
+            kept = pa.compute.if_else(text.is_valid(), new, pa.nulls(len(text), pa.string())).cast(batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays([kept if j == k else c for j, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Remove each word covered by a window whose words also start in a document of a smaller id.
 
@@ -274,8 +305,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_stretches(rows, width, scratch)
-    lists = scratch.save(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "whole")).alias("spans")), "lists")
+    lists = repeat_lists(rows, width, scratch)
     packed = spark.sparkContext.broadcast(membership.build(lists.select("doc_id")))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     finish = _remove(width, keep_text)

@@ -210,6 +210,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                yield part.filter(pa.array(score_texts(texts, shared.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     """The rows that no model sees: crc32 of the id as text, modulo 3, is 1."""
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1
