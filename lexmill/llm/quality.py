@@ -61,18 +61,20 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     coded = F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
     near_by = F.filter(sorted_, lambda x, k: F.coalesce(same(x, F.get(sorted_, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(sorted_, k + 1)), F.lit(False)))
     clash = F.exists(F.transform(near, lambda x, k: same(x, F.get(near, k - 1)) & (window(place(x)) != window(place(F.get(near, k - 1))))), lambda x: F.coalesce(x, F.lit(False)))
-    fast = _covered(F.sort_array(F.transform(near, place)))
     by_words = F.sort_array(F.transform(starts, lambda w, i: F.struct(w.alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.cast("int").alias("i"))))
+    slow = F.col("by_words")
     equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
-    slow_near = F.filter(by_words, lambda x, k: equal(x, F.get(by_words, k - 1)) | equal(x, F.get(by_words, k + 1)))
-    slow = _covered(F.sort_array(F.transform(slow_near, lambda x: x["i"])))
+    slow_near = F.filter(slow, lambda x, k: equal(x, F.get(slow, k - 1)) | equal(x, F.get(slow, k + 1)))
     fits = (n <= low) & ~F.col("clash")
+    # Each array that a lambda looks into is a column of its own: else it would be built anew for every element.
     return (
         df.withColumn("sorted", F.sort_array(coded))
         .withColumn("near", near_by)
         .withColumn("clash", clash)
-        .withColumn("n_repeat_words", F.when(F.size("near") == 0, F.lit(0).cast("long")).when(fits, fast).otherwise(slow))
-        .drop("sorted", "near", "clash")
+        .withColumn("by_words", F.when(~fits, by_words))
+        .withColumn("at", F.sort_array(F.when(fits, F.transform(near, place)).otherwise(F.transform(slow_near, lambda x: x["i"]))))
+        .withColumn("n_repeat_words", _covered(F.col("at")))
+        .drop("sorted", "near", "clash", "by_words", "at")
     )
 
 
@@ -90,16 +92,18 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = df.withColumns(
         {
             "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": _count_of(F.col("text"), "#*$%&|<>").cast("long"),
+            "rest": F.regexp_replace("text", "[a-z]+", ""),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         }
     ).drop("lines")
+    counted = {name: _count_of(F.col("rest"), c) for name, c in CLASSES.items() if name != "lower"} | {"lower": F.length("text") - F.length("rest")}
+    df = df.withColumn("n_symbols", _count_of(F.col("rest"), "#*$%&|<>").cast("long")).withColumns({f"__{name}": c for name, c in counted.items()})
+    df = df.withColumn("word_chars", (F.length("text") - F.col("__space")).cast("long"))
     df = _with_repeats(df)
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    classes = [_count_of(F.col("text"), c).cast("double") for c in CLASSES.values()]
+    classes = [F.col(f"__{name}").cast("double") for name in CLASSES]
     df = df.withColumn("classes", F.array(*classes, F.length("text").cast("double")))
-    df = df.withColumn("spaced", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))).drop("text", "words")
+    df = df.withColumn("spaced", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))).drop("text", "words", "rest", *(f"__{name}" for name in CLASSES))
     common = [F.lit(None).cast("string")] * 10
     for name, listed in COMMON_WORDS.items():
         common = [F.when(F.col("lang") == name, f" {w} ").otherwise(c) for w, c in zip(listed, common, strict=True)]
