@@ -34,7 +34,7 @@ def register(files: DataFrame) -> DataFrame:
     """(document_id, name, type, size_bytes, status, text) of uploads (document_id, name, mime, content, size_bytes, pasted)."""
     size = F.coalesce(F.octet_length("content"), F.col("size_bytes"), F.length("pasted"), F.lit(0)).cast("long")
     kind = detect_type(F.col("name"), F.col("mime"), F.col("pasted"))
-    text = F.when(kind == "PASTED", F.coalesce("pasted", F.lit(""))).when(kind.isin("TXT", "MARKDOWN"), F.decode("content", F.lit("UTF-8")))
+    text = F.when(kind == "PASTED", F.coalesce("pasted", F.lit(""))).when(kind.isin("TXT", "MARKDOWN"), F.decode("content", "UTF-8"))
     return files.select("document_id", F.coalesce("name", F.lit("")).alias("name"), kind.alias("type"), size.alias("size_bytes"), F.lit("UPLOADED").alias("status"), text.alias("text"))
 
 
