@@ -39,6 +39,8 @@ SKETCH_BITS = 20
 #: Bits of the filter that tells which sets verification needs: 1 MB; a full filter only lets more sets through.
 NEEDED_BITS = 23
 MAX_LEVEL = 8
+#: In lists of more classes than this, pairs are met with their whole prefixes at hand instead of being counted.
+LONG_LIST = 64
 U64 = np.uint64
 _SALT = U64(0xA5A5F00D12345677)
 
@@ -102,18 +104,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - ceil(percent * n / 100 - 1e-9) + 1
 
 
-def ordered_prefix(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def ordered_prefix(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """The adaptive prefix of a set, rarest shingle first, and its number of required matches.
 
     The cost of level l is the number of list entries met, plus their share that passes
-    the l matches times the cost of verifying a set of this size.
+    the l matches times the cost of verifying a set of this size. `noise` is the sketch's
+    mean: what other shingles add to a counter.
     """
     n = len(shingles)
     base = prefix_length(n, percent)
     count = sketch[(shingles & U64(len(sketch) - 1)).astype(np.int64)]
-    order = np.argsort(count, kind="stable")
-    noise = float(sketch.mean())
-    met = np.cumsum(np.maximum(0.0, count[order[: base + MAX_LEVEL - 1]] - noise - 4 * noise**0.5 - 1))
+    order = np.argsort(count, kind="stable")[: base + MAX_LEVEL - 1]
+    met = np.cumsum(np.maximum(0.0, count[order] - noise - 4 * noise**0.5 - 1))
     levels = np.arange(1, min(MAX_LEVEL, n - base + 1) + 1)
     cost = met[base + levels - 2] * (1 + n / 8 / levels)
     level = int(levels[np.argmin(cost)])
@@ -125,13 +127,14 @@ def _scan_postings(width: int, percent: int, sketch):
 
     def scan(batches):
         frequency, done = sketch.value, set()
+        noise = float(frequency.mean())
         for batch in batches:
             tokens, rows = [], []
             for _, shingles in shingle_sets(batch.column(0), width):
                 if not len(shingles) or (cls := set_class(shingles)) in done:
                     continue
                 done.add(cls)
-                prefix, level = ordered_prefix(shingles, frequency, percent)
+                prefix, level = ordered_prefix(shingles, frequency, noise, percent)
                 tokens.append(prefix)
                 rows.append((cls, len(shingles), level, len(prefix)))
             if len(done) > 1_000_000:  # only spares copies; forgetting them costs rows that the shuffle drops
@@ -182,6 +185,37 @@ def _needed_filter(classes: DataFrame) -> np.ndarray:
     return packed
 
 
+def _meetings(rows: DataFrame, percent: int, *more: str, condition=None) -> DataFrame:
+    """Classes of different groups in the list of one shingle, the smaller as a, that pass the filters there."""
+    sides = [rows.select(F.col("token").alias(f"token_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "level", "group", *more))) for s in "ab"]
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
+    on = (F.col("token_a") == F.col("token_b")) & (F.col("group_a") != F.col("group_b")) & smaller & _fits(percent, "a", "b")
+    return sides[0].join(sides[1], on if condition is None else on & condition)
+
+
+def _long_list_pairs(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a shingle of a long list, each met once.
+
+    In a long list most classes share many of each other's shingles, so to write a row for
+    each would multiply the pairs. Here rows carry the prefix itself: a pair comes out at
+    its first shared shingle of a long list only, and only if all it shares is enough.
+    """
+    listed = lambda: F.array_sort(F.collect_list(F.struct("pos", "token")))
+    long = rows.groupBy("cls").agg(F.transform(listed(), lambda x: x["token"]).alias("long"))
+    prefix = lists.join(long.select("cls"), "cls", "left_semi").groupBy("cls").agg(listed().alias("p"))
+    prefix = prefix.select("cls", F.transform("p", lambda x: x["token"]).alias("tokens"), F.transform("p", lambda x: x["pos"]).alias("places"))
+    carried = rows.join(long, "cls").join(prefix, "cls")
+    shared = F.array_intersect("tokens_a", "tokens_b")
+    last = F.element_at(shared, -1)
+    after = lambda s: F.col(f"n_{s}") - 1 - F.element_at(f"places_{s}", F.array_position(f"tokens_{s}", last).cast("int"))
+    condition = (
+        (F.element_at(F.array_intersect("long_a", "long_b"), 1) == F.col("token_a"))
+        & (F.size(shared) >= F.least("level_a", "level_b"))
+        & (F.size(shared) + F.least(after("a"), after("b")) >= _overlap(percent, F.col("n_a"), F.col("n_b")))
+    )
+    return _meetings(carried, percent, "long", "tokens", "places", condition=condition).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+
 def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """Whole sets of the classes in these pairs, read from their representatives' texts; repeated rows may repeat a class."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -289,12 +323,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # Then the exact join across what these links have left apart.
     grouped = lists.drop("lead").join(first, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
-    split = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-    across = scratch.save(grouped.join(split, "token", "left_semi"), "across")
-    sides = [across.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "level", "group"))) for s in "ab"]
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
-    met = sides[0].join(sides[1].withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & (F.col("group_a") != F.col("group_b")) & smaller & _fits(percent, "a", "b"))
-    pairs = _multi_match(percent, met.withColumnsRenamed({"cls_a": "a", "cls_b": "b"})).join(star, ["a", "b"], "left_anti")
+    split = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("token", "held")
+    across = scratch.save(grouped.join(split, "token"), "across")
+    met = _meetings(across.where(F.col("held") <= LONG_LIST), percent)
+    few = _multi_match(percent, met.withColumnsRenamed({"cls_a": "a", "cls_b": "b"}))
+    many = _long_list_pairs(across.where(F.col("held") > LONG_LIST), lists, percent)
+    pairs = few.unionByName(many).distinct().join(star, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
     more = _verified(pairs, _sets_of(pairs, rows, classes, width, scratch, "sets-across"), percent)
     all_links = scratch.save(links.unionByName(more), "links")

@@ -33,6 +33,14 @@ def test_components_equal_brute_force(spark):
         assert got == want
 
 
+def test_long_lists_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 3)
+    rows = near_copies(seed=8)
+    want = jaccard_components(rows, 4, 85)
+    got = jaccard_join.similarity_components(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), width=4, percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "x"), (2, "a b c d e f", None), (1, "a b c d e f", "y"), (1, "a b c d e f", "y")], SCHEMA)
     got = jaccard_join.similarity_components(docs).select("doc_id", "component_id").collect()
