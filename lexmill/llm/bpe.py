@@ -56,11 +56,23 @@ class WordTrie:
         self.right = cache(lambda token: self._spine(token, True))
         self.left = cache(lambda token: self._spine(token, False))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
+        self.inner = self._by_ending(t for t in self.vocab if not t.endswith(END))
+        self.final = self._by_ending(t for t in self.vocab if t.endswith(END))
         self.alphabet = byte_alphabet()
         self.latin = {b: c for b, c in self.alphabet.items() if chr(b) != c}
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
 
+    @staticmethod
+    def _by_ending(tokens) -> dict:
+        """A trie of the tokens read backwards; "" in a node is the token that ends its walk."""
+        root: dict = {}
+        for token in tokens:
+            node = root
+            for c in reversed(token.removesuffix(END)):
+                node = node.setdefault(c, {})
+            node[""] = token
+        return root
+
     def _spine(self, token: str, right: bool) -> list[tuple[str, int]]:
         """Symbols at the right (or left) edge of a token while it is built, each with the rank of the merge that ends it."""
         made = self.made.get(token)
@@ -93,7 +105,7 @@ class WordTrie:
         """Tokens of each distinct word (spelled in the byte alphabet), walking the trie depth first."""
         out, before = {}, ""
         path = [""]  # path[d]: the last token of the current prefix of length d
-        vocab, apart, longest, known = self.vocab, self._apart, self.longest, self.pairs
+        apart, known, inner, final = self._apart, self.pairs, self.inner, self.final
         for word in sorted(set(words)):
             n, depth = len(word), 0
             for a, b in zip(word, before, strict=False):
@@ -102,21 +114,25 @@ class WordTrie:
                 depth += 1
             del path[depth + 1 :]
             for depth in range(len(path), n + 2):
-                end = depth if depth <= n else n
-                tail = word[max(0, end - longest) : end] if depth <= n else word[max(0, end - longest) :] + END
-                start = end - longest if end > longest else 0
-                for k in range(start, end):
-                    token = tail[k - start :]
-                    if token in vocab:
-                        pair = (path[k], token)
-                        fits = known.get(pair)
-                        if fits is None:
-                            fits = known[pair] = not k or apart(*pair)
-                        if fits:
-                            break
+                # Tokens that end here, the shortest first; one of them fits what comes before.
+                node, k, ending = (inner, depth - 1, []) if depth <= n else (final, n - 1, [])
+                while k >= 0:
+                    node = node.get(word[k])
+                    if node is None:
+                        break
+                    token = node.get("")
+                    if token is not None:
+                        ending.append((path[k], token))
+                    k -= 1
+                for pair in reversed(ending):
+                    fits = known.get(pair)
+                    if fits is None:
+                        fits = known[pair] = not pair[0] or apart(*pair)
+                    if fits:
+                        break
                 else:
-                    raise ValueError(f"no token of the vocabulary ends {word[:end]!r}")
-                path.append(token)
+                    raise ValueError(f"no token of the vocabulary ends {word[:depth]!r}")
+                path.append(pair[1])
             tokens = [path.pop()]
             at = n - len(tokens[0]) + len(END)
             while at:
@@ -125,7 +141,7 @@ class WordTrie:
             tokens.reverse()
             out[word] = tokens
             before = word
-        if len(known) > REMEMBERED:
+        if len(known) > 4 * REMEMBERED:
             known.clear()
         return out
 
