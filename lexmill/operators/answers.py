@@ -48,3 +48,32 @@ def validate(answers: DataFrame, reconciled: DataFrame, retrieved: DataFrame) ->
         F.when(~none & uncited & (F.col("confidence") != "BAIXO"), "no citations"),
     ))
     return df.select("question_id", (F.size(warnings) == 0).alias("valid"), (none | uncited).alias("insufficient"), F.array_join(warnings, "; ").alias("warnings"))
+
+
+def parse_category(raw: Column, closed: tuple[str, ...], other: str) -> Column:
+    """Tolerant reading of {"categoria", "confianca"}: an unknown category is the other one, a confidence is clamped to 0..1, else 0."""
+    v = F.try_parse_json(raw)
+    name = F.try_variant_get(v, "$.categoria", "string")
+    number = F.try_variant_get(v, "$.confianca", "double")
+    return F.struct(F.when(name.isin(*closed), name).otherwise(other).alias("category"), F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(0.0).alias("confidence"))
+
+
+def entity_terms(raw: Column, keys: tuple[str, ...]) -> Column:
+    """The strings of the listed keys in key order, without blank ones; what is no list, or no string in one, is left out."""
+    v = F.try_parse_json(raw)
+
+    def strings(key):
+        parts = F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+        own = F.filter(parts, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+        return F.transform(own, lambda x: F.try_variant_get(x, "$", "string"))
+
+    return F.filter(F.concat(*map(strings, keys)), lambda t: F.trim(t) != "")
+
+
+def rerank_prompts(candidates: DataFrame, excerpt: int = 500) -> DataFrame:
+    """(question_id, prompt): numbered lines with document and excerpt, in order of rank."""
+    n = F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))
+    short = F.when(F.length("text") > excerpt, F.concat(F.substring("text", 1, excerpt), F.lit("…"))).otherwise(F.col("text"))
+    line = F.concat(n, F.lit(". "), "document", F.lit(": "), short)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "line")))
+    return candidates.withColumn("line", line).groupBy("question_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("prompt"))

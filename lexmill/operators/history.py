@@ -61,3 +61,26 @@ def manual_search(queries: DataFrame, documents: DataFrame, limit: int = 30) ->
         found = hits if found is None else found.unionByName(hits)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "document_id", "rank", F.substring("text", 1, 240).alias("excerpt"))
+
+
+def retrieval_log(stages: dict[str, DataFrame], scored_stage: str) -> DataFrame:
+    """All stages as one log (question_id, stage, rank from 0, chunk_id, score): the rerank score in its stage, else the distance."""
+    out = None
+    for stage, df in stages.items():
+        rank = F.row_number().over(Window.partitionBy("question_id").orderBy("ord")) - 1
+        part = df.select("question_id", F.lit(stage).alias("stage"), rank.alias("rank"), "chunk_id", F.col("rerank_score" if stage == scored_stage else "distance").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def feedback_counts(ratings: DataFrame) -> DataFrame:
+    """(answer_id, up, down); other ratings are not feedback."""
+    return ratings.groupBy("answer_id").agg(F.count_if(F.col("rating") == "UP").alias("up"), F.count_if(F.col("rating") == "DOWN").alias("down"))
+
+
+def amendments(chunks: DataFrame) -> DataFrame:
+    """Amended chunks (law, chunk_id, folded, content) with their kind and snippet, and whether the law has revoked pieces."""
+    kind = F.when(F.col("folded").rlike("revogad"), "REVOGACAO").when(F.col("folded").rlike("nova redacao|redacao dada pel"), "NOVA_REDACAO")
+    found = chunks.withColumn("kind", kind).where("kind is not null")
+    revoked = F.max(F.col("kind") == "REVOGACAO").over(Window.partitionBy("law"))
+    return found.select("law", "chunk_id", "kind", F.substring("content", 1, 240).alias("snippet"), revoked.alias("has_revoked"))

@@ -95,3 +95,14 @@ def parse_enrichment(raw: Column, strings: tuple[str, ...], lists: tuple[str, ..
         return F.transform(own, lambda x: F.try_variant_get(x, "$", "string"))
 
     return F.struct(*(F.coalesce(text(n), F.lit("")).alias(n) for n in strings), *(items(n).alias(n) for n in lists))
+
+
+def fill_prompt(template: Column, content: Column, context: Column) -> Column:
+    """The template with its text, then its context put in, literally and in that order."""
+    with_text = F.replace(template, F.lit("{{TEXTO}}"), content)
+    return F.replace(with_text, F.lit("{{CONTEXTO}}"), F.coalesce(context, F.lit("(sem contexto)")))
+
+
+def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Every table without the rows of the documents that go."""
+    return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}

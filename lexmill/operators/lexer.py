@@ -147,3 +147,50 @@ def articles(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     df = df.withColumns({"chapter": heading(["CAPITULO"], "chapter_title"), "section_raw": heading(["SECAO", "SUBSECAO"], "section_title")})
     in_chapter = F.coalesce("any_section", F.lit(-1)) > F.coalesce("chapter_idx", F.lit(-1))
     return df.where("type = 'ARTIGO'").select("doc_id", "idx", "number", "label", F.coalesce("chapter", F.lit("")).alias("chapter"), F.when(in_chapter, F.coalesce("section_raw", F.lit(""))).otherwise("").alias("section"), "caput")
+
+
+def structure(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
+    """(doc_id, idx, type, parent_idx, article_idx, label, body, ord) of what the law structure keeps.
+
+    Paragraphs stand under articles, incisos under an article or paragraph, alineas under an
+    inciso, items under an alinea; everything else of these kinds is an orphan and goes.
+    ord counts the kept rows of one type under one parent, from 0. Lines that continue a
+    paragraph, inciso or alinea are appended to its text.
+    """
+    df = with_parents(toks)
+    upto = Window.partitionBy("doc_id").orderBy("idx")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    for d in range(1, 9):
+        df = df.withColumn(f"__p{d}", F.last(F.when(F.col("depth") == d, F.struct("idx", "type", "parent_idx")), ignorenulls=True).over(before))
+    level = lambda d: F.when(F.col(f"__p{d}.idx") == F.col("parent_idx"), F.col(f"__p{d}"))
+    df = df.withColumn("up", F.coalesce(*(level(d) for d in range(1, 8)))).withColumn("article_idx", F.last(F.when(F.col("type") == "ARTIGO", F.col("idx")), ignorenulls=True).over(upto))
+    # The nearest article, paragraph and inciso above, and whether each is kept itself.
+    inciso_up = F.when(F.col("__p6.parent_idx") == F.col("__p5.idx"), F.col("__p5.type")).when(F.col("__p6.parent_idx") == F.col("__p4.idx"), F.col("__p4.type"))
+    para_ok = F.col("__p5.parent_idx") == F.col("__p4.idx")
+    inciso_ok = (inciso_up == "ARTIGO") | ((inciso_up == "PARAGRAFO") & para_ok)
+    alinea_ok = (F.col("__p7.parent_idx") == F.col("__p6.idx")) & inciso_ok
+    up = F.col("up.type")
+    kept = (
+        F.when(F.col("type") == "ARTIGO", F.lit(True))
+        .when(F.col("type") == "PARAGRAFO", up == "ARTIGO")
+        .when(F.col("type") == "INCISO", (up == "ARTIGO") | ((up == "PARAGRAFO") & para_ok))
+        .when(F.col("type") == "ALINEA", (up == "INCISO") & inciso_ok)
+        .when(F.col("type") == "ITEM", (up == "ALINEA") & alinea_ok)
+    )
+    top = F.last(F.when(F.col("depth").between(1, 7), F.col("idx")), ignorenulls=True).over(upto)
+    df = df.withColumns({"kept": F.coalesce(kept, F.lit(False)), "target": F.when(F.col("type") == "TEXTO", top)})
+    extra = df.where("target is not null").groupBy("doc_id", F.col("target").alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), "text"))), lambda x: x["text"]), " ").alias("extra"))
+    named = labels(toks, p).select("doc_id", "idx", "label", F.col("body").alias("own"))
+    rows = df.where("kept").select("doc_id", "idx", "type", "parent_idx", "article_idx").join(named, ["doc_id", "idx"]).join(extra, ["doc_id", "idx"], "left")
+    ord_ = F.row_number().over(Window.partitionBy("doc_id", "parent_idx", "type").orderBy("idx")) - 1
+    body = F.when(F.col("type") == "ARTIGO", F.col("own")).otherwise(F.concat_ws(" ", "own", "extra"))
+    return rows.select("doc_id", "idx", "type", "parent_idx", "article_idx", "label", body.alias("body"), ord_.alias("ord"))
+
+
+def full_texts(parts: DataFrame, arts: DataFrame) -> DataFrame:
+    """(doc_id, idx, full_text): "label caput", then one line for each kept part of the article, in document order."""
+    line = F.when(F.col("type") == "INCISO", F.concat("label", F.lit(" - "), "body")).otherwise(F.concat("label", F.lit(" "), "body"))
+    inner = parts.where("type <> 'ARTIGO'").groupBy("doc_id", F.col("article_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), line.alias("line")))).alias("l"))
+    own = F.trim(F.concat_ws(" ", "label", "caput"))
+    lines = F.concat(F.array(own), F.coalesce(F.transform("l", lambda x: x["line"]), F.array().cast("array<string>")))
+    return arts.join(inner, ["doc_id", "idx"], "left").select("doc_id", "idx", F.array_join(lines, "\n").alias("full_text"))
