@@ -24,7 +24,7 @@ COMMON_WORDS = {
     "other": "the de la in a en un der die que".split(),
 }
 # Classes of characters; the rest of a text is the class of its own.
-CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?", "quote": r"'\"()\[\]\-", "symbol": r"#*$%&|<>@=+/\\^_~`{}", "latin": " -ɏ"}
+CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?", "quote": r"'\"()\[\]\-", "symbol": r"#*$%&|<>@=+/\\^_~`{}", "latin": r"\x{00A0}-\x{024F}"}
 #: Below so many words a histogram says too little.
 GUARD_WORDS = 100
 #: Largest distances (0 to 1) at which a text is kept, and what sampling adds to them: that over the root of n_words.
@@ -59,6 +59,7 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     n = F.col("n_words").cast("int")
     starts = F.slice(words, 1, F.greatest(n - 2, F.lit(0)))
     coded = F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    behind = F.filter(sorted_, lambda x, k: F.coalesce(same(x, F.get(sorted_, k - 1)), F.lit(False)))
     near_by = F.filter(sorted_, lambda x, k: F.coalesce(same(x, F.get(sorted_, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(sorted_, k + 1)), F.lit(False)))
     clash = F.exists(F.transform(near, lambda x, k: same(x, F.get(near, k - 1)) & (window(place(x)) != window(place(F.get(near, k - 1))))), lambda x: F.coalesce(x, F.lit(False)))
     by_words = F.sort_array(F.transform(starts, lambda w, i: F.struct(w.alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.cast("int").alias("i"))))
@@ -69,12 +70,13 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     # Each array that a lambda looks into is a column of its own: else it would be built anew for every element.
     return (
         df.withColumn("sorted", F.sort_array(coded))
-        .withColumn("near", near_by)
+        .withColumn("behind", F.size(behind))  # most texts repeat no window and need no second look
+        .withColumn("near", F.when(F.col("behind") > 0, near_by).otherwise(F.slice("sorted", 1, 0)))
         .withColumn("clash", clash)
         .withColumn("by_words", F.when(~fits, by_words))
         .withColumn("at", F.sort_array(F.when(fits, F.transform(near, place)).otherwise(F.transform(slow_near, lambda x: x["i"]))))
         .withColumn("n_repeat_words", _covered(F.col("at")))
-        .drop("sorted", "near", "clash", "by_words", "at")
+        .drop("sorted", "behind", "near", "clash", "by_words", "at")
     )
 
 
@@ -96,9 +98,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         }
     ).drop("lines")
-    counted = {name: _count_of(F.col("rest"), c) for name, c in CLASSES.items() if name != "lower"} | {"lower": F.length("text") - F.length("rest")}
-    df = df.withColumn("n_symbols", _count_of(F.col("rest"), "#*$%&|<>").cast("long")).withColumns({f"__{name}": c for name, c in counted.items()})
-    df = df.withColumn("word_chars", (F.length("text") - F.col("__space")).cast("long"))
+    # Each class is counted by taking it out, so the next one sees only what is left.
+    df = df.withColumn("__lower", F.length("text") - F.length("rest"))
+    for name in sorted((n for n in CLASSES if n != "lower"), key=lambda n: n != "space"):
+        left = F.regexp_replace("rest", f"[{CLASSES[name]}]+", "")
+        df = df.withColumn("left", left).withColumn(f"__{name}", F.length("rest") - F.length("left")).withColumn("rest", F.col("left"))
+        if name == "space":
+            df = df.withColumn("n_symbols", _count_of(F.col("rest"), "#*$%&|<>").cast("long"))
+    df = df.withColumn("word_chars", (F.length("text") - F.col("__space")).cast("long")).drop("left")
     df = _with_repeats(df)
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     classes = [F.col(f"__{name}").cast("double") for name in CLASSES]
