@@ -19,15 +19,15 @@ from pyspark.sql.window import Window
 from lexmill.llm.store import Scratch
 
 #: Neighbours a node keeps, and reverse neighbours that a round joins besides (the method's sample, drawn anew each round).
-DEGREE, REVERSED = 24, 24
+DEGREE, REVERSED = 24, 16
 #: Sorted orders that the graph starts from, and vectors in a block of one.
 ORDERS, BLOCK = 8, 512
 #: NN-descent ends when a round adds less than this share to the sum of similarities, or after so many rounds.
-LEAST_GAIN, ROUNDS = 0.0005, 10
+LEAST_GAIN, ROUNDS = 0.001, 10
 #: Of one block, and of one neighbourhood, a node takes at most so many of the nearest.
-TAKEN, TAKEN_AROUND = 12, 10
+TAKEN, TAKEN_AROUND = 12, 6
 #: Nodes that a search keeps and those that it expands in a step; the most steps it takes.
-BEAM, EXPANDED, STEPS = 96, 24, 12
+BEAM, EXPANDED, STEPS = 64, 16, 12
 PLANES = 24
 EDGES = "id long, nbr long, sim float, fresh boolean"
 
@@ -46,20 +46,24 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of packed half-precision vectors: the graph needs no more, and results are scored on the originals."""
+    """Rows of packed vectors as floats."""
     column = column.cast(pa.large_binary())
-    size = len(column[0].as_py()) if len(column) else 0
+    size = len(column[0].as_py()) if len(column) else 4
     start = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset] if len(column) else 0
-    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + size * len(column)] if size else np.zeros(0, dtype=np.uint8)
-    return flat.view(np.float16).astype(np.float32).reshape(len(column), -1)
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + size * len(column)] if len(column) else np.zeros(0, dtype=np.uint8)
+    rows = flat.reshape(len(column), size)
+    scale = np.ascontiguousarray(rows[:, :4]).view(np.float32)
+    return rows[:, 4:].view(np.int8).astype(np.float32) * scale
 
 
 def _packed(batches):
+    """Vectors as one scale and a byte for each component: the graph needs no more, and results are scored on the originals."""
     for batch in batches:
         column = batch.column(1)
         x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-        x /= np.maximum(1.0, np.abs(x).max(axis=1, initial=0.0, keepdims=True) / 100)  # within the range of half precision
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())], names=["id", "vector"])
+        scale = np.maximum(np.abs(x).max(axis=1, initial=0.0, keepdims=True), 1e-30) / 127
+        rows = np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(len(x), 4), np.rint(x / scale).astype(np.int8).view(np.uint8)], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in rows], pa.binary())], names=["id", "vector"])
 
 
 NAMES = ["id", "nbr", "sim", "fresh"]
@@ -171,6 +175,8 @@ def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds
         members = around.join(nodes.join(worst, "id"), "id").select("center", "id", "kth", "vector").repartition("center").sortWithinPartitions("center")
         better = members.mapInArrow(_joined_neighbours, EDGES)
         edges = scratch.save(_merged(edges.withColumn("fresh", F.lit(False)).unionByName(better), degree), f"graph-{k}")
+        scratch.drop(f"graph-{k - 1}")
+        scratch.release()
         now = edges.agg(F.sum("sim")).first()[0] or 0.0
         if now - before <= LEAST_GAIN * abs(now):
             break
@@ -202,6 +208,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
         kept = seen.unionByName(new).withColumn("rank", F.row_number().over(beam)).where(F.col("rank") <= BEAM).drop("rank")
         state = scratch.save(kept, f"search-{step}")
         scratch.drop(f"search-{step - 1}")
+        scratch.release()
         if state.where("open").isEmpty():
             break
     return state

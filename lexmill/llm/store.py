@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,8 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let go of the shuffle files of finished rounds: Spark deletes them once nothing refers to their plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
