@@ -19,15 +19,15 @@ from pyspark.sql.window import Window
 from lexmill.llm.store import Scratch
 
 #: Neighbours a node keeps, and reverse neighbours that a round joins besides (the method's sample, drawn anew each round).
-DEGREE, REVERSED = 24, 16
+DEGREE, REVERSED = 28, 16
 #: Sorted orders that the graph starts from, and vectors in a block of one.
-ORDERS, BLOCK = 8, 512
+ORDERS, BLOCK = 20, 1024
 #: NN-descent ends when a round adds less than this share to the sum of similarities, or after so many rounds.
-LEAST_GAIN, ROUNDS = 0.001, 10
+LEAST_GAIN, ROUNDS = 0.0005, 10
 #: Of one block, and of one neighbourhood, a node takes at most so many of the nearest.
 TAKEN, TAKEN_AROUND = 12, 6
 #: Nodes that a search keeps and those that it expands in a step; the most steps it takes.
-BEAM, EXPANDED, STEPS = 64, 16, 12
+BEAM, EXPANDED, STEPS = 128, 32, 12
 PLANES = 24
 EDGES = "id long, nbr long, sim float, fresh boolean"
 
