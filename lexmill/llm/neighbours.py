@@ -10,6 +10,8 @@ Equal vectors are one node, so copies neither fill the lists of others nor make
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,15 +21,16 @@ from pyspark.sql.window import Window
 from lexmill.llm.store import Scratch
 
 #: Neighbours a node keeps, and reverse neighbours that a round joins besides (the method's sample, drawn anew each round).
-DEGREE, REVERSED = 28, 16
-#: Sorted orders that the graph starts from, and vectors in a block of one.
-ORDERS, BLOCK = 20, 1024
-#: NN-descent ends when a round adds less than this share to the sum of similarities, or after so many rounds.
-LEAST_GAIN, ROUNDS = 0.0005, 10
-#: Of one block, and of one neighbourhood, a node takes at most so many of the nearest.
-TAKEN, TAKEN_AROUND = 12, 6
-#: Nodes that a search keeps and those that it expands in a step; the most steps it takes.
-BEAM, EXPANDED, STEPS = 128, 32, 12
+DEGREE, REVERSED = 40, 20
+#: Sorted orders that the graph starts from, and vectors in a block of one: only a start, whatever the size of the table.
+ORDERS, BLOCK = 8, 64
+#: While more than the first share of the list entries changes in a round, a node takes only TAKEN_AROUND of the nearest of
+#: one neighbourhood; then all that better its list, until a round changes less than the second share.
+ROUGH, LEAST_CHANGE = 0.1, 0.002
+#: Of one block, and of one neighbourhood in the first rounds, a node takes at most so many of the nearest.
+TAKEN, TAKEN_AROUND = 24, 10
+#: Nodes that a search keeps and those that it expands in a step.
+BEAM, EXPANDED = 128, 32
 PLANES = 24
 EDGES = "id long, nbr long, sim float, fresh boolean"
 
@@ -112,15 +115,16 @@ def _merged(edges: DataFrame, degree: int) -> DataFrame:
     return _nearest(edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), "id", "nbr", degree)
 
 
-def _joined_neighbours(batches):
-    """All members of one node's neighbourhood against each other; only what betters a member's own list comes out."""
+def _joined_neighbours(batches, taken: int | None = None):
+    """All members of one node's neighbourhood against each other; only what betters a member's own list comes out, of that the `taken` nearest."""
 
     def one(ids, x, kth):
         sims = x @ x.T
         np.fill_diagonal(sims, -np.inf)
-        if len(ids) > TAKEN_AROUND:
-            kth = np.maximum(kth, np.partition(sims, -TAKEN_AROUND, axis=1)[:, -TAKEN_AROUND])
-        a, b = np.nonzero((sims >= kth[:, None]) & (sims > -np.inf))
+        better = sims > kth[:, None]
+        if taken and len(ids) > taken:
+            better &= sims >= np.partition(sims, -taken, axis=1)[:, -taken, None]
+        a, b = np.nonzero(better)
         return ids[a], ids[b], sims[a, b]
 
     held, rows = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)], None
@@ -144,7 +148,14 @@ def _joined_neighbours(batches):
         held, rows = [h[cuts[whole] :] for h in held], rows[cuts[whole] :]
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def _reversed(edges: DataFrame, draw: int) -> DataFrame:
+    """Of the edges into each node, REVERSED drawn at random, turned round."""
+    drawn = Window.partitionBy("id").orderBy(F.xxhash64("id", "nbr", F.lit(draw)), "nbr")
+    back = edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim", "fresh").withColumn("turn", F.row_number().over(drawn))
+    return back.where(F.col("turn") <= REVERSED).drop("turn")
+
+
+def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE) -> DataFrame:
     """(id, nbr, sim, fresh) with `degree` neighbours a node, over packed nodes (id, vector)."""
     planes = np.random.default_rng(7)
 
@@ -164,23 +175,25 @@ def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds
         found = ordered.select("id", "vector").mapInArrow(_blocks(BLOCK // ORDERS * k), EDGES)
         edges = found if edges is None else edges.unionByName(found)
     edges = scratch.save(_merged(edges, degree), "graph-0")
-    before = edges.agg(F.sum("sim")).first()[0] or 0.0
-    for k in range(1, rounds + 1):
-        drawn = Window.partitionBy("id").orderBy(F.xxhash64("id", "nbr", F.lit(k)), "nbr")
-        back = edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim", "fresh").withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= REVERSED).drop("turn")
-        around = edges.unionByName(back).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
+    rough, first, k = True, False, 0
+    while True:
+        k += 1
+        around = edges.unionByName(_reversed(edges, k)).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
         active = around.where("fresh").select(F.col("id").alias("center")).distinct()
-        around = around.select(F.col("id").alias("center"), F.col("nbr").alias("id")).join(active, "center", "left_semi")
+        around = around.select(F.col("id").alias("center"), F.col("nbr").alias("id"))
+        if not first:  # the first round that takes everything goes over every neighbourhood: earlier ones turned pairs away
+            around = around.join(active, "center", "left_semi")
         worst = edges.groupBy("id").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("kth"))
         members = around.join(nodes.join(worst, "id"), "id").select("center", "id", "kth", "vector").repartition("center").sortWithinPartitions("center")
-        better = members.mapInArrow(_joined_neighbours, EDGES)
+        better = members.mapInArrow(partial(_joined_neighbours, taken=TAKEN_AROUND) if rough else _joined_neighbours, EDGES)
         edges = scratch.save(_merged(edges.withColumn("fresh", F.lit(False)).unionByName(better), degree), f"graph-{k}")
         scratch.drop(f"graph-{k - 1}")
         scratch.release()
-        now = edges.agg(F.sum("sim")).first()[0] or 0.0
-        if now - before <= LEAST_GAIN * abs(now):
+        sizes = edges.agg(F.count("*").alias("all"), F.count_if("fresh").alias("changed")).first()
+        if not rough and sizes["changed"] <= LEAST_CHANGE * sizes["all"]:
             break
-        before = now
+        first = rough and sizes["changed"] <= ROUGH * sizes["all"]
+        rough = rough and not first
     return edges
 
 
@@ -199,7 +212,9 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
     beam = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     waiting = Window.partitionBy("query_id", "open").orderBy(F.desc("sim"), "id")
     state = scratch.save(own.select("query_id", "id", "query", F.col("query").alias("vector")).mapInArrow(_measured, columns), "search-0")
-    for step in range(1, STEPS + 1):
+    step = 0
+    while not state.where("open").isEmpty():
+        step += 1
         ranked = state.withColumn("turn", F.col("open") & (F.row_number().over(waiting) <= EXPANDED))
         seen = ranked.withColumn("open", F.col("open") & ~F.col("turn")).drop("turn")
         next_to = ranked.where("turn").select("query_id", "id").join(lists, "id").select("query_id", F.explode("nbrs").alias("id")).distinct()
@@ -209,8 +224,6 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
         state = scratch.save(kept, f"search-{step}")
         scratch.drop(f"search-{step - 1}")
         scratch.release()
-        if state.where("open").isEmpty():
-            break
     return state
 
 

@@ -30,6 +30,21 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert len(by_query) == 75 and hits >= 0.95 * 75 * 20
 
 
+def test_descent_finds_what_a_small_start_graph_lacks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ORDERS", 2)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)  # 1 % of the table
+    x = np.random.default_rng(5).standard_normal((6000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(6)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    sims = x[::40] @ x.T
+    sims[np.arange(150), np.arange(0, 6000, 40)] = -np.inf
+    best = np.argsort(-sims, axis=1)[:, :20]
+    assert sum(len(got[40 * q] & set(best[q].tolist())) for q in range(150)) >= 0.95 * 150 * 20
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect()
