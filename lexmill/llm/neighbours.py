@@ -31,6 +31,8 @@ ROUGH, LEAST_CHANGE = 0.1, 0.002
 TAKEN, TAKEN_AROUND = 24, 10
 #: Nodes that a search keeps and those that it expands in a step.
 BEAM, EXPANDED = 128, 32
+#: Nodes drawn at random that every walk also starts from; vectors in a block of the exact pass.
+ENTRIES, EXACT_BLOCK = 16, 1024
 PLANES = 24
 EDGES = "id long, nbr long, sim float, fresh boolean"
 
@@ -206,12 +208,15 @@ def _measured(batches):
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(query_id, id, sim): the beam of each query (query_id, entry node), over packed nodes."""
-    lists = scratch.save(graph.groupBy("id").agg(F.collect_list("nbr").alias("nbrs")), "lists")
+    both = graph.select("id", "nbr").unionByName(_reversed(graph, 0).select("id", "nbr")).distinct()
+    lists = scratch.save(both.groupBy("id").agg(F.collect_list("nbr").alias("nbrs")), "lists")
     columns = "query_id long, id long, sim float, open boolean"
     own = scratch.save(queries.select("query_id", F.col("entry").alias("id")).join(nodes, "id").select("query_id", "id", F.col("vector").alias("query")), "queries")
     beam = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     waiting = Window.partitionBy("query_id", "open").orderBy(F.desc("sim"), "id")
-    state = scratch.save(own.select("query_id", "id", "query", F.col("query").alias("vector")).mapInArrow(_measured, columns), "search-0")
+    drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES)
+    entries = own.select("query_id", "id", "query", F.col("query").alias("vector")).unionByName(own.withColumnRenamed("id", "entry").crossJoin(drawn).where("id <> entry").drop("entry"))
+    state = scratch.save(entries.mapInArrow(_measured, columns), "search-0")
     step = 0
     while not state.where("open").isEmpty():
         step += 1
@@ -227,12 +232,34 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
     return state
 
 
+def exact_pass(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(query_id, id): the k nearest nodes (id, vector) of each query (query_id, query) and more, by blocks against blocks."""
+
+    def blocks(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
+        dealt = df.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-n // EXACT_BLOCK)))).agg(F.collect_list(F.struct(key, vector)).alias("rows"))
+        return dealt.select(F.col(f"rows.{key}").alias(key), F.flatten(f"rows.{vector}").alias(vector))
+
+    def run(batches):
+        for batch in batches:
+            for ids, x, others, y in zip(*(batch.column(c) for c in range(4)), strict=True):
+                ids, others = ids.values.to_numpy(), others.values.to_numpy()
+                sims = x.values.to_numpy().reshape(len(ids), -1) @ y.values.to_numpy().reshape(len(others), -1).T
+                n = min(k, len(others))
+                top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                found = (np.repeat(ids, n), others[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "id", "sim"])
+
+    pairs = blocks(queries, "query_id", "query", queries.count()).crossJoin(blocks(nodes, "id", "vector", nodes.count()))
+    return _nearest(pairs.mapInArrow(run, "query_id long, id long, sim double"), "query_id", "id", k).select("query_id", "id")
+
+
 def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query row among all other rows, by largest inner product.
 
     query_filter selects the queries by vec_id. Every usable row is indexed. Returns
     query_id, rank (from 1), vec_id, score (the inner product in doubles), nearest first,
-    ties to the smaller vec_id; all candidates where there are fewer than k.
+    ties to the smaller vec_id; all candidates where there are fewer than k. A query whose
+    walk finds fewer gets an exact pass over all nodes.
 
     * null, zero or non-finite vectors, vectors of another length than most, and null ids take no part;
     * equal vectors are one node; of its members the k + 1 smallest ids can matter to a query, and do;
@@ -247,9 +274,17 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id
     nodes = scratch.save(members.where("id = vec_id").select("id", "vector").mapInArrow(_packed, "id long, vector binary"), "nodes")
     queries = members.where(query_filter).select(F.col("vec_id").alias("query_id"), F.col("id").alias("entry"), F.col("vector").alias("query"))
     beams = search(queries, build_graph(nodes, scratch), nodes, scratch)
-    near = beams.select("query_id", "id").join(members.where("id = vec_id").select("id", "vector"), "id").join(queries.select("query_id", "query"), "query_id")
-    scored = near.select("query_id", "id", inner_product(F.col("query"), F.col("vector")).alias("score"))
     few = members.select("id", "vec_id").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
+    size = F.least(F.lit(k), F.lit(members.select("vec_id").distinct().count() - 1))
+    found = scratch.save(beams.select("query_id", "id"), "found")
+    held = found.join(few, "id").where("vec_id <> query_id").groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
+    short = queries.join(held, "query_id", "left").where(F.coalesce("n", F.lit(0)) < size).select("query_id", "query")
+    short = scratch.save(short, "short")
+    if not short.isEmpty():
+        # a walk that saw too little: such queries are compared with every node
+        found = scratch.save(found.join(short, "query_id", "left_anti").unionByName(exact_pass(short, members.where("id = vec_id").select("id", "vector"), k + 1)), "completed")
+    near = found.join(members.where("id = vec_id").select("id", "vector"), "id").join(queries.select("query_id", "query"), "query_id")
+    scored = near.select("query_id", "id", inner_product(F.col("query"), F.col("vector")).alias("score"))
     hits = scored.join(few, "id").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -45,6 +45,21 @@ def test_descent_finds_what_a_small_start_graph_lacks(spark, monkeypatch):
     assert sum(len(got[40 * q] & set(best[q].tolist())) for q in range(150)) >= 0.95 * 150 * 20
 
 
+def test_a_group_of_near_copies_returns_k_rows(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    x = np.repeat(rnd.standard_normal((12, 16)) * 3, 15, axis=0) + 0.01 * rnd.standard_normal((180, 16))
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for beam in (neighbours.BEAM, 8):  # with the smaller beam every query needs the exact pass
+        monkeypatch.setattr(neighbours, "BEAM", beam)
+        got = {}
+        for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        for q in range(0, 180, 20):
+            sims = x @ x[q]
+            sims[q] = -np.inf
+            assert [i for _, i in sorted(got[q])] == np.argsort(-sims)[:20].tolist()
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect()
