@@ -39,21 +39,19 @@ DIGIT_WORDS = {
     )
     for w in words.split()
 }
-# Endings that let "name at host dot com" pass without brackets.
-ENDINGS = "com|org|net|edu|gov|io|info|de|fr|es|eu|uk|co|us"
+# Words of prose that are endings of "name at host dot it" only where no further word follows.
+PROSE = "a an and are as at be but by can do for from had has have he her his how if in into is it its me my no not of off on or our she so than that the their then there they this to up was we were what when where which who will with you"
 
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"\s{0,3}[\(\[\{<]\s{0,3}", r"\s{0,3}[\)\]\}>]\s{0,3}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _DOT = rf"(?:\.|{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
-#: What a text must hold before it is rewritten at all.
-_CUE = re.compile(
-    rf"[{INVISIBLE}Ͱ-ԯ！-～\U0001d400-\U0001d7ff]|[\(\[\{{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\)\]\}}>]|\s(?:at|dot)\s(?=.{{0,200}}\sdot\s|\s{{0,2}}[A-Za-z0-9])(?<=\sdot\s)|\b(?:{_DIGIT})[\s-]{{1,3}}(?:{_DIGIT}|[0-9])\b",
-    re.IGNORECASE | re.DOTALL,
-)
+_ENDING = rf"(?:(?!(?:{PROSE.replace(' ', '|')})\b)[A-Za-z]{{2,63}}\b|[A-Za-z]{{2}}\b(?!\s+\w))"
+#: The characters that a rewrite changes.
+_CHARS = re.compile(rf"[{INVISIBLE}{''.join(LOOKALIKES)}！-～\U0001d400-\U0001d7ff]")
 _SIGNS = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9._%+-])\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:{_DOT}{_LABEL}){{0,4}}\s{{1,3}}dot\s{{1,3}}(?:{ENDINGS})\b))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9-])\s{{1,3}}dot\s{{1,3}}(?=(?:{ENDINGS}|[0-9]{{1,3}})\b|{_LABEL}\s{{1,3}}dot\s{{1,3}}|{_LABEL}(?:\s{{1,3}}at\s{{1,3}}|{_OPEN}at{_CLOSE}|@)))"
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9._%+-])\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}{_ENDING}))"
+    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9-])\s{{1,3}}dot\s{{1,3}}(?={_ENDING}|[0-9]{{1,3}}\b|{_LABEL}\s{{1,3}}dot\s{{1,3}}|{_LABEL}(?:\s{{1,3}}at\s{{1,3}}|{_OPEN}at{_CLOSE}|@)))"
     rf"|(?P<plus>\bplus\s{{1,3}}(?=[0-9]|(?:{_DIGIT})\b))"
     rf"|\b(?P<digits>(?:{_DIGIT}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_DIGIT}|[0-9]+)){{3,}})\b",
     re.IGNORECASE,
@@ -120,6 +118,15 @@ class Rewritten:
         self.text, self.start, self.end = "".join(text), start, end
 
 
+def _spelled(digits: str) -> bool:
+    return any(c in DIGIT_WORDS for c in re.findall(r"[^\W\d_]+", digits.lower()))
+
+
+def changes(text: str) -> bool:
+    """Whether a rewrite can show anything: one of its characters or signs is there, or a spelled digit in a run of them."""
+    return bool(_CHARS.search(text)) or any(m.lastgroup != "digits" or _spelled(m[0]) for m in _SIGNS.finditer(text))
+
+
 def rewrite(text: str) -> Rewritten:
     """Letters first, then signs and spelled digits."""
     out = Rewritten(text)
@@ -128,11 +135,12 @@ def rewrite(text: str) -> Rewritten:
     for m in _SIGNS.finditer(out.text):
         kind = m.lastgroup
         if kind == "digits":
+            spelled = _spelled(m[0])
             for item in _ITEM.finditer(m[0]):
                 word = item[0].lower()
                 a, b = m.start() + item.start(), m.start() + item.end()
                 if item.end() < len(m[0]):  # up to the next item: the run becomes one number
-                    b = m.start() + _ITEM.search(m[0], item.end()).start() if any(c in DIGIT_WORDS for c in re.findall(r"[^\W\d_]+", m[0].lower())) else b
+                    b = m.start() + _ITEM.search(m[0], item.end()).start() if spelled else b
                 edits.append((a, b, DIGIT_WORDS.get(word, word)))
         else:
             edits.append((m.start(), m.end(), {"at": "@", "dot": ".", "plus": "+"}[kind]))
@@ -143,7 +151,7 @@ def rewrite(text: str) -> Rewritten:
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans found only in the plain form: those that meet no base span of their kind."""
     added: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    if not _CUE.search(text):
+    if not changes(text):
         return added
     plain = rewrite(text)
     for kind, spans in find(plain.text).items():
