@@ -3,8 +3,10 @@
 Text nodes are grouped by the tag path from the root. A path's ratio is the text per node
 on it, raised by the punctuation in that text; the ratios are smoothed over the page
 order, fused with the structure (which paths can be content at all), and cut at a
-threshold drawn from their own spread. The element that holds the selected nodes is the
-article: all of its text is kept but for what is marked as something else inside it.
+threshold drawn from their own spread. The element that holds all selected nodes is the
+article: all of its text is kept but for what is marked as something else inside it. A class
+or id that names something else counts only where the ratios of the paths inside are lower
+than those of the text around, or far below the page's best.
 """
 
 from __future__ import annotations
@@ -34,32 +36,35 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 #: An open element on the left is ended by a start tag on the right, up to the nearest element of the last set.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
-#: The cut: this share of the spread of the smoothed ratios; and the share of selected text that the article holds.
-SPREAD, HELD = 0.5, 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The cut: this share of the spread of the smoothed ratios.
+SPREAD = 0.5
 
 
 class _Page:
     """Elements and text nodes of a page. Element 0 is the page; parents come before children."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped, self.path = ["#page"], [-1], [False], [0]
+        self.tag, self.parent, self.dropped, self.path, self.named = ["#page"], [-1], [False], [0], [False]
         self.paths = {(-1, "#page"): 0}
         self.text: list[tuple[int, str, bool]] = []  # element, text, whether a block begins here
         self._read(source)
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
-        up, name, drop = stack[-1], tag, tag in DROPPED
+        up, name, drop, named = stack[-1], tag, tag in DROPPED, False
         if attrs:
             own = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
             words = re.split(r"[^a-z0-9]+", f"{own.get('class', '')} {own.get('id', '')}".lower())
             if tag not in ("html", "body", "main", "article"):
-                drop |= not DROPPED_NAMES.isdisjoint(words) or own.get("role", "").lower() in DROPPED_ROLES
+                named = not DROPPED_NAMES.isdisjoint(words)
+                drop |= own.get("role", "").lower() in DROPPED_ROLES
                 drop |= "hidden" in own or own.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", own.get("style", ""), re.I))
             name = f"{tag}.{own.get('class', '')}"
         if tag == "header":
             drop |= not any(self.tag[e] in ("article", "main") for e in stack)
         self.tag.append(tag)
         self.parent.append(up)
+        self.named.append(named)
         self.dropped.append(drop or self.dropped[up])
         self.path.append(self.paths.setdefault((self.path[up], name), len(self.paths)))
         return len(self.tag) - 1
@@ -122,20 +127,58 @@ class _Page:
             counts[tag] = counts.get(tag, 0) + 1
 
 
-def path_scores(path: list[int], length: list[int], punctuation: list[int]) -> np.ndarray:
-    """The smoothed and fused ratio of each text node, given its path and its own counts."""
+def path_ratios(path: list[int], length: list[int], punctuation: list[int]) -> np.ndarray:
+    """The ratio of the path of each text node, given its path and its own counts."""
     p = np.array(path)
     per_path = [np.bincount(p, np.array(x, dtype=float)) for x in (length, punctuation, np.ones(len(p)))]
     nodes = np.maximum(per_path[2], 1)
     fused = per_path[0] / nodes * (1 + per_path[1] / nodes)
-    padded = np.pad(fused[p], 1, mode="edge")
+    return fused[p]
+
+
+def path_scores(path: list[int], length: list[int], punctuation: list[int]) -> np.ndarray:
+    """The smoothed and fused ratio of each text node."""
+    padded = np.pad(path_ratios(path, length, punctuation), 1, mode="edge")
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
+def _without_named(page: _Page, texts: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
+    """The texts but for those in elements named as something else whose best path ratio is below that of the text around, or far below the page's best."""
+    if not any(page.named):
+        return texts
+    n = len(page.tag)
+    owner = [0] * n  # the innermost named element
+    for e in range(1, n):
+        owner[e] = e if page.named[e] else owner[page.parent[e]]
+    seen = [(e, page.path[e], len(s), len(_PUNCTUATION.findall(s))) for e, t, _ in texts if (s := t.strip())]
+    own = [-1.0] * n
+    if seen:
+        for (e, *_), ratio in zip(seen, path_ratios([x[1] for x in seen], [x[2] for x in seen], [x[3] for x in seen]), strict=True):
+            own[owner[e]] = max(own[owner[e]], float(ratio))
+    inside = list(own)
+    for e in range(n - 1, 0, -1):
+        if page.named[e]:
+            up = owner[page.parent[e]]
+            inside[up] = max(inside[up], inside[e])
+    around, gone, least = list(own), [False] * n, SPREAD * max(own)
+    for e in range(1, n):
+        up = owner[page.parent[e]]
+        if page.named[e]:
+            gone[e] = gone[up] or inside[e] < max(around[up], least)
+            around[e] = max(own[e], around[up])
+    kept, begins = [], False
+    for e, text, new in texts:
+        begins |= new
+        if not gone[owner[e]]:
+            kept.append((e, text, begins))
+            begins = False
+    return kept
+
+
 def extract(source: str | None) -> str:
     """The main text of one page; empty where there is none."""
     page = _Page(source or "")
-    texts = [(e, html.unescape(t), new) for e, t, new in page.text]
+    texts = _without_named(page, [(e, html.unescape(t), new) for e, t, new in page.text])
     seen = [(page.path[e], e, len(s), len(_PUNCTUATION.findall(s))) for e, t, _ in texts if (s := t.strip())]
     if not seen:
         return ""
@@ -144,14 +187,17 @@ def extract(source: str | None) -> str:
     by_path = np.bincount(path, scores) / np.maximum(np.bincount(path), 1)
     chosen = by_path >= min(SPREAD * scores.std(), by_path.max())
     held = np.zeros(len(page.tag))
+    within = [False] * len(page.tag)
+    for e in range(1, len(within)):
+        within[e] = page.tag[e] in ("article", "main") or within[page.parent[e]]
     for p, e, n in zip(path, element, length, strict=True):
-        if chosen[p]:
+        if chosen[p] or within[e] and page.tag[e] in HEADINGS:
             held[e] += n
     for e in range(len(held) - 1, 0, -1):
         held[page.parent[e]] += held[e]
     article = 0
-    for e in range(1, len(held)):  # the deepest element that still holds nearly all of it
-        if page.tag[e] not in INLINE and page.tag[e] != "p" and held[e] >= HELD * held[0]:
+    for e in range(1, len(held)):  # the deepest element that holds all of it
+        if page.tag[e] not in INLINE and page.tag[e] != "p" and held[e] == held[0]:
             article = e
     inside = np.zeros(len(held), dtype=bool)
     inside[article] = True

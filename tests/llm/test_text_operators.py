@@ -161,6 +161,16 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_page_text_keeps_titles_sections_and_misleading_names():
+    long = "A sentence of the article, with marks; it goes on, and on, for a while. " * 12
+    short = "A later section, much shorter, but still of the article. " * 3
+    page = f"<body><div class=menu>Home</div><article><h1>Title</h1><div class=body><p>{long}<p>{long}</div><section><p>{short}</section></article></body>"
+    assert html_text.extract(page).split() == f"Title {long} {long} {short}".split()
+    for name in ("content with-sidebar", "no-header"):
+        page = f"<body><div class='{name}'><h2>Head</h2><p>{long}<p>{long}<div class=sidebar>Links</div></div><div class=footer>Imprint</div></body>"
+        assert html_text.extract(page).split() == f"Head {long} {long}".split()
+
+
 def test_license_phrases_and_notices(docs):
     got = by_id(license_scan.scan(docs))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
