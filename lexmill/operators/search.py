@@ -1,4 +1,4 @@
-"""Retrieval for many questions at once: vector top-k, metadata re-rank, cross references, rerank."""
+"""Retrieval for many questions at once: vector top-k, metadata re-rank, reference candidates and their match to names, rerank."""
 
 from __future__ import annotations
 
