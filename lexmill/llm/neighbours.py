@@ -2,16 +2,15 @@
 
 The graph starts from blocks of vectors that random hyperplanes sort next to each other.
 Each round then joins every node's neighbours with each other: who shares a neighbour is
-likely to be near. A query walks the graph: it expands the nearest nodes seen that are
-not yet expanded, and keeps a beam of the nearest, until the beam is expanded whole.
+likely to be near. Only pairs with an entry that is new since the last round are measured.
+A query walks the graph from its own node: it expands those of the nearest nodes of its
+beam that are not yet expanded and keeps the nearest seen, until all of them are.
 
 Equal vectors are one node, so copies neither fill the lists of others nor make hubs.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,21 +19,18 @@ from pyspark.sql.window import Window
 
 from lexmill.llm.store import Scratch
 
-#: Neighbours a node keeps, and reverse neighbours that a round joins besides (the method's sample, drawn anew each round).
+#: Neighbours a node keeps, and reverse neighbours that a round joins besides (the method's sample, new ones first, drawn anew each round).
 DEGREE, REVERSED = 40, 20
 #: Sorted orders that the graph starts from, and vectors in a block of one: only a start, whatever the size of the table.
-ORDERS, BLOCK = 8, 64
-#: While more than the first share of the list entries changes in a round, a node takes only TAKEN_AROUND of the nearest of
-#: one neighbourhood; then all that better its list, until a round changes less than the second share.
-ROUGH, LEAST_CHANGE = 0.1, 0.002
-#: Of one block, and of one neighbourhood in the first rounds, a node takes at most so many of the nearest.
-TAKEN, TAKEN_AROUND = 24, 10
-#: Nodes that a search keeps and those that it expands in a step.
-BEAM, EXPANDED = 128, 32
-#: Nodes drawn at random that every walk also starts from; vectors in a block of the exact pass.
-ENTRIES, EXACT_BLOCK = 16, 1024
-PLANES = 24
+ORDERS, BLOCK = 8, 128
+#: The rounds end when one changes no more than this share of the list entries.
+LEAST_CHANGE = 0.01
+#: Nodes that a search keeps, and of those the nearest that it expands: it ends when they all are.
+BEAM, EXPANDED = 96, 80
+#: Vectors in a block of the exact pass; bits of a sorted order; candidates that a task holds before it keeps the best of each node.
+EXACT_BLOCK, PLANES, HELD = 1024, 24, 1 << 19
 EDGES = "id long, nbr long, sim float, fresh boolean"
+NAMES = ["id", "nbr", "sim", "fresh"]
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -42,12 +38,12 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector as doubles) without null, zero or non-finite vectors; of the commonest length alone."""
+    """(vec_id, vector as doubles) without null, zero or non-finite vectors; shorter ones are filled up with zeros."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
-    lengths = v.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(1).collect()
-    return v.where(F.size("vector") == (lengths[0]["length"] if lengths else 0))
+    longest = v.agg(F.max(F.size("vector"))).first()[0] or 0
+    return v.select("vec_id", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("vector"))).alias("vector"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -71,164 +67,167 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in rows], pa.binary())], names=["id", "vector"])
 
 
-NAMES = ["id", "nbr", "sim", "fresh"]
-
-
 def _edges(ids: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nbr), pa.array(sim), pa.array(np.ones(len(ids), dtype=bool))], names=NAMES)
 
 
-def _nearest_in(ids: np.ndarray, x: np.ndarray):
-    """(id, nbr, sim): the nearest of each row among the others of a block."""
-    n = len(ids)
-    if n < 2:
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float32(), pa.bool_())], names=NAMES)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -np.inf)
-    k = min(TAKEN, n - 1)
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    return _edges(np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel())
-
-
-def _blocks(shift: int):
-    """Cuts the sorted rows of a task into blocks and finds the nearest inside each."""
-
-    def run(batches):
-        ids, rows, size = np.zeros(0, dtype=np.int64), None, BLOCK - shift
-        for batch in batches:
-            ids = np.append(ids, batch.column(0).to_numpy())
-            x = _matrix(batch.column(1))
-            rows = x if rows is None else np.concatenate([rows, x])
-            while len(ids) >= 2 * size:
-                yield _nearest_in(ids[:size], rows[:size])
-                ids, rows, size = ids[size:], rows[size:], BLOCK
-        if len(ids):
-            yield _nearest_in(ids, rows)
-
-    return run
-
-
-def _nearest(edges: DataFrame, by: str, other: str, n: int) -> DataFrame:
-    order = Window.partitionBy(by).orderBy(F.desc("sim"), other)
-    return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
-
-
-def _merged(edges: DataFrame, degree: int) -> DataFrame:
-    return _nearest(edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), "id", "nbr", degree)
-
-
-def _joined_neighbours(batches, taken: int | None = None):
-    """All members of one node's neighbourhood against each other; only what betters a member's own list comes out, of that the `taken` nearest."""
-
-    def one(ids, x, kth):
-        sims = x @ x.T
-        np.fill_diagonal(sims, -np.inf)
-        better = sims > kth[:, None]
-        if taken and len(ids) > taken:
-            better &= sims >= np.partition(sims, -taken, axis=1)[:, -taken, None]
-        a, b = np.nonzero(better)
-        return ids[a], ids[b], sims[a, b]
-
-    held, rows = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)], None
-    source = iter(batches)
-    last = False
+class Best:
+    """The DEGREE best candidates of each node among those that one task has measured: a list can take no more of them."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, ids: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> bool:
+        self.parts.append((ids, nbr, sim))
+        self.held += len(ids)
+        return self.held > HELD
+
+    def take(self) -> pa.RecordBatch:
+        parts = self.parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        ids, nbr, sim = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.parts, self.held = [], 0
+        order = np.lexsort((nbr, ids))
+        ids, nbr, sim = ids[order], nbr[order], sim[order]
+        once = np.ones(len(ids), dtype=bool)
+        once[1:] = (ids[1:] != ids[:-1]) | (nbr[1:] != nbr[:-1])
+        ids, nbr, sim = ids[once], nbr[once], sim[once]
+        order = np.lexsort((-sim, ids))
+        ids, nbr, sim = ids[order], nbr[order], sim[order]
+        first = np.searchsorted(ids, ids)
+        best = np.arange(len(ids)) - first < DEGREE
+        return _edges(ids[best], nbr[best], sim[best])
+
+
+def _grouped(batches, key: int, columns: int):
+    """(arrays of the columns before the vectors, matrix) of each run of rows with one key, whatever batches it lies in."""
+    held, rows, source, last = None, None, iter(batches), False
     while not last:
         batch = next(source, None)
         last = batch is None
         if not last:
-            held = [np.append(h, batch.column(k).to_numpy(zero_copy_only=False)) for k, h in enumerate(held)]
-            x = _matrix(batch.column(3))
+            x = _matrix(batch.column(columns))
+            part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
+            held = part if held is None else [np.append(h, p) for h, p in zip(held, part, strict=True)]
             rows = x if rows is None else np.concatenate([rows, x])
-        key, ids, kth = held
-        if not len(key):
+        if held is None or not len(held[0]):
             continue
-        cuts = np.append(np.append(0, np.flatnonzero(np.diff(key)) + 1), len(key))
-        whole = len(cuts) - 1 if last else len(cuts) - 2  # the last group may go on in the next batch
-        out = [one(ids[a:b], rows[a:b], kth[a:b]) for a, b in zip(cuts[:whole], cuts[1 : whole + 1], strict=True)]
-        if out:
-            yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        cuts = np.append(np.append(0, np.flatnonzero(np.diff(held[key])) + 1), len(held[key]))
+        whole = len(cuts) - 1 if last else len(cuts) - 2  # the last run may go on in the next batch
+        for a, b in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
+            yield [h[a:b] for h in held], rows[a:b]
         held, rows = [h[cuts[whole] :] for h in held], rows[cuts[whole] :]
 
 
-def _reversed(edges: DataFrame, draw: int) -> DataFrame:
-    """Of the edges into each node, REVERSED drawn at random, turned round."""
-    drawn = Window.partitionBy("id").orderBy(F.xxhash64("id", "nbr", F.lit(draw)), "nbr")
-    back = edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim", "fresh").withColumn("turn", F.row_number().over(drawn))
-    return back.where(F.col("turn") <= REVERSED).drop("turn")
+def _start_blocks(batches):
+    """Cuts each sorted order of a task into blocks and finds the nearest inside each."""
+    best = Best()
+    for (_, ids), x in _grouped(batches, 0, 2):
+        for a in range(0, len(ids), BLOCK):
+            # a short rest goes with the block before it
+            a = max(0, len(ids) - BLOCK) if a + BLOCK > len(ids) else a
+            own, part = ids[a : a + BLOCK], x[a : a + BLOCK]
+            sims = part @ part.T
+            np.fill_diagonal(sims, -np.inf)
+            n = min(DEGREE, len(own) - 1)
+            top = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n else np.zeros((len(own), 0), dtype=np.int64)
+            if best.add(np.repeat(own, n), own[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel()):
+                yield best.take()
+    yield best.take()
+
+
+def _joined_neighbours(batches):
+    """Members of one node's neighbourhood against each other, if one of the two is new there; what betters a member's own list comes out."""
+    best = Best()
+    for (_, ids, kth, fresh), x in _grouped(batches, 0, 4):
+        if not fresh.any():
+            continue
+        sims = x @ x.T
+        i, j = np.nonzero((sims > kth[:, None]) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]))
+        if best.add(ids[i], ids[j], sims[i, j]):
+            yield best.take()
+    yield best.take()
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE) -> DataFrame:
-    """(id, nbr, sim, fresh) with `degree` neighbours a node, over packed nodes (id, vector)."""
-    planes = np.random.default_rng(7)
+def _merged(edges: DataFrame) -> DataFrame:
+    """The DEGREE nearest of each node; what it had before is not fresh."""
+    once = edges.repartition("id").groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DEGREE).drop("rank")
 
-    def coded(seed: int):
-        def run(batches):
-            for batch in batches:
-                x = _matrix(batch.column(1))
-                r = np.random.default_rng(seed).standard_normal((x.shape[1], PLANES)).astype(np.float32)
-                code = ((x @ r > 0) * (1 << np.arange(PLANES - 1, -1, -1))).sum(axis=1)
-                yield batch.append_column("code", pa.array(code.astype(np.int64)))
 
-        return run
+def _links(edges: DataFrame, draw: int) -> DataFrame:
+    """(center, id, fresh): each node's list, and REVERSED of the nodes that have it in theirs."""
+    drawn = Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "id", F.lit(draw)), "id")
+    back = edges.select(F.col("nbr").alias("center"), "id", "fresh").withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= REVERSED)
+    return edges.select(F.col("id").alias("center"), F.col("nbr").alias("id"), "fresh").unionByName(back.drop("turn"))
+
 
-    edges = None
-    for k in range(ORDERS):
-        ordered = nodes.mapInArrow(coded(int(planes.integers(1 << 30))), "id long, vector binary, code long").repartitionByRange("code", "id").sortWithinPartitions("code", "id")
-        found = ordered.select("id", "vector").mapInArrow(_blocks(BLOCK // ORDERS * k), EDGES)
-        edges = found if edges is None else edges.unionByName(found)
-    edges = scratch.save(_merged(edges, degree), "graph-0")
-    rough, first, k = True, False, 0
+def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, nbr, sim, fresh) with DEGREE neighbours a node, over packed nodes (id, vector)."""
+
+    def dealt(batches):
+        """Every node once for each order, with its side of the planes as the place in it."""
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            for k in range(ORDERS):
+                r = np.random.default_rng(7919 + k).standard_normal((x.shape[1], PLANES)).astype(np.float32)
+                code = ((x @ r > 0) * (1 << np.arange(PLANES - 1, -1, -1))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, dtype=np.int32)), pa.array(code.astype(np.int64)), *batch.columns], names=["k", "code", "id", "vector"])
+
+    placed = nodes.mapInArrow(dealt, "k int, code long, id long, vector binary").repartitionByRange("k", "code", "id").sortWithinPartitions("k", "code", "id")
+    edges = scratch.save(_merged(placed.select("k", "id", "vector").mapInArrow(_start_blocks, EDGES)), "graph-0")
+    k = 0
     while True:
         k += 1
-        around = edges.unionByName(_reversed(edges, k)).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
-        active = around.where("fresh").select(F.col("id").alias("center")).distinct()
-        around = around.select(F.col("id").alias("center"), F.col("nbr").alias("id"))
-        if not first:  # the first round that takes everything goes over every neighbourhood: earlier ones turned pairs away
-            around = around.join(active, "center", "left_semi")
-        worst = edges.groupBy("id").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("kth"))
-        members = around.join(nodes.join(worst, "id"), "id").select("center", "id", "kth", "vector").repartition("center").sortWithinPartitions("center")
-        better = members.mapInArrow(partial(_joined_neighbours, taken=TAKEN_AROUND) if rough else _joined_neighbours, EDGES)
-        edges = scratch.save(_merged(edges.withColumn("fresh", F.lit(False)).unionByName(better), degree), f"graph-{k}")
+        links = _links(edges, k)
+        if k > 2:  # before, nearly every list is new
+            links = links.withColumn("new", F.max("fresh").over(Window.partitionBy("center"))).where("new").drop("new")
+        worst = edges.groupBy("id").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("kth"))
+        members = links.join(nodes.join(worst, "id"), "id").select("center", "id", "kth", "fresh", "vector")
+        better = members.repartition("center").sortWithinPartitions("center").mapInArrow(_joined_neighbours, EDGES)
+        edges = scratch.save(_merged(edges.withColumn("fresh", F.lit(False)).unionByName(better)), f"graph-{k}")
         scratch.drop(f"graph-{k - 1}")
         scratch.release()
         sizes = edges.agg(F.count("*").alias("all"), F.count_if("fresh").alias("changed")).first()
-        if not rough and sizes["changed"] <= LEAST_CHANGE * sizes["all"]:
-            break
-        first = rough and sizes["changed"] <= ROUGH * sizes["all"]
-        rough = rough and not first
-    return edges
+        if sizes["changed"] <= LEAST_CHANGE * sizes["all"]:
+            return edges
 
 
-def _measured(batches):
-    for batch in batches:
-        if batch.num_rows:
-            sims = (_matrix(batch.column(2)) * _matrix(batch.column(3))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims), pa.array(np.ones(len(sims), dtype=bool))], names=["query_id", "id", "sim", "open"])
+def _walked(batches):
+    """Beams of the queries after a step: what is met for the first time is measured, and the BEAM nearest of all stay."""
+    for (query, kind, node, sim), x in _grouped(batches, 0, 4):
+        # its own vector comes first, then its beam, then the new nodes
+        new = kind[1:] == 2
+        node, sim = node[1:], np.where(new, x[1:] @ x[0], sim[1:]).astype(np.float32)
+        order = np.lexsort((node, -sim))[:BEAM]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), query[0])), pa.array(node[order]), pa.array(sim[order]), pa.array(new[order] & (np.arange(len(order)) < EXPANDED))], names=["query_id", "id", "sim", "open"])
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(query_id, id, sim): the beam of each query (query_id, entry node), over packed nodes."""
-    both = graph.select("id", "nbr").unionByName(_reversed(graph, 0).select("id", "nbr")).distinct()
-    lists = scratch.save(both.groupBy("id").agg(F.collect_list("nbr").alias("nbrs")), "lists")
-    columns = "query_id long, id long, sim float, open boolean"
-    own = scratch.save(queries.select("query_id", F.col("entry").alias("id")).join(nodes, "id").select("query_id", "id", F.col("vector").alias("query")), "queries")
-    beam = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    waiting = Window.partitionBy("query_id", "open").orderBy(F.desc("sim"), "id")
-    drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES)
-    entries = own.select("query_id", "id", "query", F.col("query").alias("vector")).unionByName(own.withColumnRenamed("id", "entry").crossJoin(drawn).where("id <> entry").drop("entry"))
-    state = scratch.save(entries.mapInArrow(_measured, columns), "search-0")
-    step = 0
+    lists = scratch.save(_links(graph, 0).groupBy("center").agg(F.collect_set("id").alias("nbrs")), "neighbourhoods")
+    asked = scratch.save(queries.select("query_id", F.col("entry").alias("id")).join(nodes, "id").select("query_id", "id", "vector"), "queries")
+    # A query's own list is measured already; its own node, nearest of all, is expanded by that.
+    start = asked.select("query_id", "id").join(graph.select("id", "nbr", "sim"), "id").select("query_id", F.col("nbr").alias("id"), "sim", F.lit(True).alias("open"))
+    itself = asked.select("query_id", "id", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("open"))
+    state, step = scratch.save(start.unionByName(itself), "search-0"), 0
+    sample = nodes.select("vector").first()
+    no_sim, no_vector = F.lit(None).cast("float"), F.lit(bytes(len(sample["vector"]) if sample else 0))
     while not state.where("open").isEmpty():
         step += 1
-        ranked = state.withColumn("turn", F.col("open") & (F.row_number().over(waiting) <= EXPANDED))
-        seen = ranked.withColumn("open", F.col("open") & ~F.col("turn")).drop("turn")
-        next_to = ranked.where("turn").select("query_id", "id").join(lists, "id").select("query_id", F.explode("nbrs").alias("id")).distinct()
-        new = next_to.join(state, ["query_id", "id"], "left_anti").join(nodes, "id").join(own.select("query_id", "query"), "query_id")
-        new = new.select("query_id", "id", "query", "vector").mapInArrow(_measured, columns)
-        kept = seen.unionByName(new).withColumn("rank", F.row_number().over(beam)).where(F.col("rank") <= BEAM).drop("rank")
-        state = scratch.save(kept, f"search-{step}")
+        near = state.where("open").select("query_id", F.col("id").alias("center")).join(lists, "center").select("query_id", F.explode("nbrs").alias("id"))
+        seen = state.select("query_id", "id", F.lit(True).alias("seen"))
+        new = near.withColumn("seen", F.lit(False)).unionByName(seen).groupBy("query_id", "id").agg(F.max("seen").alias("seen")).where("not seen")
+        met = new.select("query_id", "id").join(nodes, "id").select("query_id", F.lit(2).alias("kind"), "id", no_sim.alias("sim"), "vector")
+        every = (
+            asked.select("query_id", F.lit(0).alias("kind"), "id", no_sim.alias("sim"), "vector")
+            .unionByName(state.select("query_id", F.lit(1).alias("kind"), "id", "sim", no_vector.alias("vector")))
+            .unionByName(met)
+        )
+        walked = every.repartition("query_id").sortWithinPartitions("query_id", "kind").mapInArrow(_walked, "query_id long, id long, sim float, open boolean")
+        state = scratch.save(walked, f"search-{step}")
         scratch.drop(f"search-{step - 1}")
-        scratch.release()
     return state
 
 
@@ -250,7 +249,9 @@ def exact_pass(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "id", "sim"])
 
     pairs = blocks(queries, "query_id", "query", queries.count()).crossJoin(blocks(nodes, "id", "vector", nodes.count()))
-    return _nearest(pairs.mapInArrow(run, "query_id long, id long, sim double"), "query_id", "id", k).select("query_id", "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    found = pairs.mapInArrow(run, "query_id long, id long, sim double").withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "id")
 
 
 def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -261,30 +262,33 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id
     ties to the smaller vec_id; all candidates where there are fewer than k. A query whose
     walk finds fewer gets an exact pass over all nodes.
 
-    * null, zero or non-finite vectors, vectors of another length than most, and null ids take no part;
+    * null, zero or non-finite vectors and null ids take no part;
+    * vectors shorter than the longest count as filled up with zeros;
     * equal vectors are one node; of its members the k + 1 smallest ids can matter to a query, and do;
     * of rows that repeat a vec_id, equal ones count once;
     * an empty table gives an empty result; further columns are ignored.
+
+    k may be up to BEAM - 1.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = usable_vectors(vectors, id_col, vector_col).select("vec_id", "vector").distinct()
-    classes = rows.groupBy("vector").agg(F.min("vec_id").alias("id"))
-    members = rows.join(classes, "vector").select("id", "vec_id", "vector")
-    members = scratch.save(members, "members")
-    nodes = scratch.save(members.where("id = vec_id").select("id", "vector").mapInArrow(_packed, "id long, vector binary"), "nodes")
+    rows = usable_vectors(vectors, id_col, vector_col).select("vec_id", "vector")
+    members = rows.repartition("vector").distinct().withColumn("id", F.min("vec_id").over(Window.partitionBy("vector")))
+    members = scratch.save(members.select("id", "vec_id", "vector"), "members")
+    reps = members.where("id = vec_id").select("id", "vector")
+    nodes = scratch.save(reps.mapInArrow(_packed, "id long, vector binary"), "nodes")
     queries = members.where(query_filter).select(F.col("vec_id").alias("query_id"), F.col("id").alias("entry"), F.col("vector").alias("query"))
     beams = search(queries, build_graph(nodes, scratch), nodes, scratch)
     few = members.select("id", "vec_id").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
     size = F.least(F.lit(k), F.lit(members.select("vec_id").distinct().count() - 1))
-    found = scratch.save(beams.select("query_id", "id"), "found")
-    held = found.join(few, "id").where("vec_id <> query_id").groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
-    short = queries.join(held, "query_id", "left").where(F.coalesce("n", F.lit(0)) < size).select("query_id", "query")
-    short = scratch.save(short, "short")
+    found = beams.select("query_id", "id").join(few, "id").where("vec_id <> query_id").select("query_id", "id", "vec_id").distinct()
+    found = scratch.save(found, "found")
+    held = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
+    short = scratch.save(queries.join(held, "query_id", "left").where(F.coalesce("n", F.lit(0)) < size).select("query_id", "query"), "short")
     if not short.isEmpty():
         # a walk that saw too little: such queries are compared with every node
-        found = scratch.save(found.join(short, "query_id", "left_anti").unionByName(exact_pass(short, members.where("id = vec_id").select("id", "vector"), k + 1)), "completed")
-    near = found.join(members.where("id = vec_id").select("id", "vector"), "id").join(queries.select("query_id", "query"), "query_id")
-    scored = near.select("query_id", "id", inner_product(F.col("query"), F.col("vector")).alias("score"))
-    hits = scored.join(few, "id").where("vec_id <> query_id")
+        more = exact_pass(short, reps, k + 1).join(few, "id").where("vec_id <> query_id").select("query_id", "id", "vec_id")
+        found = scratch.save(found.join(short, "query_id", "left_anti").unionByName(more), "completed")
+    near = found.join(reps, "id").join(queries.select("query_id", "query"), "query_id")
+    scored = near.select("query_id", "vec_id", inner_product(F.col("query"), F.col("vector")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,7 +10,7 @@ def test_nearest_neighbours_against_brute_force(spark):
     x = rnd.standard_normal((1500, 16)) + 2 * rnd.standard_normal((8, 16))[rnd.integers(8, size=1500)]
     x[100:140] = x[100]
     rows = [(i, [float(v) for v in np.float32(row)], "x") for i, row in enumerate(x)]
-    rows += [(2000, None, "x"), (2001, [0.0] * 16, "x"), (2002, [float("nan")] * 16, "x"), (2020, [1.0, 2.0], "x"), (None, rows[0][1], "x"), rows[5]]
+    rows += [(2000, None, "x"), (2001, [0.0] * 16, "x"), (2002, [float("nan")] * 16, "x"), (2020, [float("inf")] * 16, "x"), (None, rows[0][1], "x"), rows[5]]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
     got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect()
     f = np.array([r[1] for r in rows[:1500]])
@@ -67,6 +67,23 @@ def test_few_and_no_vectors(spark):
     assert neighbours.nearest_neighbours(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_two_tight_clusters_fill_each_others_lists(spark):
+    rnd = np.random.default_rng(8)
+    x = np.repeat(rnd.standard_normal((2, 8)), 13, axis=0) + 0.001 * rnd.standard_normal((26, 8))
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect()
+    for q in (0, 20):
+        sims = x @ x[q]
+        sims[q] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == np.argsort(-sims)[:20].tolist()
+
+
+def test_shorter_vectors_count_as_filled_up_with_zeros(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, [0.0, 1.0, 5.0]), (3, [])], "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(table, F.col("vec_id") == 0).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 3.0), (2, 2, 2.0)]
+
+
 @pytest.mark.parametrize("capacities", [(8, 16), (5,), (4, 8, 32)])
 def test_best_fit_holds_and_downsizes(capacities):
     rnd = np.random.default_rng(1)
