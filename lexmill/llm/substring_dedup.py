@@ -14,7 +14,11 @@ one with the largest name), and windows in a row under one symbol form a stretch
    stretch equals one of a smaller document, all its windows repeat.
 2. Stretches that meet only different ones (the ends of passages) are compared window by
    window, among one representative of each distinct stretch.
-3. Covered words are removed; every range is checked against the words it claims first.
+3. Covered words are removed.
+
+Ranges are equal if two independent 64-bit fingerprints of all their words are. A row that
+repeats another of a smaller document in the same task is settled there, so that a passage
+which most documents share does not gather in the task of its key.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ U64 = ts.U64
 #: Two rounds: a symbol and its context then span about 8 words, which every window of 13 without long runs holds.
 ROUNDS = 2
 FAR = np.int64(1) << np.int64(60)
+#: Of the second fingerprint that equal ranges must share.
+CHECK = 0x2545F4914F6CDD1D
+#: Rows that a task gathers to find copies among them before they are shuffled.
+HELD = 1 << 17
 CODES, SEPARATORS = ts.byte_codes(lower=False), ts.separators(white_space_only=True)
 
 
@@ -92,16 +100,16 @@ def compress_round(s: Symbols, salt: int) -> Symbols:
 
 
 class Ranges:
-    """Fingerprints of any range of words of a chunk."""
+    """Fingerprints of any range of words of a chunk; with another salt, of other ones."""
 
-    def __init__(self, words: ts.Words):
+    def __init__(self, words: ts.Words, salt: int = 0):
         n = len(words.hashes)
         base, self.inverse = ts.powers(n + 1)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(words.hashes * base[:n], out=self.sums[1:])
+        self.sums, self.salt = np.zeros(n + 1, dtype=U64), U64(salt)
+        np.cumsum((ts.mix(words.hashes ^ self.salt) if salt else words.hashes) * base[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return ts.mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
+        return ts.mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F) + self.salt)
 
 
 def stretches(words: ts.Words, ranges: Ranges, width: int) -> tuple[np.ndarray, ...]:
@@ -134,20 +142,49 @@ def stretches(words: ts.Words, ranges: Ranges, width: int) -> tuple[np.ndarray,
     return start, count, key, whole
 
 
-def _file_windows(width: int):
-    names = ["key", "whole", "doc_id", "start", "count"]
+def _first_known(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Adds whether a smaller document among these rows has the same words; such rows need no other.
 
-    def run(batches):
+    columns are the key to shuffle by, the two fingerprints of the words, the document and
+    more. Rows whose answer is known leave their key for one of their own, so that a
+    passage of very many documents sends one row a task to its key, not one a document.
+    """
+    key, whole, check, doc = columns[:4]
+    order = np.lexsort((doc, check, whole))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(whole[order]) != 0) | (np.diff(check[order]) != 0)
+    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    known = np.zeros(len(order), dtype=bool)
+    known[order] = doc[order] > least
+    spread = ts.mix(whole.view(U64) + ts.mix(doc.view(U64)) + np.arange(len(doc), dtype=U64)).view(np.int64)
+    return [np.where(known, spread, key), *columns[1:], known]
+
+
+def _gathered(parts, names: list[str]):
+    """Record batches of the rows in parts (lists of columns), with what `_first_known` says of HELD or more at a time."""
+    held, n = [], 0
+    for columns in parts:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _first_known([np.concatenate(c) for c in zip(*held, strict=True)])], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _first_known([np.concatenate(c) for c in zip(*held, strict=True)])], names=names)
+
+
+def _file_windows(width: int):
+    def parts(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, end, data, at in ts.chunks(batch.column(1)):
                 words = ts.scan_words(data, at, CODES, SEPARATORS)
                 start, count, key, whole = stretches(words, Ranges(words), width)
+                check = Ranges(words, CHECK).of(start, start + count + width - 1)
                 doc = words.doc()[start]
-                columns = [key.view(np.int64), whole.view(np.int64), ids[row:end][doc], (start - words.first[doc]).astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                yield [key.view(np.int64), whole.view(np.int64), check.view(np.int64), ids[row:end][doc], (start - words.first[doc]).astype(np.int32), count.astype(np.int32)]
 
-    return run
+    return lambda batches: _gathered(parts(batches), ["key", "whole", "check", "doc_id", "start", "count", "known"])
 
 
 def _needed_texts(packed):
@@ -172,20 +209,20 @@ def _confirmed(words: ts.Words, ranges: Ranges, first: int, n: int, spans: pa.St
 def _single_windows(width: int):
     """Fingerprints of every window of the listed stretches."""
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for row, end, data, at in ts.chunks(batch.column(1)):
                 words = ts.scan_words(data, at, CODES, SEPARATORS)
-                ranges = Ranges(words)
+                ranges, checks = Ranges(words), Ranges(words, CHECK)
                 for k in range(end - row):
                     first, n = words.first[k], words.first[k + 1] - words.first[k]
                     start, count = _confirmed(words, ranges, first, n, lists[row + k].values, width)
                     at_word = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
-                    whole = ranges.of(first + at_word, first + at_word + width).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(np.full(len(whole), ids[row + k])), pa.array(at_word.astype(np.int32))], names=["whole", "doc_id", "start"])
+                    whole, check = (r.of(first + at_word, first + at_word + width).view(np.int64) for r in (ranges, checks))
+                    yield [whole, whole, check, np.full(len(whole), ids[row + k]), at_word.astype(np.int32)]
 
-    return run
+    return lambda batches: _gathered(parts(batches), ["key", "whole", "check", "doc_id", "start", "known"])
 
 
 def _cover(n: int, start: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
@@ -241,10 +278,11 @@ def repeated_stretches(rows: DataFrame, width: int, scratch: Scratch) -> DataFra
     """(doc_id, start, count, whole): stretches of windows that all start in a smaller document too."""
     spark = rows.sparkSession
     known = rows.where("doc_id is not null")
-    filed = known.mapInArrow(_file_windows(width), "key long, whole long, doc_id long, start int, count int").repartition("key")
-    same, key = Window.partitionBy("key", "whole"), Window.partitionBy("key")
-    judged = filed.withColumn("first_same", F.min("doc_id").over(same)).withColumns({"first_any": F.min("doc_id").over(key), "lo": F.min("whole").over(key), "hi": F.max("whole").over(key)})
-    found = judged.where("first_same < doc_id or lo <> hi").select("doc_id", "start", "count", "whole", (F.col("first_same") < F.col("doc_id")).alias("repeats"))
+    filed = known.mapInArrow(_file_windows(width), "key long, whole long, check long, doc_id long, start int, count int, known boolean").repartition("key")
+    same, key = Window.partitionBy("key", "whole", "check"), Window.partitionBy("key")
+    judged = filed.withColumn("first_same", F.min("doc_id").over(same)).withColumns({"lo": F.min("whole").over(key), "hi": F.max("whole").over(key)})
+    repeats = F.col("known") | (F.col("first_same") < F.col("doc_id"))
+    found = judged.where(repeats | (F.col("lo") != F.col("hi"))).select("doc_id", "start", "count", "whole", repeats.alias("repeats"))
     found = scratch.save(found, "stretches")
     full = found.where("repeats").select("doc_id", "start", "count", "whole")
 
@@ -252,8 +290,8 @@ def repeated_stretches(rows: DataFrame, width: int, scratch: Scratch) -> DataFra
     ends = scratch.save(ends, "ends")
     needed = spark.sparkContext.broadcast(membership.build(ends.select("doc_id")))
     texts = known.mapInArrow(_needed_texts(needed), "doc_id long, text string").join(ends, "doc_id").select("doc_id", "text", "spans")
-    single = texts.mapInArrow(_single_windows(width), "whole long, doc_id long, start int").repartition("whole")
-    first = single.withColumn("first", F.min("doc_id").over(Window.partitionBy("whole"))).where("first < doc_id")
+    single = texts.mapInArrow(_single_windows(width), "key long, whole long, check long, doc_id long, start int, known boolean").repartition("key")
+    first = single.withColumn("first", F.min("doc_id").over(Window.partitionBy("key", "whole", "check"))).where("known or first < doc_id")
     return full.unionByName(first.select("doc_id", "start", F.lit(1).alias("count"), "whole"))
 
 
@@ -300,7 +338,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     * a row with a null doc_id loses nothing and takes nothing from others;
     * an empty table gives an empty result; further columns are ignored.
 
-    Windows are told apart by 64-bit fingerprints.
+    Windows are told apart by two independent fingerprints of 64 bits each.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
