@@ -96,6 +96,48 @@ def test_best_fit_holds_and_downsizes(capacities):
     assert sum(used) == sum(lengths) and sum(used) >= 0.9 * sum(size)
 
 
+def plain_best_fit(lengths, capacities):
+    """The rule said plainly: the open bin with the least room left, else the size of least cost for what can be put into it."""
+    bins, cost = [], {c: packing.sequence_cost(c) for c in capacities}  # [capacity, used]
+    for i, n in enumerate(lengths):
+        fits = [(c - u - n, k) for k, (c, u) in enumerate(bins) if c - u >= n]
+        if fits:
+            k = min(fits)[1]
+        else:
+            def filled(c):
+                put, room = n, c - n
+                for m in lengths[i + 1 :]:
+                    if m <= room:
+                        put, room = put + m, room - m
+                return put
+
+            bins.append([min((c for c in capacities if c >= n), key=lambda c: (cost[c] / filled(c), c)), 0])
+            k = len(bins) - 1
+        bins[k][1] += n
+    return bins
+
+
+def test_best_fit_equals_the_plain_rule():
+    rnd = np.random.default_rng(2)
+    for _ in range(20):
+        capacities = (64, 128, 256)
+        lengths = sorted((int(x) for x in rnd.integers(1, 257, 80)), reverse=True)
+        want = plain_best_fit(lengths, capacities)
+        _, _, used, size = packing.best_fit(lengths, capacities)
+        # Which of several equally full bins takes an item is free; what they hold then is not.
+        assert sorted(used) == sorted(u for _, u in want)
+        assert sorted(size) == sorted(min(c for c in capacities if c >= u) for _, u in want)
+
+
+def test_several_sizes_are_opened():
+    rnd = np.random.default_rng(4)
+    lengths = sorted((int(x) for x in np.minimum(4096, rnd.lognormal(5.5, 1.0, 5000) + 1)), reverse=True)
+    _, _, used, size = packing.best_fit(lengths)
+    assert len(set(size)) == 4 and sum(used) >= 0.97 * sum(size)
+    cost = sum(map(packing.sequence_cost, size))
+    assert cost < min(sum(map(packing.sequence_cost, packing.best_fit(lengths, (c,))[3])) for c in (4096,))
+
+
 def test_pack_covers_every_text(spark):
     texts = ["a b c", None, "", "x " * 9000, "y " * 4096, "z"] * 3
     docs = spark.createDataFrame([(i if i != 5 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, bin string")
