@@ -39,14 +39,18 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The cut: this share of the spread of the smoothed ratios.
 SPREAD = 0.5
+#: A path of which more than this share of the text is links is no content unless its ratio is over the cut.
+LINKED = 0.5
+#: An end tag, or a start tag that ends others, looks at so many open elements at most (a page nested deeper is no page to read).
+DEPTH = 512
 
 
 class _Page:
     """Elements and text nodes of a page. Element 0 is the page; parents come before children."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped, self.path, self.named = ["#page"], [-1], [False], [0], [False]
-        self.paths = {(-1, "#page"): 0}
+        self.tag, self.parent, self.dropped, self.path, self.named, self.linked = ["#page"], [-1], [False], [0], [False], [False]
+        self.paths, self.open = {(-1, "#page"): 0}, {}
         self.text: list[tuple[int, str, bool]] = []  # element, text, whether a block begins here
         self._read(source)
 
@@ -61,36 +65,47 @@ class _Page:
                 drop |= "hidden" in own or own.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", own.get("style", ""), re.I))
             name = f"{tag}.{own.get('class', '')}"
         if tag == "header":
-            drop |= not any(self.tag[e] in ("article", "main") for e in stack)
+            drop |= not self.open.get("article") and not self.open.get("main")
         self.tag.append(tag)
+        self.linked.append(tag == "a" or self.linked[up])
         self.parent.append(up)
         self.named.append(named)
         self.dropped.append(drop or self.dropped[up])
         self.path.append(self.paths.setdefault((self.path[up], name), len(self.paths)))
         return len(self.tag) - 1
 
-    def _end_implied(self, tag: str, stack: list[int]) -> None:
+    def _implied_end(self, tag: str, stack: list[int]) -> int:
+        """How many open elements stay when this start tag ends others."""
+        low = max(0, len(stack) - 1 - DEPTH)
         if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, low, -1):
                 if self.tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
+                    return k
                 if self.tag[stack[k]] not in INLINE:
                     break
         elif tag in _SIBLINGS:
             ended, bounds = _SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            keep = len(stack)
+            for k in range(len(stack) - 1, low, -1):
                 if self.tag[stack[k]] in bounds:
                     break
                 if self.tag[stack[k]] in ended:
-                    del stack[k:]
+                    keep = k
                     if tag != "tr":
                         break
+            return keep
+        return len(stack)
+
+    def _cut(self, stack: list[int], keep: int) -> None:
+        for e in stack[keep:]:
+            self.open[self.tag[e]] -= 1
+        del stack[keep:]
 
     def _read(self, source: str) -> None:
-        stack, counts, at, block = [0], {}, 0, True
+        stack, at, block, last = [0], 0, True, source.rfind(">")
         while True:
-            m = _TOKEN.search(source, at)
+            # Behind the last ">" nothing is a tag; without that look a page of open tags would be tried from each of them to its end.
+            m = _TOKEN.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
             chunk = source[at : m.start()] if m else source[at:]
             if chunk and not self.dropped[stack[-1]]:
                 self.text.append((stack[-1], chunk, block))
@@ -103,13 +118,11 @@ class _Page:
             if tag not in INLINE:
                 block = True
             if m["close"]:
-                if tag in counts and counts[tag]:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            for e in stack[k:]:
-                                counts[self.tag[e]] -= 1
-                            del stack[k:]
-                            break
+                if self.open.get(tag):
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != tag:
+                        k -= 1
+                    self._cut(stack, k)
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -117,14 +130,9 @@ class _Page:
                 continue
             if tag in VOID:
                 continue
-            if tag in _CLOSES_P or tag in _SIBLINGS:
-                before = len(stack)
-                ended = list(stack)
-                self._end_implied(tag, stack)
-                for e in ended[len(stack) : before]:
-                    counts[self.tag[e]] -= 1
+            self._cut(stack, self._implied_end(tag, stack))
             stack.append(self._open(tag, m["attrs"], stack))
-            counts[tag] = counts.get(tag, 0) + 1
+            self.open[tag] = self.open.get(tag, 0) + 1
 
 
 def path_ratios(path: list[int], length: list[int], punctuation: list[int]) -> np.ndarray:
@@ -203,6 +211,19 @@ def extract(source: str | None) -> str:
     inside[article] = True
     for e in range(article + 1, len(held)):
         inside[e] = inside[page.parent[e]]
+    # Of the paths inside, those under the cut stay unless they are mostly links (a list of them, not a link in a sentence).
+    in_links = np.bincount(path, np.array(length) * np.array([page.linked[e] for e in element])) / np.maximum(np.bincount(path, length), 1)
+    gone = {k for k in range(len(by_path)) if not chosen[k] and in_links[k] > LINKED}
+    sentence = [False] * len(held)  # elements with selected text of their own around the link
+    for p, e in zip(path, element, strict=True):
+        if chosen[p]:
+            sentence[e] = True
+    for e in range(1, len(held)):
+        if page.linked[e] or page.tag[e] in INLINE:
+            sentence[e] = sentence[e] or sentence[page.parent[e]]
+    for p, e in zip(path, element, strict=True):
+        if p in gone and not sentence[e] and page.tag[e] not in HEADINGS:
+            inside[e] = False
     blocks: list[str] = []
     for e, text, new in texts:
         if inside[e]:
