@@ -47,10 +47,14 @@ _OPEN, _CLOSE = r"\s{0,3}[\(\[\{<]\s{0,3}", r"\s{0,3}[\)\]\}>]\s{0,3}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _DOT = rf"(?:\.|{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
 _ENDING = rf"(?:(?!(?:{PROSE.replace(' ', '|')})\b)[A-Za-z]{{2,63}}\b|[A-Za-z]{{2}}\b(?!\s+\w))"
+#: Up to three digits of an address, spelled or not, and the spelled dot between such.
+_OCTET = rf"(?:{_DIGIT}|[0-9]{{1,3}})(?:[\s,-]{{1,3}}(?:{_DIGIT}|[0-9])){{0,2}}"
+_DOT_WORD = rf"(?:{_OPEN}dot{_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
 #: The characters that a rewrite changes.
 _CHARS = re.compile(rf"[{INVISIBLE}{''.join(LOOKALIKES)}！-～\U0001d400-\U0001d7ff]")
 _SIGNS = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9._%+-])\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}{_ENDING}))"
+    rf"\b(?P<octets>{_OCTET}(?:{_DOT_WORD}{_OCTET}){{3}})\b"
+    rf"|(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9._%+-])\s{{1,3}}(?:at|@)\s{{1,3}}(?={_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}{_ENDING}))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9-])\s{{1,3}}dot\s{{1,3}}(?={_ENDING}|[0-9]{{1,3}}\b|{_LABEL}\s{{1,3}}dot\s{{1,3}}|{_LABEL}(?:\s{{1,3}}at\s{{1,3}}|{_OPEN}at{_CLOSE}|@)))"
     rf"|(?P<plus>\bplus\s{{1,3}}(?=[0-9]|(?:{_DIGIT})\b))"
     rf"|\b(?P<digits>(?:{_DIGIT}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_DIGIT}|[0-9]+)){{3,}})\b",
@@ -142,6 +146,9 @@ def rewrite(text: str) -> Rewritten:
                 if item.end() < len(m[0]):  # up to the next item: the run becomes one number
                     b = m.start() + _ITEM.search(m[0], item.end()).start() if spelled else b
                 edits.append((a, b, DIGIT_WORDS.get(word, word)))
+        elif kind == "octets":
+            parts = [_ITEM.findall(part) for part in re.split(_DOT_WORD, m[0], flags=re.IGNORECASE)]
+            edits.append((m.start(), m.end(), ".".join("".join(DIGIT_WORDS.get(i.lower(), i) for i in items) for items in parts)))
         else:
             edits.append((m.start(), m.end(), {"at": "@", "dot": ".", "plus": "+"}[kind]))
     out.replace(edits)
