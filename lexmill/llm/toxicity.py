@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Each text is the set of its hashed character n-grams. On labelled texts the log ratio of
-smoothed counts in toxic and other texts scales every n-gram; the n-grams with the
-strongest evidence stay, and a logistic regression on the scaled features gives the
-weights. Scoring is one pass over all whole texts with one fixed-size weight table.
+smoothed counts in toxic and other texts scales every n-gram, whichever side it speaks
+for; n-grams with too little evidence are left out, and a logistic regression on the
+scaled features gives the weights. Scoring is one pass over all whole texts with one
+weight table of fixed size. The table is large, so that the many n-grams of a very long
+text seldom fall on the place of another one that counts.
 """
 
 from __future__ import annotations
@@ -19,12 +21,10 @@ from lexmill.llm import counts
 from lexmill.llm import textscan as ts
 
 #: Size of the hashed feature space, and the lengths of the n-grams in characters.
-HASH_BITS, LENGTHS = 18, (4, 5, 6, 7)
+HASH_BITS, LENGTHS = 21, (4, 5, 6, 7)
 SIZE = 1 << HASH_BITS
 #: At most this many labelled rows are fitted on: those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
-#: Of the n-grams, those with the strongest evidence that are kept.
-KEPT_FEATURES = 4_096
 #: The least likelihood-ratio statistic of an n-gram that is kept, and the fewest texts that hold it.
 LEAST_EVIDENCE, LEAST_TEXTS = 8.0, 5
 #: A text is predicted toxic from this score on.
@@ -74,7 +74,7 @@ def ngram_hashes(texts: list[str | None]):
 
 def distinct_features(texts: list[str | None], used: np.ndarray | None = None):
     """(text, feature) of the distinct n-grams of each text, as two arrays; only those marked as used."""
-    rows, features, mark = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], np.zeros(SIZE, dtype=bool)
+    rows, features = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for first, n, found in ngram_hashes(texts):
         if used is not None:
             hits = [(hashes[hit], owner[hit]) for hashes, owner in found for hit in [np.flatnonzero(used[hashes])]]
@@ -84,13 +84,8 @@ def distinct_features(texts: list[str | None], used: np.ndarray | None = None):
             continue
         cuts = [np.searchsorted(owner, np.arange(n + 1)) for _, owner in found]
         for k in range(n):
-            own = [hashes[cut[k] : cut[k + 1]] for (hashes, _), cut in zip(found, cuts, strict=True)]
-            for hashes in own:
-                mark[hashes] = True
-            features.append(np.flatnonzero(mark))
+            features.append(np.unique(np.concatenate([hashes[cut[k] : cut[k + 1]] for (hashes, _), cut in zip(found, cuts, strict=True)])).astype(np.int64))
             rows.append(np.full(len(features[-1]), first + k))
-            for hashes in own:
-                mark[hashes] = False
     return np.concatenate(rows), np.concatenate(features)
 
 
@@ -102,7 +97,7 @@ def _count_classes(batches):
         for at in range(0, batch.num_rows, 200):
             rows, features = distinct_features(batch.column(0).slice(at, 200).to_pylist())
             for y in (0, 1):
-                sums[y] += np.bincount(features[label[at + rows] == y], minlength=SIZE)
+                np.add.at(sums[y], features[label[at + rows] == y], 1)
     if sums.any():
         yield counts.rows(sums.ravel())
 
@@ -171,9 +166,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     by_label = counts.total(sample.mapInArrow(_count_classes, counts.SCHEMA), 2 * SIZE).reshape(2, SIZE)
     ratio = log_count_ratios(by_label[1], by_label[0], n1, n0)
     strength = evidence(by_label[1], by_label[0], n1, n0)
-    strength[(by_label.sum(axis=0) < LEAST_TEXTS) | (ratio < 0)] = 0
-    kept = np.sort(np.argsort(-strength, kind="stable")[:KEPT_FEATURES])
-    kept = kept[strength[kept] > LEAST_EVIDENCE]
+    kept = np.flatnonzero((by_label.sum(axis=0) >= LEAST_TEXTS) & (strength > LEAST_EVIDENCE))
     used = np.zeros(SIZE, dtype=bool)
     used[kept] = True
     table = sample.mapInArrow(_used_features(spark.sparkContext.broadcast(used)), "label int, features array<int>").toArrow()
