@@ -63,14 +63,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_nn_descent, op3_recompression_dedup, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op8_best_fit_packing, op9_license_scan, op10_toxicity, pipeline)
+    for f in (op1_ngram_jaccard_join, op2_nn_descent, op3_recompression_dedup, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op8_best_fit_packing, op9_license_scan, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
