@@ -25,6 +25,8 @@ HASH_BITS, LENGTHS = 21, (4, 5, 6, 7)
 SIZE = 1 << HASH_BITS
 #: At most this many labelled rows are fitted on: those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
+#: The model's size: so many features at most, those with the strongest evidence.
+FEATURES = 16_384
 #: The least likelihood-ratio statistic of an n-gram that is kept, and the fewest texts that hold it.
 LEAST_EVIDENCE, LEAST_TEXTS = 8.0, 5
 #: A text is predicted toxic from this score on.
@@ -132,19 +134,40 @@ def evidence(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_nega
     )
 
 
-def logistic_regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, n_columns: int, ridge: float = 0.2, steps: int = 1000):
-    """Weights and bias by accelerated gradient descent on sparse features."""
-    w, bias, velocity, n = np.zeros(n_columns), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), np.zeros(n_columns + 1), len(y)
-    norm = np.bincount(rows, values**2, minlength=n).max(initial=1.0) + 1
-    rate = 4.0 / (norm * max(1.0, 0.02 * n))
+def logistic_regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, n_columns: int, ridge: float = 1.0, steps: int = 100, memory: int = 10):
+    """Weights and bias on sparse features, by the limited-memory quasi-Newton method: a step costs two passes over the features."""
+    theta, n = np.zeros(n_columns + 1), len(y)
+    theta[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+
+    def loss(theta):
+        z = np.bincount(rows, values * theta[columns], minlength=n) + theta[-1]
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        slope = np.append(np.bincount(columns, values * error[rows], minlength=n_columns) + ridge * theta[:-1], error.sum())
+        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * theta[:-1] @ theta[:-1], slope
+
+    value, slope = loss(theta)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        look, look_bias = w + 0.95 * velocity[:-1], bias + 0.95 * velocity[-1]
-        score = np.bincount(rows, values * look[columns], minlength=n) + look_bias
-        error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
-        slope = np.append(np.bincount(columns, values * error[rows], minlength=n_columns) + ridge * look, error.sum())
-        velocity = 0.95 * velocity - rate * slope
-        w, bias = w + velocity[:-1], bias + velocity[-1]
-    return w, bias
+        if np.abs(slope).max() < 1e-3:
+            break
+        way, kept = -slope, []
+        for moved, turned, scale in reversed(past):
+            kept.append(moved @ way * scale)
+            way = way - kept[-1] * turned
+        way = way * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(slope).max()))
+        for (moved, turned, scale), k in zip(past, reversed(kept), strict=True):
+            way = way + (k - turned @ way * scale) * moved
+        length = 1.0
+        while True:
+            new, (new_value, new_slope) = theta + length * way, loss(theta + length * way)
+            if new_value <= value + 1e-4 * length * (slope @ way) or length < 1e-6:
+                break
+            length /= 2
+        moved, turned = new - theta, new_slope - slope
+        if moved @ turned > 1e-12:
+            past = [*past[1 - memory :], (moved, turned, 1 / (moved @ turned))]
+        theta, value, slope = new, new_value, new_slope
+    return theta[:-1], theta[-1]
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> Model:
@@ -166,7 +189,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     by_label = counts.total(sample.mapInArrow(_count_classes, counts.SCHEMA), 2 * SIZE).reshape(2, SIZE)
     ratio = log_count_ratios(by_label[1], by_label[0], n1, n0)
     strength = evidence(by_label[1], by_label[0], n1, n0)
-    kept = np.flatnonzero((by_label.sum(axis=0) >= LEAST_TEXTS) & (strength > LEAST_EVIDENCE))
+    strength[by_label.sum(axis=0) < LEAST_TEXTS] = 0
+    kept = np.argsort(-strength, kind="stable")[:FEATURES]
+    kept = np.sort(kept[strength[kept] > LEAST_EVIDENCE])
     used = np.zeros(SIZE, dtype=bool)
     used[kept] = True
     table = sample.mapInArrow(_used_features(spark.sparkContext.broadcast(used)), "label int, features array<int>").toArrow()
