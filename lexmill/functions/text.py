@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from array import array
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from lexmill.config import SPACE
 
@@ -53,24 +55,49 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: Steps that put one character, or none, for every single character they match: a translation tells both.
+_SINGLE = {
+    "remover_caracteres_invalidos": ("".join(map(chr, [*range(9), 11, 12, *range(14, 32), 127, 0xFFFD])), ""),
+    "normalizar_aspas_duplas": ("“”«»„", '"'),
+    "normalizar_aspas_simples": ("‘’‚", "'"),
+    "normalizar_hifens": ("‐‑‒", "-"),
+    "normalizar_espacos_especiais": ("".join(map(chr, [0xA0, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000])), " "),
+}
+
+
+def _step(name: str, pattern: str, new: str, text: Column) -> tuple[Column, Column]:
+    """(text after a cleaning step, number of its matches), with as few looks at the text as the step allows."""
+    shrunk = lambda after: (F.length(text) - F.length(after)).cast("long")
+    if name in _SINGLE:
+        chars, one = _SINGLE[name]
+        return F.translate(text, chars, one * len(chars)), shrunk(F.translate(text, chars, ""))
+    if name == "normalizar_quebras":  # a return for each match
+        return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, pattern, new)).otherwise(text), shrunk(F.replace(text, F.lit("\r"), F.lit("")))
+    if name == "remover_hifenizacao_quebra":  # two characters less for each match
+        after = F.when(F.contains(text, F.lit("-\n")), F.regexp_replace(text, pattern, new)).otherwise(text)
+        return after, F.floor(shrunk(after) / 2).cast("long")
+    cue = {"remover_espacos_extras": text.rlike("[ \t][ \t]"), "remover_linhas_vazias_consecutivas": F.contains(text, F.lit("\n\n\n"))}.get(name, text.rlike(pattern))
+    return F.when(cue, F.regexp_replace(text, pattern, new)).otherwise(text), F.when(cue, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("long")
+
+
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds cleaned text and its statistics: every step's matches are counted on the text as that step finds it."""
-    df = docs.withColumn("__t", nfc(F.col(text_col)))
-    repaired = F.col("__t")
+    # Below U+0300 every text is composed already: only the others travel to Python.
+    given = F.col(text_col)
+    df = docs.withColumn("__n", F.coalesce(nfc(F.when(given.rlike(r"[^\x{0000}-\x{02FF}]"), given)), given))
+    repaired = F.col("__n")
     for wrong, right in MOJIBAKE:
         repaired = F.replace(repaired, F.lit(wrong), F.lit(right))
-    df = df.withColumn("__t", repaired)
-    counts = [("corrigir_encoding", F.when(F.col(text_col) == F.col("__t"), 0).otherwise(1).cast("long"))]
+    df = df.withColumn("__t0", F.when(F.contains("__n", F.lit("Ã")), repaired).otherwise(F.col("__n")))
+    counts = {"n_corrigir_encoding": F.when(given == F.col("__t0"), 0).otherwise(1).cast("long")}
     for k, (name, pattern, new) in enumerate(CLEANING):
-        at = f"__t{k}"
-        df = df.withColumn(at, F.col("__t") if k == 0 else F.regexp_replace(f"__t{k - 1}", CLEANING[k - 1][1], CLEANING[k - 1][2]))
-        counts.append((name, F.regexp_count(at, F.lit(pattern)).cast("long")))
-    last = CLEANING[-1]
-    df = df.withColumn("cleaned", trim(F.regexp_replace(f"__t{len(CLEANING) - 1}", last[1], last[2])))
-    lines = lambda c: F.size(F.split(c, "\n")).cast("long")
-    df = df.withColumns({f"n_{name}": c for name, c in counts})
-    df = df.withColumns({"chars_before": F.length(text_col).cast("long"), "chars_after": F.length("cleaned").cast("long"), "lines_before": lines(F.col(text_col)), "lines_after": lines(F.col("cleaned"))})
-    return df.drop("__t", *(f"__t{k}" for k in range(len(CLEANING))))
+        after, n = _step(name, pattern, new, F.col(f"__t{k}"))
+        df = df.withColumn(f"__t{k + 1}", after)
+        counts[f"n_{name}"] = n
+    df = df.withColumn("cleaned", trim(F.col(f"__t{len(CLEANING)}")))
+    lines = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    df = df.withColumns(counts | {"chars_before": F.length(text_col).cast("long"), "chars_after": F.length("cleaned").cast("long"), "lines_before": lines(given), "lines_after": lines(F.col("cleaned"))})
+    return df.drop("__n", *(f"__t{k}" for k in range(len(CLEANING) + 1)))
 
 
 def cleaning_totals(cleaned: DataFrame) -> DataFrame:
@@ -85,6 +112,121 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"))
 
 
+def token_counter(factory: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A counter of texts to use in place of `count_tokens`; the factory builds the tokenizer's own count once a task."""
+
+    @F.pandas_udf(LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        one = _once(factory)
+        return texts.map(lambda t: None if t is None else one(t))
+
+    return count
+
+
+def unit_counter(factory: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """The same for arrays of texts: an array of counts."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def count(units: pd.Series) -> pd.Series:
+        one = _once(factory)
+        return units.map(lambda u: None if u is None else [one(t) for t in u])
+
+    return count
+
+
+_built: dict = {}
+
+
+def _once(factory):
+    if factory not in _built:
+        _built[factory] = factory()
+    return _built[factory]
+
+
+#: Longer texts are compared as far as this, the stated limit of a comparison; of texts more edits apart than the other
+#: limit, what lies between their common ends is one removal and one addition.
+DIFF_CHARS, DIFF_EDITS = 200_000, 4_000
+
+
+def _edit_path(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """A shortest edit of x into y, found by the furthest end on each diagonal for a growing number of edits."""
+    most = min(len(x) + len(y), DIFF_EDITS)
+    far, ends = [0] * (2 * most + 3), []
+
+    def from_above(d, k, known, zero):
+        return k == -d or (k != d and known[zero + k - 1] < known[zero + k + 1])
+
+    zero = most + 1
+    for d in range(most + 1):
+        ends.append(array("i", far[zero - d - 1 : zero + d + 2]))
+        for k in range(-d, d + 1, 2):
+            i = far[zero + k + 1] if from_above(d, k, far, zero) else far[zero + k - 1] + 1
+            while i < len(x) and i - k < len(y) and x[i] == y[i - k]:
+                i += 1
+            far[zero + k] = i
+            if i >= len(x) and i - k >= len(y):
+                break
+        else:
+            continue
+        break
+    else:
+        return [*(("-", t) for t in x), *(("+", t) for t in y)]
+    out, i, j = [], len(x), len(y)
+    for d in range(len(ends) - 1, 0, -1):
+        known, k = ends[d], i - j
+        above = from_above(d, k, known, d + 1)
+        bi = known[d + 1 + (k + 1 if above else k - 1)]
+        bj = bi - (k + 1 if above else k - 1)
+        while i > bi + (not above) and j > bj + above:
+            i, j = i - 1, j - 1
+            out.append(("=", x[i]))
+        if above:
+            j -= 1
+            out.append(("+", y[j]))
+        else:
+            i -= 1
+            out.append(("-", x[i]))
+    out += [("=", t) for t in x[:i][::-1]]
+    return out[::-1]
+
+
+def _diff_lines(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """(op, line): "-" from a, "+" from b, "=" from both."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    middle = _edit_path(a[head : len(a) - tail], b[head : len(b) - tail])
+    return [*(("=", t) for t in a[:head]), *middle, *(("=", t) for t in a[len(a) - tail :])]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())])))
+def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Runs of removed, added and unchanged lines that turn one text into the other; a null text has no lines."""
+
+    def runs(a, b):
+        lines = [t[:DIFF_CHARS].split("\n") if t is not None else [] for t in (a, b)]
+        out: list = []
+        for op, line in _diff_lines(*lines):
+            if out and out[-1][0] == op:
+                out[-1][1].append(line)
+            else:
+                out.append((op, [line]))
+        return [{"op": op, "text": "\n".join(own)} for op, own in out]
+
+    return pd.Series([runs(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+
+def line_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, added, removed): lines that one text of a pair holds more often than the other, without regard to order."""
+    side = lambda c, sign: pairs.select(key, F.explode(F.split(c, "\n")).alias("line"), F.lit(sign).alias("sign"))
+    per = side(after, 1).unionByName(side(before, -1)).groupBy(key, "line").agg(F.sum("sign").alias("n"))
+    more = per.groupBy(key).agg(F.sum(F.greatest(F.col("n"), F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+    return pairs.select(key).join(more, key, "left").na.fill(0, ["added", "removed"])
+
+
 def truncate(text: Column, limit: int = 500) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))).otherwise(text)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from lexmill.config import Chunking
@@ -40,23 +45,28 @@ def pack_units(tokens: Column, limit: Column, overlap: int) -> Column:
     return F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
 
 
-def chunks(articles: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
+def _count_units(units: Column) -> Column:
+    return F.transform(units, lambda u: count_tokens(u).cast("long"))
+
+
+def chunks(articles: DataFrame, cfg: Chunking = Chunking(), counter: Callable[[Column], Column] = count_tokens, unit_counter: Callable[[Column], Column] = _count_units) -> DataFrame:
     """Chunks of articles (doc_id, idx, title, chapter, section, label, units array<string>).
 
     Returns doc_id, idx (of the article), part, total_parts, content, token_count,
-    char_count and chunk_index, running over the document.
+    char_count and chunk_index, running over the document. Another tokenizer comes in as
+    `text.token_counter` and `text.unit_counter`.
     """
     limit = max(cfg.least_limit, cfg.max_tokens)
     head = header(F.col("title"), F.col("chapter"), F.col("section"), F.col("label"))
     df = articles.withColumn("head", head)
-    df = df.withColumns({"tokens": F.transform("units", lambda u: count_tokens(u).cast("long")), "budget": F.greatest(F.lit(cfg.least_budget), F.lit(limit - cfg.reserve) - count_tokens(F.col("head"))).cast("long")})
+    df = df.withColumns({"tokens": unit_counter(F.col("units")), "budget": F.greatest(F.lit(cfg.least_budget), F.lit(limit - cfg.reserve) - counter(F.col("head"))).cast("long")})
     df = df.withColumn("parts", pack_units(F.col("tokens"), F.col("budget"), cfg.overlap)).drop("tokens")
     part = df.select("doc_id", "idx", "head", "units", F.size("parts").alias("total_parts"), F.posexplode("parts").alias("p", "members"))
     body = F.array_join(F.transform("members", lambda i: F.get(F.col("units"), i)), "\n")
     mark = F.when(F.col("total_parts") > 1, F.concat(F.lit("\n[Parte "), F.col("p") + 1, F.lit("/"), F.col("total_parts"), F.lit("]"))).otherwise("")
     done = part.select("doc_id", "idx", (F.col("p") + 1).alias("part"), "total_parts", F.concat("head", mark, F.lit("\n\n"), body).alias("content"))
     order = Window.partitionBy("doc_id").orderBy("idx", "part")
-    return done.withColumns({"token_count": count_tokens(F.col("content")).cast("long"), "char_count": F.length("content").cast("long"), "chunk_index": F.row_number().over(order) - 1})
+    return done.withColumns({"token_count": counter(F.col("content")).cast("long"), "char_count": F.length("content").cast("long"), "chunk_index": F.row_number().over(order) - 1})
 
 
 def link_by_number(chunk_rows: DataFrame, articles: DataFrame) -> DataFrame:
@@ -75,10 +85,47 @@ def offsets_to_pages(points: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def figures_to_articles(figures: DataFrame, articles: DataFrame) -> DataFrame:
-    """Adds article_id: the last article in document order on the figure's page or an earlier one, null without one."""
-    a = articles.where("page is not null").select(F.col("document_id").alias("__d"), F.col("page").alias("__p"), F.col("article_index").alias("__i"), F.col("article_id").alias("__a"))
-    joined = figures.join(a, (F.col("document_id") == F.col("__d")) & (F.col("__p") <= F.col("page")), "left")
-    return joined.groupBy(*figures.columns).agg(F.max_by("__a", "__i").alias("article_id"))
+    """Adds article_id to figures (document_id, figure_id, page): the last article in document order on the figure's page or an earlier one.
+
+    An as-of window over both, so a document's figures and articles are never paired.
+    """
+    kind = articles.schema["article_id"].dataType
+    a = articles.where("page is not null").select("document_id", "page", F.lit(0).alias("side"), F.struct("article_index", "article_id").alias("a"), F.lit(None).cast(figures.schema["figure_id"].dataType).alias("figure_id"))
+    none = F.lit(None).cast(a.schema["a"].dataType)
+    f = figures.select("document_id", "page", F.lit(1).alias("side"), none.alias("a"), "figure_id")
+    upto = Window.partitionBy("document_id").orderBy("page", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = a.unionByName(f).withColumn("a", F.max("a").over(upto)).where("side = 1")
+    return found.select("document_id", "figure_id", "page", F.col("a.article_id").cast(kind).alias("article_id"))
+
+
+def figures_to_chunks(figures: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """Adds chunk_id: the first part of the figure's article; of several such chunks (document_id, article_id, chunk_id, part, chunk_index) the last."""
+    first = chunk_rows.where("part = 1 and article_id is not null").groupBy("document_id", "article_id").agg(F.max_by("chunk_id", "chunk_index").alias("chunk_id"))
+    return figures.join(first, ["document_id", "article_id"], "left")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def article_offsets(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    """Where each article number of a text stands in it: searched from the end of the hit before; null, and no step forward, where there is none."""
+
+    def one(text, wanted):
+        at, out = 0, []
+        for number in wanted if wanted is not None else []:
+            hit = re.compile(rf"(?:Art\.?|Artigo)[\s\ufeff]*{re.escape(number)}(?![A-Za-z0-9_])", re.IGNORECASE).search(text or "", at)
+            out.append(hit.start() if hit else None)
+            at = hit.end() if hit else at
+        return out
+
+    return pd.Series([one(t, w) for t, w in zip(texts, numbers, strict=True)], dtype=object)
+
+
+def locate_articles(documents: DataFrame, articles: DataFrame) -> DataFrame:
+    """(document_id, article_id, article_index, offset): each article (document_id, article_id, article_index, number) in its document's text."""
+    listed = articles.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("article_index", "article_id", "number"))).alias("a"))
+    found = documents.select("document_id", "text").join(listed, "document_id")
+    found = found.select("document_id", "a", article_offsets("text", F.col("a.number")).alias("at"))
+    rows = found.select("document_id", F.explode(F.arrays_zip("a", "at")).alias("z"))
+    return rows.select("document_id", "z.a.article_id", "z.a.article_index", F.col("z.at").alias("offset"))
 
 
 def valid_boxes(figures: DataFrame, max_figures: int = 60, least_width: int = 60, least_height: int = 60) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import with_cost
+
 # Steps in order, the status each needs and the status after it.
 STEPS = ("EXTRACTION", "CLEANING", "TOKENIZATION", "PARSER", "TREE", "CHUNKING", "ENRICHMENT", "EMBEDDINGS", "INDEXING")
 STATUSES = ("UPLOADED", "EXTRACTED", "CLEANED", "TOKENIZED", "PARSED", "STRUCTURED", "CHUNKED", "ENRICHED", "EMBEDDED", "INDEXED")
@@ -33,14 +36,35 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def index_rows(embeddings: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their metadata as indexed, errors of those without a vector)."""
-    joined = embeddings.join(chunks, "chunk_id")
-    meta = F.to_json(F.struct("document_id", "article", "part", "total_parts"))
-    good = joined.where("vector is not null").select("chunk_id", meta.alias("metadata"), F.lit(True).alias("indexed"))
+def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Embeddings by chunk_id with the new ones (chunk_id, vector, model, hash, dimension, ...) in place: these are not indexed yet."""
+    fresh = new.select(*(new[c] if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns if c not in ("indexed", "indexed_at")))
+    fresh = fresh.withColumns({"indexed": F.lit(False), "indexed_at": F.lit(None).cast("timestamp")})
+    return upsert(old, fresh.select(*old.columns), ["chunk_id"])
+
+
+def index_rows(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(embeddings with their retrieval metadata, marked as indexed; errors of those without a vector).
+
+    chunks (chunk_id, document_id, chunk_index, article, chapter, section, part,
+    total_parts, enrichment), documents (document_id, name).
+    """
+    joined = embeddings.join(chunks.join(documents.select("document_id", "name"), "document_id", "left"), "chunk_id", "left")
+    meta = F.struct(
+        F.col("name").alias("documento"), F.col("article").alias("artigo"), F.col("chapter").alias("capitulo"), F.col("section").alias("secao"), F.col("part").alias("parte"),
+        F.col("total_parts").alias("total_partes"), "chunk_index", F.col("enrichment").alias("enriquecimento"),
+    )
+    good = joined.where("vector is not null").select("chunk_id", meta.alias("metadata"), F.lit(True).alias("indexed"), (F.current_timestamp() if at is None else at).alias("indexed_at"))
     return good, joined.where("vector is null").select("chunk_id", F.concat(F.lit("no vector for chunk "), F.col("chunk_id")).alias("error"))
 
 
+def enrichment_totals(chunks: DataFrame) -> DataFrame:
+    """(document_id, enriched, total, cost_usd, duration_ms) of chunks (document_id, enrichment, cost_usd, duration_ms)."""
+    return chunks.groupBy("document_id").agg(
+        F.count("enrichment").alias("enriched"), F.count("*").alias("total"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms")
+    )
+
+
 def eligible(status: Column, step: Column) -> Column:
     """Whether a document of this status may run the step: it has reached what the step needs."""
     order, steps = F.array(*map(F.lit, STATUSES)), F.array(*map(F.lit, STEPS))
@@ -63,10 +87,10 @@ def invalidate(tables: dict[str, DataFrame], rerun: DataFrame) -> dict[str, Data
 
 
 def apply_model(rows: DataFrame, client: Callable[[], Callable[[list[str]], list]], batch_size: int = 64, text_col: str = "content") -> DataFrame:
-    """(chunk_id, vector, dimension) by an injected embedder, built once a task and called in batches.
+    """(chunk_id, vector, dimension, duration_ms) by an injected embedder, built once a task and called in batches.
 
     The embedder takes texts and returns (index, vector) pairs in any order; a text without
-    one gets an empty vector.
+    one gets an empty vector. A text's time is its share of its batch.
     """
 
     def run(batches):
@@ -74,11 +98,42 @@ def apply_model(rows: DataFrame, client: Callable[[], Callable[[list[str]], list
         for pdf in batches:
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at : at + batch_size]
+                began = time.monotonic()
                 found = dict(call(part[text_col].tolist()))
+                took = round((time.monotonic() - began) * 1000 / len(part))
                 vectors = [list(found.get(k, [])) for k in range(len(part))]
-                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "vector": vectors, "dimension": [len(v) for v in vectors]})
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "vector": vectors, "dimension": [len(v) for v in vectors], "duration_ms": took})
+
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    return rows.select("chunk_id", text_col).mapInPandas(run, f"chunk_id {kind}, vector array<double>, dimension int, duration_ms long")
 
-    return rows.select("chunk_id", text_col).mapInPandas(run, "chunk_id string, vector array<double>, dimension int")
+
+def call_model(rows: DataFrame, key: str, client: Callable[[], Callable[[str], tuple[str, int, int]]], model: str) -> DataFrame:
+    """(key, prompt, raw, model, tokens_in, tokens_out, duration_ms) of each (key, prompt), by an injected client built once a task.
+
+    The client takes a prompt and returns the raw answer with the tokens it took and gave.
+    Write the result before it is used twice, or calls are made twice.
+    """
+
+    def run(batches):
+        call = client()
+        for pdf in batches:
+            out = []
+            for prompt in pdf["prompt"]:
+                began = time.monotonic()
+                raw, tokens_in, tokens_out = call(prompt)
+                out.append((raw, tokens_in, tokens_out, round((time.monotonic() - began) * 1000)))
+            done = pd.DataFrame(out, columns=["raw", "tokens_in", "tokens_out", "duration_ms"])
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "prompt": pdf["prompt"].to_numpy(), "raw": done["raw"], "model": model, "tokens_in": done["tokens_in"], "tokens_out": done["tokens_out"], "duration_ms": done["duration_ms"]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "prompt").mapInPandas(run, f"{key} {kind}, prompt string, raw string, model string, tokens_in long, tokens_out long, duration_ms long")
+
+
+def enrich(chunks: DataFrame, template: str, client, model: str, prices: DataFrame, strings: tuple[str, ...], lists: tuple[str, ...]) -> DataFrame:
+    """Chunks (chunk_id, content, context) with prompt, raw answer, tokens, cost, time and the answer's fields as a struct."""
+    asked = chunks.select("chunk_id", fill_prompt(F.lit(template), F.col("content"), F.nullif("context", F.lit(""))).alias("prompt"))
+    return with_cost(call_model(asked, "chunk_id", client, model), prices).withColumn("enrichment", parse_enrichment(F.col("raw"), strings, lists))
 
 
 def parse_enrichment(raw: Column, strings: tuple[str, ...], lists: tuple[str, ...]) -> Column:

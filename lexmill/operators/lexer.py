@@ -1,7 +1,7 @@
 """Structural lexing and the tree of a legal text, as windows over its lines.
 
-All windows are partitioned by the document, so one exchange serves them all; parents'
-attributes are carried forward and never joined back.
+All windows and aggregates are partitioned by the document, so the one exchange of the
+lines serves them all; parents' attributes are carried forward and never joined back.
 """
 
 from __future__ import annotations
@@ -18,13 +18,25 @@ DEPTH = {"CAPITULO": 1, "SECAO": 2, "SUBSECAO": 3, "ARTIGO": 4, "PARAGRAFO": 5,
 HARD = tuple(k for k in DEPTH if k != "ITEM")
 
 
+def _upto(order: str):
+    return Window.partitionBy("doc_id").orderBy(order)
+
+
+def _before(order: str):
+    return _upto(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _last(condition: Column, value: Column, over) -> Column:
+    """The value of the last row that fits the condition."""
+    return F.last(F.when(condition, value), ignorenulls=True).over(over)
+
+
 def lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, line_no from 1, raw, line, position): non-blank lines with the offset of their raw line."""
     raw = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("i", "raw"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    position = F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0))
-    placed = raw.select("doc_id", (F.col("i") + 1).alias("line_no"), "raw", trim(F.col("raw")).alias("line"), position.alias("position"))
-    return placed.where("line <> ''")
+    raw = raw.select("doc_id", (F.col("i") + 1).alias("line_no"), "raw", trim(F.col("raw")).alias("line"))
+    position = F.coalesce(F.sum(F.length("raw") + 1).over(_before("line_no")), F.lit(0))
+    return raw.withColumn("position", position).where("line <> ''")
 
 
 def line_class(line: Column, p: Patterns = Patterns()) -> Column:
@@ -42,20 +54,18 @@ def line_class(line: Column, p: Patterns = Patterns()) -> Column:
 
 def main_tokens(numbered: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     """One token per non-blank line, with its type resolved from the lines before it."""
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("line_no")
-    line = F.col("line")
-    df = numbered.withColumn("cls", line_class(line, p))
-    df = df.withColumns({"hard": F.last(F.when(F.col("cls") != "FREE", F.col("cls")), ignorenulls=True).over(before), "group": F.sum((F.col("cls") != "FREE").cast("int")).over(upto)})
-    item = (F.col("cls") == "FREE") & line.rlike(p.item) & F.col("hard").isin("ALINEA", "INCISO")
-    note = (F.col("cls") == "FREE") & ~F.coalesce(item, F.lit(False)) & line.rlike("(?iu)" + p.note)
-    df = df.withColumns({"item": F.coalesce(item, F.lit(False)), "note": F.coalesce(note, F.lit(False))})
-    free = (F.col("cls") == "FREE") & ~F.col("item") & ~F.col("note")
-    nth = F.sum(free.cast("int")).over(Window.partitionBy("doc_id", "group").orderBy("line_no"))
-    df = df.withColumns({"free": free, "nth": nth})
+    line, hard = F.col("line"), F.col("cls") != "FREE"
+    df = numbered.withColumn("cls", line_class(line, p)).withColumn("hard", _last(hard, F.col("cls"), _before("line_no")))
+    item = ~hard & line.rlike(p.item) & F.coalesce(F.col("hard").isin("ALINEA", "INCISO"), F.lit(False))
+    df = df.withColumn("item", item)
+    df = df.withColumn("note", ~hard & ~F.col("item") & line.rlike("(?iu)" + p.note))
+    df = df.withColumn("free", ~hard & ~F.col("item") & ~F.col("note"))
+    # Free lines since the last hard one: a running count less what it was there.
+    df = df.withColumn("run", F.sum(F.col("free").cast("int")).over(_upto("line_no")))
+    df = df.withColumn("nth", F.col("run") - F.coalesce(_last(hard, F.col("run"), _upto("line_no")), F.lit(0)))
     title = (F.length("line") <= 120) & ~line.rlike("[.;:]$") & (F.col("nth") == 1)
     kind = (
-        F.when(~F.col("free") & (F.col("cls") != "FREE"), F.col("cls"))
+        F.when(hard, F.col("cls"))
         .when(F.col("item"), "ITEM")
         .when(F.col("note"), "OBSERVACAO")
         .when((F.col("hard") == "CAPITULO") & title, "TITULO_CAPITULO")
@@ -67,130 +77,259 @@ def main_tokens(numbered: DataFrame, p: Patterns = Patterns()) -> DataFrame:
 
 
 def tokens(numbered: DataFrame, p: Patterns = Patterns()) -> DataFrame:
-    """(doc_id, idx, type, text, position, line_no): the document token, then each line's own, its amendment mark and its citations."""
-    main = main_tokens(numbered, p)
-    inline = main.select("doc_id", "line_no", "position", F.lit(1).alias("kind"), F.lit(0).alias("pos"), F.lit("NOVA_REDACAO").alias("type"), F.regexp_extract("line", "(?iu)" + p.amendment, 1).alias("text")).where("text <> ''")
-    cited = main.select("doc_id", "line_no", "position", F.lit(2).alias("kind"), F.posexplode(F.regexp_extract_all("line", F.lit("(?iu)" + p.citation), 1)).alias("pos", "text")).select("doc_id", "line_no", "position", "kind", "pos", F.lit("REFERENCIA_LEGAL").alias("type"), "text")
-    first = main.groupBy("doc_id").agg(F.min(F.struct("line_no", "position", "line")).alias("f")).select("doc_id", F.col("f.line_no").alias("line_no"), F.col("f.position").alias("position"), F.lit(-1).alias("kind"), F.lit(0).alias("pos"), F.lit("DOCUMENT").alias("type"), F.col("f.line").alias("text"))
-    own = main.select("doc_id", "line_no", "position", F.lit(0).alias("kind"), F.lit(0).alias("pos"), "type", F.col("line").alias("text"))
-    every = first.unionByName(own).unionByName(inline).unionByName(cited)
-    order = Window.partitionBy("doc_id").orderBy("line_no", "kind", "pos")
-    return every.select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "type", "text", "position", "line_no")
+    """(doc_id, idx, type, text, position, line_no): the document token, then each line's own, its amendment mark and its citations.
 
+    A line's tokens are one array, so the lines are read, classed and sorted once.
+    """
+    line, mark = F.col("line"), F.regexp_extract("line", "(?iu)" + p.amendment, 1)
+    token = lambda kind, text: F.struct(kind.alias("type"), text.alias("text"))
+    none = F.array().cast("array<struct<type: string, text: string>>")
+    first = F.row_number().over(_upto("line_no")) == 1
+    cited = F.transform(F.regexp_extract_all("line", F.lit("(?iu)" + p.citation), 1), lambda c: token(F.lit("REFERENCIA_LEGAL"), c))
+    every = F.concat(
+        F.when(first, F.array(token(F.lit("DOCUMENT"), line))).otherwise(none),
+        F.array(token(F.col("type"), line)),
+        F.when(mark != "", F.array(token(F.lit("NOVA_REDACAO"), mark))).otherwise(none),
+        cited,
+    )
+    df = main_tokens(numbered, p).withColumn("every", every)
+    df = df.withColumn("base", F.coalesce(F.sum(F.size("every")).over(_before("line_no")), F.lit(0)))
+    df = df.select("doc_id", "line_no", "position", "base", F.posexplode("every").alias("pos", "token"))
+    return df.select("doc_id", (F.col("base") + F.col("pos")).cast("int").alias("idx"), "token.type", "token.text", "position", "line_no")
 
-def with_parents(toks: DataFrame) -> DataFrame:
-    """Adds depth and parent_idx of structural tokens: the nearest one before with a smaller depth, else the root (-1)."""
-    depth = F
-    for name, d in DEPTH.items():
-        depth = depth.when(F.col("type") == name, d)
-    df = toks.withColumn("depth", depth)
-    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    for d in range(1, 8):
-        df = df.withColumn(f"__l{d}", F.last(F.when(F.col("depth") == d, F.col("idx")), ignorenulls=True).over(before))
-    parent = F
-    for d in range(1, 9):
-        found = [F.coalesce(F.col(f"__l{k}"), F.lit(-1)) for k in range(1, d)]
-        parent = parent.when(F.col("depth") == d, F.greatest(F.lit(-1), *found) if found else F.lit(-1))
-    return df.withColumn("parent_idx", parent).drop(*(f"__l{d}" for d in range(1, 8)))
 
+def tokens_of(toks: DataFrame, types: list[str]) -> DataFrame:
+    """The listing of some types, in order within each document."""
+    return toks.where(F.col("type").isin(*types)).sortWithinPartitions("doc_id", "idx")
 
-def labels(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
-    """(doc_id, idx, type, number, label, body) of structural tokens, from the groups of their pattern."""
+
+def with_labels(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
+    """Adds number, label and body of structural tokens, from the groups of their pattern; all in the token's own row."""
     ci, text = "(?iu)", F.col("text")
     by = {"CAPITULO": ci + p.chapter, "SECAO": ci + p.section, "SUBSECAO": ci + p.subsection, "ARTIGO": p.article, "PARAGRAFO": ci + p.paragraph, "INCISO": p.inciso, "ALINEA": p.alinea, "ITEM": p.item}
     number, body = F, F
     for name, pattern in by.items():
         number = number.when(F.col("type") == name, F.regexp_extract(text, pattern, 1))
         body = body.when(F.col("type") == name, trim(F.regexp_extract(text, pattern, 2)))
-    df = toks.where(F.col("type").isin(*DEPTH)).withColumns({"number": number, "body": body})
-    n = F.col("number")
+    df = toks.withColumns({"number": number, "body": body})
+    n, sole = F.col("number"), (F.col("type") == "PARAGRAFO") & (F.col("number") == "")
     label = (
         F.when(F.col("type") == "CAPITULO", F.concat(F.lit("CAPÍTULO "), n))
         .when(F.col("type") == "SECAO", F.concat(F.lit("Seção "), n))
         .when(F.col("type") == "SUBSECAO", F.concat(F.lit("Subseção "), n))
         .when(F.col("type") == "ARTIGO", F.concat(F.lit("Art. "), n))
-        .when((F.col("type") == "PARAGRAFO") & (n == ""), F.lit("Parágrafo único"))
+        .when(sole, F.lit("Parágrafo único"))
         .when(F.col("type") == "PARAGRAFO", F.concat(F.lit("§ "), n, F.lit("º")))
         .when(F.col("type") == "INCISO", n)
         .when(F.col("type") == "ALINEA", F.concat(n, F.lit(")")))
-        .otherwise(F.concat(n, F.lit(".")))
+        .when(F.col("type") == "ITEM", F.concat(n, F.lit(".")))
     )
     own = F.col("type").isin("PARAGRAFO", "INCISO", "ALINEA", "ITEM")
-    return df.select("doc_id", "idx", "type", F.when((F.col("type") == "PARAGRAFO") & (n == ""), "único").otherwise(n).alias("number"), label.alias("label"), F.when(own & (F.col("body") == ""), text).otherwise(F.col("body")).alias("body"))
+    return df.withColumns({"label": label, "body": F.when(own & (F.col("body") == ""), text).otherwise(F.col("body")), "number": F.when(sole, "único").otherwise(n)})
 
 
-def articles(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
-    """(doc_id, idx, number, label, chapter, section, caput) of every article, in document order.
+def labels(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
+    """(doc_id, idx, type, number, label, body) of structural tokens."""
+    return with_labels(toks.where(F.col("type").isin(*DEPTH)), p).select("doc_id", "idx", "type", "number", "label", "body")
 
-    chapter and section are "label — title" of the open ones; a title is the line after the
-    heading, appended to what the heading itself carries. The caput is the article line's
-    own text and the caput lines that follow, joined by one space.
-    """
-    named = toks.join(labels(toks, p).select("doc_id", "idx", "number", "label", "body"), ["doc_id", "idx"], "left")
-    upto = Window.partitionBy("doc_id").orderBy("idx")
-    last = lambda kinds, value: F.last(F.when(F.col("type").isin(*kinds), value), ignorenulls=True).over(upto)
-    df = named.withColumns({"chapter_idx": last(["CAPITULO"], F.col("idx")), "article_idx": last(["ARTIGO"], F.col("idx")), "any_section": last(["SECAO", "SUBSECAO"], F.col("idx"))})
-    per_doc = lambda key: Window.partitionBy("doc_id", key)
 
-    def joined(kinds_own, kinds_more, key):
-        parts = F.when(F.col("type").isin(*kinds_own), F.col("body")).when(F.col("type").isin(*kinds_more), F.col("text"))
-        listed = F.array_sort(F.collect_list(F.when(parts.isNotNull() & (parts != ""), F.struct(F.col("idx"), parts.alias("t")))).over(per_doc(key)))
-        return F.array_join(F.transform(listed, lambda x: x["t"]), " ")
+def with_parents(toks: DataFrame) -> DataFrame:
+    """Adds depth, parent_idx and parent_type: the nearest structural token before with a smaller depth, else the root (-1, DOCUMENT)."""
+    depth = F
+    for name, d in DEPTH.items():
+        depth = depth.when(F.col("type") == name, d)
+    df = toks.withColumn("depth", depth)
+    # The last token of each depth before this one; the parent of depth d is the latest of those below d.
+    open_at = {d: F.last(F.when(F.col("depth") == d, F.struct("idx", "type")), ignorenulls=True).over(_before("idx")) for d in range(1, 8)}
+    df = df.withColumns({f"__l{d}": c for d, c in open_at.items()})
+    root = F.struct(F.lit(-1).alias("idx"), F.lit("DOCUMENT").alias("type"))
+    latest = F
+    for d in range(1, 9):
+        latest = latest.when(F.col("depth") == d, F.greatest(root, *(F.coalesce(F.col(f"__l{k}"), root) for k in range(1, d))) if d > 1 else root)
+    return df.withColumn("__up", latest).withColumns({"parent_idx": F.col("__up.idx"), "parent_type": F.col("__up.type")}).drop("__up", *(f"__l{d}" for d in range(1, 8)))
 
+
+def nodes(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
+    """The tree, one row per node: doc_id, idx, type, depth, parent_idx, parent_type, chapter_idx, section_idx, article_idx, kept, number, label, title, text, line_no.
+
+    * Titles after a heading are appended to the chapter's or section's title, caput lines to
+      the article's text (its caput), loose lines to the text of the last open node; before
+      any node they are nodes of the root. Joined by one space.
+    * Notes, amendment marks and citations are children of the last open node.
+    * kept says what the law's structure holds: chapters, sections, articles, paragraphs
+      under an article, incisos under an article or kept paragraph, alineas under a kept
+      inciso, items under a kept alinea, and notes and citations right under an article.
+
+    Everything is windows and one aggregate over doc_id: no exchange after that of the lines.
+    """
+    df = with_parents(with_labels(toks, p))
+    kind, upto, before = F.col("type"), _upto("idx"), _before("idx")
+    structural = F.col("depth").between(1, 7)
     df = df.withColumns({
-        "chapter_title": joined(["CAPITULO"], ["TITULO_CAPITULO"], "chapter_idx"),
-        "section_title": joined(["SECAO", "SUBSECAO"], ["TITULO_SECAO"], "any_section"),
-        "caput": joined(["ARTIGO"], ["CAPUT"], "article_idx"),
+        "top": _last(structural, F.struct("idx", "type"), upto),
+        "chapter_idx": _last(kind == "CAPITULO", F.col("idx"), upto),
+        "section_idx": _last(kind.isin("CAPITULO", "SECAO", "SUBSECAO"), F.struct("type", "idx"), upto),
+        "article_idx": _last(kind == "ARTIGO", F.col("idx"), upto),
     })
-    dash = lambda label, title: F.concat_ws(" — ", F.nullif(label, F.lit("")), F.nullif(title, F.lit("")))
-    heading = lambda kinds, title: F.last(F.when(F.col("type").isin(*kinds), dash(F.col("label"), F.col(title))), ignorenulls=True).over(upto)
-    df = df.withColumns({"chapter": heading(["CAPITULO"], "chapter_title"), "section_raw": heading(["SECAO", "SUBSECAO"], "section_title")})
-    in_chapter = F.coalesce("any_section", F.lit(-1)) > F.coalesce("chapter_idx", F.lit(-1))
-    return df.where("type = 'ARTIGO'").select("doc_id", "idx", "number", "label", F.coalesce("chapter", F.lit("")).alias("chapter"), F.when(in_chapter, F.coalesce("section_raw", F.lit(""))).otherwise("").alias("section"), "caput")
+    df = df.withColumn("section_idx", F.when(F.col("section_idx.type") != "CAPITULO", F.col("section_idx.idx")))
+    beside = kind.isin("OBSERVACAO", "NOVA_REDACAO", "REFERENCIA_LEGAL")
+    loose = (kind == "TEXTO") & F.col("top").isNull()
+    df = df.withColumns({
+        "parent_idx": F.when(beside, F.coalesce("top.idx", F.lit(-1))).when(loose, -1).otherwise(F.col("parent_idx")),
+        "parent_type": F.when(beside, F.coalesce("top.type", F.lit("DOCUMENT"))).when(loose, "DOCUMENT").otherwise(F.col("parent_type")),
+    })
+    # What a level keeps depends on the level above it alone, whose last row is carried down.
+    df = df.withColumn("kept", kind.isin("DOCUMENT", "CAPITULO", "SECAO", "SUBSECAO", "ARTIGO") | ((kind == "PARAGRAFO") | beside) & (F.col("parent_type") == "ARTIGO"))
+    for name, parents in (("INCISO", ("PARAGRAFO",)), ("ALINEA", ("INCISO",)), ("ITEM", ("ALINEA",))):
+        above = F.coalesce(_last(kind == parents[0], F.col("kept"), before), F.lit(False))
+        fits = F.col("parent_type").isin(*parents) & above
+        if name == "INCISO":
+            fits = fits | (F.col("parent_type") == "ARTIGO")
+        df = df.withColumn("kept", F.when(kind == name, fits).otherwise(F.col("kept")))
+    # Each token belongs to a node: its own, or the one that its text is appended to.
+    last_section = _last(kind.isin("SECAO", "SUBSECAO"), F.col("idx"), upto)
+    owner = F.when(kind == "TITULO_CAPITULO", F.col("chapter_idx")).when(kind == "TITULO_SECAO", last_section).when(kind == "CAPUT", F.col("article_idx")).when(kind == "TEXTO", F.coalesce("top.idx", F.col("idx"))).otherwise(F.col("idx"))
+    heading = kind.isin("CAPITULO", "SECAO", "SUBSECAO")
+    title = F.when(heading, F.col("body")).when(kind.isin("TITULO_CAPITULO", "TITULO_SECAO"), F.col("text"))
+    piece = F.when(kind.isin("ARTIGO", "PARAGRAFO", "INCISO", "ALINEA", "ITEM"), F.col("body")).when(kind.isin("CAPUT", "TEXTO", "DOCUMENT") | beside, F.col("text"))
+    df = df.withColumns({"owner": owner, "title": title, "piece": piece})
+    own = ["type", "depth", "parent_idx", "parent_type", "chapter_idx", "section_idx", "article_idx", "kept", "number", "label", "line_no"]
+    listed = lambda c: F.array_sort(F.collect_list(F.when((F.col(c) != ""), F.struct("idx", F.col(c).alias("t")))))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), " ")
+    grouped = df.groupBy("doc_id", F.col("owner").alias("node")).agg(F.first(F.when(F.col("idx") == F.col("owner"), F.struct(*own)), ignorenulls=True).alias("own"), listed("title").alias("titles"), listed("piece").alias("pieces"))
+    return grouped.select("doc_id", F.col("node").alias("idx"), *(f"own.{c}" for c in own), joined(F.col("titles")).alias("title"), joined(F.col("pieces")).alias("text"))
 
 
-def structure(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
-    """(doc_id, idx, type, parent_idx, article_idx, label, body, ord) of what the law structure keeps.
+def node_counts(tree: DataFrame) -> DataFrame:
+    """(doc_id, type, n) of the tree's nodes; every article holds one CAPUT besides."""
+    kinds = F.when(F.col("type") == "ARTIGO", F.array(F.lit("ARTIGO"), F.lit("CAPUT"))).otherwise(F.array("type"))
+    return tree.select("doc_id", F.explode(kinds).alias("type")).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
 
-    Paragraphs stand under articles, incisos under an article or paragraph, alineas under an
-    inciso, items under an alinea; everything else of these kinds is an orphan and goes.
-    ord counts the kept rows of one type under one parent, from 0. Lines that continue a
-    paragraph, inciso or alinea are appended to its text.
+def _heading() -> Column:
+    return F.concat_ws(" — ", F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("title"), F.lit("")))
+
+
+def articles_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, number, label, chapter, section, caput) of every article, in document order.
+
+    chapter and section are "label — title" of the open ones, the section the innermost.
     """
-    df = with_parents(toks)
-    upto = Window.partitionBy("doc_id").orderBy("idx")
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    for d in range(1, 9):
-        df = df.withColumn(f"__p{d}", F.last(F.when(F.col("depth") == d, F.struct("idx", "type", "parent_idx")), ignorenulls=True).over(before))
-    level = lambda d: F.when(F.col(f"__p{d}.idx") == F.col("parent_idx"), F.col(f"__p{d}"))
-    df = df.withColumn("up", F.coalesce(*(level(d) for d in range(1, 8)))).withColumn("article_idx", F.last(F.when(F.col("type") == "ARTIGO", F.col("idx")), ignorenulls=True).over(upto))
-    # The nearest article, paragraph and inciso above, and whether each is kept itself.
-    inciso_up = F.when(F.col("__p6.parent_idx") == F.col("__p5.idx"), F.col("__p5.type")).when(F.col("__p6.parent_idx") == F.col("__p4.idx"), F.col("__p4.type"))
-    para_ok = F.col("__p5.parent_idx") == F.col("__p4.idx")
-    inciso_ok = (inciso_up == "ARTIGO") | ((inciso_up == "PARAGRAFO") & para_ok)
-    alinea_ok = (F.col("__p7.parent_idx") == F.col("__p6.idx")) & inciso_ok
-    up = F.col("up.type")
-    kept = (
-        F.when(F.col("type") == "ARTIGO", F.lit(True))
-        .when(F.col("type") == "PARAGRAFO", up == "ARTIGO")
-        .when(F.col("type") == "INCISO", (up == "ARTIGO") | ((up == "PARAGRAFO") & para_ok))
-        .when(F.col("type") == "ALINEA", (up == "INCISO") & inciso_ok)
-        .when(F.col("type") == "ITEM", (up == "ALINEA") & alinea_ok)
-    )
-    top = F.last(F.when(F.col("depth").between(1, 7), F.col("idx")), ignorenulls=True).over(upto)
-    df = df.withColumns({"kept": F.coalesce(kept, F.lit(False)), "target": F.when(F.col("type") == "TEXTO", top)})
-    extra = df.where("target is not null").groupBy("doc_id", F.col("target").alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), "text"))), lambda x: x["text"]), " ").alias("extra"))
-    named = labels(toks, p).select("doc_id", "idx", "label", F.col("body").alias("own"))
-    rows = df.where("kept").select("doc_id", "idx", "type", "parent_idx", "article_idx").join(named, ["doc_id", "idx"]).join(extra, ["doc_id", "idx"], "left")
+    upto, kind = _upto("idx"), F.col("type")
+    df = tree.withColumns({
+        "chapter": F.coalesce(_last(kind == "CAPITULO", _heading(), upto), F.lit("")),
+        "section": F.when(F.col("section_idx").isNotNull(), _last(kind.isin("SECAO", "SUBSECAO"), _heading(), upto)).otherwise(""),
+    })
+    return df.where("type = 'ARTIGO'").select("doc_id", "idx", "number", "label", "chapter", "section", F.col("text").alias("caput"))
+
+
+def articles(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
+    return articles_of(nodes(toks, p))
+
+
+def structure_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, type, parent_idx, article_idx, label, body, ord) of what the law structure keeps in articles, notes and citations too.
+
+    ord counts the kept rows of one type under one parent, from 0.
+    """
+    kept = tree.where(F.col("kept") & F.col("type").isin("ARTIGO", "PARAGRAFO", "INCISO", "ALINEA", "ITEM", "OBSERVACAO", "NOVA_REDACAO", "REFERENCIA_LEGAL"))
     ord_ = F.row_number().over(Window.partitionBy("doc_id", "parent_idx", "type").orderBy("idx")) - 1
-    body = F.when(F.col("type") == "ARTIGO", F.col("own")).otherwise(F.concat_ws(" ", "own", "extra"))
-    return rows.select("doc_id", "idx", "type", "parent_idx", "article_idx", "label", body.alias("body"), ord_.alias("ord"))
+    body = F.when(F.col("type") == "NOVA_REDACAO", F.concat(F.lit("Nova redação: "), "text")).otherwise(F.col("text"))
+    return kept.select("doc_id", "idx", "type", "parent_idx", "article_idx", "label", body.alias("body"), ord_.alias("ord"))
+
+
+def structure(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
+    return structure_of(nodes(toks, p))
+
+
+def full_texts(parts: DataFrame) -> DataFrame:
+    """(doc_id, idx, full_text) of articles: "label caput", a line for each part in document order, then the notes."""
+    kind, label, body = F.col("type"), F.col("label"), F.col("body")
+    note = kind.isin("OBSERVACAO", "NOVA_REDACAO")
+    line = (
+        F.when(kind == "INCISO", F.concat(label, F.lit(" - "), body))
+        .when(kind.isin("ALINEA", "ITEM"), F.concat(label, F.lit(" "), body))
+        .when(note, body)
+        .otherwise(F.trim(F.concat(label, F.lit(" "), body)))
+    )
+    listed = F.array_sort(F.collect_list(F.struct(note.alias("note"), F.col("idx").alias("i"), line.alias("line"))))
+    text = F.array_join(F.transform(listed, lambda x: x["line"]), "\n")
+    return parts.where("type <> 'REFERENCIA_LEGAL'").groupBy("doc_id", F.col("article_idx").alias("idx")).agg(text.alias("full_text"))
+
+
+def chapters_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, chapter_index, label, title): sections before any chapter stand in one without a name (idx -1), which comes first."""
+    real = tree.where("type = 'CAPITULO'").select("doc_id", "idx", "label", "title")
+    implicit = tree.where("type in ('SECAO', 'SUBSECAO') and chapter_idx is null").select("doc_id", F.lit(-1).alias("idx"), F.lit("(sem capítulo)").alias("label"), F.lit("").alias("title")).distinct()
+    return real.unionByName(implicit).withColumn("chapter_index", F.row_number().over(_upto("idx")) - 1)
+
+
+def sections_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, section_index, chapter_idx, label, title, is_subsection), numbered through the document."""
+    found = tree.where("type in ('SECAO', 'SUBSECAO')")
+    return found.select("doc_id", "idx", (F.row_number().over(_upto("idx")) - 1).alias("section_index"), F.coalesce("chapter_idx", F.lit(-1)).alias("chapter_idx"), "label", "title", (F.col("type") == "SUBSECAO").alias("is_subsection"))
+
+
+def paragraphs_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, article_idx, paragraph_index, label, text)."""
+    order = Window.partitionBy("doc_id", "article_idx").orderBy("idx")
+    return tree.where("kept and type = 'PARAGRAFO'").select("doc_id", "idx", "article_idx", (F.row_number().over(order) - 1).alias("paragraph_index"), "label", "text")
+
+
+def incisos_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, article_idx, paragraph_idx, inciso_index, label, text): numbered on across an article and its paragraphs; one of the two parents is null."""
+    order = Window.partitionBy("doc_id", "article_idx").orderBy("idx")
+    found = tree.where("kept and type = 'INCISO'").withColumn("inciso_index", F.row_number().over(order) - 1)
+    of = lambda kind: F.when(F.col("parent_type") == kind, F.col("parent_idx"))
+    return found.select("doc_id", "idx", of("ARTIGO").alias("article_idx"), of("PARAGRAFO").alias("paragraph_idx"), "inciso_index", "label", "text")
+
+
+def alineas_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, inciso_idx, alinea_index, label, text, items): numbered within their inciso, their items as an array."""
+    group = F.when(F.col("type") == "ITEM", F.col("parent_idx")).otherwise(F.col("idx"))
+    own = F.first(F.when(F.col("type") == "ALINEA", F.struct("parent_idx", "number", "text")), ignorenulls=True)
+    items = F.array_sort(F.collect_list(F.when(F.col("type") == "ITEM", F.struct("idx", "number", "text"))))
+    rows = tree.where("kept and type in ('ALINEA', 'ITEM')").groupBy("doc_id", group.alias("node")).agg(own.alias("own"), items.alias("items"))
+    order = Window.partitionBy("doc_id", "own.parent_idx").orderBy("node")
+    return rows.select(
+        "doc_id", F.col("node").alias("idx"), F.col("own.parent_idx").alias("inciso_idx"), (F.row_number().over(order) - 1).alias("alinea_index"), F.col("own.number").alias("label"), "own.text",
+        F.transform("items", lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"))).alias("items"),
+    )
+
+
+def law_documents(tree: DataFrame) -> DataFrame:
+    """(doc_id, law): each document's whole structure as one nested struct: chapters, sections, articles and their parts.
+
+    Level by level, from the items up, a level's rows are folded into their parents' rows by
+    one aggregate over (doc_id, node): children are never joined to their parents.
+    """
+    parent = F.when(F.col("parent_idx") < 0, 0).otherwise(F.col("parent_idx"))
+    text = F.when(F.col("type") == "NOVA_REDACAO", F.concat(F.lit("Nova redação: "), "text")).otherwise(F.col("text"))
+    df = tree.where("kept").select("doc_id", "idx", "type", parent.alias("parent_idx"), "number", "label", "title", text.alias("text"))
 
+    def fold(df: DataFrame, name: str, kinds: tuple[str, ...], shape) -> DataFrame:
+        is_child = F.col("type").isin(*kinds)
+        own = F.first(F.when(~is_child, F.struct(*df.columns[1:])), ignorenulls=True)
+        child = F.array_sort(F.collect_list(F.when(is_child, F.struct(F.col("idx").alias("i"), shape.alias("child")))))
+        grouped = df.groupBy("doc_id", F.when(is_child, F.col("parent_idx")).otherwise(F.col("idx")).alias("n")).agg(own.alias("own"), child.alias("children"))
+        return grouped.where("own is not null").select("doc_id", "own.*", F.transform("children", lambda x: x["child"]).alias(name))
 
-def full_texts(parts: DataFrame, arts: DataFrame) -> DataFrame:
-    """(doc_id, idx, full_text): "label caput", then one line for each kept part of the article, in document order."""
-    line = F.when(F.col("type") == "INCISO", F.concat("label", F.lit(" - "), "body")).otherwise(F.concat("label", F.lit(" "), "body"))
-    inner = parts.where("type <> 'ARTIGO'").groupBy("doc_id", F.col("article_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), line.alias("line")))).alias("l"))
-    own = F.trim(F.concat_ws(" ", "label", "caput"))
-    lines = F.concat(F.array(own), F.coalesce(F.transform("l", lambda x: x["line"]), F.array().cast("array<string>")))
-    return arts.join(inner, ["doc_id", "idx"], "left").select("doc_id", "idx", F.array_join(lines, "\n").alias("full_text"))
+    pair = lambda a, b, *more: F.struct(F.col("number").alias(a), F.col("text").alias(b), *more)
+    df = fold(df, "itens", ("ITEM",), pair("numero", "texto"))
+    df = fold(df, "alineas", ("ALINEA",), pair("letra", "texto", "itens"))
+    df = fold(df, "incisos", ("INCISO",), pair("numero", "texto", "alineas"))
+    df = fold(df, "paragrafos", ("PARAGRAFO",), F.struct(F.col("label").alias("rotulo"), F.col("text").alias("texto"), "incisos"))
+    df = fold(df, "observacoes", ("OBSERVACAO", "NOVA_REDACAO"), F.col("text"))
+    df = fold(df, "referencias", ("REFERENCIA_LEGAL",), F.col("text"))
+    df = fold(df, "artigos", ("ARTIGO",), F.struct(F.col("number").alias("numero"), F.col("label").alias("rotulo"), F.col("text").alias("caput"), "paragrafos", "incisos", "observacoes", "referencias"))
+    section = lambda *more: F.struct(F.col("label").alias("rotulo"), F.col("title").alias("titulo"), (F.col("type") == "SUBSECAO").alias("subsecao"), "artigos", *more)
+    df = fold(df, "subsecoes", ("SUBSECAO",), section())
+    df = fold(df, "secoes", ("SECAO",), section("subsecoes"))
+    # A subsection right under a chapter or the document counts as one of its sections.
+    bare = F.transform("subsecoes", lambda s: F.struct(s["rotulo"].alias("rotulo"), s["titulo"].alias("titulo"), s["subsecao"].alias("subsecao"), s["artigos"].alias("artigos"), F.slice("subsecoes", 1, 0).alias("subsecoes")))
+    df = df.withColumn("secoes", F.concat(bare, "secoes"))
+    chapter = lambda label, title, sections, arts: F.struct(label.alias("rotulo"), title.alias("titulo"), sections.alias("secoes"), arts.alias("artigos"))
+    df = fold(df, "capitulos", ("CAPITULO",), chapter(F.col("label"), F.col("title"), F.col("secoes"), F.col("artigos")))
+    implicit = F.array(chapter(F.lit(""), F.lit(""), F.col("secoes"), F.slice("artigos", 1, 0)))
+    every = F.concat(F.when(F.size("secoes") > 0, implicit).otherwise(F.slice("capitulos", 1, 0)), "capitulos")
+    return df.where("type = 'DOCUMENT'").select("doc_id", F.struct(F.col("text").alias("titulo"), every.alias("capitulos"), F.col("artigos").alias("artigos")).alias("law"))

@@ -1,72 +1,148 @@
-"""Retrieval for many questions at once: vector top-k, metadata re-rank, reference candidates and their match to names, rerank."""
+"""Retrieval for many questions at once: vector top-k, metadata re-rank, cross references and their chunks, rerank."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.config import Patterns
+from lexmill.config import Patterns, Retrieval
+from lexmill.functions.text import fold
 
-#: Questions travel to all executors in blocks of at most so many (4096 vectors of 1536 floats: 25 MB).
-QUESTION_BLOCK = 4_096
+#: Questions in a block, and floats of vectors in a block (4 MB): what a task compares at a time.
+QUESTION_BLOCK, VECTOR_FLOATS = 512, 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
 
 
+def _blocks(df: DataFrame, key: str, n: int, *columns: str) -> DataFrame:
+    """Rows dealt by hash into n blocks: (block, one array for each column)."""
+    dealt = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return dealt.select("block", *(F.col(f"rows.{c}").alias(c) for c in columns))
+
+
+def _block_top_k(k: int, per_document: bool):
+    """The k best of a block of vectors for each question of a block, of all or of each document."""
+    names = ["question_id", "chunk_id", "document_id", "distance"]
+
+    def best(distance, rows, ids, chunk, document):
+        # Everything nearer than the k-th, and of those as near as it the smaller chunks.
+        rounded = np.round(distance[:, rows], 9)
+        n = min(k, len(rows))
+        worst = np.partition(rounded, n - 1, axis=1)[:, n - 1 : n]
+        q, v = np.nonzero(rounded <= worst)
+        order = np.lexsort((chunk[rows[v]], rounded[q, v], q))
+        q, v = q[order], v[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, v = q[keep], rows[v[keep]]
+        finite = np.isfinite(distance[q, v])
+        q, v = q[finite], v[finite]
+        return ids[q], chunk[v], document[v], distance[q, v]
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, vector, excluded, chunk, document, vectors = (batch.column(c)[row].values for c in range(6))
+                q = _unit(vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
+                x = _unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunk), -1))
+                ids, chunk, document = (c.to_numpy(zero_copy_only=False) for c in (ids, chunk, document))
+                distance = 1.0 - q @ x.T
+                for n, out in enumerate(excluded.to_pylist()):
+                    if out:
+                        distance[n, np.isin(document, out)] = np.inf
+                groups = [np.flatnonzero(document == d) for d in np.unique(document)] if per_document else [np.arange(len(chunk))]
+                for own in groups:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(distance, own, ids, chunk, document)], names=names)
+
+    return run
+
+
 def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int, per_document: bool = False) -> DataFrame:
-    """(question_id, chunk_id, distance, rank): the k nearest by cosine distance, of all or of each document.
+    """(question_id, chunk_id, document_id, distance, rank): the k nearest by cosine distance, of all or of each document.
 
-    questions (question_id, vector) are a stated set; vectors (chunk_id, document_id,
-    vector) are read once for each block of questions. A batch of vectors meets the block
-    as one matrix product and hands on only its own k best a question, so what is shuffled
-    is k rows for each batch and question. Ties go to the smaller chunk_id.
+    questions (question_id, vector, and excluded: array of document ids, if some may not
+    answer) are a stated set; vectors (chunk_id, document_id, vector). Both are dealt into
+    blocks on Spark, the question blocks travel to every block of vectors, and a meeting of
+    two is one matrix product that hands on k rows a question. Nothing passes the driver
+    but two counts. Ties go to the smaller chunk_id; an empty vector gets no rows.
     """
-    spark = questions.sparkSession
     usable = questions.where("vector is not null and size(vector) > 0")
-    blocks = max(1, -(-usable.count() // (QUESTION_BLOCK // 2)))  # a hash deals unevenly; half leaves room
-    numbered = usable.withColumn("__b", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
-    schema = "question_id long, chunk_id long, document_id long, distance double"
-    found = None
-    for b in range(blocks):
-        pdf = numbered.where(F.col("__b") == b).select("question_id", "vector").toPandas()
-        shared = spark.sparkContext.broadcast((pdf["question_id"].to_numpy(), _unit(np.array(pdf["vector"].tolist(), dtype=np.float64)) if len(pdf) else None))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for v in batches:
-                if q is None or not len(v):
-                    continue
-                distance = 1.0 - q @ _unit(np.array(v["vector"].tolist(), dtype=np.float64)).T
-                chunk, document = v["chunk_id"].to_numpy(), v["document_id"].to_numpy()
-                groups = [np.flatnonzero(document == d) for d in np.unique(document)] if per_document else [np.arange(len(v))]
-                for own in groups:
-                    order = np.lexsort((np.broadcast_to(chunk[own], (len(q), len(own))), np.round(distance[:, own], 9)), axis=1)[:, :k]
-                    pick = own[order]
-                    yield pd.DataFrame({"question_id": np.repeat(ids, order.shape[1]), "chunk_id": chunk[pick].ravel(), "document_id": document[pick].ravel(), "distance": np.take_along_axis(distance, pick, axis=1).ravel()})
-
-        part = vectors.where("vector is not null").select("chunk_id", "document_id", "vector").mapInPandas(run, schema)
-        found = part if found is None else found.unionByName(part)
+    if "excluded" not in usable.columns:
+        usable = usable.withColumn("excluded", F.array().cast("array<bigint>"))
+    known = vectors.where("vector is not null").select("chunk_id", F.col("document_id").cast("long").alias("document_id"), "vector")
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    n_vectors = max(1, -(-(size["n"] * (size["d"] or 1)) // VECTOR_FLOATS))
+    n_questions = max(1, -(-usable.count() // QUESTION_BLOCK))
+    left = _blocks(usable, "question_id", n_questions, "question_id", "vector", "excluded").select(F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1))).alias("block"), "question_id", F.col("vector").alias("q"), "excluded")
+    right = _blocks(known, "document_id" if per_document else "chunk_id", n_vectors, "chunk_id", "document_id", "vector")
+    met = left.join(right, "block").select("question_id", "q", "excluded", "chunk_id", "document_id", "vector")
+    found = met.mapInArrow(_block_top_k(k, per_document), "question_id long, chunk_id long, document_id long, distance double")
     by = ["question_id", "document_id"] if per_document else ["question_id"]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("distance", 9), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def metadata_rerank(candidates: DataFrame, k: int) -> DataFrame:
+# What is said of how a chunk was found.
+VECTOR_REASON = "Similaridade vetorial (distância cosseno = %.4f)"
+METADATA_REASON, CATEGORY_PART, TERMS_PART = "Metadados combinam com a consulta (", 'categoria "', "termos: "
+REFERENCE_REASON = 'Referência cruzada — citada em "'
+RERANK_REASON, RERANK_OFF = "Reranking: relevância %.1f/10 para a pergunta", " (reranking desativado — ordem anterior mantida)"
+
+
+def vector_reason(distance: Column) -> Column:
+    return F.format_string(VECTOR_REASON, F.round(distance, 6))
+
+
+def with_attributes(found: DataFrame, chunks: DataFrame, documents: DataFrame, articles: DataFrame) -> DataFrame:
+    """Retrieved rows (question_id, chunk_id, document_id, distance, rank) with what is said of their chunk, document and article, stage and reason.
+
+    chunks (chunk_id, content, article_id, chapter_label, section_label, enrichment),
+    documents (document_id, document_name, document_created_at), articles (article_id, article_label).
+    """
+    df = found.join(chunks.drop("document_id"), "chunk_id").join(documents, "document_id").join(articles.select("article_id", "article_label"), "article_id", "left")
+    return df.withColumns({"stage": F.lit("VECTOR"), "reason": vector_reason(F.col("distance")), "rerank_score": F.lit(None).cast("double")})
+
+
+def vector_search(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, articles: DataFrame, k: int = Retrieval().vector_k) -> DataFrame:
+    """The k nearest indexed chunks of each question, with attributes; a question's excluded documents take no part.
+
+    The attributes are joined to k rows a question, after the search.
+    """
+    indexed = embeddings.where("indexed and vector is not null")
+    return with_attributes(vector_top_k(questions, indexed, k), chunks, documents, articles)
+
+
+def haystack(document: Column, article: Column, chapter: Column, section: Column, enrichment: Column) -> Column:
+    """What a chunk says of itself, joined by " | " and folded; enrichment has tema, subtema, categoria, palavras_chave, assuntos."""
+    listed = lambda c: F.coalesce(F.array_join(enrichment[c], " "), F.lit(""))
+    parts = [document, article, chapter, section, enrichment["tema"], enrichment["subtema"], enrichment["categoria"], listed("palavras_chave"), listed("assuntos")]
+    return fold(F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in parts)))
+
+
+def metadata_rerank(candidates: DataFrame, k: int = Retrieval().metadata_k) -> DataFrame:
     """Re-rank candidates (question_id, rank, distance, haystack, terms, category; texts folded) by matches in the haystack.
 
     Terms of three characters and more count each time they are listed; the category counts
-    once. Order: matches, distance (null as 1), prior rank; the first k stay.
+    once. Order: matches, distance (null as 1), prior rank; the first k stay. With a column
+    reason, it says what matched (category_name is the category as written).
     """
     hay = F.col("haystack")
     matched = F.filter("terms", lambda t: (F.length(t) >= 3) & F.contains(hay, t))
-    score = F.size(matched) + F.contains(hay, F.col("category")).cast("int")
+    df = candidates.withColumns({"matched": matched, "category_match": F.contains(hay, F.col("category"))})
+    df = df.withColumn("matches", F.size("matched") + F.col("category_match").cast("int"))
+    if "reason" in df.columns:
+        said = F.concat_ws(
+            "; ",
+            F.when(F.col("category_match"), F.concat(F.lit(CATEGORY_PART), "category_name", F.lit('"'))),
+            F.when(F.size("matched") > 0, F.concat(F.lit(TERMS_PART), F.array_join("matched", ", "))),
+        )
+        df = df.withColumns({"stage": F.lit("METADATA"), "reason": F.when(F.col("matches") > 0, F.concat(F.lit(METADATA_REASON), said, F.lit(")"))).otherwise(F.col("reason"))})
     order = Window.partitionBy("question_id").orderBy(F.desc("matches"), F.coalesce("distance", F.lit(1.0)), "rank")
-    return candidates.withColumns({"matched": matched, "matches": score}).withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
+    return df.drop("category_match").withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
 
 
 def reference_candidates(listed: Column, content: Column, p: Patterns = Patterns()) -> Column:
@@ -76,42 +152,134 @@ def reference_candidates(listed: Column, content: Column, p: Patterns = Patterns
     return F.array_distinct(F.concat(own, cited))
 
 
+def _numbers(c: Column) -> Column:
+    found = F.regexp_extract_all(c, F.lit(r"(\d[\d.]*\d|\d+)"), 1)
+    return F.array_distinct(F.filter(F.transform(found, lambda n: F.replace(n, F.lit("."), F.lit(""))), lambda n: F.length(n) >= 4))
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
+
+
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: i + n - 1 <= F.length(c)), lambda i: F.substr(c, i, F.lit(n))))
+
+
+def contained(shorter: DataFrame, longer: DataFrame, inner: str, outer: str, size: int = 4) -> DataFrame:
+    """Distinct rows (inner, outer) where the outer text holds the inner one (both not empty).
+
+    Joined on the inner text's gram that fewest outer texts hold: a text cannot hold the
+    other without it. So a start that most texts share is never the key of a join.
+    """
+    a = shorter.select(F.col(inner).alias("inner")).where("inner <> ''").distinct()
+    b = longer.select(F.col(outer).alias("outer")).where("outer <> ''").distinct()
+    found = None
+    for n in range(1, size + 1):  # texts shorter than a gram are grams themselves
+        own = a.where(F.length("inner") >= size if n == size else F.length("inner") == n)
+        held = b.select("outer", F.explode(_grams(F.col("outer"), n)).alias("gram"))
+        if n < size:
+            held = held.join(own.select(F.col("inner").alias("gram")).distinct(), "gram", "left_semi")
+        counts = held.groupBy("gram").agg(F.count("*").alias("holders"))
+        keys = own.select("inner", F.explode(_grams(F.col("inner"), n)).alias("gram")).join(counts, "gram", "left").groupBy("inner")
+        # A gram that no outer text holds settles it: the text is in none.
+        rarest = keys.agg(F.min_by("gram", F.struct(F.coalesce("holders", F.lit(0)), "gram")).alias("gram"))
+        part = rarest.join(held, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct().select(F.col("inner").alias(inner), F.col("outer").alias(outer))
+
+
 def match_references(references: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (reference, document_id) of references and document names (folded texts `ref`, `name`) that match.
 
     They match if one contains the other, if they share a number of four digits or more
     (dots left out), or if at least 40 % of the name's words of four letters and more occur
-    in the reference. All three are equi-joins: on numbers, on words, and for containment on
-    the first four characters of the shorter text, which the longer one holds somewhere.
+    in the reference. All three are equi-joins on rare keys: numbers; the rarest gram of
+    the contained text; and as many of the name's rarest words as must hold one of the
+    shared ones, after which the whole lists are compared.
     """
     refs = references.select("ref").where("ref <> ''").distinct()
     docs = names.select("document_id", "name").where("name <> ''").distinct()
-    numbers = lambda c: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(\d[\d.]*\d|\d+)"), 1), lambda n: F.replace(n, F.lit("."), F.lit(""))), lambda n: F.length(n) >= 4))
-    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
-    rn = refs.select("ref", F.explode(numbers(F.col("ref"))).alias("n"))
-    dn = docs.select("document_id", F.explode(numbers(F.col("name"))).alias("n"))
-    by_number = rn.join(dn, "n").select("ref", "document_id")
-    rw = refs.select("ref", F.explode(F.array_distinct(words(F.col("ref")))).alias("w"))
-    dw = docs.select("document_id", "name", F.size(words(F.col("name"))).alias("total"), F.explode(words(F.col("name"))).alias("w"))
-    by_word = rw.join(dw, "w").groupBy("ref", "document_id", "name", "total").agg(F.count("*").alias("shared")).where("shared * 10 >= total * 4").select("ref", "document_id")
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(1, 5))), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: i + n - 1 <= F.length(c)), lambda i: F.substr(c, i, n)))))
-    start = lambda c: F.substring(c, 1, 4)
-    held = refs.select("ref", F.explode(grams(F.col("ref"))).alias("g")).join(docs.withColumn("g", start(F.col("name"))), "g").where(F.contains("ref", "name"))
-    holds = docs.select("document_id", "name", F.explode(grams(F.col("name"))).alias("g")).join(refs.withColumn("g", start(F.col("ref"))), "g").where(F.contains("name", "ref"))
-    inside = held.select("ref", "document_id").unionByName(holds.select("ref", "document_id"))
-    return by_number.unionByName(by_word).unionByName(inside).distinct()
-
-
-def rerank(candidates: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    texts = docs.select("name").distinct()
+    rn = refs.select("ref", F.explode(_numbers(F.col("ref"))).alias("n"))
+    by_number = rn.join(texts.select("name", F.explode(_numbers(F.col("name"))).alias("n")), "n").select("ref", "name")
+
+    rw = refs.select("ref", F.explode(F.array_distinct(_words(F.col("ref")))).alias("w"))
+    held = rw.groupBy("w").agg(F.count("*").alias("held"))
+    dw = texts.select("name", F.posexplode(_words(F.col("name"))).alias("p", "w")).join(held, "w", "left")
+    total = F.count("*").over(Window.partitionBy("name"))
+    rare = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("held", F.lit(0)), "w", "p"))
+    # Of t words at least ceil(0.4 t) must be shared, so one of any t - ceil(0.4 t) + 1 is.
+    keys = dw.withColumns({"total": total, "rare": rare}).where(F.col("rare") <= F.col("total") - F.ceil(F.col("total") * 4 / 10 - 1e-9) + 1)
+    pairs = keys.where("held is not null").select("name", "w").distinct().join(rw, "w").select("ref", "name").distinct()
+    mine, theirs = _words(F.col("name")), F.array_distinct(_words(F.col("ref")))
+    by_word = pairs.where(F.size(F.filter(mine, lambda w: F.array_contains(theirs, w))) * 10 >= F.size(mine) * 4)
+
+    inside = contained(texts, refs, "name", "ref").select("ref", "name").unionByName(contained(refs, texts, "ref", "name").select("ref", "name"))
+    return by_number.unionByName(by_word).unionByName(inside).distinct().join(docs, "name").select("ref", "document_id").distinct()
+
+
+def cross_references(candidates: DataFrame, documents: DataFrame) -> DataFrame:
+    """(question_id, reference, document_id, document_name, ord, pos, origin_document, origin_article): documents that the candidates name but do not hold.
+
+    candidates (question_id, ord, document_id, document_name, article_label, refs: array),
+    documents (document_id, document_name). Documents of the candidate set are left out; of
+    a document and reference the first stays, in the order of chunk and candidate.
+    """
+    named = candidates.select("question_id", "ord", "document_name", "article_label", F.posexplode("refs").alias("pos", "reference")).withColumn("ref", fold("reference"))
+    folded = documents.select("document_id", fold("document_name").alias("name"))
+    pairs = match_references(named.select("ref"), folded)
+    origin = F.struct("ord", "pos", F.col("document_name").alias("origin_document"), F.col("article_label").alias("origin_article"))
+    met = named.join(pairs, "ref").groupBy("question_id", "document_id", "reference").agg(F.min(origin).alias("o"))
+    absent = met.join(candidates.select("question_id", "document_id").distinct(), ["question_id", "document_id"], "left_anti")
+    return absent.join(documents, "document_id").select("question_id", "reference", "document_id", "document_name", "o.*")
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def cross_reference_chunks(matches: DataFrame, questions: DataFrame, vectors: DataFrame, n: int = Retrieval().per_document) -> DataFrame:
+    """(question_id, document_id, chunk_id, distance, rank, reason): the n nearest chunks of each document that a question's candidates name.
+
+    Only the documents named are searched, by an equi-join on them. The reason is the
+    document's first match; rank runs over the question, documents in the order of theirs.
+    """
+    first = matches.groupBy("question_id", "document_id").agg(F.min(F.struct("ord", "pos", "document_id", "reference", "origin_document", "origin_article")).alias("m"))
+    asked = first.join(questions.where("vector is not null and size(vector) > 0").select("question_id", F.col("vector").alias("q")), "question_id")
+    near = asked.join(vectors.where("vector is not null").select("document_id", "chunk_id", "vector"), "document_id").withColumn("distance", cosine_distance(F.col("q"), F.col("vector")))
+    nth = F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy(F.round("distance", 9), "chunk_id"))
+    best = near.drop("q", "vector").withColumn("nth", nth).where(F.col("nth") <= n)
+    article = F.when(F.coalesce("m.origin_article", F.lit("")) != "", F.concat(F.lit(" ("), "m.origin_article", F.lit(")"))).otherwise("")
+    reason = F.concat(F.lit(REFERENCE_REASON), "m.origin_document", F.lit('"'), article, F.lit(': "'), "m.reference", F.lit('"'))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("m.ord", "m.pos", "document_id", "nth")) - 1
+    return best.select("question_id", "document_id", "chunk_id", "distance", rank.alias("rank"), F.lit("REFERENCE").alias("stage"), reason.alias("reason"))
+
+
+def rerank(candidates: DataFrame, scores: DataFrame | None, k: int = Retrieval().final_k, enabled: bool = True) -> DataFrame:
     """Order candidates (question_id, rank from 0) by scores (question_id, raw json), stable, and keep k.
 
-    The json is {"scores": [{"index", "score"}]}; what is no number or out of range is
-    ignored, a score is clamped to 0..10, of a repeated index the last counts, a missing
-    one is 0, and so are all of a json that cannot be read.
+    The json is {"scores": [{"index", "score"}]}; an entry counts if both are numbers and
+    the index is a whole one of a candidate; a score is clamped to 0..10, of a repeated
+    index the last counts, a missing one is 0, and so are all of a json that cannot be
+    read. Not enabled: the first k in their prior order, without a score. With a column
+    reason, it says so.
     """
-    parsed = scores.select("question_id", F.posexplode(F.from_json("raw", "struct<scores: array<struct<index: double, score: double>>>")["scores"]).alias("pos", "s"))
-    valid = parsed.where("s.index is not null and s.score is not null and s.index = floor(s.index)").select("question_id", F.col("s.index").cast("int").alias("rank"), "pos", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("s.score"))).alias("score"))
-    last = valid.groupBy("question_id", "rank").agg(F.max_by("score", "pos").alias("score"))
-    joined = candidates.join(last, ["question_id", "rank"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "rank")
-    return joined.withColumn("final_rank", F.row_number().over(order) - 1).where(F.col("final_rank") < k)
+    order = Window.partitionBy("question_id")
+    if not enabled:
+        df = candidates.withColumns({"score": F.lit(None).cast("double"), "final_rank": F.row_number().over(order.orderBy("rank")) - 1}).where(F.col("final_rank") < k)
+        return df.withColumns({"stage": F.lit("RERANK"), "reason": F.concat("reason", F.lit(RERANK_OFF))}) if "reason" in df.columns else df
+    entries = F.try_variant_get(F.try_parse_json("raw"), "$.scores", "array<variant>")
+    parsed = scores.select("question_id", F.posexplode(entries).alias("pos", "e"))
+    number = lambda c: F.when(_is_number(F.try_variant_get("e", f"$.{c}", "variant")), F.try_variant_get("e", f"$.{c}", "double"))
+    valid = parsed.select("question_id", "pos", number("index").alias("i"), number("score").alias("s")).where("i is not null and s is not null and i = floor(i) and abs(i) < 1e9")
+    last = valid.groupBy("question_id", F.col("i").cast("int").alias("rank")).agg(F.max_by("s", "pos").alias("s"))
+    last = last.select("question_id", "rank", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("s"))).alias("score"))
+    df = candidates.join(last, ["question_id", "rank"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    df = df.withColumn("final_rank", F.row_number().over(order.orderBy(F.desc("score"), "rank")) - 1).where(F.col("final_rank") < k)
+    return df.withColumns({"stage": F.lit("RERANK"), "reason": F.format_string(RERANK_REASON, "score")}) if "reason" in df.columns else df
+
+
+def _is_number(v: Column) -> Column:
+    """Whether a JSON value is a number."""
+    return F.coalesce(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)"), F.lit(False))

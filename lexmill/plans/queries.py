@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.config import SPACE, Patterns
 from lexmill.functions import text as T
-from lexmill.operators import answers, chunking, history, index, lexer, search
+from lexmill.operators import chunking, history, index, lexer, search
 from lexmill.sources import documents as sources
 
 P = Patterns()
@@ -23,6 +23,8 @@ ORACLES: dict[str, str] = {}
 
 
 def register(sql: str | None = None):
+    """Registers a query with its SQL; without one, tests hold it against a plain version."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -131,19 +133,6 @@ def c7_parents(spark, d):
     return lexer.with_parents(law_tokens(spark, d)).where("depth is not null").select("doc_id", "idx", "type", "parent_idx")
 
 
-@register(f"WITH {_PARENTS} SELECT c.type AS type, coalesce(p.type, 'ROOT') AS parent_type, count(*) AS n FROM par c LEFT JOIN par p ON c.doc_id = p.doc_id AND c.parent_idx = p.idx WHERE c.depth IS NOT NULL GROUP BY ALL")
-def c10_nodes_by_parent(spark, d):
-    from pyspark.sql.window import Window
-
-    df = lexer.with_parents(law_tokens(spark, d))
-    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    # The parent's type comes along with its index; the tree is never joined to itself.
-    for k in range(1, 8):
-        df = df.withColumn(f"__p{k}", F.last(F.when(F.col("depth") == k, F.struct("idx", "type")), ignorenulls=True).over(before))
-    found = F.filter(F.array(*(F.col(f"__p{k}") for k in range(1, 8))), lambda x: x.isNotNull() & (x["idx"] == F.col("parent_idx")))
-    return df.where("depth is not null").groupBy("type", F.coalesce(F.get(found, F.lit(0))["type"], F.lit("ROOT")).alias("parent_type")).agg(F.count("*").alias("n"))
-
-
 @register(f"""WITH {_TOKENS},
 lab AS (SELECT *, CASE WHEN type IN ('SECAO','SUBSECAO','CAPITULO') THEN regexp_extract(text, '(?i)' || CASE type WHEN 'CAPITULO' THEN '{P.chapter}' WHEN 'SECAO' THEN '{P.section}' ELSE '{P.subsection}' END, 1)
   WHEN type = 'ARTIGO' THEN regexp_extract(text, '{P.article}', 1) END AS number,
@@ -163,44 +152,9 @@ def c13_articles(spark, d):
     return lexer.articles(law_tokens(spark, d))
 
 
-def _law_units(spark, d) -> DataFrame:
-    """Articles as chunks' input: the lines that follow an article line are its units."""
-    from pyspark.sql.window import Window
-
-    main = lexer.main_tokens(lexer.lines(as_law(table(spark, d, "documents"))))
-    upto = Window.partitionBy("doc_id").orderBy("line_no")
-    df = main.withColumn("ar", F.last(F.when(F.col("type") == "ARTIGO", F.col("line_no")), ignorenulls=True).over(upto)).where("ar is not null and type not in ('CAPITULO', 'SECAO', 'SUBSECAO')")
-    units = df.groupBy("doc_id", F.col("ar").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("units"))
-    none = F.lit("")
-    return units.select("doc_id", "idx", F.concat(F.lit("Lei "), "doc_id").alias("title"), none.alias("chapter"), none.alias("section"), F.concat(F.lit("Linha "), "idx").alias("label"), "units")
-
-
 _TOKEN_COUNT = r"len(regexp_extract_all({}, '\p{{L}}+|\p{{N}}+|[^\s\p{{L}}\p{{N}}]'))"
 
 
-@register(f"""WITH RECURSIVE {_TOKENS},
-ar AS (SELECT *, last_value(CASE WHEN type = 'ARTIGO' THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS idx FROM main),
-un AS (SELECT doc_id, idx, list(line ORDER BY line_no) AS u FROM ar WHERE idx IS NOT NULL AND type NOT IN ('CAPITULO', 'SECAO', 'SUBSECAO') GROUP BY ALL),
-hd AS (SELECT *, 'Lei ' || doc_id || ' > Linha ' || idx AS head FROM un),
-bu AS (SELECT *, greatest(32, 64 - 8 - {_TOKEN_COUNT.format('head')}) AS budget, list_transform(u, lambda x: {_TOKEN_COUNT.format('x')}) AS t FROM hd),
-fold(doc_id, idx, k, part, now, total) AS (SELECT doc_id, idx, 0, 1, []::INT[], 0::BIGINT FROM bu
-  UNION ALL SELECT f.doc_id, f.idx, f.k + 1, f.part + CASE WHEN len(f.now) > 0 AND f.total + b.t[f.k + 1] > b.budget THEN 1 ELSE 0 END,
-    list_append(CASE WHEN len(f.now) > 0 AND f.total + b.t[f.k + 1] > b.budget THEN f.now[-1:] ELSE f.now END, f.k + 1),
-    CASE WHEN len(f.now) > 0 AND f.total + b.t[f.k + 1] > b.budget THEN b.t[f.now[-1]] ELSE f.total END + b.t[f.k + 1]
-  FROM fold f JOIN bu b USING (doc_id, idx) WHERE f.k < len(b.u)),
-pa AS (SELECT doc_id, idx, part, arg_max(now, k) AS members FROM fold WHERE k > 0 GROUP BY doc_id, idx, part),
-pt AS (SELECT *, max(part) OVER (PARTITION BY doc_id, idx) AS total_parts FROM pa),
-ct AS (SELECT doc_id, idx, part, total_parts, head || CASE WHEN total_parts > 1 THEN chr(10) || '[Parte ' || part || '/' || total_parts || ']' ELSE '' END || chr(10) || chr(10) || array_to_string(list_transform(members, lambda i: u[i]), chr(10)) AS content FROM pt JOIN bu USING (doc_id, idx))
-SELECT doc_id, idx, part, total_parts, sha256(content) AS content_hash, {_TOKEN_COUNT.format('content')} AS token_count, length(content) AS char_count, row_number() OVER (PARTITION BY doc_id ORDER BY idx, part) - 1 AS chunk_index FROM ct""")
-def d3_chunks(spark, d):
-    from lexmill.config import Chunking
-
-    done = chunking.chunks(_law_units(spark, d), Chunking(max_tokens=64))
-    return done.select("doc_id", "idx", "part", "total_parts", F.sha2("content", 256).alias("content_hash"), "token_count", "char_count", "chunk_index")
-
-# Sources
-
-
 def _files(spark, d) -> DataFrame:
     """Documents as uploads: the name's ending, media type and kind of content follow from doc_id."""
     k = F.pmod("doc_id", F.lit(7))
@@ -208,56 +162,10 @@ def _files(spark, d) -> DataFrame:
     pasted = k == 6
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("document_id"), F.when(~pasted, F.concat(F.lit("lei "), "doc_id", ending)).alias("name"), F.when(k == 5, "application/pdf").alias("mime"),
-        F.when(k.isin(3, 4), F.encode("text", "UTF-8")).alias("content"), F.when(k < 3, F.col("n_chars")).alias("size_bytes"), F.when(pasted, F.col("text")).alias("pasted"),
+        F.when(k.isin(2, 3, 4), F.encode("text", "UTF-8")).alias("content"), F.when(k < 2, F.col("n_chars")).alias("size_bytes"), F.when(pasted, F.col("text")).alias("pasted"),
     )
 
 
-@register("""SELECT doc_id AS document_id, CASE WHEN doc_id % 7 = 6 THEN '' ELSE 'lei ' || doc_id || (['.pdf','.DOCX','.htm','.md','.txt','.bin'])[doc_id % 7 + 1] END AS name,
-  (['PDF','DOCX','HTML','MARKDOWN','TXT','PDF','PASTED'])[doc_id % 7 + 1] AS type,
-  CASE WHEN doc_id % 7 < 3 THEN n_chars WHEN doc_id % 7 IN (3, 4) THEN strlen(text) WHEN doc_id % 7 = 6 THEN length(text) ELSE 0 END AS size_bytes, 'UPLOADED' AS status,
-  CASE WHEN doc_id % 7 IN (3, 4, 6) THEN sha256(text) END AS text_hash FROM documents""")
-def a1_register_documents(spark, d):
-    done = sources.register(_files(spark, d))
-    return done.select("document_id", "name", "type", "size_bytes", "status", F.sha2("text", 256).alias("text_hash"))
-
-
-def _html_sql() -> str:
-    out = "html"
-    for pattern, new in sources.HTML_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')".replace("\n'", "\n'") if new != "\n" else f"regexp_replace({out}, '{pattern}', chr(10), 'g')"
-    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
-
-
-@register(f"SELECT page_id, {_html_sql()} AS text FROM pages")
-def a4_html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", sources.html_to_text(F.col("html")).alias("text"))
-
-
-def _parts(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select(F.floor(F.col("page_id") / 5).alias("document_id"), F.pmod("page_id", F.lit(5)).alias("page"), F.col("url").alias("text"))
-
-
-@register("""SELECT page_id // 5 AS document_id, page_id % 5 AS page, coalesce(sum(length(url) + 2) OVER (PARTITION BY page_id // 5 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-  coalesce(sum(length(url) + 2) OVER (PARTITION BY page_id // 5 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(url) AS "end" FROM pages""")
-def a5_page_offsets(spark, d):
-    return sources.assemble_pages(_parts(spark, d))[1]
-
-
-@register("SELECT page_id // 5 AS document_id, string_agg(url, chr(10) || chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1")
-def a5_assembled_text(spark, d):
-    return sources.assemble_pages(_parts(spark, d))[0]
-
-
-@register("""SELECT page_id // 5 AS document_id, page_id % 5 AS page, max(page_id % 5) OVER (PARTITION BY page_id // 5) > 3 AS truncated, length(trim(url)) < 20 AS scanned FROM pages QUALIFY page_id % 5 <= 3""")
-def a6_page_limits(spark, d):
-    return sources.limit_pages(_parts(spark, d), 3).select("document_id", "page", "truncated", "scanned")
-
-
-@register("SELECT page_id, regexp_replace(regexp_replace(url, '\\.[^.]+$', ''), '[^A-Za-z0-9_]+', '_', 'g') || '_chunks.json' AS name FROM pages")
-def a7_export_names(spark, d):
-    return table(spark, d, "pages").select("page_id", sources.export_name(F.col("url"), "_chunks.json").alias("name"))
-
-
 # Cleaning and text
 
 
@@ -322,15 +230,6 @@ def b7_cost(spark, d):
 # Figures and pages
 
 
-@register("""WITH p AS (SELECT page_id // 5 AS doc, page_id % 5 AS page, coalesce(sum(length(url) + 2) OVER (PARTITION BY page_id // 5 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pages),
-  q AS (SELECT page_id // 5 AS doc, page_id AS point_id, (page_id % 5) * 40 + page_id % 7 AS "offset" FROM pages)
-  SELECT q.doc AS document_id, q.point_id::VARCHAR AS point_id, q."offset", p.page FROM q ASOF LEFT JOIN p ON q.doc = p.doc AND q."offset" >= p.start""")
-def d7_offsets_to_pages(spark, d):
-    offsets = sources.assemble_pages(_parts(spark, d))[1].withColumn("page", F.col("page").cast("int"))
-    points = table(spark, d, "pages").select(F.floor(F.col("page_id") / 5).alias("document_id"), F.col("page_id").alias("point_id"), (F.col("page_id") % 5 * 40 + F.col("page_id") % 7).alias("offset"))
-    return chunking.offsets_to_pages(points, offsets)
-
-
 @register("""WITH a AS (SELECT page_id // 5 AS d, page_id AS article_id, page_id % 5 AS i, CASE WHEN page_id % 3 > 0 THEN page_id % 4 END AS page FROM pages), f AS (SELECT page_id // 5 AS document_id, page_id AS figure_id, page_id % 5 AS page FROM pages)
   SELECT document_id, figure_id, f.page, arg_max(article_id, i) AS article_id FROM f LEFT JOIN a ON a.d = f.document_id AND a.page <= f.page GROUP BY ALL""")
 def d8_figures_to_articles(spark, d):
@@ -357,20 +256,6 @@ def e1_pending_enrichment(spark, d):
     return index.pending_enrichment(chunks, made, "m1").withColumnRenamed("chunk_id", "doc_id")
 
 
-@register("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS tema, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE '' END AS resumo, CASE WHEN event_id % 4 = 2 THEN 'a|b' WHEN event_id % 4 = 3 THEN '' ELSE '' END AS assuntos FROM events""")
-def e4_parse_enrichment(spark, d):
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, "{not json").when(k == 1, F.concat(F.lit('{"tema": "'), "event_type", F.lit('", "resumo": "x", "assuntos": "no list"}'))).when(k == 2, F.concat(F.lit('{"tema": "'), "event_type", F.lit('", "resumo": 5, "assuntos": ["a", 1, "b", null]}'))).otherwise(F.concat(F.lit('{"tema": "'), "event_type", F.lit('", "other": {}}')))
-    parsed = table(spark, d, "events").select("event_id", index.parse_enrichment(raw, ("tema", "resumo"), ("assuntos",)).alias("e"))
-    return parsed.select("event_id", "e.tema", "e.resumo", F.array_join("e.assuntos", "|").alias("assuntos"))
-
-
-@register("""SELECT doc_id, 'new' AS hash FROM labels UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
-def e8_upsert(spark, d):
-    old = table(spark, d, "documents").select("doc_id", F.lit("old").alias("hash"))
-    return index.upsert(old, table(spark, d, "labels").select("doc_id", F.lit("new").alias("hash")), ["doc_id"])
-
-
 @register("""WITH s AS (SELECT event_id, event_id % 10 AS st, user_id % 9 AS sp FROM events) SELECT event_id, st >= sp AS eligible, (['EXTRACTED','CLEANED','TOKENIZED','PARSED','STRUCTURED','CHUNKED','ENRICHED','EMBEDDED','INDEXED'])[sp + 1] AS after FROM s""")
 def e10_step_eligibility(spark, d):
     name = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
@@ -417,89 +302,9 @@ def f3_top_k_per_document(spark, d):
     return found.select("question_id", "document_id", "chunk_id", F.format_string("%.4f", F.round("distance", 6)).alias("reason"))
 
 
-@register("""WITH c AS (SELECT conv_id AS question_id, turn AS rank, lower(text) AS h, role, CASE WHEN turn % 3 > 0 THEN (turn * 7 % 10) / 10.0 END AS distance FROM conversations),
-  m AS (SELECT *, (contains(h, 'the '))::INT + (contains(h, 'que'))::INT + (contains(h, 'que'))::INT + (contains(h, role))::INT AS matches FROM c)
-  SELECT question_id, rank, matches, row_number() OVER (PARTITION BY question_id ORDER BY matches DESC, coalesce(distance, 1.0), rank) AS new_rank FROM m QUALIFY new_rank <= 3""")
-def f8_metadata_rerank(spark, d):
-    turns = table(spark, d, "conversations")
-    terms = F.array(*map(F.lit, ("the ", "que", "xx", "que")))
-    distance = F.when(F.col("turn") % 3 > 0, F.col("turn") * 7 % 10 / 10)
-    candidates = turns.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), F.lower("text").alias("haystack"), terms.alias("terms"), F.col("role").alias("category"), distance.alias("distance"))
-    return search.metadata_rerank(candidates, 3).select("question_id", "rank", "matches", "new_rank")
-
-
-@register(f"""WITH c AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN ['Lei nº 77', 'LUOS'] ELSE []::VARCHAR[] END, list_transform(regexp_extract_all('Lei nº ' || (1000 + doc_id % 50) || ', de 2001, Lei nº 77 e decreto-lei nº 12.' || doc_id, '(?i){P.citation}', 1), lambda x: trim(x))) AS l FROM documents),
-  u AS (SELECT doc_id, unnest(l) AS ref, generate_subscripts(l, 1) AS pos FROM c) SELECT doc_id, ref, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS pos FROM u GROUP BY doc_id, ref""")
-def f9_reference_candidates(spark, d):
-    content = F.concat(F.lit("Lei nº "), F.col("doc_id") % 50 + 1000, F.lit(", de 2001, Lei nº 77 e decreto-lei nº 12."), "doc_id")
-    listed = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" Lei nº 77"), F.lit("LUOS "), F.lit(" ")))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(search.reference_candidates(listed, content)).alias("pos", "ref"))
-
-
-@register(r"""WITH r AS (SELECT DISTINCT lower(substr(text, 1, 60)) || ' nº ' || (1000 + doc_id % 40) AS ref FROM documents), n AS (SELECT item_id AS document_id, lower(substr(text, 1, 30)) || ' ' || (1000 + item_id) AS name FROM benchmark),
-  rw AS (SELECT ref, list_filter(regexp_split_to_array(ref, '[^\p{L}\p{N}]+'), lambda w: length(w) >= 4) AS w, list_filter(list_transform(regexp_extract_all(ref, '\d[\d.]*\d|\d+'), lambda x: replace(x, '.', '')), lambda x: length(x) >= 4) AS k FROM r),
-  nw AS (SELECT document_id, name, list_filter(regexp_split_to_array(name, '[^\p{L}\p{N}]+'), lambda w: length(w) >= 4) AS w, list_filter(list_transform(regexp_extract_all(name, '\d[\d.]*\d|\d+'), lambda x: replace(x, '.', '')), lambda x: length(x) >= 4) AS k FROM n)
-  SELECT ref, document_id FROM rw, nw WHERE contains(ref, name) OR contains(name, ref) OR list_has_any(rw.k, nw.k) OR (len(nw.w) > 0 AND len(list_filter(nw.w, lambda w: list_contains(rw.w, w))) > 0 AND len(list_filter(nw.w, lambda w: list_contains(rw.w, w))) * 10 >= len(nw.w) * 4)""")
-def f10_match_references(spark, d):
-    refs = table(spark, d, "documents").select(F.concat(F.lower(F.substring("text", 1, 60)), F.lit(" nº "), F.col("doc_id") % 40 + 1000).alias("ref"))
-    names = table(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.concat(F.lower(F.substring("text", 1, 30)), F.lit(" "), F.col("item_id") + 1000).alias("name"))
-    return search.match_references(refs, names)
-
-
-@register("""WITH s AS (SELECT conv_id AS question_id, turn AS rank, CASE WHEN conv_id % 3 = 0 THEN 0.0 WHEN turn = 1 THEN 10.0 WHEN turn = 0 THEN 2.5 ELSE 0.0 END AS score FROM conversations)
-  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) - 1 AS final_rank FROM s QUALIFY final_rank < 4""")
-def f15_rerank(spark, d):
-    turns = table(spark, d, "conversations")
-    good = '{"scores": [{"index": 0, "score": 7}, {"index": 1, "score": 12}, {"index": 99, "score": 5}, {"index": 0, "score": 2.5}]}'
-    raw = turns.select(F.col("conv_id").alias("question_id")).distinct().withColumn("raw", F.when(F.col("question_id") % 3 == 0, "not json").otherwise(good))
-    return search.rerank(turns.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank")), raw, 4)
-
-
 # Answers
 
 
-@register("""SELECT doc_id, CASE WHEN regexp_matches(t, 'revogad') THEN 'Possivelmente revogada' WHEN regexp_matches(t, 'nova redacao|redacao dada pel') THEN 'Alterada (nova redação)' ELSE 'Vigente' END AS status
-  FROM (SELECT doc_id, strip_accents(lower(text || CASE doc_id % 5 WHEN 0 THEN ' REVOGADO' WHEN 1 THEN ' Nova Redação' ELSE '' END)) AS t FROM documents)""")
-def g1_legal_status(spark, d):
-    text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " REVOGADO").when(F.col("doc_id") % 5 == 1, " Nova Redação").otherwise(""))
-    return table(spark, d, "documents").withColumn("t", T.fold(text)).select("doc_id", answers.legal_status(F.col("t")).alias("status"))
-
-
-@register("""WITH b AS (SELECT conv_id AS question_id, turn AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations)
-  SELECT question_id, string_agg('[' || n || '] ' || role || ', ' || CASE WHEN ord % 2 = 0 THEN '—' ELSE 'Art. ' || ord END || ' (' || CASE WHEN ord % 3 = 0 THEN '—' ELSE '0' || (ord % 3) || '/05/2024' END || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS context FROM b GROUP BY 1""")
-def g3_contexts(spark, d):
-    t = F.col("turn")
-    blocks = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), t.alias("ord"), F.col("role").alias("law"), F.when(t % 2 == 1, F.concat(F.lit("Art. "), t)).alias("article"), F.col("text").alias("body"), F.when(t % 3 > 0, F.make_date(F.lit(2024), F.lit(5), (t % 3).cast("int"))).alias("created"))
-    return answers.build_contexts(blocks)
-
-
-def _evidence(spark, d):
-    turns = table(spark, d, "conversations")
-    got = turns.where("role = 'assistant'").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("ord"), F.col("turn").alias("chunk_id"), F.concat(F.lit("lei "), F.col("turn") % 4).alias("law"), F.concat(F.lit("art. "), "turn").alias("article"))
-    cited = turns.where("role = 'user'").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("cite"), F.concat(F.lit("lei "), F.col("turn") % 4 + 1).alias("law"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("art. "), F.col("turn") + 1)).alias("article"))
-    return cited, got
-
-
-_RECONCILED = """WITH r AS (SELECT conv_id AS question_id, turn AS chunk_id, 'lei ' || (turn % 4) AS law, 'art. ' || turn AS article FROM conversations WHERE role = 'assistant'),
-  c AS (SELECT conv_id AS question_id, turn AS cite, 'lei ' || (turn % 4 + 1) AS law, CASE WHEN turn % 4 = 0 THEN 'art. ' || (turn + 1) END AS article FROM conversations WHERE role = 'user'),
-  x AS (SELECT c.question_id, c.cite, c.law, c.article, (SELECT min(r.chunk_id) FROM r WHERE r.question_id = c.question_id AND (contains(r.law, c.law) OR contains(c.law, r.law)) AND (c.article IS NULL OR contains(r.article, c.article) OR contains(c.article, r.article))) AS chunk_id FROM c)"""
-
-
-@register(f"{_RECONCILED} SELECT * FROM x")
-def g7_reconcile(spark, d):
-    return answers.reconcile(*_evidence(spark, d))
-
-
-@register(f"""{_RECONCILED}, a AS (SELECT conv_id AS question_id, min(role) AS role, conv_id % 2 = 0 AS conflict FROM conversations GROUP BY conv_id),
-  k AS (SELECT a.*, (SELECT count(*) FROM r WHERE r.question_id = a.question_id) AS nr, (SELECT count(*) FROM x WHERE x.question_id = a.question_id) AS nc, (SELECT count(*) FROM x WHERE x.question_id = a.question_id AND x.chunk_id IS NULL) AS nu FROM a),
-  w AS (SELECT *, array_to_string(list_filter([CASE WHEN nr = 0 THEN 'no evidence' END, CASE WHEN nr > 0 AND nu > 0 THEN nu || ' unresolved' END, CASE WHEN nr > 0 AND conflict THEN 'conflict without details' END, CASE WHEN nr > 0 AND nc = 0 THEN 'no citations' END], lambda z: z IS NOT NULL), '; ') AS warnings FROM k)
-  SELECT question_id, warnings = '' AS valid, nr = 0 OR nc = 0 AS insufficient, warnings FROM w""")
-def g8_validate(spark, d):
-    cited, got = _evidence(spark, d)
-    given = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(F.lit("ALTO").alias("confidence"), F.lit(0).alias("n_conflicts")).withColumn("has_conflict", F.col("question_id") % 2 == 0)
-    return answers.validate(given, answers.reconcile(cited, got), got)
-
-
 # History and views
 
 
@@ -530,14 +335,10 @@ def h10_dashboard(spark, d):
     return history.dashboard(e.select("document_id").distinct(), {"chunks": e, "embedded": e.where("vec_id % 3 > 0"), "indexed": e.where("vec_id % 5 = 0")})
 
 
-@register("""WITH q AS (SELECT item_id AS query_id, lower(trim(substr(text, 5, 14))) AS q FROM benchmark) SELECT query_id, doc_id AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, substr(text, 1, 240) AS excerpt
-  FROM documents, q WHERE q <> '' AND contains(lower(text), q) QUALIFY rank <= 30""")
-def h16_manual_search(spark, d):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 5, 14).alias("query"))
-    return history.manual_search(queries, table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
-
-
-@register("SELECT event_type, user_id, count(*) AS n, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds FROM events GROUP BY ALL")
-def h17_job_durations(spark, d):
-    seconds = F.round(F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.min("ts").cast("timestamp")) / 1e6, 3)
-    return table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), seconds.alias("seconds"))
+@register("""SELECT doc_id AS document_id, CASE WHEN doc_id % 7 = 6 THEN '' ELSE 'lei ' || doc_id || (['.pdf','.DOCX','.htm','.md','.txt','.bin'])[doc_id % 7 + 1] END AS name,
+  (['PDF','DOCX','HTML','MARKDOWN','TXT','PDF','PASTED'])[doc_id % 7 + 1] AS type, CASE WHEN doc_id % 7 IN (2, 3, 4, 6) THEN (['','','html-to-text','markdown-passthrough','utf8','','pasted-text'])[doc_id % 7 + 1] END AS engine,
+  CASE WHEN doc_id % 7 < 2 THEN n_chars WHEN doc_id % 7 IN (2, 3, 4) THEN strlen(text) WHEN doc_id % 7 = 6 THEN length(text) ELSE 0 END AS size_bytes, 'UPLOADED' AS status,
+  CASE WHEN doc_id % 7 IN (3, 4, 6) THEN sha256(text) END AS text_hash FROM documents""")
+def a1_register_documents(spark, d):
+    done = sources.register(_files(spark, d))
+    return done.select("document_id", "name", "type", "engine", "size_bytes", "status", F.when(F.col("type") != "HTML", F.sha2("text", 256)).alias("text_hash"))

@@ -1,33 +1,13 @@
-"""More registered queries: law structure, figures, index upkeep, model outputs, evidence and history."""
+"""More registered queries: labels, links, prompts, deletion and coverage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexmill.operators import answers, chunking, history, index, lexer
+from lexmill.operators import chunking, history, index, lexer
 from lexmill.plans.queries import _PARENTS, P, law_tokens, register, table
 
 
-@register(f"""WITH {_PARENTS} SELECT doc_id, idx, type, parent_idx FROM par WHERE depth IS NOT NULL AND type = 'ARTIGO'""")
-def c11_structure_articles(spark, d):
-    return lexer.structure(law_tokens(spark, d)).where("type = 'ARTIGO'").select("doc_id", "idx", "type", F.col("parent_idx"))
-
-
-_KEPT = f"""WITH {_PARENTS},
-up AS (SELECT c.*, p.type AS pt, p.parent_idx AS pp, (SELECT max(a.idx) FROM par a WHERE a.doc_id = c.doc_id AND a.type = 'ARTIGO' AND a.idx <= c.idx) AS article_idx FROM par c LEFT JOIN par p ON p.doc_id = c.doc_id AND p.idx = c.parent_idx WHERE c.depth IS NOT NULL),
-ok1 AS (SELECT * FROM up WHERE type = 'ARTIGO' OR (type = 'PARAGRAFO' AND pt = 'ARTIGO')),
-ok2 AS (SELECT * FROM ok1 UNION ALL SELECT u.* FROM up u JOIN ok1 k ON k.doc_id = u.doc_id AND k.idx = u.parent_idx WHERE u.type = 'INCISO'),
-ok3 AS (SELECT * FROM ok2 UNION ALL SELECT u.* FROM up u JOIN ok2 k ON k.doc_id = u.doc_id AND k.idx = u.parent_idx WHERE u.type = 'ALINEA' AND k.type = 'INCISO'),
-ok4 AS (SELECT * FROM ok3 UNION ALL SELECT u.* FROM up u JOIN ok3 k ON k.doc_id = u.doc_id AND k.idx = u.parent_idx WHERE u.type = 'ITEM' AND k.type = 'ALINEA')"""
-
-
-@register(f"{_KEPT} SELECT doc_id, idx, type, parent_idx, article_idx, row_number() OVER (PARTITION BY doc_id, parent_idx, type ORDER BY idx) - 1 AS ord FROM ok4")
-def c12_law_tables(spark, d):
-    return lexer.structure(law_tokens(spark, d)).select("doc_id", "idx", "type", "parent_idx", "article_idx", "ord")
-
-
 @register(f"""WITH {_PARENTS} SELECT doc_id, idx, type, CASE type WHEN 'INCISO' THEN regexp_extract(text, '{P.inciso}', 1) WHEN 'ALINEA' THEN regexp_extract(text, '{P.alinea}', 1) || ')'
   WHEN 'ITEM' THEN regexp_extract(text, '{P.item}', 1) || '.' WHEN 'ARTIGO' THEN 'Art. ' || regexp_extract(text, '{P.article}', 1)
   WHEN 'PARAGRAFO' THEN CASE WHEN regexp_extract(text, '(?i){P.paragraph}', 1) = '' THEN 'Parágrafo único' ELSE '§ ' || regexp_extract(text, '(?i){P.paragraph}', 1) || 'º' END
@@ -37,13 +17,6 @@ def c8_labels(spark, d):
     return lexer.labels(law_tokens(spark, d)).select("doc_id", "idx", "type", "label")
 
 
-@register(f"""{_KEPT}, n AS (SELECT doc_id, article_idx AS idx, count(*) - 1 AS n_lines FROM ok4 GROUP BY ALL) SELECT * FROM n""")
-def c14_full_text_lines(spark, d):
-    toks = law_tokens(spark, d)
-    done = lexer.full_texts(lexer.structure(toks), lexer.articles(toks))
-    return done.select("doc_id", "idx", (F.size(F.split("full_text", "\n")) - 1).alias("n_lines"))
-
-
 @register("""WITH a AS (SELECT page_id // 5 AS doc_id, page_id AS article_id, page_id % 5 AS idx, (page_id % 3)::VARCHAR AS number FROM pages), l AS (SELECT doc_id, number, arg_max(article_id, idx) AS article_id FROM a GROUP BY ALL)
   SELECT p.page_id AS chunk_id, p.page_id // 5 AS doc_id, (p.page_id % 4)::VARCHAR AS number, l.article_id FROM pages p LEFT JOIN l ON l.doc_id = p.page_id // 5 AND l.number = (p.page_id % 4)::VARCHAR""")
 def d4_link_by_number(spark, d):
@@ -52,34 +25,12 @@ def d4_link_by_number(spark, d):
     return chunking.link_by_number(pages.select(F.col("page_id").alias("chunk_id"), "doc_id", (F.col("page_id") % 4).cast("string").alias("number")), arts)
 
 
-@register("""WITH b AS (SELECT user_id AS document_id, event_id % 4 AS page, event_id AS ord, least(100.0, greatest(0.0, value)) AS x1 FROM events WHERE value >= 1),
-  w AS (SELECT *, floor(x1 / 100 * 800 + 0.5) AS width, 500 AS height FROM b WHERE x1 >= 1), k AS (SELECT * FROM w WHERE width >= 60 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page, ord) <= 60)
-  SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY ord) - 1 AS figure_index, width::BIGINT AS width, height::BIGINT AS height FROM k""")
-def d5_figure_boxes(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("document_id"), (F.col("event_id") % 4).alias("page"), F.col("event_id").alias("ord"), F.lit(800).alias("page_width"), F.lit(1000).alias("page_height"), F.array(F.col("value"), F.lit(50.0), F.lit(0.0), F.lit(0.0)).alias("bbox"), "value")
-    return chunking.valid_boxes(e.where("value >= 1").drop("value"))
-
-
 @register("SELECT conv_id, turn, replace(replace('Contexto: {{CONTEXTO}} / {{TEXTO}}', '{{TEXTO}}', text), '{{CONTEXTO}}', CASE WHEN turn % 2 = 0 THEN role ELSE '(sem contexto)' END) AS prompt FROM conversations")
 def e2_prompt_fill(spark, d):
     given = F.when(F.col("turn") % 2 == 0, F.col("role"))
     return table(spark, d, "conversations").select("conv_id", "turn", index.fill_prompt(F.lit("Contexto: {{CONTEXTO}} / {{TEXTO}}"), F.col("text"), given).alias("prompt"))
 
 
-@register("SELECT user_id AS document_id, count(*) FILTER (event_type <> 'view') AS enriched, count(*) AS total, round(sum(value), 2) AS cost FROM events GROUP BY 1")
-def e5_enrichment_totals(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("document_id")).agg(F.count_if(F.col("event_type") != "view").alias("enriched"), F.count("*").alias("total"), F.round(F.sum("value"), 2).alias("cost"))
-
-
-@register("""SELECT vec_id AS chunk_id, CASE WHEN vec_id % 7 > 0 THEN '{"document_id":' || label || ',"article":"Art. ' || vec_id || '","part":1,"total_parts":2}' END AS metadata, CASE WHEN vec_id % 7 = 0 THEN 'no vector for chunk ' || vec_id END AS error FROM embeddings""")
-def e9_index_rows(spark, d):
-    e = table(spark, d, "embeddings")
-    vectors = e.select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 7 > 0, F.col("embedding")).alias("vector"))
-    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), F.concat(F.lit("Art. "), "vec_id").alias("article"), F.lit(1).alias("part"), F.lit(2).alias("total_parts"))
-    good, bad = index.index_rows(vectors, chunks)
-    return good.select("chunk_id", "metadata", F.lit(None).cast("string").alias("error")).unionByName(bad.select("chunk_id", F.lit(None).cast("string").alias("metadata"), "error"))
-
-
 @register("SELECT 'labels' AS name, count(*) AS n FROM labels WHERE doc_id % 4 > 0 UNION ALL SELECT 'documents', count(*) FROM documents WHERE doc_id % 4 > 0")
 def e12_cascade_delete(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
@@ -88,48 +39,6 @@ def e12_cascade_delete(spark, d):
     return counts[0].unionByName(counts[1])
 
 
-@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Zoneamento' ELSE 'Outros' END AS category, (CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0.0 END)::DOUBLE AS confidence FROM events""")
-def f5_categories(spark, d):
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, '{"categoria": "Zoneamento", "confianca": 7}').when(k == 1, '{"categoria": "Nada", "confianca": 0.4}').when(k == 2, '{"categoria": 3, "confianca": "x"}').otherwise("no json")
-    return table(spark, d, "events").select("event_id", answers.parse_category(raw, ("Zoneamento", "Outros"), "Outros").alias("c")).select("event_id", "c.category", "c.confidence")
-
-
-@register("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '|12 m' WHEN 1 THEN 'ZR-2' ELSE '' END AS terms FROM events""")
-def f7_entities(spark, d):
-    k = F.col("event_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit('{"medidas": ["12 m", " "], "leis": ["'), "event_type", F.lit('", 4], "other": ["x"]}'))).when(k == 1, '{"leis": "text", "zonas": ["ZR-2"]}').otherwise("[")
-    return table(spark, d, "events").select("event_id", F.array_join(answers.entity_terms(raw, ("leis", "zonas", "medidas")), "|").alias("terms"))
-
-
-@register("""SELECT conv_id AS question_id, string_agg(n || '. ' || role || ': ' || CASE WHEN length(text) > 100 THEN text[:100] || '…' ELSE text END, chr(10) ORDER BY n) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1""")
-def f13_rerank_prompts(spark, d):
-    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), F.col("role").alias("document"), "text")
-    return answers.rerank_prompts(turns, 100)
-
-
-@register("""WITH s AS (SELECT conv_id AS question_id, turn, role AS stage, turn / 10.0 AS distance, CASE WHEN role = 'assistant' THEN turn + 0.5 END AS rerank FROM conversations WHERE role IN ('user', 'assistant'))
-  SELECT question_id, stage, row_number() OVER (PARTITION BY question_id, stage ORDER BY turn) - 1 AS rank, turn AS chunk_id, CASE WHEN stage = 'assistant' THEN rerank ELSE distance END AS score FROM s""")
-def h2_retrieval_log(spark, d):
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("chunk_id"), F.col("turn").alias("ord"), "role", (F.col("turn") / 10).alias("distance"), (F.col("turn") + 0.5).alias("rerank_score"))
-    return history.retrieval_log({"user": t.where("role = 'user'").drop("role"), "assistant": t.where("role = 'assistant'").drop("role")}, "assistant")
-
-
-@register("SELECT event_type, count(*) FILTER (event_id % 2 = 0) AS up, count(*) FILTER (event_id % 2 = 1 AND event_id % 3 = 0) AS down FROM events GROUP BY 1")
-def h8_feedback(spark, d):
-    e = table(spark, d, "events")
-    rated = e.select(F.col("event_type").alias("answer_id"), F.when(F.col("event_id") % 2 == 0, "UP").when(F.col("event_id") % 3 == 0, "DOWN").otherwise("?").alias("rating"))
-    return history.feedback_counts(rated).withColumnRenamed("answer_id", "event_type")
-
-
-@register("""WITH t AS (SELECT doc_id, doc_id % 40 AS law, text, CASE WHEN doc_id % 9 = 0 THEN 'REVOGACAO' WHEN doc_id % 9 IN (1, 2) THEN 'NOVA_REDACAO' END AS kind FROM documents)
-  SELECT law, doc_id AS chunk_id, kind, substr(text, 1, 240) AS snippet, bool_or(kind = 'REVOGACAO') OVER (PARTITION BY law) AS has_revoked FROM t WHERE kind IS NOT NULL""")
-def h12_amendments(spark, d):
-    notes = F.when(F.col("doc_id") % 9 == 0, "revogado").when(F.col("doc_id") % 9 < 3, "nova redacao").otherwise("")
-    chunks = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("law"), F.col("doc_id").alias("chunk_id"), notes.alias("folded"), F.col("text").alias("content"))
-    return history.amendments(chunks)
-
-
 @register("SELECT label AS document_id, count(*) AS chunks, count(*) FILTER (vec_id % 3 > 0) AS indexed, count(*) = count(*) FILTER (vec_id % 3 > 0) AS complete FROM embeddings GROUP BY 1")
 def h19_index_coverage(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").alias("document_id"), "vec_id")

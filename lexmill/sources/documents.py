@@ -1,9 +1,13 @@
-"""Documents in and out: registration, type, page text, page assembly, export names."""
+"""Documents in and out: registration, type, page text, page assembly, exports."""
 
 from __future__ import annotations
 
+import html as markup
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 # Endings and media types of the document types, first match wins.
@@ -30,29 +34,45 @@ def detect_type(name: Column, mime: Column, pasted: Column) -> Column:
     return out.otherwise("TXT")
 
 
+# How the text of each type is got; other types come with their pages.
+ENGINES = {"PASTED": "pasted-text", "TXT": "utf8", "MARKDOWN": "markdown-passthrough", "HTML": "html-to-text"}
+
+
 def register(files: DataFrame) -> DataFrame:
-    """(document_id, name, type, size_bytes, status, text) of uploads (document_id, name, mime, content, size_bytes, pasted)."""
+    """(document_id, name, type, size_bytes, status, engine, text) of uploads (document_id, name, mime, content, size_bytes, pasted)."""
     size = F.coalesce(F.octet_length("content"), F.col("size_bytes"), F.length("pasted"), F.lit(0)).cast("long")
     kind = detect_type(F.col("name"), F.col("mime"), F.col("pasted"))
-    text = F.when(kind == "PASTED", F.coalesce("pasted", F.lit(""))).when(kind.isin("TXT", "MARKDOWN"), F.decode("content", "UTF-8"))
-    return files.select("document_id", F.coalesce("name", F.lit("")).alias("name"), kind.alias("type"), size.alias("size_bytes"), F.lit("UPLOADED").alias("status"), text.alias("text"))
+    body = F.decode("content", "UTF-8")
+    text = F.when(kind == "PASTED", F.coalesce("pasted", F.lit(""))).when(kind.isin("TXT", "MARKDOWN"), body).when(kind == "HTML", html_to_text(body))
+    engine = F
+    for name, tag in ENGINES.items():
+        engine = engine.when(kind == name, tag)
+    return files.select("document_id", F.coalesce("name", F.lit("")).alias("name"), kind.alias("type"), size.alias("size_bytes"), F.lit("UPLOADED").alias("status"), engine.alias("engine"), text.alias("text"))
 
 
-# Steps from markup to text, in order.
-HTML_STEPS = (
-    (r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</(script|style|nav)\s*>|<img\b[^>]*>", ""),
-    (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|title|body|head|html)\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
-    (r"[ \t]*\n[ \t\n]*", "\n"),
-)
+#: Elements that go with all they hold; one left open goes to the end of the page.
+SKIPPED = ("script", "style", "nav")
+#: Elements whose tags stand for a line break.
+BLOCKS = ("p", "div", "br", "li", "ul", "ol", "h[1-6]", "tr", "table", "article", "section", "header", "footer", "title", "body", "head", "html")
+
+
+@F.pandas_udf(StringType())
+def decode_references(texts: pd.Series) -> pd.Series:
+    """Every character reference, named or numbered, as its character; a no-break space as a plain one."""
+    return texts.map(lambda t: None if t is None else markup.unescape(t).replace("\xa0", " "))
 
 
 def html_to_text(html: Column) -> Column:
     """Text of a page: blocks on lines of their own, link text without its target, no scripts, styles, menus or images."""
     out = html
-    for pattern, new in HTML_STEPS:
-        out = F.regexp_replace(out, pattern, new)
+    for name in SKIPPED:
+        out = F.regexp_replace(out, rf"(?is)<{name}\b.*?(</{name}\s*>|\z)", "")
+    out = F.regexp_replace(out, r"(?s)<!--.*?(-->|\z)", "")
+    out = F.regexp_replace(out, rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n")
+    out = F.regexp_replace(out, r"</?[A-Za-z!][^>]*>", "")
+    # Only texts that hold a reference travel to Python.
+    out = F.coalesce(decode_references(F.when(F.contains(out, F.lit("&")), out)), out)
+    out = F.regexp_replace(out, r"[ \t]*\n[ \t\n]*", "\n")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
@@ -73,6 +93,33 @@ def assemble_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, offsets
 
 
-def export_name(name: Column, suffix: str) -> Column:
-    """File name of an export: the name without its ending, runs of other than word characters as one underscore."""
-    return F.concat(F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"[^A-Za-z0-9_]+", "_"), F.lit(suffix))
+# The exports by format, with the end of their file names.
+EXPORTS = {"json": "estrutura", "tree": "arvore", "chunks": "chunks", "embeddings": "embeddings", "logs": "logs"}
+
+
+def export_name(name: Column, kind: str) -> Column:
+    """File name of an export: the name without its ending, runs of other than word characters and hyphens as one underscore."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"[^A-Za-z0-9_\-]+", "_")
+    return F.concat(stem, F.lit(f"-{EXPORTS[kind]}.json"))
+
+
+def export(kind: str, documents: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """(document_id, file_name, body): one JSON text for each document (document_id, name) with rows in that order.
+
+    rows carry document_id, the order and what is exported. An export of one value for a
+    document, as of its law, has a single row and is an object; the others are arrays, and
+    empty for a document without rows.
+    """
+    fields = [c for c in rows.columns if c != "document_id" and not c.startswith("__")]
+    own = F.struct(*fields)
+    named = documents.select("document_id", export_name(F.col("name"), kind).alias("file_name"))
+    if kind == "json":
+        return named.join(rows.select("document_id", F.to_json(own).alias("body")), "document_id", "left").withColumn("body", F.coalesce("body", F.lit("null")))
+    listed = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), own.alias("row"))))
+    bodies = rows.groupBy("document_id").agg(F.to_json(F.transform(listed, lambda x: x["row"])).alias("body"))
+    return named.join(bodies, "document_id", "left").withColumn("body", F.coalesce("body", F.lit("[]")))
+
+
+def write_exports(exports: DataFrame, path: str) -> None:
+    """Exports as JSON lines, in one folder for each document."""
+    exports.write.mode("overwrite").partitionBy("document_id").json(path)

@@ -2,43 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexmill.config import Patterns
+from lexmill.config import Chunking, Patterns
 from lexmill.functions import text
-from lexmill.operators import index, lexer
+from lexmill.operators import chunking, index, lexer
+
+
+def article_units(tree: DataFrame) -> DataFrame:
+    """Articles of `lexer.nodes` as the chunks' input: the lines of their full text after the first are the units."""
+    full = lexer.full_texts(lexer.structure_of(tree))
+    titles = tree.where("type = 'DOCUMENT'").select("doc_id", F.col("text").alias("title"))
+    named = lexer.articles_of(tree).join(full, ["doc_id", "idx"]).join(titles, "doc_id", "left")
+    return named.select("doc_id", "idx", "title", "chapter", "section", "label", F.split("full_text", "\n").alias("units"))
 
 
-def intake(stream: DataFrame, out: str, checkpoint: str, patterns: Patterns = Patterns()) -> StreamingQuery:
-    """Clean and lex each new document (doc_id, text) once, and append its tokens.
+def intake(stream: DataFrame, out: str, checkpoint: str, patterns: Patterns = Patterns(), cfg: Chunking = Chunking()) -> StreamingQuery:
+    """Clean, lex, structure and chunk each new document (doc_id, text) once: tokens, nodes and chunks as tables below `out`.
 
     A document lies in one micro-batch whole, so the windows of the lexer see all its lines.
-    A batch that runs again after a failure overwrites its own folder: no token is written twice.
+    A batch that runs again after a failure overwrites its own folders: nothing is written twice.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         cleaned = text.clean(df).select("doc_id", F.col("cleaned").alias("text"))
-        lexer.tokens(lexer.lines(cleaned), patterns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        saved = lambda rows, name: rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        read = lambda name: df.sparkSession.read.parquet(f"{out}/{name}/batch={number}")
+        saved(lexer.tokens(lexer.lines(cleaned), patterns), "tokens")
+        saved(lexer.nodes(read("tokens"), patterns), "nodes")
+        saved(chunking.chunks(article_units(read("nodes")), cfg), "chunks")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+EMBEDDINGS = "chunk_id string, vector array<double>, dimension int, duration_ms long, hash string, model string, indexed boolean, indexed_at timestamp"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a folder that `refresh_embeddings` writes to; none before its first batch."""
+    try:
+        return spark.read.schema(f"{EMBEDDINGS}, version long, stream long, batch long").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{EMBEDDINGS}, version long, stream long, batch long")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "chunk_id")), "version").alias("e"))
+    return last.select("chunk_id", "e.*").drop("version", "stream", "batch")
+
+
+def current_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """The newest embedding of every chunk."""
+    return _newest(_versions(spark, path))
+
+
 def refresh_embeddings(stream: DataFrame, path: str, checkpoint: str, client, model: str) -> StreamingQuery:
     """Embed those chunks (chunk_id, content) of each batch that are missing, changed or of another model.
 
-    The table is kept as numbered versions; a batch reads the newest before its own and
-    writes its own, so running it again gives the same version.
+    A batch adds only what it made, as a version of its own; what stands in the folder
+    from this or an earlier stream stays, and readers take each chunk's newest version. A
+    batch that runs again leaves its own former output out of account and overwrites it.
     """
+    name = zlib.crc32(checkpoint.encode())
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        schema = "chunk_id string, vector array<double>, dimension int, hash string, model string"
-        old = spark.read.schema(schema).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], schema)
+        others = _versions(df.sparkSession, path).where((F.col("stream") != name) | (F.col("batch") != number))
+        version = (others.agg(F.max("version")).first()[0] or 0) + 1
         newest = df.groupBy("chunk_id").agg(F.max("content").alias("content"))
-        todo = index.pending_embeddings(newest, old, model).where("pending").select("chunk_id", "hash")
-        made = index.apply_model(newest.join(todo, "chunk_id"), client).join(todo, "chunk_id").withColumn("model", F.lit(model))
-        index.upsert(old, made.select(*old.columns), ["chunk_id"]).write.mode("overwrite").parquet(f"{path}/v{number}")
+        todo = index.pending_embeddings(newest, _newest(others), model).where("pending").select("chunk_id", "hash")
+        made = index.apply_model(newest.join(todo, "chunk_id"), client).join(todo, "chunk_id")
+        made = made.withColumns({"model": F.lit(model), "indexed": F.lit(False), "indexed_at": F.lit(None).cast("timestamp"), "version": F.lit(version).cast("long")})
+        made.write.mode("overwrite").parquet(f"{path}/stream={name}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.config import Chunking, Patterns
 from lexmill.functions import text
-from lexmill.operators import answers, chunking, index, lexer, search
+from lexmill.operators import answers, chunking, history, index, lexer, search
 from lexmill.sources import documents
 from lexmill.streaming import intake
 
@@ -145,25 +145,30 @@ def test_index_rows_and_upsert_are_idempotent(spark):
         return embed
 
     chunks = spark.createDataFrame([("a", "xx"), ("b", "yyy"), ("c", "skip")], "chunk_id string, content string")
-    made = {r.chunk_id: (r.vector, r.dimension) for r in index.apply_model(chunks, client, batch_size=2).collect()}
+    made = {r.chunk_id: (list(r.vector), r.dimension) for r in index.apply_model(chunks, client, batch_size=2).collect()}
     assert made == {"a": ([2.0] * 3, 3), "b": ([3.0] * 3, 3), "c": ([], 0)}
     old = chunks.select("chunk_id", F.sha2("content", 256).alias("hash"), F.lit("m").alias("model"))
     assert index.pending_embeddings(chunks, old, "m").where("pending").count() == 0
     assert index.pending_embeddings(chunks, old, "n").where("pending").count() == 3
     assert index.upsert(old, old.limit(1), ["chunk_id"]).count() == 3
     vectors = spark.createDataFrame([("a", [1.0]), ("b", None)], "chunk_id string, vector array<double>")
-    good, bad = index.index_rows(vectors, chunks.selectExpr("chunk_id", "1 document_id", "'Art. 1' article", "1 part", "1 total_parts"))
-    assert [r.chunk_id for r in good.collect()] == ["a"] and [r.chunk_id for r in bad.collect()] == ["b"]
+    rows = chunks.selectExpr("chunk_id", "1 document_id", "4 chunk_index", "'Art. 1' article", "'' chapter", "'' section", "1 part", "1 total_parts", "struct('x' as tema) enrichment")
+    good, bad = index.index_rows(vectors, rows, spark.createDataFrame([(1, "lei")], "document_id int, name string"))
+    assert [(r.chunk_id, r.metadata.documento, r.metadata.chunk_index, r.metadata.enriquecimento.tema, r.indexed) for r in good.collect()] == [("a", "lei", 4, "x", True)]
+    assert [r.chunk_id for r in bad.collect()] == ["b"]
+    stored = spark.createDataFrame([("a", "h", True), ("z", "h", True)], "chunk_id string, hash string, indexed boolean").withColumn("indexed_at", F.current_timestamp())
+    fresh = index.upsert_embeddings(stored, spark.createDataFrame([("a", "h2")], "chunk_id string, hash string"))
+    assert {r.chunk_id: (r.hash, r.indexed, r.indexed_at is None) for r in fresh.collect()} == {"a": ("h2", False, True), "z": ("h", True, False)}
 
 
 def test_validation_cases(spark):
     retrieved = spark.createDataFrame([(1, 0, "c1", "lei a", "art. 1"), (1, 1, "c2", "lei a", "art. 10"), (2, 0, "c3", "lei b", None)], "question_id long, ord int, chunk_id string, law string, article string")
     cited = spark.createDataFrame([(1, 0, "lei a", "art. 10"), (1, 1, "lei z", None), (2, 0, "lei b", "art. 3")], "question_id long, cite int, law string, article string")
-    done = answers.reconcile(cited, retrieved)
+    done = answers.reconcile(cited, retrieved).withColumn("shown", F.concat_ws(" ", "law", "article"))
     assert {(r.question_id, r.cite): r.chunk_id for r in done.collect()} == {(1, 0): "c1", (1, 1): None, (2, 0): "c3"}
     given = spark.createDataFrame([(1, "ALTO", False, 0), (2, "ALTO", True, 0), (3, "BAIXO", False, 0)], "question_id long, confidence string, has_conflict boolean, n_conflicts int")
     got = {r.question_id: (r.valid, r.insufficient, r.warnings) for r in answers.validate(given, done, retrieved).collect()}
-    assert got == {1: (False, False, "1 unresolved"), 2: (False, False, "conflict without details"), 3: (False, True, "no evidence")}
+    assert got == {1: (False, False, ["1" + answers.WARN_UNRESOLVED + "lei z"]), 2: (False, False, [answers.WARN_CONFLICT]), 3: (False, True, [answers.WARN_EMPTY])}
 
 
 def test_streams_are_idempotent(spark, tmp_path):
@@ -171,10 +176,189 @@ def test_streams_are_idempotent(spark, tmp_path):
     for _ in range(2):
         stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
         intake.intake(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out/tokens"))
     assert got.where("type = 'ARTIGO'").count() == 3 and got.where("doc_id = 2").count() == 2
-    spark.createDataFrame([("a", "xx"), ("b", "yy")], "chunk_id string, content string").write.parquet(str(tmp_path / "chunks"))
-    client = lambda: lambda texts: [(k, [1.0]) for k in range(len(texts))]
-    stream = spark.readStream.schema("chunk_id string, content string").parquet(str(tmp_path / "chunks"))
-    intake.refresh_embeddings(stream, str(tmp_path / "emb"), str(tmp_path / "cp2"), client, "m").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "emb/v0")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out/nodes")).where("type = 'ARTIGO'").count() == 3
+    chunks = spark.read.parquet(str(tmp_path / "out/chunks")).orderBy("chunk_index").collect()
+    assert len(chunks) == 3 and chunks[1].content.endswith("Art. 2 São fins:\nI - o primeiro;\nII - o segundo (NR);")
+
+
+def test_embeddings_outlive_a_new_checkpoint(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def client():
+        def embed(texts):
+            calls.add(len(texts))
+            return [(k, [float(len(t))]) for k, t in enumerate(texts)]
+
+        return embed
+
+    def run(rows, cp):
+        folder = str(tmp_path / f"chunks-{cp}-{len(list(tmp_path.glob(f'chunks-{cp}*')))}")
+        spark.createDataFrame(rows, "chunk_id string, content string").write.parquet(folder)
+        stream = spark.readStream.schema("chunk_id string, content string").parquet(folder)
+        intake.refresh_embeddings(stream, str(tmp_path / "emb"), str(tmp_path / f"cp-{cp}-{folder[-1]}"), client, "m").awaitTermination()
+        return {r.chunk_id: r.vector[0] for r in intake.current_embeddings(spark, str(tmp_path / "emb")).collect()}
+
+    assert run([("a", "xx"), ("b", "yy")], "one") == {"a": 2.0, "b": 2.0}
+    assert run([("a", "xx"), ("b", "yyy"), ("c", "z")], "two") == {"a": 2.0, "b": 3.0, "c": 1.0}
+    assert calls.value == 4
+
+
+def test_the_tree_of_a_law(spark):
+    text_ = "Lei 1\nSeção I\nAntes\nArt. 1º Um (NR)\nobs: nota\nCAPÍTULO II\nArt. 2 Dois\nI - a\na) b\n1. c\nsolto\n2) d\n§ 1º p (NR)\nII - e\nCAPÍTULO III\n§ 2º órfão\nIV - órfão\nSubseção V\nArt. 3. Três segue a Lei nº 9.999, de 2001"
+    tree = lexer.nodes(lexer.tokens(lexer.lines(spark.createDataFrame([(1, text_)], "doc_id long, text string"))))
+    full = {r.idx: r.full_text for r in lexer.full_texts(lexer.structure_of(tree)).collect()}
+    assert list(dict(sorted(full.items())).values()) == [
+        "Art. 1 Um (NR)\nNova redação: (NR)\nobs: nota",
+        "Art. 2 Dois\nI - a\na) b solto\n1. c\n2. d\n§ 1º p (NR)\nII - e",
+        "Art. 3 Três segue a Lei nº 9.999, de 2001",
+    ]
+    assert [(r.label, r.chapter_index) for r in lexer.chapters_of(tree).orderBy("chapter_index").collect()] == [("(sem capítulo)", 0), ("CAPÍTULO II", 1), ("CAPÍTULO III", 2)]
+    assert [(r.label, r.is_subsection) for r in lexer.sections_of(tree).orderBy("section_index").collect()] == [("Seção I", False), ("Subseção V", True)]
+    assert [(r.label, r.inciso_index, r.paragraph_idx is None) for r in lexer.incisos_of(tree).orderBy("inciso_index").collect()] == [("I", 0, True), ("II", 1, False)]
+    assert [(r.label, r["items"]) for r in lexer.alineas_of(tree).collect()] == [("a", [("1", "c"), ("2", "d")])]
+    law = lexer.law_documents(tree).first().law
+    assert law.titulo == "Lei 1" and [c.rotulo for c in law.capitulos] == ["", "CAPÍTULO II", "CAPÍTULO III"] and not law.artigos
+    first = law.capitulos[0].secoes[0].artigos[0]
+    assert (first.numero, first.caput, first.observacoes) == ("1", "Um (NR)", ["Nova redação: (NR)", "obs: nota"])
+    second = law.capitulos[1].artigos[0]
+    assert second.incisos[0].alineas[0].itens[1].texto == "d" and second.paragrafos[0].incisos[0].texto == "e"
+    assert law.capitulos[2].secoes[0].artigos[0].referencias == ["Lei nº 9.999, de 2001"]
+    counts = {r["type"]: r.n for r in lexer.node_counts(tree).collect()}
+    assert counts["ARTIGO"] == counts["CAPUT"] == 3 and counts["DOCUMENT"] == 1 and counts["NOVA_REDACAO"] == 2
+
+
+def test_the_tree_takes_one_exchange_and_one_scan(spark, tmp_path):
+    spark.createDataFrame([(1, LAW)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    toks = lexer.tokens(lexer.lines(spark.read.parquet(str(tmp_path / "docs"))))
+    tree = lexer.nodes(toks)
+    for df in (toks.groupBy("doc_id", "type").count(), lexer.articles_of(tree), lexer.full_texts(lexer.structure_of(tree)), lexer.law_documents(tree)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_html_to_text(spark):
+    cases = [
+        ("a&ccedil;&atilde;o &#233; &#xE9;&nbsp;x", "ação é é x"),
+        ("<p>a</p><nav><style>b{}</style>Menu</nav><p>c</p>", "a\nc"),
+        ("<script>var t='</p>';</script>x<!-- y -->z<img src=q>w", "xzw"),
+        ("<a href='u'>link</a> <b>bold<br>next", "link bold\nnext"),
+        ("1 < 2 &amp;lt; 3", "1 < 2 &lt; 3"),
+        ("x<script>never closed", "x"),
+        ("", ""),
+    ]
+    got = spark.createDataFrame([(c,) for c, _ in cases], "h string").select(documents.html_to_text(F.col("h"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
+
+
+def test_exports(spark):
+    docs = spark.createDataFrame([(1, "lei nº 1.pdf"), (2, "b-2.txt")], "document_id long, name string")
+    rows = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "document_id long, index int, content string")
+    got = {r.document_id: (r.file_name, r.body) for r in documents.export("chunks", docs, rows, ["index"]).collect()}
+    assert got == {1: ("lei_n_1-chunks.json", '[{"index":1,"content":"x"},{"index":2,"content":"y"}]'), 2: ("b-2-chunks.json", "[]")}
+
+
+def test_line_diff_rebuilds_both_sides(spark):
+    rnd = random.Random(4)
+    rows = [(k, "\n".join(rnd.choice("abcd") for _ in range(rnd.randrange(30))), "\n".join(rnd.choice("abcd") for _ in range(rnd.randrange(30)))) for k in range(60)] + [(60, "a\nb", "a\nb"), (61, "", "x"), (62, None, "x")]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    for r, (_, a, b) in zip(df.select("k", text.line_diff("a", "b").alias("d")).orderBy("k").collect(), rows, strict=True):
+        side = lambda ops, d=r.d: [line for run in d if run.op in ops for line in run.text.split("\n")]
+        assert side("=-") == (a.split("\n") if a is not None else []) and side("=+") == b.split("\n")
+        assert all(x.op != y.op for x, y in zip(r.d, r.d[1:], strict=False))
+    got = text.line_changes(df.where("k >= 60"), "k", "a", "b").orderBy("k").collect()
+    assert [(r.added, r.removed) for r in got] == [(0, 0), (1, 1), (1, 0)]
+
+
+def test_a_shortest_edit():
+    assert [op for op, _ in text._diff_lines(list("abcabba"), list("cbabac"))].count("=") == 4
+
+
+def test_article_offsets_follow_each_other(spark):
+    docs = spark.createDataFrame([(1, "Sumário Art. 1 x Art. 1º y ARTIGO 2 z Art 10 w"), (2, None)], "document_id long, text string")
+    arts = spark.createDataFrame([(1, "a", 0, "1"), (1, "b", 1, "1"), (1, "c", 2, "2"), (1, "d", 3, "1"), (1, "e", 4, "10"), (2, "f", 0, "1")], "document_id long, article_id string, article_index int, number string")
+    got = {r.article_id: r.offset for r in chunking.locate_articles(docs, arts).collect()}
+    assert got == {"a": 8, "b": 17, "c": 27, "d": None, "e": 38, "f": None}
+
+
+def test_figures_take_the_last_article_before_them(spark):
+    arts = spark.createDataFrame([(1, "a1", 0, 1), (1, "a2", 1, 2), (1, "a3", 2, 2), (1, "a4", 3, None), (2, "b", 0, 5)], "document_id long, article_id string, article_index int, page int")
+    figures = spark.createDataFrame([(1, "f0", 0), (1, "f1", 1), (1, "f2", 2), (1, "f9", 9), (2, "g", 4)], "document_id long, figure_id string, page int")
+    linked = chunking.figures_to_articles(figures, arts)
+    assert {r.figure_id: r.article_id for r in linked.collect()} == {"f0": None, "f1": "a1", "f2": "a3", "f9": "a3", "g": None}
+    chunks = spark.createDataFrame([(1, "a1", "c1", 1, 0), (1, "a1", "c1b", 2, 1), (1, "a3", "c3", 1, 2), (1, "a3", "c3x", 1, 3)], "document_id long, article_id string, chunk_id string, part int, chunk_index int")
+    assert {r.figure_id: r.chunk_id for r in chunking.figures_to_chunks(linked, chunks).collect()} == {"f0": None, "f1": "c1", "f2": "c3x", "f9": "c3x", "g": None}
+
+
+def test_categories_want_numbers(spark):
+    cases = [('{"categoria": "Muros", "confianca": 7}', "Muros", 1.0), ('{"categoria": "Nada", "confianca": 0.4}', "Outros", 0.4), ('{"categoria": "Muros", "confianca": "0.7"}', "Muros", 0.0), ('{"categoria": 3, "confianca": true}', "Outros", 0.0), ("no json", "Outros", 0.0), (None, "Outros", 0.0)]
+    got = spark.createDataFrame([(c[0],) for c in cases], "raw string").select(answers.parse_category(F.col("raw")).alias("c")).select("c.*").collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
+def test_containment_with_many_equal_starts(spark):
+    names = [f"lei municipal numero {k} de {k % 7}" for k in range(300)] + ["ab", "x", "lei"]
+    texts = [f"ver lei municipal numero {k} de {k % 7} e outras" for k in range(0, 300, 3)] + ["xyz", "cab"]
+    inner, outer = spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {(r.n, r.t) for r in search.contained(inner, outer, "n", "t").collect()}
+    assert got == {(n, t) for n in names for t in texts if n in t}
+
+
+def test_reference_matching_equals_the_rule(spark):
+    rnd = random.Random(9)
+    words = ["lei", "federal", "municipal", "decreto", "codigo", "obras", "plano", "diretor", "uso", "solo"]
+    texts = lambda n: [" ".join([*(rnd.choice(words) for _ in range(rnd.randrange(1, 6))), *([rnd.choice(["10.257", "1257", "77", "2001"])] if rnd.random() < 0.4 else [])]) for _ in range(n)]
+    refs, names = sorted(set(texts(80))), texts(50)
+
+    def fits(ref, name):
+        numbers = lambda t: {n.replace(".", "") for n in re.findall(r"\d[\d.]*\d|\d+", t) if len(n.replace(".", "")) >= 4}
+        mine, theirs = [w for w in re.split(r"[^a-z0-9]+", name) if len(w) >= 4], {w for w in re.split(r"[^a-z0-9]+", ref) if len(w) >= 4}
+        shared = sum(w in theirs for w in mine)
+        return ref in name or name in ref or bool(numbers(ref) & numbers(name)) or (shared > 0 and shared / len(mine) >= 0.4)
+
+    got = search.match_references(spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame(list(enumerate(names)), "document_id long, name string"))
+    assert {(r.ref, r.document_id) for r in got.collect()} == {(r, k) for r in refs for k, n in enumerate(names) if fits(r, n)}
+
+
+def test_vector_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 5)
+    monkeypatch.setattr(search, "VECTOR_FLOATS", 200)
+    rnd = random.Random(3)
+    rows = [(k, k % 6, [float(rnd.randrange(-3, 4)) for _ in range(4)]) for k in range(400)] + [(400, 1, None)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, document_id long, vector array<float>")
+    asked = spark.createDataFrame([(k, rows[k][2], [k % 6] if k % 2 else []) for k in range(20) if any(rows[k][2])] + [(99, [], [])], "question_id long, vector array<float>, excluded array<bigint>")
+
+    def distance(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        n = (dot(a, a) * dot(b, b)) ** 0.5
+        return round(1 - dot(a, b) / n, 9) if n else 1.0
+
+    for per in (False, True):
+        got = {}
+        for r in search.vector_top_k(asked, vectors, 4, per_document=per).collect():
+            got.setdefault((r.question_id, r.document_id if per else None), []).append((r["rank"], r.chunk_id))
+        want = {}
+        for q, v, out in asked.collect():
+            for c, doc, x in rows:
+                if v and x is not None and doc not in out:
+                    want.setdefault((q, doc if per else None), []).append((distance(v, x), c))
+        assert {k: [c for _, c in sorted(v)] for k, v in got.items()} == {k: [c for _, c in sorted(v)[:4]] for k, v in want.items()}
+
+
+def test_rerank_reads_only_numbers(spark):
+    candidates = spark.createDataFrame([(q, r, "r") for q in (1, 2) for r in range(4)], "question_id long, rank int, reason string")
+    raw = [(1, '{"scores": [{"index": 1, "score": 9.5}, {"index": "0", "score": 10}, {"index": 2, "score": true}, {"index": 3, "score": 99}, {"index": 3, "score": -4}, {"index": 7, "score": 1}]}'), (2, "none")]
+    got = search.rerank(candidates, spark.createDataFrame(raw, "question_id long, raw string"), 3).orderBy("question_id", "final_rank").collect()
+    assert [(r.question_id, r["rank"], r.score) for r in got] == [(1, 1, 9.5), (1, 0, 0.0), (1, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
+    off = search.rerank(candidates, None, 2, enabled=False).where("question_id = 1").orderBy("final_rank").collect()
+    assert [(r["rank"], r.score) for r in off] == [(0, None), (1, None)] and off[0].reason == "r" + search.RERANK_OFF
+
+
+def test_articles_are_found_by_any_part(spark):
+    arts = spark.createDataFrame([(1, 0, "Art. 1", "1", "Recuo frontal", "Art. 1 Recuo frontal\nI - três metros"), (2, 0, "Art. 7", "7", "x", "Art. 7 x")], "document_id long, article_index int, label string, number string, caput string, full_text string")
+    docs = spark.createDataFrame([(1, "Código de Obras"), (2, "Plano Diretor")], "document_id long, name string")
+    asked = spark.createDataFrame([(1, " TRÊS "), (2, "diretor"), (3, "tres"), (4, "  "), (5, "art. 7")], "query_id long, query string")
+    got = {(r.query_id, r.document_id) for r in history.search_articles(asked, arts, docs).collect()}
+    assert got == {(1, 1), (2, 2), (5, 2)}
+    assert [(r.query_id, r.document_id) for r in history.search_documents(asked, docs).collect()] == [(2, 2)]
