@@ -319,6 +319,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     star = scratch.save(star, "star")
 
     links = scratch.save(_verified(star, _sets_of(star, rows, classes, width, scratch, "sets-star"), percent), "links-star")
+    scratch.drop("sets-star")
     first = scratch.save(components(links, scratch, "first").withColumnsRenamed({"node": "cls", "comp": "group"}), "groups")
 
     # Then the exact join across what these links have left apart.
@@ -332,6 +333,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = scratch.save(pairs, "pairs")
     more = _verified(pairs, _sets_of(pairs, rows, classes, width, scratch, "sets-across"), percent)
     all_links = scratch.save(links.unionByName(more), "links")
+    scratch.drop("sets-across", "pairs", "across", "lists", "star", "links-star", "groups")
     groups = components(all_links, scratch, "all")
 
     labelled = classes.join(groups.withColumnsRenamed({"node": "cls", "comp": "group"}), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
@@ -348,8 +350,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def near_duplicate_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that are the smallest doc_id of their component.
 
-    Rows with a null doc_id stay, for they are linked with nothing; of rows that repeat a doc_id all stay.
+    Rows with a null doc_id, a null or an empty text stay, for they are linked with nothing;
+    of rows that repeat a doc_id all stay or all go; an empty table gives an empty result,
+    and further columns stay as they are.
     """
     parts = similarity_components(docs, id_col, text_col, width, percent)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    return whole.join(gone, "doc_id", "left_anti").select("row.*")

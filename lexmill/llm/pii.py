@@ -224,8 +224,9 @@ def span_digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span, plain or disguised, replaced by its kind in angle brackets.
 
-    Spans of different kinds that overlap are replaced as one, by the kind of the first.
-    A null text stays null.
+    Spans of different kinds that overlap are replaced as one, by the kind of the first. A
+    null text stays null and an empty one empty; repeated rows repeat, null ids stay, an
+    empty table gives an empty result, and further columns stay as they are.
     """
 
     def masked(text: str) -> str:

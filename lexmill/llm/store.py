@@ -21,20 +21,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables cut lineage: a lost executor costs no more than the stage it was in."""
+    """Written tables cut lineage: a lost executor costs no more than the stage it was in.
+
+    The folder goes when the application ends: results read from it until then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+        path, files = self._at("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            path, files = self._at(name)
+            files.delete(path, True)
 
     def release(self) -> None:
         """Let go of the shuffle files of finished rounds: Spark deletes them once nothing refers to their plans."""

@@ -298,18 +298,32 @@ def repeated_stretches(rows: DataFrame, width: int, scratch: Scratch) -> DataFra
 def repeat_lists(rows: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(doc_id, spans) of the documents that lose words; a list is bounded by its document."""
     found = repeated_stretches(rows, width, scratch)
-    return scratch.save(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "whole")).alias("spans")), "lists")
+    lists = scratch.save(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "whole")).alias("spans")), "lists")
+    scratch.drop("stretches", "ends")
+    return lists
+
+
+def _free_name(columns: list[str]) -> str:
+    name = "spans"
+    while name in columns:
+        name += "_"
+    return name
 
 
 def cut_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose texts have lost what `remove_repeats` removes.
 
     Texts that lose nothing are unchanged; in the others what lies between kept neighbours
-    stays as it was, and one space stands where words went. A null text stays null.
+    stays as it was, and one space stands where words went. A null text stays null; a row
+    with a null id loses nothing; rows that repeat an id are each judged by their own text,
+    and not against each other; an empty table gives an empty result; further columns,
+    whatever their names, stay as they are.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lists = repeat_lists(rows, width, Scratch(docs.sparkSession)).withColumnsRenamed({"doc_id": "__doc", "spans": "__spans"})
-    joined = docs.join(lists, docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
+    lists = repeat_lists(rows, width, Scratch(docs.sparkSession))
+    # The documents' own columns travel as one struct, so none of their names can clash.
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    joined = whole.join(lists, "doc_id", "left").select("row.*", F.col("spans").alias(_free_name(docs.columns)))
     finish = _remove(width, True)
 
     def run(batches):

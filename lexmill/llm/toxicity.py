@@ -229,7 +229,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score stays below the threshold."""
+    """The rows of docs, with all their columns, whose score stays below the threshold.
+
+    Null and empty texts have the score of no evidence; rows that repeat an id are judged by
+    their own text; ids are not looked at; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
