@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: White space of the rules: ASCII, no-break, byte-order mark and the Unicode spaces.
 SPACE = r"[\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -22,10 +22,7 @@ class Patterns:
     item: str = r"^\s*(\d+)\s*[.)]\s+(.*)$"
     note: str = r"^\s*(?:Obs\.?|Observa[çc][ãa]o|Nota)\s*[:\-–—.]?\s*(.*)$"
     amendment: str = r"(\(\s*NR\s*\)|\(\s*nova\s+reda[çc][ãa]o\s*\)|reda[çc][ãa]o\s+dada\s+pel[ao])"
-    citation: str = (
-        r"((?:Lei(?:\s+(?:Complementar|Federal|Estadual|Municipal|Org[âa]nica))?|Decreto(?:-Lei)?|Medida\s+Provis[óo]ria"
-        r"|Emenda\s+Constitucional)\s+n\s*[ºo°.]?\s*[\d.]+(?:\s*[,/]\s*de\s+[^,;.]+)?)"
-    )
+    citation: str = r"((?:Lei(?:\s+(?:Complementar|Federal|Estadual|Municipal|Org[âa]nica))?|Decreto(?:-Lei)?|Medida\s+Provis[óo]ria|Emenda\s+Constitucional)\s+n\s*[ºo°.]?\s*[\d.]+(?:\s*[,/]\s*de\s+[^,;.]+)?)"
 
 
 @dataclass(frozen=True)
@@ -44,10 +41,3 @@ class Retrieval:
     metadata_k: int = 15
     final_k: int = 8
     per_document: int = 2
-
-
-@dataclass(frozen=True)
-class Config:
-    patterns: Patterns = field(default_factory=Patterns)
-    chunking: Chunking = field(default_factory=Chunking)
-    retrieval: Retrieval = field(default_factory=Retrieval)
