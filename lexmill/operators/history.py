@@ -58,9 +58,9 @@ def _first(found: DataFrame, order: list[str], limit: int) -> DataFrame:
 
 def search_documents(queries: DataFrame, documents: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, document_id, rank): documents (document_id, name) whose name holds the query, in any case but with its accents."""
-    q, names = _asked(queries), documents.select("document_id", F.lower("name").alias("low"))
-    hits = contained(q, names, "q", "low").join(q, "q").join(names, "low")
-    return _first(hits.select("query_id", "document_id").distinct(), ["document_id"], limit)
+    q = _asked(queries)
+    hits = contained(q, documents.select("document_id", F.lower("name").alias("low")), "q", "low", ["document_id"])
+    return _first(hits.join(q, "q").select("query_id", "document_id").distinct(), ["document_id"], limit)
 
 
 def search_articles(queries: DataFrame, articles: DataFrame, documents: DataFrame, limit: int = 30) -> DataFrame:
@@ -72,7 +72,7 @@ def search_articles(queries: DataFrame, articles: DataFrame, documents: DataFram
     """
     q = _asked(queries)
     own = articles.select("document_id", "article_index", F.lower(F.concat_ws("\n", "label", "number", "full_text")).alias("low"))
-    direct = contained(q, own, "q", "low").join(q, "q").join(own, "low").select("query_id", "document_id", "article_index")
+    direct = contained(q, own, "q", "low", ["document_id", "article_index"]).join(q, "q").select("query_id", "document_id", "article_index")
     named = search_documents(queries, documents, 1 << 30).select("query_id", "document_id").join(articles.select("document_id", "article_index"), "document_id")
     hits = _first(direct.unionByName(named.select(*direct.columns)).distinct(), ["document_id", "article_index"], limit)
     shown = articles.select("document_id", "article_index", "label", F.substring("caput", 1, 240).alias("excerpt"))
@@ -81,8 +81,9 @@ def search_articles(queries: DataFrame, articles: DataFrame, documents: DataFram
 
 def manual_search(queries: DataFrame, documents: DataFrame, limit: int = 30) -> DataFrame:
     """(query_id, document_id, rank, excerpt): documents whose text holds the query, in any case but with its accents."""
-    q, texts = _asked(queries), documents.select("document_id", F.lower("text").alias("low"))
-    hits = contained(q, texts, "q", "low").join(q, "q").join(texts, "low").select("query_id", "document_id").distinct()
+    q = _asked(queries)
+    hits = contained(q, documents.select("document_id", F.lower("text").alias("low")), "q", "low", ["document_id"])
+    hits = hits.join(q, "q").select("query_id", "document_id").distinct()
     return _first(hits, ["document_id"], limit).join(documents.select("document_id", F.substring("text", 1, 240).alias("excerpt")), "document_id")
 
 

@@ -50,7 +50,7 @@ def _block_top_k(k: int, per_document: bool):
                 q = _unit(vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
                 x = _unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunk), -1))
                 ids, chunk, document = (c.to_numpy(zero_copy_only=False) for c in (ids, chunk, document))
-                distance = 1.0 - q @ x.T
+                distance = np.maximum(0.0, 1.0 - q @ x.T)
                 for n, out in enumerate(excluded.to_pylist()):
                     if out:
                         distance[n, np.isin(document, out)] = np.inf
@@ -94,7 +94,7 @@ RERANK_REASON, RERANK_OFF = "Reranking: relevância %.1f/10 para a pergunta", "
 
 
 def vector_reason(distance: Column) -> Column:
-    return F.format_string(VECTOR_REASON, F.round(distance, 6))
+    return F.format_string(VECTOR_REASON, distance)
 
 
 def with_attributes(found: DataFrame, chunks: DataFrame, documents: DataFrame, articles: DataFrame) -> DataFrame:
@@ -161,31 +161,41 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
 
 
-def _grams(c: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: i + n - 1 <= F.length(c)), lambda i: F.substr(c, i, F.lit(n))))
+def _with_grams(df: DataFrame, text: str, n: int) -> DataFrame:
+    """A row for each distinct gram of n characters of a text; all other columns go along."""
+    # The characters are a column of their own: an index into a string counts from its start, one into an array does not.
+    spelled = df.withColumn("__c", F.split(text, ""))
+    gram = F.transform("__c", lambda c, i: F.concat(c, *(F.get("__c", i + k) for k in range(1, n))))
+    return spelled.withColumn("gram", F.explode(F.array_distinct(F.filter(gram, lambda g: g.isNotNull() & (F.length(g) == n))))).drop("__c")
 
 
-def contained(shorter: DataFrame, longer: DataFrame, inner: str, outer: str, size: int = 4) -> DataFrame:
-    """Distinct rows (inner, outer) where the outer text holds the inner one (both not empty).
+def contained(shorter: DataFrame, longer: DataFrame, inner: str, outer: str, keys: list[str] | None = None, size: int = 4) -> DataFrame:
+    """Distinct (inner, keys) where the outer text of the row with those keys holds the inner one (both not empty).
 
-    Joined on the inner text's gram that fewest outer texts hold: a text cannot hold the
-    other without it. So a start that most texts share is never the key of a join.
+    keys name the rows of `longer`; without them the outer text names itself. An inner text
+    is looked for by the one of its grams that fewest inner texts have, so a start that most
+    of them share is never the key of a join. Texts give keys and grams alone to that join,
+    which stays where the texts are read while the inner side is small enough to be
+    broadcast (Spark checks that); only rows that hold the gram are read again and compared.
     """
+    keys = keys or [outer]
     a = shorter.select(F.col(inner).alias("inner")).where("inner <> ''").distinct()
-    b = longer.select(F.col(outer).alias("outer")).where("outer <> ''").distinct()
+    b = longer.select(*dict.fromkeys([*keys, outer])).where(F.col(outer) != "")
+    if keys == [outer]:
+        b = b.distinct()
     found = None
-    for n in range(1, size + 1):  # texts shorter than a gram are grams themselves
-        own = a.where(F.length("inner") >= size if n == size else F.length("inner") == n)
-        held = b.select("outer", F.explode(_grams(F.col("outer"), n)).alias("gram"))
-        if n < size:
-            held = held.join(own.select(F.col("inner").alias("gram")).distinct(), "gram", "left_semi")
-        counts = held.groupBy("gram").agg(F.count("*").alias("holders"))
-        keys = own.select("inner", F.explode(_grams(F.col("inner"), n)).alias("gram")).join(counts, "gram", "left").groupBy("inner")
-        # A gram that no outer text holds settles it: the text is in none.
-        rarest = keys.agg(F.min_by("gram", F.struct(F.coalesce("holders", F.lit(0)), "gram")).alias("gram"))
-        part = rarest.join(held, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct().select(F.col("inner").alias(inner), F.col("outer").alias(outer))
+    # Texts shorter than a gram are grams themselves; at most `size` numbers come to the driver.
+    for n in sorted(r[0] for r in a.select(F.least(F.length("inner"), F.lit(size))).distinct().collect()):
+        own = _with_grams(a.where(F.length("inner") >= size if n == size else F.length("inner") == n), "inner", n)
+        rare = own.groupBy("gram").agg(F.count("*").alias("holders"))
+        key = own.join(rare, "gram").groupBy("inner").agg(F.min_by("gram", F.struct("holders", "gram")).alias("gram"))
+        met = _with_grams(b, outer, n).select(*keys, "gram").join(key, "gram").select("inner", *keys)
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return shorter.select(inner).join(longer.select(*keys), F.lit(False))  # no inner text at all
+    if keys != [outer]:
+        found = found.distinct().join(b, keys)
+    return found.where(F.contains(outer, F.col("inner"))).select(F.col("inner").alias(inner), *keys).distinct()
 
 
 def match_references(references: DataFrame, names: DataFrame) -> DataFrame:
@@ -236,7 +246,7 @@ def cross_references(candidates: DataFrame, documents: DataFrame) -> DataFrame:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def cross_reference_chunks(matches: DataFrame, questions: DataFrame, vectors: DataFrame, n: int = Retrieval().per_document) -> DataFrame:

@@ -294,12 +294,12 @@ def f1_vector_top_k(spark, d):
     return search.vector_top_k(questions, chunks, 30).select("question_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@register(f"""SELECT q.vec_id AS question_id, v.label::BIGINT AS document_id, v.vec_id AS chunk_id, printf('%.4f', round({_DIST}, 6)) AS reason FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0
+@register(f"""SELECT q.vec_id AS question_id, v.label::BIGINT AS document_id, v.vec_id AS chunk_id, printf('%.4f', greatest(0.0, {_DIST})) AS reason FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0
   QUALIFY row_number() OVER (PARTITION BY q.vec_id, v.label ORDER BY round({_DIST}, 9), v.vec_id) <= 2""")
 def f3_top_k_per_document(spark, d):
     questions, chunks = _vectors(spark, d)
     found = search.vector_top_k(questions, chunks, 2, per_document=True)
-    return found.select("question_id", "document_id", "chunk_id", F.format_string("%.4f", F.round("distance", 6)).alias("reason"))
+    return found.select("question_id", "document_id", "chunk_id", F.format_string("%.4f", "distance").alias("reason"))
 
 
 # Answers

@@ -28,7 +28,7 @@ def _knowledge(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 @register(f"""WITH {_CHUNKS}, t AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, v.label::BIGINT AS document_id, {_DIST} AS dist FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id % 11 > 0 AND v.label <> q.label
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DIST}, 9), v.vec_id) <= 30)
   SELECT t.question_id, t.chunk_id, t.document_id, row_number() OVER (PARTITION BY t.question_id ORDER BY round(dist, 9), t.chunk_id) AS rank, sha256(ck.content) AS content_hash, 'Lei nº ' || (1000 + t.document_id) AS document_name, 'Art. ' || ck.article_id AS article_label,
-    'Similaridade vetorial (distância cosseno = ' || printf('%.4f', round(dist, 6)) || ')' AS reason FROM t JOIN ck USING (chunk_id)""")
+    'Similaridade vetorial (distância cosseno = ' || printf('%.4f', greatest(0.0, dist)) || ')' AS reason FROM t JOIN ck USING (chunk_id)""")
 def f2_vector_search(spark, d):
     e = table(spark, d, "embeddings")
     questions = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"), F.array(F.col("label").cast("long")).alias("excluded"))
