@@ -61,6 +61,10 @@ _SIGNS = re.compile(
     re.IGNORECASE,
 )
 _ITEM = re.compile(rf"{_DIGIT}|[0-9]+", re.IGNORECASE)
+#: For the quick look, on folded text: signs in brackets, a spelled dot, and "at" before a label with a dot after it; "plus" before a digit.
+_PLUS = re.compile(rf"plus\s{{1,3}}(?:[0-9]|(?:{_DIGIT.casefold()})\b)")
+_CUE = re.compile(r"[\(\[\{<]\s{0,3}(?:at|dot|@|\.)|\sdot\s|\s(?:at|@)\s{1,3}[a-z0-9-]{1,63}(?:\.|\s{0,3}[\(\[\{<])")
+_WORDS, _SPELLED = re.compile(r"[^\W_]+"), frozenset(w.casefold() for w in DIGIT_WORDS)
 
 
 def luhn(digits: str) -> bool:
@@ -126,9 +130,23 @@ def _spelled(digits: str) -> bool:
     return any(c in DIGIT_WORDS for c in re.findall(r"[^\W\d_]+", digits.lower()))
 
 
+def _may_hold_signs(text: str) -> bool:
+    """A quick look that passes whatever `_SIGNS` would change: a spelled sign before what must follow it, or a spelled digit beside another."""
+    folded = text.casefold()
+    if _CUE.search(folded) or "plus" in folded and _PLUS.search(folded):
+        return True
+    words = _WORDS.findall(folded)
+    if _SPELLED.isdisjoint(words):
+        return False
+    item = [w in _SPELLED or w.isdigit() for w in words]
+    return any(a and b and c for a, b, c in zip(item, item[1:], item[2:], strict=False))
+
+
 def changes(text: str) -> bool:
     """Whether a rewrite can show anything: one of its characters or signs is there, or a spelled digit in a run of them."""
-    return bool(_CHARS.search(text)) or any(m.lastgroup != "digits" or _spelled(m[0]) for m in _SIGNS.finditer(text))
+    if _CHARS.search(text):
+        return True
+    return _may_hold_signs(text) and any(m.lastgroup != "digits" or _spelled(m[0]) for m in _SIGNS.finditer(text))
 
 
 def rewrite(text: str) -> Rewritten:
