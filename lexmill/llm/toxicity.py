@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import counts
 from lexmill.llm import textscan as ts
+from lexmill.llm.store import Scratch
 
 #: Size of the hashed feature space, and the lengths of the n-grams in characters.
 HASH_BITS, LENGTHS = 21, (4, 5, 6, 7)
@@ -181,6 +182,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     chosen = usable.select(F.xxhash64(F.col(id_col).cast("long")).alias("order"), F.col(id_col).alias("id")).distinct().orderBy("order", "id").limit(max_rows)
     bound = chosen.agg(F.max("order").alias("last")).first()["last"]
     sample = usable.where(F.xxhash64(F.col(id_col).cast("long")) <= F.lit(bound)).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
+    scratch = Scratch(spark)
+    sample = scratch.save(sample, "sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n0 or not n1:
@@ -195,6 +198,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     used = np.zeros(SIZE, dtype=bool)
     used[kept] = True
     table = sample.mapInArrow(_used_features(spark.sparkContext.broadcast(used)), "label int, features array<int>").toArrow()
+    scratch.drop("sample")
     y = table["label"].to_numpy().astype(float)
     lists = table["features"].combine_chunks()
     features = np.searchsorted(kept, lists.flatten().to_numpy())
@@ -251,8 +255,14 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows that may be learned from, one label a doc_id."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    one = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most max_rows labelled documents that may be learned from, one label a doc_id.
+
+    They are chosen by their ids alone, as `fit` does; the texts then meet a list of so
+    many ids, which is small enough for every executor, and are not shuffled.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    one = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
+    present = one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
