@@ -162,6 +162,8 @@ def _scan_needed_sets(width: int, needed):
                         done.add((cls, doc_ids[row]))
                         out[0].append(cls)
                         out[1].append(shingles.view(np.int64))
+            if len(done) > 1_000_000:  # only spares rows that repeat an id: what comes twice is made one again after the join
+                done = set()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["cls", "shingles"])
 
     return scan

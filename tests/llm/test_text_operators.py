@@ -139,6 +139,11 @@ def test_quality_counts_equal_plain_counts(docs):
         assert not (r.kept and r.base_failed)
 
 
+def test_measuring_runs_no_python(docs, tmp_path):
+    plan = quality.measure(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "Exchange" not in plan
+
+
 def test_divergence_drops_a_text_unlike_its_language(spark):
     import random
 
@@ -200,6 +205,30 @@ def test_prefix_index_finds_what_full_comparison_finds():
         assert set(license_scan.contained(block, index)) == want
 
 
+def test_toxicity_score_equals_the_plain_sum():
+    import numpy as np
+
+    weights = np.zeros(toxicity.SIZE, dtype=np.float32)
+    rnd = np.random.default_rng(1)
+    at = rnd.integers(toxicity.SIZE, size=toxicity.SIZE // 3)
+    weights[at] = rnd.standard_normal(len(at)) / 20
+    model, mask = toxicity.Model(weights, -0.3), (1 << 32) - 1
+
+    def bucket(gram):  # the rolling hash of one n-gram, said for one gram
+        h = 0
+        for c in gram:
+            code = ((ord(c) + 1) * 0x9E3779B1) & mask
+            h = (h * 0x85EBCA6B + (code ^ (code >> 15))) & mask
+        return ((((h ^ (h >> 13)) * 0xC2B2AE35) + len(gram)) & mask) >> (32 - toxicity.HASH_BITS)
+
+    texts = ["Some words, here!", "", None, "x", "ação — é dreadful", "same same same same"]
+    for text, got in zip(texts, toxicity.score_texts(texts, model), strict=True):
+        plain = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        grams = {plain[i : i + n] for n in toxicity.LENGTHS for i in range(len(plain) - n + 1)}
+        total = sum(float(weights[b]) for b in {bucket(g) for g in grams}) - 0.3
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-6
+
+
 def test_toxicity_learns_and_generalises(spark):
     import random
 
