@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Rows are cut into chunks of about this many bytes; one longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
