@@ -26,7 +26,7 @@ ORDERS, BLOCK = 8, 128
 #: The rounds end when one changes no more than this share of the list entries.
 LEAST_CHANGE = 0.01
 #: Nodes that a search keeps, and of those the nearest that it expands: it ends when they all are.
-BEAM, EXPANDED = 96, 80
+BEAM, EXPANDED = 128, 112
 #: Vectors in a block of the exact pass; bits of a sorted order; candidates that a task holds before it keeps the best of each node.
 EXACT_BLOCK, PLANES, HELD = 1024, 24, 1 << 19
 EDGES = "id long, nbr long, sim float, fresh boolean"
