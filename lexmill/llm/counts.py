@@ -13,7 +13,7 @@ SCHEMA = "block int, counts binary"
 
 def packed(counts: np.ndarray) -> list[bytes]:
     """A vector as BLOCKS compressed blocks; its length is a multiple of BLOCKS."""
-    return [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(counts.astype(np.int64), BLOCKS)]
+    return [pa.compress(x.astype(np.int64).tobytes(), codec="zstd", asbytes=True) for x in np.split(counts, BLOCKS)]
 
 
 def _unpacked(block: bytes, size: int) -> np.ndarray:

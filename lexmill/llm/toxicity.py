@@ -27,7 +27,7 @@ SIZE = 1 << HASH_BITS
 #: At most this many labelled rows are fitted on: those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
 #: The model's size: so many features at most, those with the strongest evidence.
-FEATURES = 16_384
+FEATURES = 8_192
 #: The least likelihood-ratio statistic of an n-gram that is kept, and the fewest texts that hold it.
 LEAST_EVIDENCE, LEAST_TEXTS = 8.0, 5
 #: A text is predicted toxic from this score on.
@@ -94,7 +94,7 @@ def distinct_features(texts: list[str | None], used: np.ndarray | None = None):
 
 def _count_classes(batches):
     """Texts of each label that hold a feature: two vectors, after the numbers of texts of each label."""
-    sums = np.zeros((2, SIZE), dtype=np.int64)
+    sums = np.zeros((2, SIZE), dtype=np.int32)
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for at in range(0, batch.num_rows, 200):
@@ -135,16 +135,27 @@ def evidence(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_nega
     )
 
 
-def logistic_regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, n_columns: int, ridge: float = 1.0, steps: int = 100, memory: int = 10):
-    """Weights and bias on sparse features, by the limited-memory quasi-Newton method: a step costs two passes over the features."""
-    theta, n = np.zeros(n_columns + 1), len(y)
+def logistic_regression(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100, memory: int = 10):
+    """Weights and bias for rows that list their features, each of which counts as its scale.
+
+    A limited-memory quasi-Newton method; a step costs two passes over the lists, block by
+    block, so that nothing of the size of all of them is made besides.
+    """
+    theta = np.zeros(len(scale) + 1)
     theta[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    blocks = [(at, np.concatenate(lists[at : at + 1000]), np.array([len(x) for x in lists[at : at + 1000]])) for at in range(0, len(lists), 1000)]
 
     def loss(theta):
-        z = np.bincount(rows, values * theta[columns], minlength=n) + theta[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        slope = np.append(np.bincount(columns, values * error[rows], minlength=n_columns) + ridge * theta[:-1], error.sum())
-        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * theta[:-1] @ theta[:-1], slope
+        weight, value, slope = theta[:-1] * scale, ridge / 2 * theta[:-1] @ theta[:-1], np.append(ridge * theta[:-1], 0.0)
+        for at, columns, sizes in blocks:
+            ends = np.cumsum(sizes)
+            sums = np.append(0.0, np.cumsum(weight[columns]))
+            z, own = sums[ends] - sums[ends - sizes] + theta[-1], y[at : at + len(sizes)]
+            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - own
+            value += np.logaddexp(0, z).sum() - own @ z
+            slope[:-1] += np.bincount(columns, np.repeat(error, sizes), minlength=len(scale)) * scale
+            slope[-1] += error.sum()
+        return value, slope
 
     value, slope = loss(theta)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -152,12 +163,12 @@ def logistic_regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarra
         if np.abs(slope).max() < 1e-3:
             break
         way, kept = -slope, []
-        for moved, turned, scale in reversed(past):
-            kept.append(moved @ way * scale)
+        for moved, turned, factor in reversed(past):
+            kept.append(moved @ way * factor)
             way = way - kept[-1] * turned
         way = way * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(slope).max()))
-        for (moved, turned, scale), k in zip(past, reversed(kept), strict=True):
-            way = way + (k - turned @ way * scale) * moved
+        for (moved, turned, factor), k in zip(past, reversed(kept), strict=True):
+            way = way + (k - turned @ way * factor) * moved
         length = 1.0
         while True:
             new, (new_value, new_slope) = theta + length * way, loss(theta + length * way)
@@ -171,6 +182,19 @@ def logistic_regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarra
     return theta[:-1], theta[-1]
 
 
+def strongest(by_label: np.ndarray, n_positive: int, n_negative: int, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """(features with enough evidence, at most so many; their log-count ratios) from the counts of other and toxic texts, a slice at a time."""
+    found = []
+    for at in range(0, by_label.shape[1], 1 << 18):
+        negative, positive = (by_label[y, at : at + (1 << 18)].astype(float) for y in (0, 1))
+        strength = evidence(positive, negative, n_positive, n_negative)
+        own = np.flatnonzero((positive + negative >= LEAST_TEXTS) & (strength > LEAST_EVIDENCE))
+        found.append((own + at, strength[own], log_count_ratios(positive[own], negative[own], n_positive, n_negative)))
+    features, strength, ratio = (np.concatenate(c) for c in zip(*found, strict=True))
+    kept = np.sort(np.argsort(-strength, kind="stable")[:most])
+    return features[kept], ratio[kept]
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> Model:
     """Fit on at most max_rows labelled texts, those with the smallest hash of their id.
 
@@ -190,22 +214,19 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Model(np.zeros(SIZE, dtype=np.float32), float(np.log(share / (1 - share))))
     by_label = counts.total(sample.mapInArrow(_count_classes, counts.SCHEMA), 2 * SIZE).reshape(2, SIZE)
-    ratio = log_count_ratios(by_label[1], by_label[0], n1, n0)
-    strength = evidence(by_label[1], by_label[0], n1, n0)
-    strength[by_label.sum(axis=0) < LEAST_TEXTS] = 0
-    kept = np.argsort(-strength, kind="stable")[:FEATURES]
-    kept = np.sort(kept[strength[kept] > LEAST_EVIDENCE])
+    kept, ratio = strongest(by_label, n1, n0)
+    del by_label
     used = np.zeros(SIZE, dtype=bool)
     used[kept] = True
     table = sample.mapInArrow(_used_features(spark.sparkContext.broadcast(used)), "label int, features array<int>").toArrow()
     scratch.drop("sample")
+    place = np.zeros(SIZE, dtype=np.int32)
+    place[kept] = np.arange(len(kept))
     y = table["label"].to_numpy().astype(float)
-    lists = table["features"].combine_chunks()
-    features = np.searchsorted(kept, lists.flatten().to_numpy())
-    rows = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths().fill_null(0)))
-    w, bias = logistic_regression(rows, features, ratio[kept][features], y, len(kept))
+    lists = [place[x.values.to_numpy()] if x.is_valid else place[:0] for x in table["features"]]
+    w, bias = logistic_regression(lists, ratio, y)
     weights = np.zeros(SIZE, dtype=np.float32)
-    weights[kept] = w * ratio[kept]
+    weights[kept] = w * ratio
     return Model(weights, float(bias))
 
 
