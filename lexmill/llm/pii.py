@@ -8,7 +8,6 @@ on the source and on the plain form; a hit there is mapped back through the span
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from bisect import bisect_left
