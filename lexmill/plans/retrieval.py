@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import answers, history, index, search
-from lexmill.plans.queries import _DIST, _LAW, P, _vectors, as_law, register, table
+from lexmill.plans.queries import _DIST, _LAW, P, as_law, register, table
 
 # Chunks, documents and articles behind the vectors: chunk vec_id holds the text of doc_id = vec_id, its document is the label.
 
