@@ -1,11 +1,11 @@
-"""Registered queries of this package: op1 to op10, each over its whole table."""
+"""Registered queries of this package: op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, html_text, jaccard_join, license_scan, neighbours, packing, pii, quality, sql, substring_dedup, toxicity
+from lexmill.llm import bpe, html_text, jaccard_join, license_scan, neighbours, packing, pii, quality, secret_scan, sql, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the base patterns of op4 alone find, which SQL can say too."""
     found = pii.span_digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
@@ -74,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_nn_descent, op3_recompression_dedup, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op8_best_fit_packing, op9_license_scan, op10_toxicity,
-        personal_data_counts,
+        op11_secret_scan, personal_data_counts,
     )
 }
 #: The others cannot be said in SQL: a graph search, spans of a transducer, page text, a vocabulary's merges, packing and a trained model; tests hold them against plain versions.
@@ -83,5 +87,6 @@ ORACLES = {
     "op3_recompression_dedup": sql.REPEATED_PASSAGES,
     "op5_quality_divergence": sql.quality_divergence(),
     "op9_license_scan": sql.license_blocks(),
+    "op11_secret_scan": sql.secrets(),
     "personal_data_counts": sql.PERSONAL_DATA_COUNTS,
 }

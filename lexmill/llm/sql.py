@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import license_scan, quality
+from lexmill.llm import license_scan, quality, secret_scan
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -98,3 +98,24 @@ hit AS (SELECT doc_id, label, count(*) / m AS share FROM bw JOIN tw USING (x) GR
 more AS (SELECT doc_id, label, share FROM hit UNION ALL SELECT doc_id, label, 1.0 FROM ph),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM more GROUP BY doc_id)
 SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(al.labels, '') AS labels, coalesce(al.score, 0.0) AS score FROM dw LEFT JOIN b USING (doc_id) LEFT JOIN al USING (doc_id)"""
+
+
+def secrets() -> str:
+    """Starts follow from the lengths of the matches and of what lies between them."""
+
+    def listed(rank: str, kind: str, pattern: str, least: int) -> str:
+        return rf"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, a AS "start", a + length(m) AS "end" FROM (
+    SELECT doc_id, m, tail, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS a FROM (
+      SELECT doc_id, unnest(x) AS m, unnest(tails) AS tail, unnest(gaps[1:len(x)]) AS gap, generate_subscripts(x, 1) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS x, regexp_extract_all(t, '{pattern}', 1) AS tails, string_split_regex(t, '{pattern}') AS gaps FROM d))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(tail) >= {least}"""
+
+    found = " UNION ALL ".join(
+        listed(str(k), r.kind, _quoted(f"(?:{r.head.replace('(', '(?:')})({r.tail}+)"), r.least) for k, r in enumerate(secret_scan.RULES)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    one = """kind || ':' || "start" || ':' || "end\""""
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS n_{r.kind}" for r in secret_scan.BASE)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+g AS (SELECT doc_id, {counts}, string_agg({one}, ',' ORDER BY "start", rank) FILTER (kind IN ({base})) AS base, string_agg({one}, ',' ORDER BY "start", rank) AS spans, count(*) FILTER (kind NOT IN ({base})) AS n_added FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added FROM d LEFT JOIN g USING (doc_id)"""
