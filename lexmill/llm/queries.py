@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, html_text, jaccard_join, license_scan, neighbours, packing, pii, quality, secret_scan, sql, substring_dedup, toxicity, whitening
+from lexmill.llm import bpe, conversations, html_text, jaccard_join, license_scan, neighbours, packing, pii, quality, secret_scan, sql, substring_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit_table(conversations.with_faults_injected(_table(spark, sf_dir, "conversations")))
+
+
 def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return whitening.transform(vectors, whitening.fit(vectors))
@@ -83,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_nn_descent, op3_recompression_dedup, op4_pii_deobfuscation, op5_quality_divergence, op6_html_tag_paths, op7_bpe_trie, op8_best_fit_packing, op9_license_scan, op10_toxicity,
-        op11_secret_scan, op13_qdwh_whitening, personal_data_counts,
+        op11_secret_scan, op12_conversation_repair, op13_qdwh_whitening, personal_data_counts,
     )
 }
 #: The others cannot be said in SQL: a graph search, spans of a transducer, page text, a vocabulary's merges, packing and a trained model; tests hold them against plain versions.
@@ -93,5 +97,6 @@ ORACLES = {
     "op5_quality_divergence": sql.quality_divergence(),
     "op9_license_scan": sql.license_blocks(),
     "op11_secret_scan": sql.secrets(),
+    "op12_conversation_repair": sql.conversation_repair(),
     "personal_data_counts": sql.PERSONAL_DATA_COUNTS,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import license_scan, quality, secret_scan
+from lexmill.llm import conversations, license_scan, quality, secret_scan
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -119,3 +119,48 @@ def secrets() -> str:
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
 g AS (SELECT doc_id, {counts}, string_agg({one}, ',' ORDER BY "start", rank) FILTER (kind IN ({base})) AS base, string_agg({one}, ',' ORDER BY "start", rank) AS spans, count(*) FILTER (kind NOT IN ({base})) AS n_added FROM f GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def conversation_repair() -> str:
+    """Costs, edits and results of every suffix of a conversation, from its end, as (c, a, r) for each grammar state."""
+    k, space = conversations, "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    none = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+    role = {"u": k.USER, "a": k.ASSISTANT}
+
+    def then(cost, letter, line, state):
+        return f"{{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a, 'r': {line} || {state}.r}}"
+
+    def edits(q):
+        to, own = f"s{k.NEXT[q]}", "chr(10) || role || ':' || text"
+        kept = f"WHEN i = '{k.NEEDS[q]}' THEN {then('stay', 'K', own, to)}" + (f" WHEN i = 's' THEN {then('stay', 'K', own, 's1')}" if q == 0 else "")
+        rerole = then(f"stay + {k.REROLE}", "R", f"chr(10) || '{role[k.NEEDS[q]]}:' || text", to)
+        return f"list_min([{then(k.DELETE, 'D', repr(''), f's{q}')}, CASE WHEN gone THEN {none} ELSE {rerole} END, CASE WHEN gone THEN {none} {kept} ELSE {none} END])"
+
+    def inserts(rows):
+        """Two rounds, as no more than two inserts follow one another."""
+        for _ in range(2):
+            options = ", ".join(f"list_min([e{q}, {then(k.INSERT, 'I', f'chr(10) || {role[k.NEEDS[q]] + chr(58)!r}', f's{k.NEXT[q]}')}]) AS s{q}" for q in range(4))
+            rows = f"SELECT * EXCLUDE (s0, s1, s2, s3), {options} FROM ({rows})"
+        return rows
+
+    def settled(rows):
+        return inserts(f"SELECT *, {', '.join(f'e{q} AS s{q}' for q in range(4))} FROM ({rows})")
+
+    last = ", ".join(f"{none if q not in k.FINAL else none.replace('1000000000', '0')} AS e{q}" for q in range(4))
+    states = ", ".join(f"s{q}" for q in range(4))
+    step = f"SELECT conv_id, n, {', '.join(f'{edits(q)} AS e{q}' for q in range(4))} FROM (SELECT x.conv_id, x.n, x.role, x.text, x.i, x.gone, x.stay, {', '.join(f'b.s{q}' for q in range(4))} FROM best b JOIN x ON x.conv_id = b.conv_id AND x.n = b.n + 1)"
+    bits = "flatten(list_transform(generate_series(1, length(name)), lambda p: [unicode(substr(name, p, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+k AS (SELECT *, xor(list_reduce({bits}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT), 4294967295) % 20 AS kind FROM t),
+d AS (SELECT conv_id, turn, copy, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, (VALUES (1), (2)) v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS i, right(rtrim(text, {space}), 1) AS shown, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again FROM o),
+x AS (SELECT *, shown = '' OR again AS gone, CASE WHEN shown NOT IN ('.', '!', '?') THEN {k.TRUNCATED} ELSE 0 END AS stay, lag(i) OVER w || i AS met, row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) AS n FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (shown = '') AS blank, count(*) FILTER (shown <> '' AND again) AS duplicate,
+  count(*) FILTER (NOT gone AND stay > 0) AS truncated, count(*) FILTER (met NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM x GROUP BY conv_id),
+best AS (SELECT conv_id, n, {states} FROM ({settled(f"SELECT DISTINCT conv_id, 0::BIGINT AS n, {last} FROM x")})
+  UNION ALL SELECT conv_id, n, {states} FROM ({settled(step)}))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(substr(s0.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g USING (conv_id) LEFT JOIN best b ON b.conv_id = g.conv_id AND b.n = g.n"""
