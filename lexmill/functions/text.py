@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from array import array
 from collections.abc import Callable
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,14 +145,37 @@ def _once(factory):
     return _built[factory]
 
 
-#: Longer texts are compared as far as this, the stated limit of a comparison; of texts more edits apart than the other
-#: limit, what lies between their common ends is one removal and one addition.
-DIFF_CHARS, DIFF_EDITS = 200_000, 4_000
-
-
-def _edit_path(x: list[str], y: list[str]) -> list[tuple[str, str]]:
-    """A shortest edit of x into y, found by the furthest end on each diagonal for a growing number of edits."""
-    most = min(len(x) + len(y), DIFF_EDITS)
+#: Texts are compared as far as this, the stated limit of a comparison. Lists of lines further apart than so many edits are
+#: halved first; columns of a comparison are worked through in blocks of so many bits.
+DIFF_CHARS, DIRECT_EDITS, BLOCK_BITS = 200_000, 400, 4_096
+
+
+def _common_lengths(x: list, y: list) -> np.ndarray:
+    """The length of a longest common subsequence of x and each beginning of y, 0 to all of it.
+
+    A row of the table is one integer whose unset bits are its steps up, so that a line of x
+    costs a few operations on integers; blocks of columns hand their carries on, a bit a line.
+    """
+    carries, grows = bytes(len(x)), []
+    for at in range(0, len(y), BLOCK_BITS):
+        own = y[at : at + BLOCK_BITS]
+        full, places = (1 << len(own)) - 1, {}
+        for k, line in enumerate(own):
+            places[line] = places.get(line, 0) | 1 << k
+        row, after = full, bytearray(len(x))
+        for k, line in enumerate(x):
+            met = row & places.get(line, 0)
+            total = row + met + carries[k]
+            after[k] = total >> len(own)
+            row = (total & full) | (row - met)
+        bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(own) // 8), "little"), dtype=np.uint8), bitorder="little")
+        grows.append(1 - bits[: len(own)].astype(np.int64))
+        carries = bytes(after)
+    return np.concatenate([[0], *grows]).cumsum()
+
+
+def _edit_path(x: list, y: list, most: int) -> list[tuple[str, str]]:
+    """A shortest edit of x into y, `most` edits long, found by the furthest end on each diagonal for a growing number of edits."""
     far, ends = [0] * (2 * most + 3), []
 
     def from_above(d, k, known, zero):
@@ -169,8 +194,6 @@ def _edit_path(x: list[str], y: list[str]) -> list[tuple[str, str]]:
         else:
             continue
         break
-    else:
-        return [*(("-", t) for t in x), *(("+", t) for t in y)]
     out, i, j = [], len(x), len(y)
     for d in range(len(ends) - 1, 0, -1):
         known, k = ends[d], i - j
@@ -190,6 +213,25 @@ def _edit_path(x: list[str], y: list[str]) -> list[tuple[str, str]]:
     return out[::-1]
 
 
+def _shortest_edit(x: list, y: list) -> list[tuple[str, str]]:
+    """A shortest edit of x into y in space linear in both: two halves of x meet two parts of y where their common lengths add up to the most.
+
+    Lists a few edits apart are compared at once; between unchanged lines, removals come first.
+    """
+    edits = len(x) + len(y) - 2 * int(_common_lengths(x, y)[-1])
+    if edits <= DIRECT_EDITS or not x or not y:
+        return _edit_path(x, y, edits)
+    if len(x) == 1:
+        at = y.index(x[0]) if x[0] in y else None
+        return [("-", x[0]), *(("+", t) for t in y)] if at is None else [*(("+", t) for t in y[:at]), ("=", x[0]), *(("+", t) for t in y[at + 1 :])]
+    half = len(x) // 2
+    cut = int((_common_lengths(x[:half], y) + _common_lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+    out: list[tuple[str, str]] = []
+    for unchanged, run in groupby(_shortest_edit(x[:half], y[:cut]) + _shortest_edit(x[half:], y[cut:]), lambda edit: edit[0] == "="):
+        out += run if unchanged else sorted(run, key=lambda edit: edit[0], reverse=True)
+    return out
+
+
 def _diff_lines(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """(op, line): "-" from a, "+" from b, "=" from both."""
     head = 0
@@ -198,7 +240,7 @@ def _diff_lines(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    middle = _edit_path(a[head : len(a) - tail], b[head : len(b) - tail])
+    middle = _shortest_edit(a[head : len(a) - tail], b[head : len(b) - tail])
     return [*(("=", t) for t in a[:head]), *middle, *(("=", t) for t in a[len(a) - tail :])]
 
 

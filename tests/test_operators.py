@@ -275,6 +275,32 @@ def test_a_shortest_edit():
     assert [op for op, _ in text._diff_lines(list("abcabba"), list("cbabac"))].count("=") == 4
 
 
+def test_line_diff_is_shortest_at_every_size(monkeypatch):
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, before = [0], row
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[-1]))
+        return row
+
+    rnd = random.Random(1)
+    for _ in range(150):
+        a, b = ([rnd.randrange(rnd.choice((2, 4, 30))) for _ in range(rnd.randrange(40))] for _ in "ab")
+        monkeypatch.setattr(text, "BLOCK_BITS", rnd.choice((3, 8, 64)))
+        assert text._common_lengths(a, b).tolist() == common(a, b)
+        for limit in (0, 3, 1_000):
+            monkeypatch.setattr(text, "DIRECT_EDITS", limit)
+            edits = text._diff_lines(a, b)
+            assert [t for op, t in edits if op != "+"] == a and [t for op, t in edits if op != "-"] == b
+            assert sum(op == "=" for op, _ in edits) == common(a, b)[-1]
+
+
+def test_line_diff_of_many_edits():
+    a, b = ([f"{side}{i}" if i % 2 else f"both {i}" for i in range(9_000)] for side in "ab")
+    assert sum(op == "=" for op, _ in text._diff_lines(a, b)) == 4_500
+
+
 def test_article_offsets_follow_each_other(spark):
     docs = spark.createDataFrame([(1, "Sumário Art. 1 x Art. 1º y ARTIGO 2 z Art 10 w"), (2, None)], "document_id long, text string")
     arts = spark.createDataFrame([(1, "a", 0, "1"), (1, "b", 1, "1"), (1, "c", 2, "2"), (1, "d", 3, "1"), (1, "e", 4, "10"), (2, "f", 0, "1")], "document_id long, article_id string, article_index int, number string")
