@@ -67,8 +67,8 @@ def search_articles(queries: DataFrame, articles: DataFrame, documents: DataFram
     """(query_id, document_id, article_index, rank, label, excerpt): articles whose label, number, full text or document name holds the query.
 
     articles (document_id, article_index, label, number, caput, full_text), documents
-    (document_id, name). Each query is joined on its rarest gram, then tested; a text that
-    holds several queries comes out once for each.
+    (document_id, name). Each text is read once for all queries; one that holds several
+    comes out once for each.
     """
     q = _asked(queries)
     own = articles.select("document_id", "article_index", F.lower(F.concat_ws("\n", "label", "number", "full_text")).alias("low"))
@@ -82,9 +82,9 @@ def search_articles(queries: DataFrame, articles: DataFrame, documents: DataFram
 def manual_search(queries: DataFrame, documents: DataFrame, limit: int = 30) -> DataFrame:
     """(query_id, document_id, rank, excerpt): documents whose text holds the query, in any case but with its accents."""
     q = _asked(queries)
-    hits = contained(q, documents.select("document_id", F.lower("text").alias("low")), "q", "low", ["document_id"])
-    hits = hits.join(q, "q").select("query_id", "document_id").distinct()
-    return _first(hits, ["document_id"], limit).join(documents.select("document_id", F.substring("text", 1, 240).alias("excerpt")), "document_id")
+    own = documents.select("document_id", F.substring("text", 1, 240).alias("excerpt"), F.lower("text").alias("low"))
+    hits = contained(q, own, "q", "low", ["document_id", "excerpt"]).join(q, "q").select("query_id", "document_id", "excerpt")
+    return _first(hits.distinct(), ["document_id"], limit)
 
 
 def retrieval_log(stages: dict[str, DataFrame], scored_stage: str) -> DataFrame:

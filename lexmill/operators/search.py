@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,12 @@ from pyspark.sql.window import Window
 
 from lexmill.config import Patterns, Retrieval
 from lexmill.functions.text import fold
+from lexmill.sources.staged import staged
 
 #: Questions in a block, and floats of vectors in a block (4 MB): what a task compares at a time.
 QUESTION_BLOCK, VECTOR_FLOATS = 512, 1 << 20
+#: Characters of all texts looked for that every task may get at once: an automaton of some 100 MB.
+BROADCAST_CHARS = 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -169,30 +173,69 @@ def _with_grams(df: DataFrame, text: str, n: int) -> DataFrame:
     return spelled.withColumn("gram", F.explode(F.array_distinct(F.filter(gram, lambda g: g.isNotNull() & (F.length(g) == n))))).drop("__c")
 
 
-def contained(shorter: DataFrame, longer: DataFrame, inner: str, outer: str, keys: list[str] | None = None, size: int = 4) -> DataFrame:
+def _held_patterns(patterns: list[str], keys: int, schema: str):
+    """The distinct patterns that each text of a batch holds, with its keys, by one automaton for all of them."""
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for k, pattern in enumerate(patterns):
+            automaton.add_word(pattern, k)
+        automaton.make_automaton()
+        known = pa.array(patterns, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                held = [{k for _, k in automaton.iter(t)} for t in part.column(keys).to_pylist()]
+                if any(held):
+                    rows = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
+                    inner = known.take(pa.array([k for h in held for k in sorted(h)], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([inner, *(part.column(c).take(rows) for c in range(keys))], names=schema)
+
+    return run
+
+
+def contained(shorter: DataFrame, longer: DataFrame, inner: str, outer: str, keys: list[str] | None = None, size: int = 4, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Distinct (inner, keys) where the outer text of the row with those keys holds the inner one (both not empty).
 
-    keys name the rows of `longer`; without them the outer text names itself. An inner text
-    is looked for by the one of its grams that fewest inner texts have, so a start that most
-    of them share is never the key of a join. Texts give keys and grams alone to that join,
-    which stays where the texts are read while the inner side is small enough to be
-    broadcast (Spark checks that); only rows that hold the gram are read again and compared.
+    keys name the rows of `longer`; without them the outer text names itself. While the inner
+    texts have no more than `broadcast_chars` characters together (they are counted first),
+    every task gets all of them as one automaton, so that each outer text is read once, where
+    it lies, and gives a row for each inner text it holds. More of them are joined by their
+    rarest grams.
     """
     keys = keys or [outer]
-    a = shorter.select(F.col(inner).alias("inner")).where("inner <> ''").distinct()
+    inside = staged(shorter.select(F.col(inner).alias("inner")).where("inner <> ''").distinct())
+    total = inside.agg(F.coalesce(F.sum(F.length("inner") + 1), F.lit(0))).first()[0]
+    if total > broadcast_chars:
+        return _contained_by_grams(inside, longer, inner, outer, keys, size)
+    patterns = [r[0] for r in inside.collect()]
+    texts = longer.select(*(F.col(c).alias(f"k{k}") for k, c in enumerate(keys)), F.col(outer).alias("text")).where("text <> ''")
+    names = ["inner", *(f"k{k}" for k in range(len(keys)))]
+    schema = ", ".join(["inner string", *(f"k{k} {texts.schema[f'k{k}'].dataType.simpleString()}" for k in range(len(keys)))])
+    if not patterns:
+        found = texts.select(F.lit("").alias("inner"), *names[1:]).limit(0)
+    else:
+        found = texts.mapInArrow(_held_patterns(patterns, len(keys), names), schema)
+    return found.select(F.col("inner").alias(inner), *(F.col(f"k{k}").alias(c) for k, c in enumerate(keys))).distinct()
+
+
+def _contained_by_grams(inside: DataFrame, longer: DataFrame, inner: str, outer: str, keys: list[str], size: int) -> DataFrame:
+    """`contained` for inner texts without bound: each is looked for by the one of its grams that fewest of them have.
+
+    A start that most of them share is thus never the key of the join. Texts give keys and
+    grams to it; the rows that hold the gram meet their texts again and are compared.
+    """
     b = longer.select(*dict.fromkeys([*keys, outer])).where(F.col(outer) != "")
     if keys == [outer]:
         b = b.distinct()
     found = None
     # Texts shorter than a gram are grams themselves; at most `size` numbers come to the driver.
-    for n in sorted(r[0] for r in a.select(F.least(F.length("inner"), F.lit(size))).distinct().collect()):
-        own = _with_grams(a.where(F.length("inner") >= size if n == size else F.length("inner") == n), "inner", n)
+    for n in sorted(r[0] for r in inside.select(F.least(F.length("inner"), F.lit(size))).distinct().collect()):
+        own = _with_grams(inside.where(F.length("inner") >= size if n == size else F.length("inner") == n), "inner", n)
         rare = own.groupBy("gram").agg(F.count("*").alias("holders"))
-        key = own.join(rare, "gram").groupBy("inner").agg(F.min_by("gram", F.struct("holders", "gram")).alias("gram"))
+        key = staged(own.join(rare, "gram").groupBy("inner").agg(F.min_by("gram", F.struct("holders", "gram")).alias("gram")))
         met = _with_grams(b, outer, n).select(*keys, "gram").join(key, "gram").select("inner", *keys)
         found = met if found is None else found.unionByName(met)
-    if found is None:
-        return shorter.select(inner).join(longer.select(*keys), F.lit(False))  # no inner text at all
     if keys != [outer]:
         found = found.distinct().join(b, keys)
     return found.where(F.contains(outer, F.col("inner"))).select(F.col("inner").alias(inner), *keys).distinct()
@@ -203,12 +246,13 @@ def match_references(references: DataFrame, names: DataFrame) -> DataFrame:
 
     They match if one contains the other, if they share a number of four digits or more
     (dots left out), or if at least 40 % of the name's words of four letters and more occur
-    in the reference. All three are equi-joins on rare keys: numbers; the rarest gram of
-    the contained text; and as many of the name's rarest words as must hold one of the
-    shared ones, after which the whole lists are compared.
+    in the reference. The first is a scan, the others are equi-joins on
+    rare keys: numbers, and as many of the name's rarest words as must hold one of the
+    shared ones, after which the whole lists are compared. Both sides are written once, as
+    every branch reads them.
     """
-    refs = references.select("ref").where("ref <> ''").distinct()
-    docs = names.select("document_id", "name").where("name <> ''").distinct()
+    refs = staged(references.select("ref").where("ref <> ''").distinct())
+    docs = staged(names.select("document_id", "name").where("name <> ''").distinct())
     texts = docs.select("name").distinct()
     rn = refs.select("ref", F.explode(_numbers(F.col("ref"))).alias("n"))
     by_number = rn.join(texts.select("name", F.explode(_numbers(F.col("name"))).alias("n")), "n").select("ref", "name")
@@ -235,7 +279,8 @@ def cross_references(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     documents (document_id, document_name). Documents of the candidate set are left out; of
     a document and reference the first stays, in the order of chunk and candidate.
     """
-    named = candidates.select("question_id", "ord", "document_name", "article_label", F.posexplode("refs").alias("pos", "reference")).withColumn("ref", fold("reference"))
+    candidates = staged(candidates)
+    named = staged(candidates.select("question_id", "ord", "document_name", "article_label", F.posexplode("refs").alias("pos", "reference")).withColumn("ref", fold("reference")))
     folded = documents.select("document_id", fold("document_name").alias("name"))
     pairs = match_references(named.select("ref"), folded)
     origin = F.struct("ord", "pos", F.col("document_name").alias("origin_document"), F.col("article_label").alias("origin_article"))

@@ -327,8 +327,22 @@ def test_containment_with_many_equal_starts(spark):
     names = [f"lei municipal numero {k} de {k % 7}" for k in range(300)] + ["ab", "x", "lei"]
     texts = [f"ver lei municipal numero {k} de {k % 7} e outras" for k in range(0, 300, 3)] + ["xyz", "cab"]
     inner, outer = spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {(r.n, r.t) for r in search.contained(inner, outer, "n", "t").collect()}
-    assert got == {(n, t) for n in names for t in texts if n in t}
+    for limit in (search.BROADCAST_CHARS, 100):  # one automaton for all, or a join by grams
+        got = [(r.n, r.t) for r in search.contained(inner, outer, "n", "t", broadcast_chars=limit).collect()]
+        assert sorted(got) == sorted((n, t) for n in names for t in texts if n in t)
+    assert search.contained(inner.where("n = ''"), outer, "n", "t").count() == 0
+
+
+def test_texts_are_read_once_and_where_they_lie(spark):
+    texts = spark.createDataFrame([(k, f"é lei {k} plano" if k % 3 else None) for k in range(50)], "document_id long, text string")
+    asked = spark.createDataFrame([(1, " Plano "), (2, "LEI 4"), (3, ""), (4, "lei 4")], "query_id long, query string")
+    found = history.manual_search(asked, texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") == 2 and plan.count("MapInArrow") == 1  # documents and queries once, no grams
+    got = {(r.query_id, r.document_id) for r in found.collect()}
+    low = {k: f"é lei {k} plano" for k in range(50) if k % 3}
+    want = {q: [k for k, t in low.items() if x in t][:30] for q, x in ((1, "plano"), (2, "lei 4"), (4, "lei 4"))}
+    assert got == {(q, k) for q, ks in want.items() for k in ks}
 
 
 def test_reference_matching_equals_the_rule(spark):
