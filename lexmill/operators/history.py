@@ -182,10 +182,10 @@ def law_navigation(tree: DataFrame) -> DataFrame:
     return rows.select("doc_id", "ord", F.coalesce("own.type", F.lit("DOCUMENT")).alias("level"), F.coalesce("own.label", F.lit("")).alias("label"), F.coalesce("own.title", F.lit("")).alias("title"), F.transform("a", lambda x: x["label"]).alias("articles"))
 
 
-def article_viewer(tree: DataFrame, full_texts: DataFrame, chunks: DataFrame, figures: DataFrame) -> DataFrame:
+def article_viewer(tree: DataFrame, chunks: DataFrame, figures: DataFrame) -> DataFrame:
     """Each article with its headings, full text, nested parts, chunk ids by part, figures by page, and status and enrichment of its first chunk.
 
-    tree and full_texts are those of `lexer`; chunks (doc_id, article_idx, chunk_id, part,
+    tree is that of `lexer`, best a written one (`staged`), as two folds read it; chunks (doc_id, article_idx, chunk_id, part,
     content, enrichment with observacoes), figures (doc_id, article_idx, page, figure_index, figure_id).
     """
     from lexmill.operators import lexer
@@ -194,12 +194,12 @@ def article_viewer(tree: DataFrame, full_texts: DataFrame, chunks: DataFrame, fi
     section = lambda s: F.concat(s["artigos"], F.flatten(F.transform(s["subsecoes"], lambda u: u["artigos"])))
     chapter = lambda c: F.concat(c["artigos"], F.flatten(F.transform(c["secoes"], section)))
     nested = law.select("doc_id", F.posexplode(F.concat("law.artigos", F.flatten(F.transform("law.capitulos", chapter)))).alias("nth", "a"))
-    heads = lexer.articles_of(tree).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
+    heads = lexer.articles_with_texts(tree).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
     pieces = chunks.groupBy("doc_id", F.col("article_idx").alias("idx")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"), F.min_by(F.struct("content", "enrichment"), F.struct("part", "chunk_id")).alias("first")
     )
     shown = figures.groupBy("doc_id", F.col("article_idx").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "figure_index", "figure_id"))), lambda x: x["figure_id"]).alias("figure_ids"))
-    df = heads.join(nested, ["doc_id", "nth"]).join(full_texts, ["doc_id", "idx"]).join(pieces, ["doc_id", "idx"], "left").join(shown, ["doc_id", "idx"], "left")
+    df = heads.join(nested, ["doc_id", "nth"]).join(pieces, ["doc_id", "idx"], "left").join(shown, ["doc_id", "idx"], "left")
     status = F.when(F.col("first").isNull(), "Vigente").otherwise(legal_status(fold(F.concat_ws(" ", F.coalesce("first.enrichment.observacoes", F.lit("")), "first.content"))))
     ids = lambda c: F.coalesce(c, F.array().cast("array<bigint>"))
     return df.select(

@@ -210,16 +210,18 @@ def _heading() -> Column:
     return F.concat_ws(" — ", F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("title"), F.lit("")))
 
 
-def articles_of(tree: DataFrame) -> DataFrame:
-    """(doc_id, idx, number, label, chapter, section, caput) of every article, in document order.
-
-    chapter and section are "label — title" of the open ones, the section the innermost.
-    """
+def _with_headings(tree: DataFrame) -> DataFrame:
+    """Adds chapter and section: "label — title" of the open ones, the section the innermost."""
     upto, kind = _upto("idx"), F.col("type")
-    df = tree.withColumns({
+    return tree.withColumns({
         "chapter": F.coalesce(_last(kind == "CAPITULO", _heading(), upto), F.lit("")),
         "section": F.when(F.col("section_idx").isNotNull(), _last(kind.isin("SECAO", "SUBSECAO"), _heading(), upto)).otherwise(""),
     })
+
+
+def articles_of(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, number, label, chapter, section, caput) of every article, in document order."""
+    df = _with_headings(tree)
     return df.where("type = 'ARTIGO'").select("doc_id", "idx", "number", "label", "chapter", "section", F.col("text").alias("caput"))
 
 
@@ -227,6 +229,10 @@ def articles(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     return articles_of(nodes(toks, p))
 
 
+def _body() -> Column:
+    return F.when(F.col("type") == "NOVA_REDACAO", F.concat(F.lit("Nova redação: "), "text")).otherwise(F.col("text"))
+
+
 def structure_of(tree: DataFrame) -> DataFrame:
     """(doc_id, idx, type, parent_idx, article_idx, label, body, ord) of what the law structure keeps in articles, notes and citations too.
 
@@ -234,27 +240,43 @@ def structure_of(tree: DataFrame) -> DataFrame:
     """
     kept = tree.where(F.col("kept") & F.col("type").isin("ARTIGO", "PARAGRAFO", "INCISO", "ALINEA", "ITEM", "OBSERVACAO", "NOVA_REDACAO", "REFERENCIA_LEGAL"))
     ord_ = F.row_number().over(Window.partitionBy("doc_id", "parent_idx", "type").orderBy("idx")) - 1
-    body = F.when(F.col("type") == "NOVA_REDACAO", F.concat(F.lit("Nova redação: "), "text")).otherwise(F.col("text"))
-    return kept.select("doc_id", "idx", "type", "parent_idx", "article_idx", "label", body.alias("body"), ord_.alias("ord"))
+    return kept.select("doc_id", "idx", "type", "parent_idx", "article_idx", "label", _body().alias("body"), ord_.alias("ord"))
 
 
 def structure(toks: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     return structure_of(nodes(toks, p))
 
 
-def full_texts(parts: DataFrame) -> DataFrame:
-    """(doc_id, idx, full_text) of articles: "label caput", a line for each part in document order, then the notes."""
+def _line() -> Column:
+    """A row's line in the full text of its article."""
     kind, label, body = F.col("type"), F.col("label"), F.col("body")
-    note = kind.isin("OBSERVACAO", "NOVA_REDACAO")
-    line = (
+    return (
         F.when(kind == "INCISO", F.concat(label, F.lit(" - "), body))
         .when(kind.isin("ALINEA", "ITEM"), F.concat(label, F.lit(" "), body))
-        .when(note, body)
+        .when(kind.isin("OBSERVACAO", "NOVA_REDACAO"), body)
         .otherwise(F.trim(F.concat(label, F.lit(" "), body)))
     )
-    listed = F.array_sort(F.collect_list(F.struct(note.alias("note"), F.col("idx").alias("i"), line.alias("line"))))
-    text = F.array_join(F.transform(listed, lambda x: x["line"]), "\n")
-    return parts.where("type <> 'REFERENCIA_LEGAL'").groupBy("doc_id", F.col("article_idx").alias("idx")).agg(text.alias("full_text"))
+
+
+def _joined_lines() -> Column:
+    """The lines of a group of rows in document order, notes last."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("type").isin("OBSERVACAO", "NOVA_REDACAO").alias("note"), F.col("idx").alias("i"), _line().alias("line"))))
+    return F.array_join(F.transform(listed, lambda x: x["line"]), "\n")
+
+
+def full_texts(parts: DataFrame) -> DataFrame:
+    """(doc_id, idx, full_text) of articles: "label caput", a line for each part in document order, then the notes."""
+    return parts.where("type <> 'REFERENCIA_LEGAL'").groupBy("doc_id", F.col("article_idx").alias("idx")).agg(_joined_lines().alias("full_text"))
+
+
+def articles_with_texts(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, number, label, chapter, section, caput, title, full_text): `articles_of` and `full_texts` with the document's title, by one aggregate over the tree."""
+    title = F.max(F.when(F.col("type") == "DOCUMENT", F.col("text"))).over(Window.partitionBy("doc_id"))
+    parts = _with_headings(tree).withColumn("document_title", title).where(F.col("kept") & F.col("type").isin("ARTIGO", "PARAGRAFO", "INCISO", "ALINEA", "ITEM", "OBSERVACAO", "NOVA_REDACAO"))
+    parts = parts.withColumn("body", _body())
+    own = F.first(F.when(F.col("type") == "ARTIGO", F.struct("number", "label", "chapter", "section", F.col("text").alias("caput"), F.col("document_title").alias("title"))), ignorenulls=True)
+    whole = parts.groupBy("doc_id", F.col("article_idx").alias("idx")).agg(own.alias("own"), _joined_lines().alias("full_text"))
+    return whole.select("doc_id", "idx", "own.*", "full_text")
 
 
 def chapters_of(tree: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lexmill.functions import text as T
 from lexmill.operators import chunking, history, lexer
 from lexmill.plans.queries import _PARENTS, _TOKEN_COUNT, _TOKENS, P, as_law, law_tokens, register, table
 from lexmill.sources import documents as sources
+from lexmill.sources.staged import staged
 from lexmill.streaming.intake import article_units
 
 _BY = (
@@ -269,14 +270,14 @@ def h14_law_navigation(spark, d):
   CASE WHEN h.idx % 3 > 0 THEN 'Vigente' WHEN h.idx % 2 = 0 THEN 'Possivelmente revogada' WHEN regexp_matches(strip_accents(lower(h.caput)), 'revogad') THEN 'Possivelmente revogada' WHEN regexp_matches(strip_accents(lower(h.caput)), 'nova redacao|redacao dada pel') THEN 'Alterada (nova redação)' ELSE 'Vigente' END AS status
   FROM hd h JOIN fullt f USING (doc_id, idx) JOIN i ON i.doc_id = h.doc_id AND i.ar = h.idx""")
 def h15_article_viewer(spark, d):
-    tree = law_tree(spark, d)
+    tree = staged(law_tree(spark, d))
     arts = lexer.articles_of(tree).select("doc_id", F.col("idx").alias("article_idx"), "caput")
     k = F.col("article_idx").cast("long")
     notes = F.named_struct(F.lit("observacoes"), F.when(k % 2 == 0, "REVOGADO").otherwise(""))
     both = arts.where(k % 3 == 0).select("doc_id", "article_idx", F.explode(F.array(F.lit(2), F.lit(1))).alias("part"), notes.alias("enrichment"), F.col("caput").alias("content"))
     chunks = both.withColumn("chunk_id", F.when(F.col("part") == 1, k + 1).otherwise(k))
     figures = arts.where(k % 2 == 0).select("doc_id", "article_idx", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.lit(0).alias("figure_index")).withColumn("figure_id", k + F.when(F.col("page") == 2, 7).otherwise(0))
-    done = history.article_viewer(tree, lexer.full_texts(lexer.structure_of(tree)), chunks, figures)
+    done = history.article_viewer(tree, chunks, figures)
     size = lambda c: F.size(c).cast("long")
     return done.select("doc_id", "idx", "number", "label", "chapter", "section", F.sha2("full_text", 256).alias("text_hash"), size("paragrafos").alias("paragraphs"), size("incisos").alias("incisos"), F.array_join("chunk_ids", ",").alias("chunk_ids"), F.array_join("figure_ids", ",").alias("figure_ids"), "status")
 
@@ -285,8 +286,7 @@ def h15_article_viewer(spark, d):
   a AS (SELECT h.doc_id, h.idx, h.label, h.caput, lower(h.label || chr(10) || h.number || chr(10) || f.full_text) AS low, lower('Lei ' || h.doc_id) AS name FROM hd h JOIN fullt f USING (doc_id, idx))
   SELECT query_id, doc_id AS document_id, idx AS article_index, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, idx) AS rank, label, substr(caput, 1, 240) AS excerpt FROM a, q WHERE q <> '' AND (contains(low, q) OR contains(name, q)) QUALIFY rank <= 30""")
 def h16_search_articles(spark, d):
-    tree = law_tree(spark, d)
-    arts = lexer.articles_of(tree).join(lexer.full_texts(lexer.structure_of(tree)), ["doc_id", "idx"]).select(F.col("doc_id").alias("document_id"), F.col("idx").alias("article_index"), "label", "number", "caput", "full_text")
+    arts = lexer.articles_with_texts(law_tree(spark, d)).select(F.col("doc_id").alias("document_id"), F.col("idx").alias("article_index"), "label", "number", "caput", "full_text")
     names = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("Lei "), "doc_id").alias("name"))
     words = F.split("text", " ", -1)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.lit(" "), F.coalesce(F.get(words, F.lit(2)), F.lit(""))).alias("query"))

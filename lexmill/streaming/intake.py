@@ -16,10 +16,7 @@ from lexmill.operators import chunking, index, lexer
 
 def article_units(tree: DataFrame) -> DataFrame:
     """Articles of `lexer.nodes` as the chunks' input: the lines of their full text after the first are the units."""
-    full = lexer.full_texts(lexer.structure_of(tree))
-    titles = tree.where("type = 'DOCUMENT'").select("doc_id", F.col("text").alias("title"))
-    named = lexer.articles_of(tree).join(full, ["doc_id", "idx"]).join(titles, "doc_id", "left")
-    return named.select("doc_id", "idx", "title", "chapter", "section", "label", F.split("full_text", "\n").alias("units"))
+    return lexer.articles_with_texts(tree).select("doc_id", "idx", "title", "chapter", "section", "label", F.split("full_text", "\n").alias("units"))
 
 
 def intake(stream: DataFrame, out: str, checkpoint: str, patterns: Patterns = Patterns(), cfg: Chunking = Chunking()) -> StreamingQuery:
