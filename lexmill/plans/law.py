@@ -163,8 +163,13 @@ def d6_article_offsets(spark, d):
 
 # Pages
 
-_PAGE = r"""pg0 AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?(</script\s*>|\z)', '', 'g'), '(?is)<style\b.*?(</style\s*>|\z)', '', 'g'), '(?is)<nav\b.*?(</nav\s*>|\z)', '', 'g') AS t FROM pages),
-pg1 AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?(-->|\z)', '', 'g'), '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|title|body|head|html)\b[^>]*>', chr(10), 'g'), '</?[A-Za-z!][^>]*>', '', 'g') AS t FROM pg0),
+_REST = """(?:"[^"]*"|''[^'']*''|[^"''>])*"""
+_PAGE = rf"""pg0 AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b{_REST}(?:>.*?(?:</script\s*>|\z)|.*\z)|<style\b{_REST}(?:>.*?(?:</style\s*>|\z)|.*\z)', '', 'g'),
+  '(?s)<(/?[A-Za-z][^\s>/"'']*){_REST}(?:>|["''].*\z|\z)', '<\1>', 'g') AS t FROM pages),
+pgm AS (SELECT page_id, url, unnest(list_concat([''], regexp_extract_all(t, '(?i)</?nav>'))) AS mark, unnest(string_split_regex(t, '(?i)</?nav>')) AS piece, generate_subscripts(string_split_regex(t, '(?i)</?nav>'), 1) AS i FROM pg0),
+pgd AS (SELECT *, sum(CASE WHEN mark = '' THEN 0 WHEN starts_with(mark, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS level FROM pgm),
+pgo AS (SELECT page_id, url, coalesce(string_agg(piece, '' ORDER BY i) FILTER (level = low), '') AS t FROM (SELECT *, least(0, min(level) OVER (PARTITION BY page_id ORDER BY i)) AS low FROM pgd) GROUP BY ALL),
+pg1 AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<![A-Za-z][^>]*>', '', 'g'), '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|title|body|head|html)>', chr(10), 'g'), '</?[A-Za-z][^\s>]*>', '', 'g') AS t FROM pgo),
 pg2 AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM pg1),
 pg AS (SELECT page_id, url, page_id // 5 AS doc, page_id % 5 + 1 AS page, regexp_replace(regexp_replace(t, '[ \t]*\n[ \t\n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pg2),
 off AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pg)

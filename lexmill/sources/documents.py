@@ -42,7 +42,7 @@ def register(files: DataFrame) -> DataFrame:
     """(document_id, name, type, size_bytes, status, engine, text) of uploads (document_id, name, mime, content, size_bytes, pasted)."""
     size = F.coalesce(F.octet_length("content"), F.col("size_bytes"), F.length("pasted"), F.lit(0)).cast("long")
     kind = detect_type(F.col("name"), F.col("mime"), F.col("pasted"))
-    body = F.decode("content", "UTF-8")
+    body = F.make_valid_utf8(F.col("content").cast("string"))  # what is no UTF-8 becomes U+FFFD
     text = F.when(kind == "PASTED", F.coalesce("pasted", F.lit(""))).when(kind.isin("TXT", "MARKDOWN"), body).when(kind == "HTML", html_to_text(body))
     engine = F
     for name, tag in ENGINES.items():
@@ -50,10 +50,27 @@ def register(files: DataFrame) -> DataFrame:
     return files.select("document_id", F.coalesce("name", F.lit("")).alias("name"), kind.alias("type"), size.alias("size_bytes"), F.lit("UPLOADED").alias("status"), engine.alias("engine"), text.alias("text"))
 
 
-#: Elements that go with all they hold; one left open goes to the end of the page.
-SKIPPED = ("script", "style", "nav")
 #: Elements whose tags stand for a line break.
 BLOCKS = ("p", "div", "br", "li", "ul", "ol", "h[1-6]", "tr", "table", "article", "section", "header", "footer", "title", "body", "head", "html")
+#: The rest of a tag: what stands in quotes ends no tag, and one left open goes to the end of the page.
+_REST = r"""(?:"[^"]*"|'[^']*'|[^"'>]++)*+"""
+_UNREAD = rf"(?is)<!--.*?(?:-->|\z)|<script\b{_REST}(?:>.*?(?:</script\s*>|\z)|.*\z)|<style\b{_REST}(?:>.*?(?:</style\s*>|\z)|.*\z)"
+_TAG = rf"(?s)<(/?[A-Za-z][^\s>/\"']*){_REST}(?:>|[\"'].*\z|\z)"
+_MENU = r"(?i)</?nav>"
+
+
+def _outside_menus(html: Column) -> Column:
+    """The text outside nav elements, which may hold others; one left open goes to the end of the page."""
+    marks = F.regexp_extract_all(html, F.lit(_MENU), 0)
+    pieces = F.split(html, _MENU)
+    start = F.struct(F.lit(0).alias("depth"), F.element_at(pieces, 1).alias("text"))
+
+    def step(s, x):
+        depth = F.when(F.startswith(x["mark"], F.lit("</")), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"] + 1)
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(s["text"], x["piece"])).otherwise(s["text"]).alias("text"))
+
+    after = F.zip_with(marks, F.slice(pieces, F.lit(2), F.size(marks)), lambda m, p: F.struct(m.alias("mark"), p.alias("piece")))
+    return F.when(html.rlike(_MENU), F.aggregate(after, start, step, lambda s: s["text"])).otherwise(html)
 
 
 @F.pandas_udf(StringType())
@@ -64,12 +81,11 @@ def decode_references(texts: pd.Series) -> pd.Series:
 
 def html_to_text(html: Column) -> Column:
     """Text of a page: blocks on lines of their own, link text without its target, no scripts, styles, menus or images."""
-    out = html
-    for name in SKIPPED:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b.*?(</{name}\s*>|\z)", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?(-->|\z)", "")
-    out = F.regexp_replace(out, rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"</?[A-Za-z!][^>]*>", "")
+    out = F.regexp_replace(html, _UNREAD, "")
+    out = F.regexp_replace(out, _TAG, "<$1>")  # from here on no tag has attributes
+    out = _outside_menus(F.regexp_replace(out, r"(?s)<![A-Za-z][^>]*>", ""))
+    out = F.regexp_replace(out, rf"(?i)</?({'|'.join(BLOCKS)})>", "\n")
+    out = F.regexp_replace(out, r"</?[A-Za-z][^\s>]*>", "")
     # Only texts that hold a reference travel to Python.
     out = F.coalesce(decode_references(F.when(F.contains(out, F.lit("&")), out)), out)
     out = F.regexp_replace(out, r"[ \t]*\n[ \t\n]*", "\n")

@@ -8,10 +8,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lexmill.config import Chunking, Patterns
 from lexmill.functions import text
 from lexmill.operators import chunking, index, lexer
+from lexmill.sources import files
+from lexmill.sources.staged import staged
+from lexmill.sources.tables import BucketTable
 
 
 def article_units(tree: DataFrame) -> DataFrame:
@@ -37,6 +41,57 @@ def intake(stream: DataFrame, out: str, checkpoint: str, patterns: Patterns = Pa
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+TOKENS = "document_id string, idx int, type string, text string, position long, line_no int"
+NODES = "document_id string, idx int, type string, depth int, parent_idx int, parent_type string, chapter_idx int, section_idx int, article_idx int, kept boolean, number string, label string, title string, text string, line_no int"
+CHUNKS = "document_id string, idx int, part int, total_parts int, content string, token_count long, char_count long, chunk_index int"
+
+
+def folder_tables(spark: SparkSession, out: str) -> dict[str, tuple[BucketTable, tuple[str, ...]]]:
+    """The tables below `out` and the columns that tell their rows of one document apart: documents, tokens, nodes, chunks."""
+    own = lambda name, ddl: BucketTable(spark, f"{out}/{name}", StructType.fromDDL(ddl), "document_id")
+    return {"documents": (files.documents_table(spark, out), ("name",)), "tokens": (own("tokens", TOKENS), ("idx",)), "nodes": (own("nodes", NODES), ("idx",)), "chunks": (own("chunks", CHUNKS), ("chunk_index",))}
+
+
+def _store(spark: SparkSession, documents: DataFrame, gone: DataFrame | None, out: str, patterns: Patterns, cfg: Chunking) -> None:
+    """Put documents and all that follows from their texts in place of what stands there of them, and of those that are gone.
+
+    The documents come last: a run that fails before that finds the same files changed again.
+    """
+    tables = {name: t for name, (t, _) in folder_tables(spark, out).items()}
+    cleaned = text.clean(documents.where("text is not null")).select(F.col("document_id").alias("doc_id"), F.col("cleaned").alias("text"))
+    toks = staged(lexer.tokens(lexer.lines(cleaned), patterns))
+    tree = staged(lexer.nodes(toks, patterns))
+    ids = documents.select("document_id")
+    ids = ids if gone is None else ids.unionByName(gone)
+    for name, rows in (("tokens", toks), ("nodes", tree), ("chunks", chunking.chunks(article_units(tree), cfg))):
+        tables[name].replace(rows.withColumnRenamed("doc_id", "document_id"), ids)
+    tables["documents"].replace(documents, gone)
+
+
+def refresh_folder(spark: SparkSession, folder: str, out: str, patterns: Patterns = Patterns(), cfg: Chunking = Chunking()) -> tuple[int, int]:
+    """Bring documents, tokens, nodes and chunks below `out` in step with a folder of files; returns how many documents came and went.
+
+    Files are told apart by path, time and size; only new and changed ones are read, and
+    only the buckets of their documents, and of those whose files are gone, are written again.
+    """
+    known = staged(files.documents_table(spark, out).read().select("document_id", "path", "modified", "size_bytes"))
+    changed, gone = files.changed_files(spark, folder, known)
+    documents, gone = staged(files.documents_of(changed)), staged(gone)
+    counts = documents.count(), gone.count()
+    if any(counts):
+        _store(spark, documents, gone, out, patterns, cfg)
+    return counts
+
+
+def intake_files(spark: SparkSession, folder: str, out: str, checkpoint: str, patterns: Patterns = Patterns(), cfg: Chunking = Chunking()) -> StreamingQuery:
+    """The same tables fed by a stream of a folder's new files; a batch that runs again replaces its own rows."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        _store(df.sparkSession, staged(files.documents_of(df)), None, out, patterns, cfg)
+
+    return files.stream_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 EMBEDDINGS = "chunk_id string, vector array<double>, dimension int, duration_ms long, hash string, model string, indexed boolean, indexed_at timestamp"
 
 

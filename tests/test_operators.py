@@ -246,6 +246,14 @@ def test_html_to_text(spark):
         ("<a href='u'>link</a> <b>bold<br>next", "link bold\nnext"),
         ("1 < 2 &amp;lt; 3", "1 < 2 &lt; 3"),
         ("x<script>never closed", "x"),
+        ("<nav><nav>in</nav>MENU</nav>after</nav>more", "aftermore"),
+        ("a<NAV class='x'>b<nav>c</nav>d", "a"),
+        ('<a title="a>b">t</a>', "t"),
+        ("<img alt='x>y'>z", "z"),
+        ('<a title="<nav>">kept</a><p title="</p>">p</p>', "kept\np"),
+        ("<!-- <script> -->seen<script src='a>b'>x</script>", "seen"),
+        ('left <b title="open>text', "left"),
+        ("<!DOCTYPE html><p>x</p>a <3 b", "x\na <3 b"),
         ("", ""),
     ]
     got = spark.createDataFrame([(c,) for c, _ in cases], "h string").select(documents.html_to_text(F.col("h"))).collect()
