@@ -3,7 +3,8 @@
 Text nodes are grouped by the tag path from the root. A path's ratio is the text per node
 on it, raised by the punctuation in that text; the ratios are smoothed over the page
 order, fused with the structure (which paths can be content at all), and cut at a
-threshold drawn from their own spread. The element that holds all selected nodes is the
+threshold drawn from their own spread; where a page marks its article, only paths inside it
+can be. The element that holds all selected nodes is the
 article: all of its text is kept but for what is marked as something else inside it. A class
 or id that names something else counts only where the ratios of the paths inside are lower
 than those of the text around, or far below the page's best.
@@ -187,6 +188,11 @@ def extract(source: str | None) -> str:
     """The main text of one page; empty where there is none."""
     page = _Page(source or "")
     texts = _without_named(page, [(e, html.unescape(t), new) for e, t, new in page.text])
+    within = [False] * len(page.tag)
+    for e in range(1, len(within)):
+        within[e] = page.tag[e] in ("article", "main") or within[page.parent[e]]
+    if any(within[e] and t.strip() for e, t, _ in texts):  # a page that marks its article has no content paths outside it
+        texts = [x for x in texts if within[x[0]]]
     seen = [(page.path[e], e, len(s), len(_PUNCTUATION.findall(s))) for e, t, _ in texts if (s := t.strip())]
     if not seen:
         return ""
@@ -195,9 +201,6 @@ def extract(source: str | None) -> str:
     by_path = np.bincount(path, scores) / np.maximum(np.bincount(path), 1)
     chosen = by_path >= min(SPREAD * scores.std(), by_path.max())
     held = np.zeros(len(page.tag))
-    within = [False] * len(page.tag)
-    for e in range(1, len(within)):
-        within[e] = page.tag[e] in ("article", "main") or within[page.parent[e]]
     for p, e, n in zip(path, element, length, strict=True):
         if chosen[p] or within[e] and page.tag[e] in HEADINGS:
             held[e] += n

@@ -1,10 +1,13 @@
 """BPE, personal data, quality, page text, licenses and toxicity, each against a plain version or known cases."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,3 +255,15 @@ def test_toxicity_learns_and_generalises(spark):
     assert toxicity.reject(table, model).count() >= 740
     alone = toxicity.fit(toxicity.training_rows(table.limit(0), labels))
     assert toxicity.score(table.limit(0), alone).count() == 0
+
+
+def test_every_given_page_is_its_article():
+    pages = Path("/root/testdata/sf0.01/pages.parquet")
+    if not pages.exists():
+        pytest.skip("no test tables here")
+    blocks = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|td|th|blockquote|pre|figure|figcaption)\b[^>]*>"
+    for row in pq.read_table(pages).to_pylist():
+        inside = re.search(r"<article[^>]*>(.*?)</article>", row["html"], re.DOTALL)[1]
+        inside = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "", inside)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(blocks, " ", inside))).split())
+        assert html_text.extract(row["html"]) == want, row["page_id"]
