@@ -24,10 +24,8 @@ from lexmill.llm.store import Scratch
 #: Size of the hashed feature space, and the lengths of the n-grams in characters.
 HASH_BITS, LENGTHS = 21, (4, 5, 6, 7)
 SIZE = 1 << HASH_BITS
-#: At most this many labelled rows are fitted on: those with the smallest hash of their id.
-MAX_FIT_ROWS = 20_000
-#: The model's size: so many features at most, those with the strongest evidence.
-FEATURES = 8_192
+#: At most this many labelled rows are fitted on, one an id: those with the smallest hash of their id.
+MAX_FIT_ROWS = 10_000
 #: The least likelihood-ratio statistic of an n-gram that is kept, and the fewest texts that hold it.
 LEAST_EVIDENCE, LEAST_TEXTS = 8.0, 5
 #: A text is predicted toxic from this score on.
@@ -182,30 +180,31 @@ def logistic_regression(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarra
     return theta[:-1], theta[-1]
 
 
-def strongest(by_label: np.ndarray, n_positive: int, n_negative: int, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """(features with enough evidence, at most so many; their log-count ratios) from the counts of other and toxic texts, a slice at a time."""
+def informative(by_label: np.ndarray, n_positive: int, n_negative: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all features with enough evidence, their log-count ratios) from the counts of other and toxic texts, a slice at a time."""
     found = []
     for at in range(0, by_label.shape[1], 1 << 18):
         negative, positive = (by_label[y, at : at + (1 << 18)].astype(float) for y in (0, 1))
         strength = evidence(positive, negative, n_positive, n_negative)
         own = np.flatnonzero((positive + negative >= LEAST_TEXTS) & (strength > LEAST_EVIDENCE))
-        found.append((own + at, strength[own], log_count_ratios(positive[own], negative[own], n_positive, n_negative)))
-    features, strength, ratio = (np.concatenate(c) for c in zip(*found, strict=True))
-    kept = np.sort(np.argsort(-strength, kind="stable")[:most])
-    return features[kept], ratio[kept]
+        found.append((own + at, log_count_ratios(positive[own], negative[own], n_positive, n_negative)))
+    features, ratio = (np.concatenate(c) for c in zip(*found, strict=True))
+    return features, ratio
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> Model:
     """Fit on at most max_rows labelled texts, those with the smallest hash of their id.
 
-    Rows with a null label or id are not used; without rows of both labels every score is
-    the share of toxic rows (0.5 without any).
+    Of rows that repeat an id only one is used, the smallest by text, then label (a null text
+    is the smallest, and shows nothing), so that the bound is one of rows. Rows with a null
+    label or id are not used; without rows of both labels every score is the share of toxic
+    rows (0.5 without any).
     """
     spark = labelled.sparkSession
     usable = labelled.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    chosen = usable.select(F.xxhash64(F.col(id_col).cast("long")).alias("order"), F.col(id_col).alias("id")).distinct().orderBy("order", "id").limit(max_rows)
-    bound = chosen.agg(F.max("order").alias("last")).first()["last"]
-    sample = usable.where(F.xxhash64(F.col(id_col).cast("long")) <= F.lit(bound)).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
+    usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
+    chosen = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    sample = usable.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "label")).alias("row")).select("row.text", "row.label")
     scratch = Scratch(spark)
     sample = scratch.save(sample, "sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -214,7 +213,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Model(np.zeros(SIZE, dtype=np.float32), float(np.log(share / (1 - share))))
     by_label = counts.total(sample.mapInArrow(_count_classes, counts.SCHEMA), 2 * SIZE).reshape(2, SIZE)
-    kept, ratio = strongest(by_label, n1, n0)
+    kept, ratio = informative(by_label, n1, n0)
     del by_label
     used = np.zeros(SIZE, dtype=bool)
     used[kept] = True
@@ -277,10 +276,12 @@ def held_out(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most max_rows labelled documents that may be learned from, one label a doc_id.
+    """(doc_id, text, label) of at most max_rows labelled ids that may be learned from, one label an id.
 
     They are chosen by their ids alone, as `fit` does; the texts then meet a list of so
-    many ids, which is small enough for every executor, and are not shuffled.
+    many ids, which is small enough for every executor, and are not shuffled. Rows that
+    repeat an id all come, and `fit` takes one; rows with a null id or label, and labels
+    without a document, are left out; empty tables give an empty result.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))

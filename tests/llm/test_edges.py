@@ -29,6 +29,21 @@ def model(spark):
     return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
 
 
+def test_the_bound_of_the_fit_is_one_of_rows(spark, monkeypatch):
+    seen = []
+    real = toxicity.informative
+    monkeypatch.setattr(toxicity, "informative", lambda counts, n1, n0: seen.append(n1 + n0) or real(counts, n1, n0))
+    rows = [(i % 7, f"{'bad awful' if i % 7 % 2 else 'nice kind'} {i}", i % 7 % 2) for i in range(400)] + [(None, "bad", 1), (8, None, 1), (9, "x", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    toxicity.fit(labelled, max_rows=5)
+    toxicity.fit(labelled)
+    assert seen == [5, 8]
+    assert toxicity.fit(labelled.limit(0)).bias == 0
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = toxicity.training_rows(labelled, labels).select("doc_id", "label").distinct().collect()
+    assert {tuple(r) for r in got} <= {(1, 1), (2, 0)}
+
+
 def per_row(model):
     vocabularies = pytest.importorskip("public_tokenizers")
     path = vocabularies.path("word_bpe_49k.json")
