@@ -25,8 +25,10 @@ DEGREE, REVERSED = 40, 20
 ORDERS, BLOCK = 8, 128
 #: The rounds end when one changes no more than this share of the list entries.
 LEAST_CHANGE = 0.01
-#: Nodes that a search keeps, and of those the nearest that it expands: it ends when they all are.
-BEAM, EXPANDED = 128, 112
+#: Nodes that a search keeps at first; the nearest 7/8 of them are expanded, and it ends when they all are.
+BEAM = 128
+#: So many queries are compared with every node. While the walks have found less than this share of their nearest nodes, all beams grow by half and go on.
+MEASURED, LEAST_RECALL = 64, 0.95
 #: Vectors in a block of the exact pass; bits of a sorted order; candidates that a task holds before it keeps the best of each node.
 EXACT_BLOCK, PLANES, HELD = 1024, 24, 1 << 19
 EDGES = "id long, nbr long, sim float, fresh boolean"
@@ -194,41 +196,63 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
             return edges
 
 
-def _walked(batches):
-    """Beams of the queries after a step: what is met for the first time is measured, and the BEAM nearest of all stay."""
-    for (query, kind, node, sim), x in _grouped(batches, 0, 4):
-        # its own vector comes first, then its beam, then the new nodes
-        new = kind[1:] == 2
-        node, sim = node[1:], np.where(new, x[1:] @ x[0], sim[1:]).astype(np.float32)
-        order = np.lexsort((node, -sim))[:BEAM]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), query[0])), pa.array(node[order]), pa.array(sim[order]), pa.array(new[order] & (np.arange(len(order)) < EXPANDED))], names=["query_id", "id", "sim", "open"])
+def _walked(beam: int):
+    """Beams of the queries after a step: what is met for the first time is measured, and the nearest of all stay. Those among the first 7/8 that are not expanded yet are open."""
 
+    def run(batches):
+        for (query, kind, node, sim, expanded), x in _grouped(batches, 0, 5):
+            # its own vector comes first, then its beam, then the new nodes
+            new = kind[1:] == 2
+            node, sim = node[1:], np.where(new, x[1:] @ x[0], sim[1:]).astype(np.float32)
+            order = np.lexsort((node, -sim))[:beam]
+            done = expanded[1:][order]
+            opened = ~done & (np.arange(len(order)) < beam * 7 // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), query[0])), pa.array(node[order]), pa.array(sim[order]), pa.array(opened), pa.array(done)], names=["query_id", "id", "sim", "open", "expanded"])
+
+    return run
+
+
+def found_share(beams: DataFrame, truth: DataFrame) -> float:
+    """The share of the pairs (query_id, id) of the truth that the beams hold."""
+    row = truth.join(beams.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+    return row["hits"] / row["n"] if row["n"] else 1.0
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(query_id, id, sim): the beam of each query (query_id, entry node), over packed nodes."""
+
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch, truth: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, sim): the beam of each query (query_id, entry node), over packed nodes.
+
+    truth holds the nearest nodes (query_id, id) of some queries: the beams of all grow until
+    the walks have found LEAST_RECALL of it.
+    """
     lists = scratch.save(_links(graph, 0).groupBy("center").agg(F.collect_set("id").alias("nbrs")), "neighbourhoods")
     asked = scratch.save(queries.select("query_id", F.col("entry").alias("id")).join(nodes, "id").select("query_id", "id", "vector"), "queries")
     # A query's own list is measured already; its own node, nearest of all, is expanded by that.
-    start = asked.select("query_id", "id").join(graph.select("id", "nbr", "sim"), "id").select("query_id", F.col("nbr").alias("id"), "sim", F.lit(True).alias("open"))
-    itself = asked.select("query_id", "id", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("open"))
-    state, step = scratch.save(start.unionByName(itself), "search-0"), 0
+    start = asked.select("query_id", "id").join(graph.select("id", "nbr", "sim"), "id").select("query_id", F.col("nbr").alias("id"), "sim", F.lit(True).alias("open"), F.lit(False).alias("expanded"))
+    itself = asked.select("query_id", "id", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("open"), F.lit(True).alias("expanded"))
+    state, step, beam = scratch.save(start.unionByName(itself), "search-0"), 0, BEAM
     sample = nodes.select("vector").first()
     no_sim, no_vector = F.lit(None).cast("float"), F.lit(bytes(len(sample["vector"]) if sample else 0))
-    while not state.where("open").isEmpty():
+    schema, no = "query_id long, id long, sim float, open boolean, expanded boolean", F.lit(False).alias("expanded")
+    while True:
+        if state.where("open").isEmpty():
+            if truth is None or found_share(state, truth) >= LEAST_RECALL or beam >= nodes.count():
+                return state
+            beam += beam // 2
+            place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+            state = scratch.save(state.withColumn("open", ~F.col("expanded") & (place <= beam * 7 // 8)), f"search-{step}-{beam}")
         step += 1
         near = state.where("open").select("query_id", F.col("id").alias("center")).join(lists, "center").select("query_id", F.explode("nbrs").alias("id"))
         seen = state.select("query_id", "id", F.lit(True).alias("seen"))
         new = near.withColumn("seen", F.lit(False)).unionByName(seen).groupBy("query_id", "id").agg(F.max("seen").alias("seen")).where("not seen")
-        met = new.select("query_id", "id").join(nodes, "id").select("query_id", F.lit(2).alias("kind"), "id", no_sim.alias("sim"), "vector")
+        met = new.select("query_id", "id").join(nodes, "id").select("query_id", F.lit(2).alias("kind"), "id", no_sim.alias("sim"), no, "vector")
         every = (
-            asked.select("query_id", F.lit(0).alias("kind"), "id", no_sim.alias("sim"), "vector")
-            .unionByName(state.select("query_id", F.lit(1).alias("kind"), "id", "sim", no_vector.alias("vector")))
+            asked.select("query_id", F.lit(0).alias("kind"), "id", no_sim.alias("sim"), no, "vector")
+            .unionByName(state.select("query_id", F.lit(1).alias("kind"), "id", "sim", (F.col("expanded") | F.col("open")).alias("expanded"), no_vector.alias("vector")))
             .unionByName(met)
         )
-        walked = every.repartition("query_id").sortWithinPartitions("query_id", "kind").mapInArrow(_walked, "query_id long, id long, sim float, open boolean")
+        walked = every.repartition("query_id").sortWithinPartitions("query_id", "kind").mapInArrow(_walked(beam), schema)
         state = scratch.save(walked, f"search-{step}")
-        scratch.drop(f"search-{step - 1}")
-    return state
+        scratch.drop(f"search-{step - 1}", f"search-{step - 1}-{beam}")
 
 
 def exact_pass(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -268,16 +292,21 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id
     * of rows that repeat a vec_id, equal ones count once;
     * an empty table gives an empty result; further columns are ignored.
 
-    k may be up to BEAM - 1.
+    k may be up to BEAM - 1. The beam follows the table: walks go on with wider ones while the
+    MEASURED queries, which are compared with every node, show that they miss too much.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = usable_vectors(vectors, id_col, vector_col).select("vec_id", "vector")
-    members = rows.repartition("vector").distinct().withColumn("id", F.min("vec_id").over(Window.partitionBy("vector")))
-    members = scratch.save(members.select("id", "vec_id", "vector"), "members")
+    rows = rows.distinct()
+    least = rows.groupBy("vector").agg(F.min("vec_id").alias("id"))  # copies shrink to one row a task before they meet
+    members = scratch.save(rows.join(least, "vector").select("id", "vec_id", "vector"), "members")
     reps = members.where("id = vec_id").select("id", "vector")
     nodes = scratch.save(reps.mapInArrow(_packed, "id long, vector binary"), "nodes")
     queries = members.where(query_filter).select(F.col("vec_id").alias("query_id"), F.col("id").alias("entry"), F.col("vector").alias("query"))
-    beams = search(queries, build_graph(nodes, scratch), nodes, scratch)
+    queries = scratch.save(queries, "asked")
+    measured = queries.select("query_id", "query").orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED)
+    truth = scratch.save(exact_pass(measured, reps, k), "truth")
+    beams = search(queries, build_graph(nodes, scratch), nodes, scratch, truth)
     few = members.select("id", "vec_id").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
     size = F.least(F.lit(k), F.lit(members.select("vec_id").distinct().count() - 1))
     found = beams.select("query_id", "id").join(few, "id").where("vec_id <> query_id").select("query_id", "id", "vec_id").distinct()

@@ -60,6 +60,18 @@ def test_a_group_of_near_copies_returns_k_rows(spark, monkeypatch):
             assert [i for _, i in sorted(got[q])] == np.argsort(-sims)[:20].tolist()
 
 
+def test_a_beam_too_narrow_grows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BEAM", 24)
+    x = np.random.default_rng(11).standard_normal((2500, 32))
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect():
+        sims = x @ x[r.query_id]
+        sims[r.query_id] = -np.inf
+        hits += sims[r.vec_id] >= np.sort(sims)[-20]
+    assert hits >= 0.9 * 125 * 20
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect()
