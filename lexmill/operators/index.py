@@ -6,10 +6,12 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.functions.text import with_cost
+from lexmill.sources.tables import BucketTable
 
 # Steps in order, the status each needs and the status after it.
 STEPS = ("EXTRACTION", "CLEANING", "TOKENIZATION", "PARSER", "TREE", "CHUNKING", "ENRICHMENT", "EMBEDDINGS", "INDEXING")
@@ -43,6 +45,42 @@ def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, fresh.select(*old.columns), ["chunk_id"])
 
 
+EMBEDDINGS = "chunk_id string, document_id string, vector array<double>, model string, hash string, dimension int, duration_ms long, indexed boolean, indexed_at timestamp"
+
+
+def embeddings_table(spark: SparkSession, path: str) -> BucketTable:
+    """Stored embeddings, bucketed by chunk."""
+    return BucketTable(spark, path, StructType.fromDDL(EMBEDDINGS), "chunk_id")
+
+
+def store_embeddings(table: BucketTable, new: DataFrame) -> list[int]:
+    """`upsert_embeddings` on a stored table: only the buckets of the new chunks are written again, a rerun writes the same; returns those buckets."""
+    fresh = new.select(*(new[f.name] if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name not in ("indexed", "indexed_at")))
+    return table.replace(fresh.withColumns({"indexed": F.lit(False), "indexed_at": F.lit(None).cast("timestamp")}))
+
+
+def _remove_documents(table: BucketTable, gone: DataFrame) -> list[int]:
+    """Rows of these documents (document_id) go from a table bucketed by them or by another key."""
+    if table.key == "document_id":
+        return table.remove(gone)
+    return table.remove(table.read().join(gone, "document_id", "left_semi").select(table.key).distinct())
+
+
+def invalidate_stored(tables: dict[str, BucketTable], rerun: DataFrame) -> dict[str, list[int]]:
+    """`invalidate` on stored tables; returns the buckets of each that were written again. In order, so that a failed run is done again whole."""
+    steps, touched = F.array(*map(F.lit, STEPS)), {}
+    for name, table in tables.items():
+        gone = rerun.where(F.array_position(steps, F.col("step")) <= STEPS.index(CLEARED_UP_TO[name]) + 1).select("document_id").distinct()
+        touched[name] = _remove_documents(table, gone)
+    return touched
+
+
+def cascade_delete_stored(tables: dict[str, BucketTable], gone: DataFrame) -> dict[str, list[int]]:
+    """`cascade_delete` on stored tables: all rows of the documents (document_id) go, the table named documents last."""
+    last = sorted(tables, key=lambda name: name == "documents")
+    return {name: _remove_documents(tables[name], gone.select("document_id").distinct()) for name in last}
+
+
 def index_rows(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(embeddings with their retrieval metadata, marked as indexed; errors of those without a vector).
 

@@ -4,8 +4,10 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexmill.operators import index
 from lexmill.sources import files
 from lexmill.sources.tables import BucketTable
 from lexmill.streaming import intake
@@ -50,6 +52,23 @@ def test_keys_go_and_empty_buckets_with_them(spark, table):
     assert table.read().count() == 0
 
 
+def test_stored_embeddings_are_upserted_and_cleared(spark, tmp_path):
+    table = index.embeddings_table(spark, str(tmp_path / "e"))
+    made = spark.createDataFrame([(f"c{i}", f"d{i % 4}", [float(i)], "m", f"h{i}", 1) for i in range(40)], "chunk_id string, document_id string, vector array<double>, model string, hash string, dimension int")
+    index.store_embeddings(table, made)
+    files_before = written(table.path)
+    touched = index.store_embeddings(table, made.where("chunk_id = 'c7'").withColumn("hash", F.lit("new")))
+    assert len(touched) == 1 and sum(files_before[d] != names for d, names in written(table.path).items()) == 1
+    assert {r.chunk_id: r.hash for r in table.read().collect()} == {f"c{i}": "new" if i == 7 else f"h{i}" for i in range(40)}
+    tokens = BucketTable(spark, str(tmp_path / "tokens"), StructType.fromDDL("document_id string, idx int"), "document_id")
+    tokens.replace(spark.createDataFrame([(f"d{i}", k) for i in range(4) for k in range(3)], "document_id string, idx int"))
+    rerun = spark.createDataFrame([("d1", "EMBEDDINGS"), ("d2", "TOKENIZATION")], "document_id string, step string")
+    index.invalidate_stored({"tokens": tokens, "embeddings": table}, rerun)
+    assert {r.document_id for r in tokens.read().collect()} == {"d0", "d1", "d3"} and {r.document_id for r in table.read().collect()} == {"d0", "d3"}
+    index.cascade_delete_stored({"documents": tokens, "embeddings": table}, spark.createDataFrame([("d0",), ("x",)], "document_id string"))
+    assert {r.document_id for r in tokens.read().collect()} == {"d1", "d3"} and {r.document_id for r in table.read().collect()} == {"d3"}
+
+
 def put(folder, name, content):
     path = folder / name
     path.parent.mkdir(parents=True, exist_ok=True)
