@@ -84,6 +84,11 @@ def generate_answers(prompts: DataFrame, client, model: str, prices: DataFrame)
     Without evidence no call is made: the answer says so, with low confidence and no cost.
     """
     made = with_cost(call_model(prompts.where("has_evidence"), "question_id", client, model), prices).withColumn("answer", parse_answer(F.col("raw")))
+    return with_answers_without_evidence(made, prompts, model)
+
+
+def with_answers_without_evidence(made: DataFrame, prompts: DataFrame, model: str) -> DataFrame:
+    """Answers that were generated, and those of the prompts without evidence."""
     none = {"raw": F.lit(""), "model": F.lit(model), "tokens_in": F.lit(0).cast("long"), "tokens_out": F.lit(0).cast("long"), "duration_ms": F.lit(0).cast("long"), "cost_usd": F.lit(0.0)}
     empty = parse_answer(F.lit("{}")).withField("resumo_executivo", F.lit(NO_EVIDENCE)).withField("observacoes", F.lit(NO_EVIDENCE_NOTE))
     bare = prompts.where("not has_evidence").select("question_id", "prompt").withColumns(none).withColumn("answer", empty)

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from lexmill.plans import law, queries, retrieval, views  # noqa: F401
+from lexmill.plans import answering, law, queries, retrieval, views  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
