@@ -9,7 +9,7 @@ match on (position); only what passes is compared in full.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, log2
 from typing import NamedTuple
 
 import numpy as np
@@ -72,53 +72,72 @@ def _words(text: str) -> np.ndarray:
     return ts.scan_words(data, np.array([0, len(data)]), CODES, SEPARATORS).hashes
 
 
+def block_step(n_words: int) -> int:
+    """Half the length of the blocks that a template of so many words is looked for in: a power of two with room for a quarter more words."""
+    return max(16, 1 << ceil(log2(max(1.0, 1.25 * n_words))))
+
+
 class Templates(NamedTuple):
-    """Template words by number: their hashes (sorted), and each template's label and word numbers."""
+    """Template words by number: their hashes (sorted), and each template's label, word numbers and block step."""
 
     hashes: np.ndarray
     labels: list[str]
     sets: list[np.ndarray]
+    steps: list[int]
 
 
 def templates(of=TEMPLATES) -> Templates:
-    sets = [np.unique(_words(text)) for _, text in of]
+    words = [_words(text) for _, text in of]
+    sets = [np.unique(w) for w in words]
     hashes = np.unique(np.concatenate(sets))
     if len(hashes) > VOCABULARY:
         raise ValueError(f"templates of more than {VOCABULARY} distinct words")
-    return Templates(hashes, [label for label, _ in of], [np.searchsorted(hashes, s) for s in sets])
+    return Templates(hashes, [label for label, _ in of], [np.searchsorted(hashes, s) for s in sets], [block_step(len(w)) for w in words])
 
 
 def _template_words(words: ts.Words, data: np.ndarray, known: Templates):
-    """(text, block, word number) of every template word; a block ends at a blank line or with its text."""
+    """(text, paragraph, place in it, word number) of every template word; a paragraph ends at a blank line or with its text."""
     number = np.searchsorted(known.hashes, words.hashes)
     hit = np.flatnonzero(known.hashes[np.minimum(number, len(known.hashes) - 1)] == words.hashes)
     doc = words.doc()
     line = np.searchsorted(np.flatnonzero(data == 10), words.start)
     new = np.ones(len(doc), dtype=np.int64)
     new[1:] = (np.diff(line) > 1) | (np.diff(doc) > 0)
-    block = np.cumsum(new)
-    return doc[hit], block[hit], number[hit]
+    paragraph = np.cumsum(new)
+    place = np.arange(len(doc)) - np.flatnonzero(new)[paragraph - 1] if len(doc) else paragraph
+    return doc[hit], paragraph[hit], place[hit], number[hit]
+
+
+def _blocks(paragraph: np.ndarray, place: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, index of the word) for every block a word lies in: runs of 2 * step words of a paragraph, one every step words.
+
+    Whatever is no longer than step words lies in one of them whole.
+    """
+    window = place // step
+    one = (paragraph << 32) + window
+    before = np.flatnonzero(window > 0)
+    return np.concatenate([one, one[before] - 1]), np.concatenate([np.arange(len(one)), before])
 
 
-def _count_blocks(known: Templates):
+def _count_paragraphs(known: Templates):
     def run(batches):
         sums = np.zeros(VOCABULARY, dtype=np.int64)
         for batch in batches:
             for _, _, data, at in ts.chunks(batch.column(0)):
-                _, block, number = _template_words(ts.scan_words(data, at, CODES, SEPARATORS), data, known)
-                sums += np.bincount(np.unique(block * VOCABULARY + number) % VOCABULARY, minlength=VOCABULARY)
+                _, paragraph, _, number = _template_words(ts.scan_words(data, at, CODES, SEPARATORS), data, known)
+                sums += np.bincount(np.unique(paragraph * VOCABULARY + number) % VOCABULARY, minlength=VOCABULARY)
         yield counts.rows(sums)
 
     return run
 
 
 class _Index(NamedTuple):
-    """Templates over word ranks (0: rarest), and for each rank the templates that have it in their prefix."""
+    """Templates over word ranks (0: rarest), and for each block step and rank the templates that have it in their prefix."""
 
     rank: np.ndarray
     sets: list[np.ndarray]
     required: list[int]
-    postings: dict[int, list[tuple[int, int]]]
+    postings: dict[int, dict[int, list[tuple[int, int]]]]
 
 
 def prefix_index(known: Templates, frequency: np.ndarray, percent: int) -> _Index:
@@ -127,18 +146,18 @@ def prefix_index(known: Templates, frequency: np.ndarray, percent: int) -> _Inde
     rank[order] = np.arange(len(order))
     sets = [np.sort(rank[s]) for s in known.sets]
     required = [ceil(percent * len(s) / 100 - 1e-9) for s in sets]
-    postings: dict[int, list[tuple[int, int]]] = {}
+    postings: dict[int, dict[int, list[tuple[int, int]]]] = {step: {} for step in sorted(set(known.steps))}
     for t, (s, o) in enumerate(zip(sets, required, strict=True)):
         for pos, r in enumerate(s[: len(s) - o + 1].tolist()):
-            postings.setdefault(r, []).append((t, pos))
+            postings[known.steps[t]].setdefault(r, []).append((t, pos))
     return _Index(rank, sets, required, postings)
 
 
-def contained(ranks: np.ndarray, index: _Index) -> dict[int, float]:
-    """Templates that a block holds, by the sorted ranks of its template words, with the share of their words."""
+def contained(ranks: np.ndarray, index: _Index, step: int) -> dict[int, float]:
+    """Templates of this step that a block holds, by the sorted ranks of its template words, with the share of their words."""
     tried: dict[int, bool] = {}
     for at, r in enumerate(ranks.tolist()):
-        for t, pos in index.postings.get(r, ()):
+        for t, pos in index.postings[step].get(r, ()):
             o, m = index.required[t], len(index.sets[t])
             if t not in tried:  # the first match of both, so nothing before it counts
                 tried[t] = len(ranks) >= o and min(m - pos, len(ranks) - at) >= o
@@ -173,11 +192,13 @@ def scan(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     contained templates; both sorted and comma-joined) and score (1 with a phrase, else
     the largest contained share of a template, else 0). Null and empty texts have no words
     and empty labels, repeated rows repeat, a null id stays null, an empty table gives an
-    empty result, further columns are ignored. Words are told apart by 64-bit hashes.
+    empty result, further columns are ignored. Words are told apart by 64-bit hashes. A
+    template is looked for in blocks of up to four times its length, so that a long
+    paragraph does not hold it by chance.
     """
     known = templates(of)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    frequency = counts.total(texts.mapInArrow(_count_blocks(known), counts.SCHEMA), VOCABULARY)
+    frequency = counts.total(texts.mapInArrow(_count_paragraphs(known), counts.SCHEMA), VOCABULARY)
     index = prefix_index(known, frequency, percent)
 
     def run(batches):
@@ -198,16 +219,20 @@ def scan(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
                     for k in np.unique(own):
                         base[k].add(label)
                         score[k] = 1.0
-                owner, block, number = _template_words(words, data, known)
-                key = np.unique(block * VOCABULARY + index.rank[number])
-                block_of, ranks = key // VOCABULARY, key % VOCABULARY
-                prefix = np.isin(ranks, list(index.postings))
-                for b in np.unique(block_of[prefix]):
-                    lo, hi = np.searchsorted(block_of, (b, b + 1))
-                    for t, share in contained(ranks[lo:hi], index).items():
-                        k = owner[np.searchsorted(block, b)]
-                        more[k].add(known.labels[t])
-                        score[k] = max(score[k], share)
+                owner, paragraph, place, number = _template_words(words, data, known)
+                for step, postings in index.postings.items():
+                    block, word = _blocks(paragraph, place, step)
+                    order = np.lexsort((index.rank[number[word]], block))
+                    block, ranks, word = block[order], index.rank[number[word]][order], word[order]
+                    new = np.ones(len(block), dtype=bool)
+                    new[1:] = (np.diff(block) != 0) | (np.diff(ranks) != 0)
+                    block, ranks, word = block[new], ranks[new], word[new]
+                    for b in np.unique(block[np.isin(ranks, list(postings))]):
+                        lo, hi = np.searchsorted(block, (b, b + 1))
+                        for t, share in contained(ranks[lo:hi], index, step).items():
+                            k = owner[word[lo]]
+                            more[k].add(known.labels[t])
+                            score[k] = max(score[k], share)
                 none = n_base == 0
                 yield pa.RecordBatch.from_arrays(
                     [

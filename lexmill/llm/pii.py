@@ -41,9 +41,16 @@ DIGIT_WORDS = {
 # Words of prose that are endings of "name at host dot it" only where no further word follows.
 PROSE = "a an and are as at be but by can do for from had has have he her his how if in into is it its me my no not of off on or our she so than that the their then there they this to up was we were what when where which who will with you"
 
+# Words that stand before "at" in prose and are no names, and words before "one dot two" that make it no address.
+BEFORE_AT = frozenset(
+    f"{PROSE} look looks looked looking work works worked working sit sits sat stay stays stayed live lives lived living see sees saw seen meet meets met start starts started arrive arrives arrived stop stops stopped stand stands stood aim aims aimed laugh laughs laughed smile smiles smiled shout point points pointed good best bad better worst now here home all only even just still not least most first last once again day night time place shop buy bought found find call called wait waits waited study studies studied play plays played stare stared bei um au aux chez en".split()
+)
+BEFORE_OCTETS = frozenset("version versions release releases build update section sections chapter chapters article clause step point paragraph figure table kapitel abschnitt fassung versión capítulo sección artículo chapitre".split())
+
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"\s{0,3}[\(\[\{<]\s{0,3}", r"\s{0,3}[\)\]\}>]\s{0,3}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
+_SPELLED_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
 _DOT = rf"(?:\.|{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
 _ENDING = rf"(?:(?!(?:{PROSE.replace(' ', '|')})\b)[A-Za-z]{{2,63}}\b|[A-Za-z]{{2}}\b(?!\s+\w))"
 #: Up to three digits of an address, spelled or not, and the spelled dot between such.
@@ -60,6 +67,8 @@ _SIGNS = re.compile(
     re.IGNORECASE,
 )
 _ITEM = re.compile(rf"{_DIGIT}|[0-9]+", re.IGNORECASE)
+_SPELLED_HOST = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_SPELLED_DOT}{_ENDING}", re.IGNORECASE)
+_NAME_MARK = re.compile(r"[0-9._%+-]")
 #: For the quick look, on folded text: signs in brackets, a spelled dot, and "at" before a label with a dot after it; "plus" before a digit.
 _PLUS = re.compile(rf"plus\s{{1,3}}(?:[0-9]|(?:{_DIGIT.casefold()})\b)")
 _CUE = re.compile(r"[\(\[\{<]\s{0,3}(?:at|dot|@|\.)|\sdot\s|\s(?:at|@)\s{1,3}[a-z0-9-]{1,63}(?:\.|\s{0,3}[\(\[\{<])")
@@ -148,6 +157,22 @@ def changes(text: str) -> bool:
     return _may_hold_signs(text) and any(m.lastgroup != "digits" or _spelled(m[0]) for m in _SIGNS.finditer(text))
 
 
+def _is_prose(text: str, m: re.Match) -> bool:
+    """Whether a bare "at", or spelled octets, are prose rather than a disguise.
+
+    A bare "at" is a sign if the host's last dot is spelled too, or if the name before it
+    has a mark or digit inside, and if that name is no common word.
+    """
+    if m.lastgroup == "at" and m[0].strip().lower() == "at":
+        before = text[max(0, m.start() - 64) : m.start()].split()
+        name = before[-1] if before else ""
+        return name.lower() in BEFORE_AT or not (_NAME_MARK.search(name[1:]) or _SPELLED_HOST.match(text, m.end()))
+    if m.lastgroup == "octets":
+        before = text[max(0, m.start() - 32) : m.start()].split()
+        return bool(before) and before[-1].lower().strip(".,:;(") in BEFORE_OCTETS
+    return False
+
+
 def rewrite(text: str) -> Rewritten:
     """Letters first, then signs and spelled digits."""
     out = Rewritten(text)
@@ -155,6 +180,8 @@ def rewrite(text: str) -> Rewritten:
     edits = []
     for m in _SIGNS.finditer(out.text):
         kind = m.lastgroup
+        if _is_prose(out.text, m):
+            continue
         if kind == "digits":
             spelled = _spelled(m[0])
             for item in _ITEM.finditer(m[0]):

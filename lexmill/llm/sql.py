@@ -83,18 +83,20 @@ def license_blocks(percent: int = 80) -> str:
     )
     import re
 
-    sets = [(k, label, sorted(set(re.findall(_TERM, re.sub("[A-Z]", lambda m: m[0].lower(), text))))) for k, (label, text) in enumerate(license_scan.TEMPLATES)]
-    templates = ", ".join(f"({k}, '{label}', {_listed(words)})" for k, label, words in sets)
+    terms = [(k, label, re.findall(_TERM, re.sub("[A-Z]", lambda m: m[0].lower(), text))) for k, (label, text) in enumerate(license_scan.TEMPLATES)]
+    templates = ", ".join(f"({k}, '{label}', {_listed(sorted(set(words)))}, {license_scan.block_step(len(words))})" for k, label, words in terms)
     return rf"""WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents), dw AS (SELECT doc_id, regexp_extract_all(t, '{_TERM}') AS w FROM d),
 wi AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM dw),
 ph AS ({phrases}),
 b AS (SELECT doc_id, count(*) AS n_base, min(p) - 1 AS first_word, max(p) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM ph GROUP BY doc_id),
-tp AS (SELECT k, label, words, len(words) AS m FROM (VALUES {templates}) v(k, label, words)), tw AS (SELECT k, label, m, unnest(words) AS x FROM tp),
+tp AS (SELECT k, label, words, len(words) AS m, s FROM (VALUES {templates}) v(k, label, words, s)), tw AS (SELECT k, label, m, s, unnest(words) AS x FROM tp),
 ln AS (SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS a FROM d)),
 lw AS (SELECT doc_id, i, regexp_extract_all(l, '{_TERM}') AS w FROM ln WHERE regexp_matches(l, '{_TERM}')),
 lb AS (SELECT *, sum(CASE WHEN i - prev > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM lw)),
-bw AS (SELECT DISTINCT doc_id, block, unnest(w) AS x FROM lb),
-hit AS (SELECT doc_id, label, count(*) / m AS share FROM bw JOIN tw USING (x) GROUP BY doc_id, block, k, label, m HAVING count(*) >= ceil({percent} * m / 100.0 - 1e-9)),
+lp AS (SELECT doc_id, block, w, coalesce(sum(len(w)) OVER (PARTITION BY doc_id, block ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lb),
+pw AS (SELECT doc_id, block, unnest(w) AS x, before + generate_subscripts(w, 1) - 1 AS p FROM lp),
+bw AS (SELECT DISTINCT doc_id, block, s, p // s - o AS part, x FROM pw, (SELECT DISTINCT s FROM tp), (VALUES (0), (1)) v(o) WHERE p // s >= o),
+hit AS (SELECT doc_id, label, count(*) / m AS share FROM bw JOIN tw USING (x, s) GROUP BY doc_id, block, part, k, label, m HAVING count(*) >= ceil({percent} * m / 100.0 - 1e-9)),
 more AS (SELECT doc_id, label, share FROM hit UNION ALL SELECT doc_id, label, 1.0 FROM ph),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM more GROUP BY doc_id)
 SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(al.labels, '') AS labels, coalesce(al.score, 0.0) AS score FROM dw LEFT JOIN b USING (doc_id) LEFT JOIN al USING (doc_id)"""

@@ -52,6 +52,31 @@ def test_disguised_data_in_prose_is_found_and_prose_is_not():
     assert found >= 0.97 * planted and false == 0
 
 
+def test_prose_with_domains_and_versions_is_clean():
+    clean = [
+        "look at example.com for more", "He works at night dot com was great", "sat at home.dot", "see you at www.site.org now", "version one dot two dot three dot four", "release 1 dot 2 dot 3 dot 4 is out",
+        "we met at dawn dot by dot, and the shop at main street.corner", "she is good at dot com business", "the meeting at ten.thirty", "all at once dot it stopped", "point your browser at docs.example.org or mail.example.org",
+        "section two dot one dot three dot five says so", "they arrived at noon. Dot was there", "it is at least dot matrix quality", "buy at shop.example.co.uk today", "prices at 10.50 and 20.75",
+    ]
+    rnd = random.Random(8)
+    for text in clean:
+        for wrapped in (text, f"{prose(rnd, 20)} {text} {prose(rnd, 20)}", text.capitalize() + "."):
+            assert not any(pii.disguised(wrapped, pii.find(wrapped)).values()), wrapped
+    for text in ("write to jo at example dot com", "jo.doe at mail-host dot example dot org", "jo [at] example [dot] com", "host 10 dot 0 dot 0 dot 1 is down"):
+        assert any(pii.disguised(text, pii.find(text)).values()), text
+
+
+def test_long_unrelated_paragraphs_hold_no_notice(spark):
+    rnd, rows = random.Random(9), []
+    notices = [w for _, text in license_scan.TEMPLATES for w in text.split()]
+    for i in range(200):  # the words of the notices themselves, scattered over one long paragraph
+        rows.append((i, " ".join(rnd.choice(notices) if rnd.random() < 0.3 else rnd.choice(PROSE) for _ in range(rnd.choice((300, 800, 3000))))))
+    embedded = [(1000 + k, f"{prose(rnd, 300)} {text} {prose(rnd, 300)}") for k, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([*rows, *embedded], "doc_id long, text string")).collect()}
+    assert sum(got[i].labels != got[i].base_labels for i in range(200)) == 0
+    assert all(label in got[1000 + k].labels.split(",") for k, (label, _) in enumerate(license_scan.TEMPLATES))
+
+
 def test_notices_without_phrases_are_found(spark):
     rnd, rows, want = random.Random(7), [], {}
     notices = [(label, text) for label, text in license_scan.TEMPLATES if not any(p in " ".join(license_scan_words(text)) for p, _ in license_scan.PHRASES)]
