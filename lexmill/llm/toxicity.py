@@ -133,19 +133,20 @@ def evidence(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_nega
     )
 
 
-def logistic_regression(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100, memory: int = 10):
+def logistic_regression(blocks: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100, memory: int = 10):
     """Weights and bias for rows that list their features, each of which counts as its scale.
 
-    A limited-memory quasi-Newton method; a step costs two passes over the lists, block by
-    block, so that nothing of the size of all of them is made besides.
+    A block is some rows: the features of all, one row after the other, and how many each
+    has. A limited-memory quasi-Newton method; a step costs two passes over the blocks, so
+    that nothing of the size of all of them is made besides.
     """
     theta = np.zeros(len(scale) + 1)
     theta[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    blocks = [(at, np.concatenate(lists[at : at + 1000]), np.array([len(x) for x in lists[at : at + 1000]])) for at in range(0, len(lists), 1000)]
+    first = np.cumsum([0, *(len(sizes) for _, sizes in blocks)])
 
     def loss(theta):
         weight, value, slope = theta[:-1] * scale, ridge / 2 * theta[:-1] @ theta[:-1], np.append(ridge * theta[:-1], 0.0)
-        for at, columns, sizes in blocks:
+        for at, (columns, sizes) in zip(first, blocks, strict=False):
             ends = np.cumsum(sizes)
             sums = np.append(0.0, np.cumsum(weight[columns]))
             z, own = sums[ends] - sums[ends - sizes] + theta[-1], y[at : at + len(sizes)]
@@ -221,9 +222,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     scratch.drop("sample")
     place = np.zeros(SIZE, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    y = table["label"].to_numpy().astype(float)
-    lists = [place[x.values.to_numpy()] if x.is_valid else place[:0] for x in table["features"]]
-    w, bias = logistic_regression(lists, ratio, y)
+    y, blocks = table["label"].to_numpy().astype(float), []
+    for batch in table.to_batches(max_chunksize=500):
+        listed = batch.column(batch.schema.get_field_index("features"))
+        blocks.append((place[listed.flatten().to_numpy()], listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    del table, place
+    w, bias = logistic_regression(blocks, ratio, y)
     weights = np.zeros(SIZE, dtype=np.float32)
     weights[kept] = w * ratio
     return Model(weights, float(bias))
