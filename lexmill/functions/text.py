@@ -42,14 +42,24 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def _folded(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not "̀" <= c <= "ͯ")
+
+
 @F.pandas_udf(StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """Lower case without accents (U+0300 to U+036F of the decomposed text)."""
+def _fold_any(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _folded(t))
+
+
+#: The letters of Latin-1 that fold to another, in lower case.
+_ACCENTED = "".join(c for c in map(chr, range(0xDF, 0x100)) if len(_folded(c)) == 1 and _folded(c) != c)
 
-    def one(t):
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not "̀" <= c <= "ͯ")
 
-    return texts.map(one)
+def fold(text: Column | str) -> Column:
+    """Lower case without accents (U+0300 to U+036F of the decomposed text). Only texts with characters past Latin-1 travel to Python."""
+    c = F.col(text) if isinstance(text, str) else text
+    native = F.translate(F.lower(c), _ACCENTED, _folded(_ACCENTED))
+    return F.coalesce(_fold_any(F.when(c.rlike(r"[^\x{00}-\x{FF}]"), c)), native)
 
 
 def trim(text: Column) -> Column:

@@ -119,8 +119,13 @@ def article_offsets(texts: pd.Series, numbers: pd.Series) -> pd.Series:
     return pd.Series([one(t, w) for t, w in zip(texts, numbers, strict=True)], dtype=object)
 
 
-def locate_articles(documents: DataFrame, articles: DataFrame) -> DataFrame:
-    """(document_id, article_id, article_index, offset): each article (document_id, article_id, article_index, number) in its document's text."""
+def locate_articles(documents: DataFrame, articles: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """(document_id, article_id, article_index, offset): each article (document_id, article_id, article_index, number) in its document's text.
+
+    With figures (document_id), only documents that hold one are searched.
+    """
+    if figures is not None:
+        documents = documents.join(figures.select("document_id").distinct(), "document_id", "left_semi")
     listed = articles.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("article_index", "article_id", "number"))).alias("a"))
     found = documents.select("document_id", "text").join(listed, "document_id")
     found = found.select("document_id", "a", article_offsets("text", F.col("a.number")).alias("at"))

@@ -17,11 +17,15 @@ def question_index(turns: DataFrame) -> DataFrame:
     return turns.where("role = 'user'").select("conv_id", "turn", "text", (F.row_number().over(order) - 1).alias("question_idx"))
 
 
-def conversation_list(turns: DataFrame) -> DataFrame:
-    """(conv_id, title, n_questions, last_turn): the title is the first 80 characters of the first question."""
+def conversation_list(turns: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(conv_id, title, n_questions, last_turn): a given title (conv_id, title) that is not null, else the first 80 characters of the first question."""
     users = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.count("*").alias("n_questions"))
     every = turns.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
     title = F.coalesce(F.substring("first", 1, 80), F.lit("Conversa"))
+    if titles is not None:
+        given = titles.where("title is not null").groupBy("conv_id").agg(F.min("title").alias("given"))
+        every = every.join(given, "conv_id", "left")
+        title = F.coalesce("given", title)
     return every.join(users, "conv_id", "left").select("conv_id", title.alias("title"), F.coalesce("n_questions", F.lit(0)).alias("n_questions"), "last_turn")
 
 

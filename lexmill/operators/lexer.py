@@ -355,3 +355,28 @@ def law_documents(tree: DataFrame) -> DataFrame:
     implicit = F.array(chapter(F.lit(""), F.lit(""), F.col("secoes"), F.slice("artigos", 1, 0)))
     every = F.concat(F.when(F.size("secoes") > 0, implicit).otherwise(F.slice("capitulos", 1, 0)), "capitulos")
     return df.where("type = 'DOCUMENT'").select("doc_id", F.struct(F.col("text").alias("titulo"), every.alias("capitulos"), F.col("artigos").alias("artigos")).alias("law"))
+
+
+def law_trees(tree: DataFrame) -> DataFrame:
+    """(doc_id, tree): each document's tree as one JSON text, nodes within nodes: id, type, label, number, title, text, startLine, children.
+
+    Depth by depth from the items up, a depth's nodes are written out and put under their
+    parents, whatever depth those have, by one aggregate over (doc_id, node): no join, and no
+    exchange after that of the lines. Empty fields are left out.
+    """
+    # Notes, citations and loose lines have no depth of their own: they hold nothing and go first.
+    depth = F.when(F.col("type") == "DOCUMENT", 0).otherwise(F.coalesce("depth", F.lit(9)))
+    parent = F.when(F.col("parent_idx") < 0, F.lit(0)).otherwise(F.col("parent_idx"))
+    df = tree.withColumns({"level": depth, "up": parent})
+    optional = {name: F.nullif(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in (("number", "number"), ("title", "title"), ("text", "text"))}
+    own = [F.col("idx").cast("string").alias("id"), "type", F.coalesce("label", F.lit("")).alias("label"), *optional.values(), F.col("line_no").alias("startLine")]
+    none = F.array().cast("array<struct<idx:int,json:string>>")
+    df = df.select("doc_id", "idx", "level", "up", F.to_json(F.struct(*own)).alias("head"), none.alias("children"))
+    written = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"children":['), F.array_join(F.transform(F.array_sort("children"), lambda c: c["json"]), ","), F.lit("]}"))
+    for level in range(9, 0, -1):
+        goes = F.col("level") == level
+        moved = F.collect_list(F.when(goes, F.struct("idx", written.alias("json"))))
+        stays = F.first(F.when(~goes, F.struct("level", "up", "head", "children")), ignorenulls=True)
+        grouped = df.groupBy("doc_id", F.when(goes, F.col("up")).otherwise(F.col("idx")).alias("idx")).agg(stays.alias("own"), moved.alias("more"))
+        df = grouped.where("own is not null").select("doc_id", "idx", "own.level", "own.up", "own.head", F.concat("own.children", "more").alias("children"))
+    return df.where("level = 0").select("doc_id", written.alias("tree"))

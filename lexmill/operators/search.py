@@ -17,6 +17,8 @@ from lexmill.sources.staged import staged
 QUESTION_BLOCK, VECTOR_FLOATS = 512, 1 << 20
 #: Characters of all texts looked for that every task may get at once: an automaton of some 100 MB.
 BROADCAST_CHARS = 1 << 20
+#: Chunks of one document in a block.
+BLOCK_CHUNKS = 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int, per_document:
     n_vectors = max(1, -(-(size["n"] * (size["d"] or 1)) // VECTOR_FLOATS))
     n_questions = max(1, -(-usable.count() // QUESTION_BLOCK))
     left = _blocks(usable, "question_id", n_questions, "question_id", "vector", "excluded").select(F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1))).alias("block"), "question_id", F.col("vector").alias("q"), "excluded")
-    right = _blocks(known, "document_id" if per_document else "chunk_id", n_vectors, "chunk_id", "document_id", "vector")
+    right = _blocks(known, "chunk_id", n_vectors, "chunk_id", "document_id", "vector")
     met = left.join(right, "block").select("question_id", "q", "excluded", "chunk_id", "document_id", "vector")
     found = met.mapInArrow(_block_top_k(k, per_document), "question_id long, chunk_id long, document_id long, distance double")
     by = ["question_id", "document_id"] if per_document else ["question_id"]
@@ -294,17 +296,40 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def _nearest_in_block(n: int):
+    """The n nearest of a block of vectors for the question in its row."""
+
+    def run(batches):
+        for batch in batches:
+            for question, document, q, chunk, vectors in zip(*(batch.column(c) for c in range(5)), strict=True):
+                ids = chunk.values.to_numpy(zero_copy_only=False)
+                x = _unit(vectors.values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
+                distance = np.maximum(0.0, 1.0 - x @ _unit(q.values.to_numpy(zero_copy_only=False).astype(np.float64)))
+                order = np.lexsort((ids, np.round(distance, 9)))[:n]
+                yield pa.RecordBatch.from_arrays([pa.array([c.as_py()] * len(order), pa.int64()) for c in (question, document)] + [pa.array(ids[order]), pa.array(distance[order])], names=["question_id", "document_id", "chunk_id", "distance"])
+
+    return run
+
+
 def cross_reference_chunks(matches: DataFrame, questions: DataFrame, vectors: DataFrame, n: int = Retrieval().per_document) -> DataFrame:
     """(question_id, document_id, chunk_id, distance, rank, reason): the n nearest chunks of each document that a question's candidates name.
 
-    Only the documents named are searched, by an equi-join on them. The reason is the
-    document's first match; rank runs over the question, documents in the order of theirs.
+    Only the documents named are searched, by an equi-join on them: a document's vectors are
+    dealt into blocks of some thousand, and a meeting of a question and a block is one
+    product that hands on n rows. The reason is the document's first match; rank runs over
+    the question, documents in the order of theirs.
     """
     first = matches.groupBy("question_id", "document_id").agg(F.min(F.struct("ord", "pos", "document_id", "reference", "origin_document", "origin_article")).alias("m"))
     asked = first.join(questions.where("vector is not null and size(vector) > 0").select("question_id", F.col("vector").alias("q")), "question_id")
-    near = asked.join(vectors.where("vector is not null").select("document_id", "chunk_id", "vector"), "document_id").withColumn("distance", cosine_distance(F.col("q"), F.col("vector")))
+    known = vectors.where("vector is not null").select("document_id", "chunk_id", "vector").join(first.select("document_id").distinct(), "document_id", "left_semi")
+    sized = known.join(known.groupBy("document_id").agg(F.count("*").alias("size")), "document_id")
+    salt = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("size") / BLOCK_CHUNKS))
+    blocks = sized.groupBy("document_id", salt.alias("salt")).agg(F.collect_list(F.struct("chunk_id", "vector")).alias("rows"))
+    met = asked.select("question_id", "document_id", "q").join(blocks, "document_id").select("question_id", "document_id", "q", "rows.chunk_id", "rows.vector")
+    near = met.mapInArrow(_nearest_in_block(n), "question_id long, document_id long, chunk_id long, distance double")
+    near = near.join(first, ["question_id", "document_id"])
     nth = F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy(F.round("distance", 9), "chunk_id"))
-    best = near.drop("q", "vector").withColumn("nth", nth).where(F.col("nth") <= n)
+    best = near.withColumn("nth", nth).where(F.col("nth") <= n)
     article = F.when(F.coalesce("m.origin_article", F.lit("")) != "", F.concat(F.lit(" ("), "m.origin_article", F.lit(")"))).otherwise("")
     reason = F.concat(F.lit(REFERENCE_REASON), "m.origin_document", F.lit('"'), article, F.lit(': "'), "m.reference", F.lit('"'))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("m.ord", "m.pos", "document_id", "nth")) - 1

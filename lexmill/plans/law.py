@@ -214,6 +214,12 @@ def a7_export_logs(spark, d):
     return sources.export("logs", docs, e, ["event_id"]).select("document_id", "file_name", F.sha2("body", 256).alias("body_hash"))
 
 
+@register()
+def a7_export_trees(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("lei "), "doc_id", F.lit(".txt")).alias("name"))
+    return sources.export("tree", docs, lexer.law_trees(law_tree(spark, d)).withColumnRenamed("doc_id", "document_id"), [])
+
+
 @register()
 def a7_export_laws(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("lei "), "doc_id", F.lit(".txt")).alias("name"))

@@ -123,12 +123,15 @@ def export(kind: str, documents: DataFrame, rows: DataFrame, order: list[str]) -
     """(document_id, file_name, body): one JSON text for each document (document_id, name) with rows in that order.
 
     rows carry document_id, the order and what is exported. An export of one value for a
-    document, as of its law, has a single row and is an object; the others are arrays, and
-    empty for a document without rows.
+    document, as of its law, has a single row and is an object; so is a tree, whose rows
+    (document_id, tree) hold JSON already; the others are arrays, and empty for a document
+    without rows.
     """
     fields = [c for c in rows.columns if c != "document_id" and not c.startswith("__")]
     own = F.struct(*fields)
     named = documents.select("document_id", export_name(F.col("name"), kind).alias("file_name"))
+    if kind == "tree":
+        return named.join(rows.select("document_id", F.col("tree").alias("body")), "document_id", "left").withColumn("body", F.coalesce("body", F.lit("null")))
     if kind == "json":
         return named.join(rows.select("document_id", F.to_json(own).alias("body")), "document_id", "left").withColumn("body", F.coalesce("body", F.lit("null")))
     listed = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), own.alias("row"))))

@@ -1,7 +1,9 @@
 """Operators on small rows of their own, and the lexer against a plain line-by-line fold."""
 
+import json
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,11 +235,62 @@ def test_the_tree_takes_one_exchange_and_one_scan(spark, tmp_path):
     spark.createDataFrame([(1, LAW)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     toks = lexer.tokens(lexer.lines(spark.read.parquet(str(tmp_path / "docs"))))
     tree = lexer.nodes(toks)
-    for df in (toks.groupBy("doc_id", "type").count(), lexer.articles_of(tree), lexer.full_texts(lexer.structure_of(tree)), lexer.law_documents(tree)):
+    for df in (toks.groupBy("doc_id", "type").count(), lexer.articles_of(tree), lexer.full_texts(lexer.structure_of(tree)), lexer.law_documents(tree), lexer.articles_with_texts(tree), lexer.law_trees(tree)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
 
 
+def test_trees_as_nested_json(spark):
+    text_ = 'Lei 1\nantes\nSeção I\nAntes\nArt. 1º Um (NR)\nobs: "nota"\nCAPÍTULO II\nArt. 2 Dois\nI - a\na) b\n1. c\nsolto\n§ 1º p (NR)\nII - e\nCAPÍTULO III\n§ 2º órfão\nIV - órfão\n'
+    tree = lexer.nodes(lexer.tokens(lexer.lines(spark.createDataFrame([(1, text_), (2, LAW)], "doc_id long, text string"))))
+    rows = {(r.doc_id, r.idx): r for r in tree.collect()}
+
+    def plain(doc, idx):
+        r = rows[doc, idx]
+        below = sorted(k for (d, k), c in rows.items() if d == doc and k and max(c.parent_idx, 0) == idx)
+        own = {"id": str(idx), "type": r.type, "label": r.label or "", "number": r.number, "title": r.title, "text": r.text, "startLine": r.line_no}
+        return {k: v for k, v in own.items() if v not in (None, "") or k == "label"} | {"children": [plain(doc, k) for k in below]}
+
+    got = {r.doc_id: json.loads(r.tree) for r in lexer.law_trees(tree).collect()}
+    assert got == {1: plain(1, 0), 2: plain(2, 0)}
+    docs = spark.createDataFrame([(1, "lei 1.txt"), (3, "x.txt")], "document_id long, name string")
+    bodies = {r.document_id: (r.file_name, r.body) for r in documents.export("tree", docs, lexer.law_trees(tree).withColumnRenamed("doc_id", "document_id"), []).collect()}
+    assert bodies[3] == ("x-arvore.json", "null") and bodies[1][0] == "lei_1-arvore.json" and json.loads(bodies[1][1]) == got[1]
+
+
+def test_given_titles(spark):
+    turns = spark.createDataFrame([(c, 0, "user", f"pergunta {c}") for c in (1, 2, 3)], "conv_id long, turn long, role string, text string")
+    titles = spark.createDataFrame([(1, "Muros"), (2, None)], "conv_id long, title string")
+    assert {r.conv_id: r.title for r in history.conversation_list(turns, titles).collect()} == {1: "Muros", 2: "pergunta 2", 3: "pergunta 3"}
+
+
+def test_folding_sends_only_wide_texts_to_python(spark):
+    texts = ["ÀÉÎÕÜÇ Ññ ß Ø ÿ µ", "Ação", "İstanbul Ǻ ǻ", "Σ e\u0301 日本", "", None, "ﬁ Å Å"]
+    fold = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not "\u0300" <= c <= "\u036f")
+    df = spark.createDataFrame([(t,) for t in texts] + [(chr(c),) for c in range(1, 0x250)], "t string")
+    assert [r.f for r in df.select("t", text.fold("t").alias("f")).collect()] == [fold(r.t) for r in df.collect()]
+
+
+def test_chunks_of_named_documents_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_CHUNKS", 7)
+    rnd = random.Random(4)
+    rows = [(k, k % 3, [float(rnd.randrange(-3, 4)) for _ in range(4)]) for k in range(120)] + [(120, 1, None)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, document_id long, vector array<float>")
+    matches = spark.createDataFrame([(q, q % 3, 0, 0, "ref", "Lei", "Art. 1") for q in range(6)], "question_id long, document_id long, ord int, pos int, reference string, origin_document string, origin_article string")
+    asked = spark.createDataFrame([(q, [1.0, float(q), -1.0, 0.5]) for q in range(6)], "question_id long, vector array<double>")
+
+    def near(q):
+        a = [1.0, float(q), -1.0, 0.5]
+        dot = lambda x, y: sum(p * r for p, r in zip(x, y, strict=True))
+        found = [(round(max(0.0, 1 - (dot(a, v) / (dot(a, a) * dot(v, v)) ** 0.5 if any(v) else 0.0)), 9), k) for k, d, v in rows if d == q % 3 and v]
+        return [k for _, k in sorted(found)[:2]]
+
+    got = {}
+    for r in search.cross_reference_chunks(matches, asked, vectors).orderBy("rank").collect():
+        got.setdefault(r.question_id, []).append(r.chunk_id)
+    assert got == {q: near(q) for q in range(6)}
+
+
 def test_html_to_text(spark):
     cases = [
         ("a&ccedil;&atilde;o &#233; &#xE9;&nbsp;x", "ação é é x"),
