@@ -33,6 +33,25 @@ def pending_embeddings(chunks: DataFrame, embeddings: DataFrame, model: str) ->
     return hashed.join(old, "chunk_id", "left").select("chunk_id", "hash", todo.alias("pending"))
 
 
+def bucketed_table(spark: SparkSession, name: str, path: str, columns: str, key: str = "chunk_id", buckets: int = 256) -> DataFrame:
+    """A parquet table at `path`, known as `name` in this session, whose files are dealt and sorted by the key: two such tables of as many buckets join without an exchange."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def write_bucketed(rows: DataFrame, name: str, key: str = "chunk_id", buckets: int = 256) -> None:
+    """Put these rows in place of a bucketed table's, a file for each bucket."""
+    columns = rows.sparkSession.table(name).columns
+    rows.select(*columns).repartition(buckets, key).write.mode("overwrite").insertInto(name)
+
+
+def pending_stored(chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
+    """`pending_embeddings` of chunks that are stored with their hash (chunk_id, hash): on bucketed tables nothing is shuffled and no content is read."""
+    old = embeddings.select("chunk_id", F.col("hash").alias("old_hash"), F.col("model").alias("old_model"))
+    todo = ~(F.col("old_hash").eqNullSafe(F.col("hash")) & F.col("old_model").eqNullSafe(F.lit(model)))
+    return chunks.select("chunk_id", "hash").join(old, "chunk_id", "left").select("chunk_id", "hash", todo.alias("pending"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace old ones of the same key; both have the same columns."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -69,6 +69,28 @@ def test_stored_embeddings_are_upserted_and_cleared(spark, tmp_path):
     assert {r.document_id for r in tokens.read().collect()} == {"d1", "d3"} and {r.document_id for r in table.read().collect()} == {"d3"}
 
 
+def test_bucketed_tables_are_compared_without_an_exchange(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(60)], "chunk_id string, content string")
+    done = spark.createDataFrame([(f"c{i}", "m" if i % 5 else "old") for i in range(40)], "chunk_id string, model string").join(chunks, "chunk_id")
+    done = done.withColumn("hash", F.sha2(F.when(F.col("chunk_id") == "c7", "changed").otherwise(F.col("content")), 256)).drop("content")
+    index.bucketed_table(spark, "stored_chunks", str(tmp_path / "chunks"), "chunk_id string, hash string, content string", buckets=8)
+    index.bucketed_table(spark, "stored_embeddings", str(tmp_path / "embeddings"), "chunk_id string, hash string, model string", buckets=8)
+    index.write_bucketed(chunks.withColumn("hash", F.sha2("content", 256)), "stored_chunks", buckets=8)
+    index.write_bucketed(done, "stored_embeddings", buckets=8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.pending_stored(spark.table("stored_chunks"), spark.table("stored_embeddings"), "m")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "content" not in plan
+        want = {(r.chunk_id, r.hash, r.pending) for r in index.pending_embeddings(chunks, done, "m").collect()}
+        assert {tuple(r) for r in found.collect()} == want and sum(p for _, _, p in want) == 29
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("stored_chunks", "stored_embeddings"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def put(folder, name, content):
     path = folder / name
     path.parent.mkdir(parents=True, exist_ok=True)
