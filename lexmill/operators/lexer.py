@@ -292,6 +292,21 @@ def sections_of(tree: DataFrame) -> DataFrame:
     return found.select("doc_id", "idx", (F.row_number().over(_upto("idx")) - 1).alias("section_index"), F.coalesce("chapter_idx", F.lit(-1)).alias("chapter_idx"), "label", "title", (F.col("type") == "SUBSECAO").alias("is_subsection"))
 
 
+def article_links(tree: DataFrame, link_by_label: bool = False) -> DataFrame:
+    """(doc_id, idx, chapter_idx, section_idx) of every article: the chapter and section it stands in, null where there is none.
+
+    With link_by_label, those of the document that bear the same heading ("label — title"),
+    the last one where it is repeated, as where links are looked up by a map of headings.
+    """
+    if not link_by_label:
+        return tree.where("type = 'ARTIGO'").select("doc_id", "idx", "chapter_idx", "section_idx")
+    heads = tree.where(F.col("type").isin("CAPITULO", "SECAO", "SUBSECAO")).withColumns({"heading": _heading(), "of": F.when(F.col("type") == "CAPITULO", "chapter").otherwise("section")})
+    last = heads.where("heading <> ''").groupBy("doc_id", "of", "heading").agg(F.max("idx").alias("head"))
+    named = lambda kind: last.where(F.col("of") == kind).select("doc_id", F.col("heading").alias(kind), F.col("head").alias(f"{kind}_idx"))
+    found = articles_of(tree).join(named("chapter"), ["doc_id", "chapter"], "left").join(named("section"), ["doc_id", "section"], "left")
+    return found.select("doc_id", "idx", "chapter_idx", "section_idx")
+
+
 def paragraphs_of(tree: DataFrame) -> DataFrame:
     """(doc_id, idx, article_idx, paragraph_index, label, text)."""
     order = Window.partitionBy("doc_id", "article_idx").orderBy("idx")

@@ -94,6 +94,12 @@ def c12_sections(spark, d):
     return lexer.sections_of(law_tree(spark, d))
 
 
+@register(f"""WITH {_TREE}, hs AS (SELECT doc_id, type = 'CAPITULO' AS is_chapter, concat_ws(' — ', nullif(label, ''), nullif(title, '')) AS heading, max(idx) AS head FROM nd WHERE type IN ('CAPITULO', 'SECAO', 'SUBSECAO') GROUP BY ALL)
+  SELECT h.doc_id, h.idx, c.head AS chapter_idx, s.head AS section_idx FROM hd h LEFT JOIN hs c ON c.doc_id = h.doc_id AND c.is_chapter AND c.heading = h.chapter AND h.chapter <> '' LEFT JOIN hs s ON s.doc_id = h.doc_id AND NOT s.is_chapter AND s.heading = h.section AND h.section <> ''""")
+def c12_links_by_label(spark, d):
+    return lexer.article_links(staged(law_tree(spark, d)), link_by_label=True)
+
+
 @register(f"WITH {_TREE} SELECT doc_id, idx, ar AS article_idx, row_number() OVER (PARTITION BY doc_id, ar ORDER BY idx) - 1 AS paragraph_index, label, sha256(body) AS text_hash FROM kept WHERE type = 'PARAGRAFO'")
 def c12_paragraphs(spark, d):
     return lexer.paragraphs_of(law_tree(spark, d)).withColumn("text_hash", F.sha2("text", 256)).drop("text")

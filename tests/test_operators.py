@@ -258,6 +258,17 @@ def test_trees_as_nested_json(spark):
     assert bodies[3] == ("x-arvore.json", "null") and bodies[1][0] == "lei_1-arvore.json" and json.loads(bodies[1][1]) == got[1]
 
 
+def test_links_by_repeated_labels(spark):
+    text_ = "Lei 1\nArt. 1 Zero\nCAPÍTULO I\nSeção I\nArt. 2 Um\nCAPÍTULO II\nSeção I\nArt. 3 Dois\nCAPÍTULO I\nArt. 4 Três"
+    tree = lexer.nodes(lexer.tokens(lexer.lines(spark.createDataFrame([(1, text_)], "doc_id long, text string"))))
+    heads = {r.idx: r.label for r in tree.collect() if r.type in ("CAPITULO", "SECAO")}
+    at = [i for i, _ in sorted(heads.items())]  # chapter I, section I, chapter II, section I, chapter I
+    real = [(r.chapter_idx, r.section_idx) for r in lexer.article_links(tree).orderBy("idx").collect()]
+    assert real == [(None, None), (at[0], at[1]), (at[2], at[3]), (at[4], None)]
+    last = [(r.chapter_idx, r.section_idx) for r in lexer.article_links(tree, link_by_label=True).orderBy("idx").collect()]
+    assert last == [(None, None), (at[4], at[3]), (at[2], at[3]), (at[4], None)]
+
+
 def test_given_titles(spark):
     turns = spark.createDataFrame([(c, 0, "user", f"pergunta {c}") for c in (1, 2, 3)], "conv_id long, turn long, role string, text string")
     titles = spark.createDataFrame([(1, "Muros"), (2, None)], "conv_id long, title string")
