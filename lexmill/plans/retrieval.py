@@ -86,15 +86,15 @@ def f10_match_references(spark, d):
 
 
 _CROSS = f"""{_CITED}, dn AS (SELECT DISTINCT label::BIGINT AS document_id, 'Lei nº ' || (1000 + label) AS document_name FROM embeddings), nm AS (SELECT document_id, strip_accents(lower(document_name)) AS name FROM dn), {_MATCH},
-  cr AS (SELECT c.doc_id % 20 AS question_id, rf.ref AS reference, mt.document_id, min((c.doc_id, rf.pos)) AS o FROM documents c JOIN rf ON rf.doc_id = c.doc_id JOIN mt ON mt.ref = strip_accents(lower(rf.ref))
-    WHERE NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id % 20 = c.doc_id % 20 AND p.doc_id % 3 = mt.document_id) GROUP BY ALL),
+  cr AS (SELECT c.doc_id - c.doc_id % 100 AS question_id, rf.ref AS reference, mt.document_id, min((c.doc_id, rf.pos)) AS o FROM documents c JOIN rf ON rf.doc_id = c.doc_id JOIN mt ON mt.ref = strip_accents(lower(rf.ref))
+    WHERE NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id // 100 = c.doc_id // 100 AND p.doc_id % 3 = mt.document_id) GROUP BY ALL),
   cx AS (SELECT question_id, reference, document_id, o[1] AS ord, o[2] AS pos, 'Lei nº ' || (1000 + o[1] % 3) AS origin_document, CASE WHEN o[1] % 4 > 0 THEN 'Art. ' || o[1] END AS origin_article FROM (SELECT question_id, reference, document_id, [o[1], o[2]] AS o FROM cr))"""
 
 
 def _crossed(spark, d) -> DataFrame:
-    """Cross references of every twentieth document taken as one question's candidates."""
+    """Cross references of each hundred documents taken as one question's candidates."""
     k = F.col("doc_id")
-    candidates = _cited(spark, d).select((k % 20).alias("question_id"), k.alias("ord"), (k % 3).alias("document_id"), F.concat(F.lit("Lei nº "), k % 3 + 1000).alias("document_name"), F.when(k % 4 > 0, F.concat(F.lit("Art. "), k)).alias("article_label"), "refs")
+    candidates = _cited(spark, d).select((k - k % 100).alias("question_id"), k.alias("ord"), (k % 3).alias("document_id"), F.concat(F.lit("Lei nº "), k % 3 + 1000).alias("document_name"), F.when(k % 4 > 0, F.concat(F.lit("Art. "), k)).alias("article_label"), "refs")
     return search.cross_references(candidates, _knowledge(spark, d)[2].select("document_id", "document_name"))
 
 
@@ -107,7 +107,7 @@ def f11_cross_references(spark, d):
   n AS (SELECT f.*, v.vec_id AS chunk_id, round({_DIST}, 9) AS dist FROM f JOIN embeddings q ON q.vec_id = f.question_id JOIN embeddings v ON v.label = f.document_id QUALIFY row_number() OVER (PARTITION BY f.question_id, f.document_id ORDER BY round({_DIST}, 9), v.vec_id) <= 2)
   SELECT question_id, document_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY ord, pos, document_id, dist, chunk_id) - 1 AS rank, 'Referência cruzada — citada em "' || origin_document || '"' || coalesce(' (' || origin_article || ')', '') || ': "' || reference || '"' AS reason FROM n""")
 def f12_cross_reference_chunks(spark, d):
-    questions = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    questions = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
     found = search.cross_reference_chunks(_crossed(spark, d), questions, _knowledge(spark, d)[0])
     return found.select("question_id", "document_id", "chunk_id", "rank", "reason")
 
