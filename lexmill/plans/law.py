@@ -220,6 +220,14 @@ def a7_export_logs(spark, d):
     return sources.export("logs", docs, e, ["event_id"]).select("document_id", "file_name", F.sha2("body", 256).alias("body_hash"))
 
 
+@register("""WITH b AS (SELECT label AS document_id, to_json(list({chunkId: vec_id, model: 'm', dimension: len(embedding), hash: sha256(vec_id::VARCHAR), durationMs: CASE WHEN vec_id % 3 > 0 THEN vec_id END, indexed: vec_id % 2 = 0, indexedAt: NULL::VARCHAR, metadata: NULL::VARCHAR} ORDER BY vec_id)) AS body FROM embeddings GROUP BY 1)
+  SELECT document_id, 'lei_' || document_id || '-embeddings.json' AS file_name, sha256(body::VARCHAR) AS body_hash FROM b""")
+def a7_export_embeddings(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").alias("document_id"), F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"), F.size("embedding").alias("dimension"), F.sha2(F.col("vec_id").cast("string"), 256).alias("hash"), F.when(F.col("vec_id") % 3 > 0, F.col("vec_id")).alias("duration_ms"), (F.col("vec_id") % 2 == 0).alias("indexed"))
+    docs = e.select("document_id", F.concat(F.lit("lei "), "document_id", F.lit(".pdf")).alias("name")).distinct()
+    return sources.export_fields("embeddings", docs, e).select("document_id", "file_name", F.sha2("body", 256).alias("body_hash"))
+
+
 @register()
 def a7_export_trees(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("lei "), "doc_id", F.lit(".txt")).alias("name"))

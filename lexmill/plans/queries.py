@@ -263,15 +263,15 @@ def e10_step_eligibility(spark, d):
     return table(spark, d, "events").select("event_id", index.eligible(name(index.STATUSES, F.col("event_id") % 10), step).alias("eligible"), index.status_after(step).alias("after"))
 
 
-@register("""WITH r AS (SELECT doc_id, CASE quality WHEN 1 THEN 9 ELSE 3 END AS s FROM labels) SELECT k.name, count(*) AS n FROM documents, (VALUES ('tokens', 3), ('structure', 5), ('chunks', 6), ('embeddings', 8)) k(name, last)
-  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = documents.doc_id AND r.s <= k.last) GROUP BY 1""")
+@register("""WITH r AS (SELECT doc_id, CASE quality WHEN 1 THEN 9 ELSE 3 END AS s FROM labels) SELECT k.name, doc_id AS document_id FROM documents, (VALUES ('tokens', 3), ('structure', 5), ('chunks', 6), ('embeddings', 8)) k(name, last)
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = documents.doc_id AND r.s <= k.last)""")
 def e11_invalidate(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
     rerun = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "INDEXING").otherwise("TOKENIZATION").alias("step"))
     left = index.invalidate({n: docs for n in index.CLEARED_UP_TO}, rerun)
     out = None
     for name, df in left.items():
-        part = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        part = df.select(F.lit(name).alias("name"), "document_id")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -31,12 +31,13 @@ def e2_prompt_fill(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", index.fill_prompt(F.lit("Contexto: {{CONTEXTO}} / {{TEXTO}}"), F.col("text"), given).alias("prompt"))
 
 
-@register("SELECT 'labels' AS name, count(*) AS n FROM labels WHERE doc_id % 4 > 0 UNION ALL SELECT 'documents', count(*) FROM documents WHERE doc_id % 4 > 0")
+@register("SELECT 'labels' AS name, doc_id, quality || ',' || toxic AS own FROM labels WHERE doc_id % 4 > 0 UNION ALL SELECT 'documents', doc_id, sha256(text) FROM documents WHERE doc_id % 4 > 0")
 def e12_cascade_delete(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     left = index.cascade_delete({"documents": docs, "labels": labels}, docs.where("doc_id % 4 = 0").select("doc_id"), "doc_id")
-    counts = [df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    own = {"documents": F.sha2("text", 256), "labels": F.concat_ws(",", "quality", "toxic")}
+    rows = [df.select(F.lit(name).alias("name"), "doc_id", own[name].alias("own")) for name, df in left.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @register("SELECT label AS document_id, count(*) AS chunks, count(*) FILTER (vec_id % 3 > 0) AS indexed, count(*) = count(*) FILTER (vec_id % 3 > 0) AS complete FROM embeddings GROUP BY 1")

@@ -119,6 +119,33 @@ def export_name(name: Column, kind: str) -> Column:
     return F.concat(stem, F.lit(f"-{EXPORTS[kind]}.json"))
 
 
+# The fields of the exported arrays, as (name in the export, column).
+EXPORT_FIELDS = {
+    "chunks": (
+        ("index", "chunk_index"), ("content", "content"), ("tokenCount", "token_count"), ("charCount", "char_count"), ("part", "part"), ("totalParts", "total_parts"),
+        ("originArticle", "origin_article"), ("originChapter", "origin_chapter"), ("originSection", "origin_section"), ("enrichment", "enrichment"),
+    ),
+    "embeddings": (
+        ("chunkId", "chunk_id"), ("model", "model"), ("dimension", "dimension"), ("hash", "hash"), ("durationMs", "duration_ms"), ("indexed", "indexed"), ("indexedAt", "indexed_at"), ("metadata", "metadata"),
+    ),
+    "logs": (("id", "id"), ("documentId", "document_id"), ("step", "step"), ("level", "level"), ("message", "message"), ("meta", "meta"), ("createdAt", "created_at")),
+}
+
+
+def export_fields(kind: str, documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """`export` of chunks, embeddings or logs with exactly their exported fields, nulls among them; a column that rows lack is null.
+
+    Chunks come by index, logs by time, then id, embeddings by chunk.
+    """
+    column = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    order = {"chunks": ["chunk_index"], "embeddings": ["chunk_id"], "logs": ["created_at", "id"]}[kind]
+    own = rows.select("document_id", *(column(c).alias(f"__{c}") for c in order), F.struct(*(column(c).alias(name) for name, c in EXPORT_FIELDS[kind])).alias("row"))
+    named = documents.select("document_id", export_name(F.col("name"), kind).alias("file_name"))
+    listed = F.array_sort(F.collect_list(F.struct(*(f"__{c}" for c in order), F.to_json("row", {"ignoreNullFields": "false"}).alias("json"))))
+    bodies = own.groupBy("document_id").agg(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["json"]), ","), F.lit("]")).alias("body"))
+    return named.join(bodies, "document_id", "left").withColumn("body", F.coalesce("body", F.lit("[]")))
+
+
 def export(kind: str, documents: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     """(document_id, file_name, body): one JSON text for each document (document_id, name) with rows in that order.
 

@@ -240,6 +240,17 @@ def test_the_tree_takes_one_exchange_and_one_scan(spark, tmp_path):
         assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
 
 
+def test_exports_with_their_exact_fields(spark):
+    docs = spark.createDataFrame([(1, "lei 1.pdf"), (2, "b.txt")], "document_id long, name string")
+    chunks = spark.createDataFrame([(1, 1, "z", 3), (1, 0, "a \"b\"", None)], "document_id long, chunk_index int, content string, token_count long")
+    got = {r.document_id: (r.file_name, json.loads(r.body)) for r in documents.export_fields("chunks", docs, chunks).collect()}
+    none = dict.fromkeys(("charCount", "part", "totalParts", "originArticle", "originChapter", "originSection", "enrichment"))
+    assert got == {1: ("lei_1-chunks.json", [{"index": 0, "content": 'a "b"', "tokenCount": None} | none, {"index": 1, "content": "z", "tokenCount": 3} | none]), 2: ("b-chunks.json", [])}
+    logs = spark.createDataFrame([("b", 1, "CLEANING", 2), ("a", 1, "TREE", 2), ("c", 1, "UPLOAD", 1)], "id string, document_id long, step string, created_at long")
+    (body,) = [json.loads(r.body) for r in documents.export_fields("logs", docs, logs).collect() if r.document_id == 1]
+    assert [(x["id"], x["documentId"], x["meta"]) for x in body] == [("c", 1, None), ("a", 1, None), ("b", 1, None)] and list(body[0]) == ["id", "documentId", "step", "level", "message", "meta", "createdAt"]
+
+
 def test_trees_as_nested_json(spark):
     text_ = 'Lei 1\nantes\nSeção I\nAntes\nArt. 1º Um (NR)\nobs: "nota"\nCAPÍTULO II\nArt. 2 Dois\nI - a\na) b\n1. c\nsolto\n§ 1º p (NR)\nII - e\nCAPÍTULO III\n§ 2º órfão\nIV - órfão\n'
     tree = lexer.nodes(lexer.tokens(lexer.lines(spark.createDataFrame([(1, text_), (2, LAW)], "doc_id long, text string"))))
