@@ -19,11 +19,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table written now; it goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexmill-staged-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows, read from a table written now; it goes when the application ends, as results read from it may until then."""
+    path = f"{shared_folder(df.sparkSession)}/lexmill-staged-{uuid.uuid4().hex}"
+    place, files = _place(df.sparkSession, path)
+    files.deleteOnExit(place)
+    return _write(df, path)
+
+
+class Staging:
+    """Staged tables of one step, such as a micro-batch, that nothing reads once it has ended: `with Staging(spark) as keep: df = keep(df)`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/lexmill-step-{uuid.uuid4().hex}", 0
+
+    def __enter__(self):
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return _write(df, f"{self.path}/{self.n}")
+
+    def __exit__(self, *_) -> None:
+        place, files = _place(self.spark, self.path)
+        files.delete(place, True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexmill.sources.staged import staged
+from lexmill.sources.staged import Staging
 
 BUCKETS = 256
 
@@ -47,19 +47,23 @@ class BucketTable:
 
     def replace(self, new: DataFrame, gone: DataFrame | None = None) -> list[int]:
         """Rows of every key of `new`, and of `gone` (the key column), make room for those of `new`; returns the buckets written again."""
+        with Staging(self.spark) as keep:
+            return self._replaced(new, gone, keep)
+
+    def _replaced(self, new: DataFrame, gone: DataFrame | None, keep: Staging) -> list[int]:
         fields = self.schema.fieldNames()
-        rows = staged(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).withColumn("bucket", self._bucket()))
+        rows = keep(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).withColumn("bucket", self._bucket()))
         keys = rows.select(self.key, "bucket")
         if gone is not None:
             keys = keys.unionByName(gone.select(F.col(self.key).cast(self.schema[self.key].dataType).alias(self.key)).withColumn("bucket", self._bucket()))
-        keys = staged(keys.distinct())
+        keys = keep(keys.distinct())
         touched = sorted(r[0] for r in keys.select("bucket").distinct().collect())  # at most as many as there are buckets
         if not touched:
             return touched
         old = self._stored().where(F.col("bucket").isin(touched)).alias("o")
         leaves = keys.drop("bucket").withColumnRenamed(self.key, "__key")
         stays = old.join(leaves, F.col(f"o.{self.key}").eqNullSafe(F.col("__key")), "left_anti")
-        after = staged(stays.select(*fields, "bucket").unionByName(rows.select(*fields, "bucket")))
+        after = keep(stays.select(*fields, "bucket").unionByName(rows.select(*fields, "bucket")))
         filled = {r[0] for r in after.select("bucket").distinct().collect()}
         after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
         for bucket in sorted(set(touched) - filled):

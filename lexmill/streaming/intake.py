@@ -14,7 +14,7 @@ from lexmill.config import Chunking, Patterns
 from lexmill.functions import text
 from lexmill.operators import chunking, index, lexer
 from lexmill.sources import files
-from lexmill.sources.staged import staged
+from lexmill.sources.staged import Staging
 from lexmill.sources.tables import BucketTable
 
 
@@ -52,15 +52,15 @@ def folder_tables(spark: SparkSession, out: str) -> dict[str, tuple[BucketTable,
     return {"documents": (files.documents_table(spark, out), ("name",)), "tokens": (own("tokens", TOKENS), ("idx",)), "nodes": (own("nodes", NODES), ("idx",)), "chunks": (own("chunks", CHUNKS), ("chunk_index",))}
 
 
-def _store(spark: SparkSession, documents: DataFrame, gone: DataFrame | None, out: str, patterns: Patterns, cfg: Chunking) -> None:
+def _store(spark: SparkSession, documents: DataFrame, gone: DataFrame | None, out: str, patterns: Patterns, cfg: Chunking, keep: Staging) -> None:
     """Put documents and all that follows from their texts in place of what stands there of them, and of those that are gone.
 
     The documents come last: a run that fails before that finds the same files changed again.
     """
     tables = {name: t for name, (t, _) in folder_tables(spark, out).items()}
     cleaned = text.clean(documents.where("text is not null")).select(F.col("document_id").alias("doc_id"), F.col("cleaned").alias("text"))
-    toks = staged(lexer.tokens(lexer.lines(cleaned), patterns))
-    tree = staged(lexer.nodes(toks, patterns))
+    toks = keep(lexer.tokens(lexer.lines(cleaned), patterns))
+    tree = keep(lexer.nodes(toks, patterns))
     ids = documents.select("document_id")
     ids = ids if gone is None else ids.unionByName(gone)
     for name, rows in (("tokens", toks), ("nodes", tree), ("chunks", chunking.chunks(article_units(tree), cfg))):
@@ -74,12 +74,13 @@ def refresh_folder(spark: SparkSession, folder: str, out: str, patterns: Pattern
     Files are told apart by path, time and size; only new and changed ones are read, and
     only the buckets of their documents, and of those whose files are gone, are written again.
     """
-    known = staged(files.documents_table(spark, out).read().select("document_id", "path", "modified", "size_bytes"))
-    changed, gone = files.changed_files(spark, folder, known)
-    documents, gone = staged(files.documents_of(changed)), staged(gone)
-    counts = documents.count(), gone.count()
-    if any(counts):
-        _store(spark, documents, gone, out, patterns, cfg)
+    with Staging(spark) as keep:
+        known = keep(files.documents_table(spark, out).read().select("document_id", "path", "modified", "size_bytes"))
+        changed, gone = files.changed_files(spark, folder, known)
+        documents, gone = keep(files.documents_of(changed)), keep(gone)
+        counts = documents.count(), gone.count()
+        if any(counts):
+            _store(spark, documents, gone, out, patterns, cfg, keep)
     return counts
 
 
@@ -87,7 +88,8 @@ def intake_files(spark: SparkSession, folder: str, out: str, checkpoint: str, pa
     """The same tables fed by a stream of a folder's new files; a batch that runs again replaces its own rows."""
 
     def batch(df: DataFrame, number: int) -> None:
-        _store(df.sparkSession, staged(files.documents_of(df)), None, out, patterns, cfg)
+        with Staging(df.sparkSession) as keep:
+            _store(df.sparkSession, keep(files.documents_of(df)), None, out, patterns, cfg, keep)
 
     return files.stream_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
