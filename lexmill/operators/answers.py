@@ -149,14 +149,14 @@ def parse_category(raw: Column, closed: tuple[str, ...] = CATEGORIES, other: str
 
 def parse_entities(raw: Column, keys: tuple[str, ...] = ENTITY_KEYS) -> Column:
     """A struct with the strings of each key; what is no list, or no string in one, is left out, and so are other keys."""
-    v = F.try_parse_json(raw)
 
-    def strings(key):
+    def strings(v, key):
         parts = F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
         own = F.filter(parts, lambda x: _kind(x) == "STRING")
         return F.transform(own, lambda x: F.try_variant_get(x, "$", "string"))
 
-    return F.struct(*(strings(k).alias(k) for k in keys))
+    # The text is parsed once: as an argument it is not put in the place of each of its uses.
+    return F.get(F.transform(F.array(F.try_parse_json(raw)), lambda v: F.struct(*(strings(v, k).alias(k) for k in keys))), F.lit(0))
 
 
 def entity_terms(entities: Column, keys: tuple[str, ...] = ENTITY_KEYS) -> Column:

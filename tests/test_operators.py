@@ -335,6 +335,14 @@ def test_html_to_text(spark):
     assert [r[0] for r in got] == [w for _, w in cases]
 
 
+def test_entities_are_parsed_once_a_row(spark):
+    raw = '{"medidas": ["3 m", " "], "lei": ["x", 4, null], "zona": "text", "other": ["y"]}'
+    df = spark.createDataFrame([(raw,), ("[",), (None,)], "raw string").select(answers.parse_entities(F.col("raw")).alias("e"))
+    done = df.select(answers.entity_terms(F.col("e")).alias("terms"))
+    assert [r.terms for r in done.collect()] == [["x", "3 m"], [], []]
+    assert done._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
+
+
 def test_exports(spark):
     docs = spark.createDataFrame([(1, "lei nº 1.pdf"), (2, "b-2.txt")], "document_id long, name string")
     rows = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "document_id long, index int, content string")
