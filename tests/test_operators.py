@@ -335,6 +335,17 @@ def test_html_to_text(spark):
     assert [r[0] for r in got] == [w for _, w in cases]
 
 
+def test_references_without_a_semicolon(spark):
+    cases = [
+        ("<title>and&amp</title>x &am &copy;&amp;lt; &ccedil; &ampx;", "and&\nx &am ©&lt; ç &x;", "and&amp\nx &am ©&lt; ç &ampx;"),
+        ("&amp;&amp;&amp<p>&#233 &#233;", "&&&\né é", "&&&amp\n&#233 é"),
+        ("a&amp;quot;b &quot;c&quot;", 'a&quot;b "c"', 'a&quot;b "c"'),
+    ]
+    rows = spark.createDataFrame([(c,) for c, _, _ in cases], "h string")
+    got = rows.select(documents.html_to_text(F.col("h")), documents.html_to_text(F.col("h"), closed=True)).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
 def test_entities_are_parsed_once_a_row(spark):
     raw = '{"medidas": ["3 m", " "], "lei": ["x", 4, null], "zona": "text", "other": ["y"]}'
     df = spark.createDataFrame([(raw,), ("[",), (None,)], "raw string").select(answers.parse_entities(F.col("raw")).alias("e"))
