@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 #: White space of the rules: ASCII, no-break, byte-order mark and the Unicode spaces.
 SPACE = r"[\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same as characters.
+SPACES = "\t\n\x0b\f\r \xa0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,10 @@ class Patterns:
     citation: str = r"((?:Lei(?:\s+(?:Complementar|Federal|Estadual|Municipal|Org[âa]nica))?|Decreto(?:-Lei)?|Medida\s+Provis[óo]ria|Emenda\s+Constitucional)\s+n\s*[ºo°.]?\s*[\d.]+(?:\s*[,/]\s*de\s+[^,;.]+)?)"
 
 
+#: What the lower case of a line holds if one of these patterns fits it anywhere; a changed pattern is looked for everywhere.
+CUES = {Patterns.amendment: ("(", "pel"), Patterns.citation: ("lei", "decreto", "medida", "emenda")}
+
+
 @dataclass(frozen=True)
 class Chunking:
     max_tokens: int = 512

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lexmill.config import SPACE
+from lexmill.config import SPACES
 
 # Letters that a wrong decoding has split in two, and what they were.
 MOJIBAKE = (
@@ -64,7 +64,7 @@ def fold(text: Column | str) -> Column:
 
 def trim(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 #: Steps that put one character, or none, for every single character they match: a translation tells both.

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lexmill.functions.text import fold
 from lexmill.operators.answers import legal_status
 from lexmill.operators.search import contained
+from lexmill.sources.staged import staged
 
 
 def question_index(turns: DataFrame) -> DataFrame:
@@ -72,14 +73,15 @@ def search_articles(queries: DataFrame, articles: DataFrame, documents: DataFram
 
     articles (document_id, article_index, label, number, caput, full_text), documents
     (document_id, name). Each text is read once for all queries; one that holds several
-    comes out once for each.
+    comes out once for each. The articles are written once, as three branches read them.
     """
     q = _asked(queries)
-    own = articles.select("document_id", "article_index", F.lower(F.concat_ws("\n", "label", "number", "full_text")).alias("low"))
+    articles = staged(articles.select("document_id", "article_index", "label", F.substring("caput", 1, 240).alias("excerpt"), F.lower(F.concat_ws("\n", "label", "number", "full_text")).alias("low")))
+    own = articles.select("document_id", "article_index", "low")
     direct = contained(q, own, "q", "low", ["document_id", "article_index"]).join(q, "q").select("query_id", "document_id", "article_index")
     named = search_documents(queries, documents, 1 << 30).select("query_id", "document_id").join(articles.select("document_id", "article_index"), "document_id")
     hits = _first(direct.unionByName(named.select(*direct.columns)).distinct(), ["document_id", "article_index"], limit)
-    shown = articles.select("document_id", "article_index", "label", F.substring("caput", 1, 240).alias("excerpt"))
+    shown = articles.select("document_id", "article_index", "label", "excerpt")
     return hits.join(shown, ["document_id", "article_index"])
 
 

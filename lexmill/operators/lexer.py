@@ -6,11 +6,14 @@ lines serves them all; parents' attributes are carried forward and never joined
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.config import Patterns
+from lexmill.config import CUES, Patterns
 from lexmill.functions.text import trim
 
 # Depth of the structural tokens.
@@ -63,7 +66,7 @@ def main_tokens(numbered: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     # Free lines since the last hard one: a running count less what it was there.
     df = df.withColumn("run", F.sum(F.col("free").cast("int")).over(_upto("line_no")))
     df = df.withColumn("nth", F.col("run") - F.coalesce(_last(hard, F.col("run"), _upto("line_no")), F.lit(0)))
-    title = (F.length("line") <= 120) & ~line.rlike("[.;:]$") & (F.col("nth") == 1)
+    title = (F.col("nth") == 1) & (F.length("line") <= 120) & ~line.rlike("[.;:]$")
     kind = (
         F.when(hard, F.col("cls"))
         .when(F.col("item"), "ITEM")
@@ -76,16 +79,24 @@ def main_tokens(numbered: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     return df.select("doc_id", "line_no", "position", kind.alias("type"), "line")
 
 
+def _cued(pattern: str, line: Column) -> Column:
+    """Whether a line may fit a pattern anywhere: a look for a few short texts instead of a try at each character."""
+    low, cues = F.lower(line), CUES.get(pattern, ())
+    # Two letters are their own lower case and yet equal i and s where case is ignored.
+    return reduce(or_, (F.contains(low, F.lit(c)) for c in (*cues, "ı", "ſ"))) if cues else F.lit(True)
+
+
 def tokens(numbered: DataFrame, p: Patterns = Patterns()) -> DataFrame:
     """(doc_id, idx, type, text, position, line_no): the document token, then each line's own, its amendment mark and its citations.
 
     A line's tokens are one array, so the lines are read, classed and sorted once.
     """
-    line, mark = F.col("line"), F.regexp_extract("line", "(?iu)" + p.amendment, 1)
+    line = F.col("line")
+    mark = F.when(_cued(p.amendment, line), F.regexp_extract("line", "(?iu)" + p.amendment, 1)).otherwise("")
     token = lambda kind, text: F.struct(kind.alias("type"), text.alias("text"))
     none = F.array().cast("array<struct<type: string, text: string>>")
     first = F.row_number().over(_upto("line_no")) == 1
-    cited = F.transform(F.regexp_extract_all("line", F.lit("(?iu)" + p.citation), 1), lambda c: token(F.lit("REFERENCIA_LEGAL"), c))
+    cited = F.when(_cued(p.citation, line), F.transform(F.regexp_extract_all("line", F.lit("(?iu)" + p.citation), 1), lambda c: token(F.lit("REFERENCIA_LEGAL"), c))).otherwise(none)
     every = F.concat(
         F.when(first, F.array(token(F.lit("DOCUMENT"), line))).otherwise(none),
         F.array(token(F.col("type"), line)),
@@ -281,9 +292,12 @@ def articles_with_texts(tree: DataFrame) -> DataFrame:
 
 def chapters_of(tree: DataFrame) -> DataFrame:
     """(doc_id, idx, chapter_index, label, title): sections before any chapter stand in one without a name (idx -1), which comes first."""
-    real = tree.where("type = 'CAPITULO'").select("doc_id", "idx", "label", "title")
-    implicit = tree.where("type in ('SECAO', 'SUBSECAO') and chapter_idx is null").select("doc_id", F.lit(-1).alias("idx"), F.lit("(sem capítulo)").alias("label"), F.lit("").alias("title")).distinct()
-    return real.unionByName(implicit).withColumn("chapter_index", F.row_number().over(_upto("idx")) - 1)
+    real = F.col("type") == "CAPITULO"
+    # Only a document's first heading can be a section that stands for the chapter without a name.
+    heads = tree.where("type in ('CAPITULO', 'SECAO', 'SUBSECAO')").select("doc_id", "idx", "type", "label", "title").withColumn("nth", F.row_number().over(_upto("idx")))
+    found = heads.where(real | (F.col("nth") == 1)).withColumn("chapter_index", F.row_number().over(_upto("idx")) - 1)
+    named = lambda c, other: F.when(real, F.col(c)).otherwise(other).alias(c)
+    return found.select("doc_id", named("idx", -1), named("label", "(sem capítulo)"), named("title", ""), "chapter_index")
 
 
 def sections_of(tree: DataFrame) -> DataFrame:

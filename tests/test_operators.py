@@ -346,6 +346,20 @@ def test_references_without_a_semicolon(spark):
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
 
 
+def test_chapters_and_searched_articles_read_the_texts_once(spark, tmp_path):
+    rows = [(1, LAW), (2, "Seção I\nA\nCAPÍTULO I\nB\nArt. 1 x"), (3, "Art. 1 x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    tree = lexer.nodes(lexer.tokens(lexer.lines(spark.read.parquet(str(tmp_path / "docs")))))
+    chapters = lexer.chapters_of(tree)
+    assert chapters._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert [(r.idx, r.label, r.chapter_index) for r in chapters.where("doc_id = 2").orderBy("idx").collect()] == [(-1, "(sem capítulo)", 0), (3, "CAPÍTULO I", 1)]
+    arts = lexer.articles_with_texts(tree).select(F.col("doc_id").alias("document_id"), F.col("idx").alias("article_index"), "label", "number", "caput", "full_text")
+    names = spark.createDataFrame([(1, "Lei 1")], "document_id long, name string")
+    found = history.search_articles(spark.createDataFrame([(1, "art. 1"), (2, "lei 1")], "query_id long, query string"), arts, names)
+    assert "/docs" not in found._jdf.queryExecution().optimizedPlan().toString() and str(tmp_path) not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r.document_id) for r in found.collect()} >= {(1, 1), (1, 3), (2, 1)}
+
+
 def test_entities_are_parsed_once_a_row(spark):
     raw = '{"medidas": ["3 m", " "], "lei": ["x", 4, null], "zona": "text", "other": ["y"]}'
     df = spark.createDataFrame([(raw,), ("[",), (None,)], "raw string").select(answers.parse_entities(F.col("raw")).alias("e"))
@@ -354,6 +368,15 @@ def test_entities_are_parsed_once_a_row(spark):
     assert done._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
 
 
+def test_cues_spare_no_fitting_line(spark):
+    odd = ["ſ", "LEİ nº 5", "leı nº 7", "Lei nº 10.257 (nr)", "a REDAÇÃO DADA PELA b", "mEdIdA Provisória nº 3", "( NR )", "\u2003\ufeff Decreto-Lei nº 1\u3000", "x", "emenda constitucional nº 9 ( Nova Redação )"]
+    df = spark.createDataFrame([(1, "\n".join(odd))], "doc_id long, text string")
+    got = [(r.type, r.text) for r in lexer.tokens(lexer.lines(df)).orderBy("idx").collect() if r.type in ("NOVA_REDACAO", "REFERENCIA_LEGAL")]
+    plain = Patterns(amendment=Patterns.amendment + "(?:)", citation=Patterns.citation + "(?:)")  # the same, without cues
+    want = [(r.type, r.text) for r in lexer.tokens(lexer.lines(df), plain).orderBy("idx").collect() if r.type in ("NOVA_REDACAO", "REFERENCIA_LEGAL")]
+    assert got == want and len(got) >= 8
+
+
 def test_exports(spark):
     docs = spark.createDataFrame([(1, "lei nº 1.pdf"), (2, "b-2.txt")], "document_id long, name string")
     rows = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "document_id long, index int, content string")
