@@ -9,6 +9,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -254,21 +255,29 @@ def _diff_lines(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return [*(("=", t) for t in a[:head]), *middle, *(("=", t) for t in a[len(a) - tail :])]
 
 
+def _diff_runs(a: str | None, b: str | None) -> list[tuple[str, str]]:
+    lines = [t[:DIFF_CHARS].split("\n") if t is not None else [] for t in (a, b)]
+    return [(op, "\n".join(line for _, line in own)) for op, own in groupby(_diff_lines(*lines), lambda edit: edit[0])]
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())])))
 def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Runs of removed, added and unchanged lines that turn one text into the other; a null text has no lines."""
+    return pd.Series([[{"op": op, "text": t} for op, t in _diff_runs(a, b)] for a, b in zip(before, after, strict=True)], dtype=object)
+
+
+def line_diffs(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, pos from 0, op, text): the runs of `line_diff` as rows. A task holds the runs of one pair at a time, however many it gets."""
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                runs = _diff_runs(*(batch.column(c)[n].as_py() for c in (1, 2)))
+                keys = batch.column(0).take(pa.array([n] * len(runs), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(range(len(runs)), pa.int32()), *(pa.array([r[c] for r in runs], pa.string()) for c in (0, 1))], names=[key, "pos", "op", "text"])
 
-    def runs(a, b):
-        lines = [t[:DIFF_CHARS].split("\n") if t is not None else [] for t in (a, b)]
-        out: list = []
-        for op, line in _diff_lines(*lines):
-            if out and out[-1][0] == op:
-                out[-1][1].append(line)
-            else:
-                out.append((op, [line]))
-        return [{"op": op, "text": "\n".join(own)} for op, own in out]
-
-    return pd.Series([runs(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+    return pairs.select(key, before, after).mapInArrow(run, f"`{key}` {kind}, pos int, op string, text string")
 
 
 def line_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:

@@ -346,6 +346,15 @@ def test_references_without_a_semicolon(spark):
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
 
 
+def test_line_diffs_are_the_runs_of_line_diff(spark):
+    pairs = [(1, "a\nb\nc", "a\nx\nc\nd"), (2, None, "a"), (3, "same", "same"), (4, None, None), (5, "", "q\n")]
+    df = spark.createDataFrame(pairs, "k long, b string, a string").repartition(1)
+    want = [(r.k, r.pos, r.run.op, r.run.text) for r in df.select("k", F.posexplode(text.line_diff("b", "a")).alias("pos", "run")).collect()]
+    got = text.line_diffs(df, "k", "b", "a").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert text._diff_runs("a\nb", "a\nc\nd") == [("=", "a"), ("-", "b"), ("+", "c\nd")]
+
+
 def test_chapters_and_searched_articles_read_the_texts_once(spark, tmp_path):
     rows = [(1, LAW), (2, "Seção I\nA\nCAPÍTULO I\nB\nArt. 1 x"), (3, "Art. 1 x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
