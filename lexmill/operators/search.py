@@ -15,6 +15,8 @@ from lexmill.sources.staged import staged
 
 #: Questions in a block, and floats of vectors in a block (4 MB): what a task compares at a time.
 QUESTION_BLOCK, VECTOR_FLOATS = 512, 1 << 20
+#: Questions of a block whose distances are held together: a few MB for each of their copies.
+QUESTIONS_AT_ONCE = 32
 #: Characters of all texts looked for that every task may get at once: an automaton of some 100 MB.
 BROADCAST_CHARS = 1 << 20
 #: Chunks of one document in a block.
@@ -56,13 +58,15 @@ def _block_top_k(k: int, per_document: bool):
                 q = _unit(vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
                 x = _unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunk), -1))
                 ids, chunk, document = (c.to_numpy(zero_copy_only=False) for c in (ids, chunk, document))
-                distance = np.maximum(0.0, 1.0 - q @ x.T)
-                for n, out in enumerate(excluded.to_pylist()):
-                    if out:
-                        distance[n, np.isin(document, out)] = np.inf
                 groups = [np.flatnonzero(document == d) for d in np.unique(document)] if per_document else [np.arange(len(chunk))]
-                for own in groups:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(distance, own, ids, chunk, document)], names=names)
+                for at in range(0, len(ids), QUESTIONS_AT_ONCE):
+                    some = slice(at, at + QUESTIONS_AT_ONCE)
+                    distance = np.maximum(0.0, 1.0 - q[some] @ x.T)
+                    for n, out in enumerate(excluded[some].to_pylist()):
+                        if out:
+                            distance[n, np.isin(document, out)] = np.inf
+                    for own in groups:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(distance, own, ids[some], chunk, document)], names=names)
 
     return run
 

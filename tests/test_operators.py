@@ -5,6 +5,8 @@ import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,6 +388,21 @@ def test_cues_spare_no_fitting_line(spark):
     assert got == want and len(got) >= 8
 
 
+def test_a_block_of_questions_is_compared_some_at_a_time():
+    rng, n = np.random.default_rng(5), 3 * search.QUESTIONS_AT_ONCE + 1
+    q, x = rng.normal(size=(n, 8)), rng.normal(size=(200, 8))
+    excluded = [[k % 5] if k % 2 else [] for k in range(n)]
+    row = [[list(range(n))], [q.tolist()], [excluded], [list(range(200))], [[c % 5 for c in range(200)]], [x.tolist()]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=list("abcdef"))
+    done = list(search._block_top_k(3, False)([batch]))
+    assert max(len(set(b.column(0).to_pylist())) for b in done) == search.QUESTIONS_AT_ONCE
+    got = [r for b in done for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    distance = 1 - search._unit(q) @ search._unit(x).T
+    for k in range(n):
+        distance[k, [c for c in range(200) if c % 5 in excluded[k]]] = np.inf
+    assert got == [(k, c) for k in range(n) for c in np.argsort(distance[k])[:3].tolist()]
+
+
 def test_exports(spark):
     docs = spark.createDataFrame([(1, "lei nº 1.pdf"), (2, "b-2.txt")], "document_id long, name string")
     rows = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "document_id long, index int, content string")
