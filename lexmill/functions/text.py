@@ -156,9 +156,8 @@ def _once(factory):
     return _built[factory]
 
 
-#: Texts are compared as far as this, the stated limit of a comparison. Lists of lines further apart than so many edits are
-#: halved first; columns of a comparison are worked through in blocks of so many bits.
-DIFF_CHARS, DIRECT_EDITS, BLOCK_BITS = 200_000, 400, 4_096
+#: Lists of lines further apart than so many edits are halved first; columns of a comparison are worked through in blocks of so many bits.
+DIRECT_EDITS, BLOCK_BITS = 400, 4_096
 
 
 def _common_lengths(x: list, y: list) -> np.ndarray:
@@ -166,23 +165,33 @@ def _common_lengths(x: list, y: list) -> np.ndarray:
 
     A row of the table is one integer whose unset bits are its steps up, so that a line of x
     costs a few operations on integers; blocks of columns hand their carries on, a bit a line.
+    Lines that the other list lacks add nothing, nor does a line to a block without it that
+    gets no carry: both are passed over.
     """
-    carries, grows = bytes(len(x)), []
-    for at in range(0, len(y), BLOCK_BITS):
-        own = y[at : at + BLOCK_BITS]
+    shared = set(x) & set(y)
+    columns, grows = np.array([k for k, line in enumerate(y) if line in shared], dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+    met_at: dict = {}
+    for k, line in enumerate(x):
+        if line in shared:
+            met_at.setdefault(line, []).append(k)
+    carried: list[int] = []
+    for at in range(0, len(columns), BLOCK_BITS):
+        own = columns[at : at + BLOCK_BITS]
         full, places = (1 << len(own)) - 1, {}
-        for k, line in enumerate(own):
-            places[line] = places.get(line, 0) | 1 << k
-        row, after = full, bytearray(len(x))
-        for k, line in enumerate(x):
-            met = row & places.get(line, 0)
-            total = row + met + carries[k]
-            after[k] = total >> len(own)
+        for k, column in enumerate(own):
+            places[y[column]] = places.get(y[column], 0) | 1 << k
+        bits_of = {k: bits for line, bits in places.items() for k in met_at[line]}
+        carries, row, after = set(carried), full, []
+        for k in sorted(carries | bits_of.keys()):
+            met = row & bits_of.get(k, 0)
+            total = row + met + (k in carries)
+            if total >> len(own):
+                after.append(k)
             row = (total & full) | (row - met)
         bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(own) // 8), "little"), dtype=np.uint8), bitorder="little")
-        grows.append(1 - bits[: len(own)].astype(np.int64))
-        carries = bytes(after)
-    return np.concatenate([[0], *grows]).cumsum()
+        grows[own] = 1 - bits[: len(own)]
+        carried = after
+    return np.concatenate([[0], grows]).cumsum()
 
 
 def _edit_path(x: list, y: list, most: int) -> list[tuple[str, str]]:
@@ -229,8 +238,10 @@ def _shortest_edit(x: list, y: list) -> list[tuple[str, str]]:
 
     Lists a few edits apart are compared at once; between unchanged lines, removals come first.
     """
+    if not x or not y:
+        return [*(("-", t) for t in x), *(("+", t) for t in y)]
     edits = len(x) + len(y) - 2 * int(_common_lengths(x, y)[-1])
-    if edits <= DIRECT_EDITS or not x or not y:
+    if edits <= DIRECT_EDITS:
         return _edit_path(x, y, edits)
     if len(x) == 1:
         at = y.index(x[0]) if x[0] in y else None
@@ -256,7 +267,7 @@ def _diff_lines(a: list[str], b: list[str]) -> list[tuple[str, str]]:
 
 
 def _diff_runs(a: str | None, b: str | None) -> list[tuple[str, str]]:
-    lines = [t[:DIFF_CHARS].split("\n") if t is not None else [] for t in (a, b)]
+    lines = [t.split("\n") if t is not None else [] for t in (a, b)]
     return [(op, "\n".join(line for _, line in own)) for op, own in groupby(_diff_lines(*lines), lambda edit: edit[0])]
 
 

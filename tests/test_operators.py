@@ -452,6 +452,26 @@ def test_line_diff_of_many_edits():
     assert sum(op == "=" for op, _ in text._diff_lines(a, b)) == 4_500
 
 
+def test_line_diff_reads_whole_texts(spark):
+    same = "\n".join(f"line {i}" for i in range(40_000))
+    long = "w " * 150_000
+    pairs = [(1, f"{same}\nend", f"{same}\nother end"), (2, long, f"{long}x"), (3, "\n".join("abc" * 80_000), "x")]
+    got = text.line_diffs(spark.createDataFrame(pairs, "k long, b string, a string"), "k", "b", "a").collect()
+    runs = {k: [(r.op, r.text) for r in sorted(got, key=lambda r: r.pos) if r.k == k] for k in (1, 2, 3)}
+    assert runs[1] == [("=", same), ("-", "end"), ("+", "other end")]
+    assert runs[2] == [("-", long), ("+", f"{long}x")]
+    assert runs[3] == [("-", pairs[2][1]), ("+", "x")]
+
+
+def test_line_diff_of_long_lists():
+    rnd = random.Random(7)
+    a = [f"line {rnd.randrange(30_000)}" for _ in range(30_000)]
+    b = [line if rnd.random() < 0.9 else f"new {i}" for i, line in enumerate(a)]
+    edits = text._diff_lines(a, b)
+    assert [t for op, t in edits if op != "+"] == a and [t for op, t in edits if op != "-"] == b
+    assert sum(op == "=" for op, _ in edits) >= sum(x == y for x, y in zip(a, b, strict=True))
+
+
 def test_article_offsets_follow_each_other(spark):
     docs = spark.createDataFrame([(1, "Sumário Art. 1 x Art. 1º y ARTIGO 2 z Art 10 w"), (2, None)], "document_id long, text string")
     arts = spark.createDataFrame([(1, "a", 0, "1"), (1, "b", 1, "1"), (1, "c", 2, "2"), (1, "d", 3, "1"), (1, "e", 4, "10"), (2, "f", 0, "1")], "document_id long, article_id string, article_index int, number string")
