@@ -1,11 +1,14 @@
-"""Approximate nearest neighbours: a graph by NN-descent, and greedy search on it.
+"""Approximate nearest neighbours: graphs by NN-descent, and greedy search on them.
 
-The graph starts from blocks of vectors that random hyperplanes sort next to each other.
-Each round then joins every node's neighbours with each other: who shares a neighbour is
-likely to be near. Only pairs with an entry that is new since the last round are measured.
-A query walks the graph from its own node: it expands those of the nearest nodes of its
-beam that are not yet expanded and keeps the nearest seen, until all of them are.
+The vectors are dealt by a hash to shards of bounded size, whatever the size of the table.
+Each shard gets a graph of its own, made by one task where its vectors lie: it starts from
+blocks of vectors that random hyperplanes sort next to each other, and each round joins
+every node's neighbours with each other: who shares a neighbour is likely to be near. Only
+pairs with an entry that is new since the last round are measured. A query walks the graph
+of every shard: it expands those of the nearest nodes of its beam that are not yet expanded
+and keeps the nearest seen, until all of them are. The best of all shards are its own.
 
+Vectors travel once to their shard; rounds and walks move nothing between tasks.
 Equal vectors are one node, so copies neither fill the lists of others nor make hubs.
 """
 
@@ -21,18 +24,20 @@ from lexmill.llm.store import Scratch
 
 #: Neighbours a node keeps, and reverse neighbours that a round joins besides (the method's sample, new ones first, drawn anew each round).
 DEGREE, REVERSED = 40, 20
-#: Sorted orders that the graph starts from, and vectors in a block of one: only a start, whatever the size of the table.
+#: Sorted orders that a graph starts from, and vectors in a block of one: only a start, whatever the size of the table.
 ORDERS, BLOCK = 8, 128
 #: The rounds end when one changes no more than this share of the list entries.
 LEAST_CHANGE = 0.01
-#: Nodes that a search keeps at first; the nearest 7/8 of them are expanded, and it ends when they all are.
-BEAM = 128
-#: So many queries are compared with every node. While the walks have found less than this share of their nearest nodes, all beams grow by half and go on.
+#: Nodes of a shard, on average at most.
+SHARD = 16_384
+#: Nodes that a walk keeps at first; the nearest 7/8 of them are expanded, so many at a time, and it ends when they all are.
+BEAM, AT_ONCE = 128, 8
+#: A walk starts from the best of so many nodes drawn, and so many about its place in each sorted order.
+DRAWN, ABOUT = 512, 16
+#: So many queries are compared with every node. While their walks have found less than this share of their nearest nodes, the beam grows by half.
 MEASURED, LEAST_RECALL = 64, 0.95
-#: Vectors in a block of the exact pass; bits of a sorted order; candidates that a task holds before it keeps the best of each node.
-EXACT_BLOCK, PLANES, HELD = 1024, 24, 1 << 19
-EDGES = "id long, nbr long, sim float, fresh boolean"
-NAMES = ["id", "nbr", "sim", "fresh"]
+#: Vectors in a block of the exact pass; bits of a sorted order; candidates that a task holds before it keeps the best of each node; queries that walk together; numbers in a gathered array.
+EXACT_BLOCK, PLANES, HELD, TOGETHER, GATHERED = 1024, 24, 1 << 21, 128, 1 << 21
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -50,209 +55,272 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of packed vectors as floats."""
-    column = column.cast(pa.large_binary())
-    size = len(column[0].as_py()) if len(column) else 4
-    start = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset] if len(column) else 0
-    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + size * len(column)] if len(column) else np.zeros(0, dtype=np.uint8)
-    rows = flat.reshape(len(column), size)
-    scale = np.ascontiguousarray(rows[:, :4]).view(np.float32)
-    return rows[:, 4:].view(np.int8).astype(np.float32) * scale
+    rows = [v.as_buffer() for v in column]
+    return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), -1)
 
 
 def _packed(batches):
-    """Vectors as one scale and a byte for each component: the graph needs no more, and results are scored on the originals."""
+    """Vectors as bytes of single floats: the graph needs no more, and results are scored on the originals."""
     for batch in batches:
-        column = batch.column(1)
-        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-        scale = np.maximum(np.abs(x).max(axis=1, initial=0.0, keepdims=True), 1e-30) / 127
-        rows = np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(len(x), 4), np.rint(x / scale).astype(np.int8).view(np.uint8)], axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in rows], pa.binary())], names=["id", "vector"])
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["id", "vector"])
 
 
-def _edges(ids: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nbr), pa.array(sim), pa.array(np.ones(len(ids), dtype=bool))], names=NAMES)
+def _sides(x: np.ndarray, k: int) -> np.ndarray:
+    """The place of vectors in a sorted order: their sides of its planes."""
+    r = np.random.default_rng(7919 + k).standard_normal((x.shape[1], PLANES)).astype(np.float32)
+    return ((x @ r > 0) * (1 << np.arange(PLANES - 1, -1, -1))).sum(axis=1)
 
 
-class Best:
-    """The DEGREE best candidates of each node among those that one task has measured: a list can take no more of them."""
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    return np.append(np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1])
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
 
-    def add(self, ids: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> bool:
-        self.parts.append((ids, nbr, sim))
-        self.held += len(ids)
-        return self.held > HELD
-
-    def take(self) -> pa.RecordBatch:
-        parts = self.parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        ids, nbr, sim = (np.concatenate(c) for c in zip(*parts, strict=True))
-        self.parts, self.held = [], 0
-        order = np.lexsort((nbr, ids))
-        ids, nbr, sim = ids[order], nbr[order], sim[order]
-        once = np.ones(len(ids), dtype=bool)
-        once[1:] = (ids[1:] != ids[:-1]) | (nbr[1:] != nbr[:-1])
-        ids, nbr, sim = ids[once], nbr[once], sim[once]
-        order = np.lexsort((-sim, ids))
-        ids, nbr, sim = ids[order], nbr[order], sim[order]
-        first = np.searchsorted(ids, ids)
-        best = np.arange(len(ids)) - first < DEGREE
-        return _edges(ids[best], nbr[best], sim[best])
-
-
-def _grouped(batches, key: int, columns: int):
-    """(arrays of the columns before the vectors, matrix) of each run of rows with one key, whatever batches it lies in."""
-    held, rows, source, last = None, None, iter(batches), False
-    while not last:
-        batch = next(source, None)
-        last = batch is None
-        if not last:
-            x = _matrix(batch.column(columns))
-            part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
-            held = part if held is None else [np.append(h, p) for h, p in zip(held, part, strict=True)]
-            rows = x if rows is None else np.concatenate([rows, x])
-        if held is None or not len(held[0]):
-            continue
-        cuts = np.append(np.append(0, np.flatnonzero(np.diff(held[key])) + 1), len(held[key]))
-        whole = len(cuts) - 1 if last else len(cuts) - 2  # the last run may go on in the next batch
-        for a, b in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
-            yield [h[a:b] for h in held], rows[a:b]
-        held, rows = [h[cuts[whole] :] for h in held], rows[cuts[whole] :]
-
-
-def _start_blocks(batches):
-    """Cuts each sorted order of a task into blocks and finds the nearest inside each."""
-    best = Best()
-    for (_, ids), x in _grouped(batches, 0, 2):
-        for a in range(0, len(ids), BLOCK):
-            # a short rest goes with the block before it
-            a = max(0, len(ids) - BLOCK) if a + BLOCK > len(ids) else a
-            own, part = ids[a : a + BLOCK], x[a : a + BLOCK]
-            sims = part @ part.T
-            np.fill_diagonal(sims, -np.inf)
-            n = min(DEGREE, len(own) - 1)
-            top = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n else np.zeros((len(own), 0), dtype=np.int64)
-            if best.add(np.repeat(own, n), own[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel()):
-                yield best.take()
-    yield best.take()
+def _turns(values: np.ndarray) -> np.ndarray:
+    """The place of each of sorted values among its equals."""
+    first = np.flatnonzero(_firsts(values))
+    return np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
 
 
-def _joined_neighbours(batches):
-    """Members of one node's neighbourhood against each other, if one of the two is new there; what betters a member's own list comes out."""
-    best = Best()
-    for (_, ids, kth, fresh), x in _grouped(batches, 0, 4):
-        if not fresh.any():
-            continue
-        sims = x @ x.T
-        i, j = np.nonzero((sims > kth[:, None]) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]))
-        if best.add(ids[i], ids[j], sims[i, j]):
-            yield best.take()
-    yield best.take()
+def _falling(sim: np.ndarray) -> np.ndarray:
+    """Integers under 2**32 that sort single floats from the largest to the smallest."""
+    bits = sim.view(np.int32).astype(np.int64)
+    return np.where(bits < 0, bits & 0x7FFFFFFF, -1 - bits) + (1 << 31)
 
 
-def _merged(edges: DataFrame) -> DataFrame:
-    """The DEGREE nearest of each node; what it had before is not fresh."""
-    once = edges.repartition("id").groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DEGREE).drop("rank")
+class Lists:
+    """The DEGREE nearest of each node of a shard among all that were added; fresh are those that came since `settle`."""
 
+    def __init__(self, n: int):
+        self.n, self.parts, self.held = n, [], 0
+        self.nbr, self.sim = np.full((n, DEGREE), -1, dtype=np.int32), np.full((n, DEGREE), -np.inf, dtype=np.float32)
+        self.fresh = np.zeros((n, DEGREE), dtype=bool)
 
-def _links(edges: DataFrame, draw: int) -> DataFrame:
-    """(center, id, fresh): each node's list, and REVERSED of the nodes that have it in theirs."""
-    drawn = Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "id", F.lit(draw)), "id")
-    back = edges.select(F.col("nbr").alias("center"), "id", "fresh").withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= REVERSED)
-    return edges.select(F.col("id").alias("center"), F.col("nbr").alias("id"), "fresh").unionByName(back.drop("turn"))
+    def settle(self) -> None:
+        self.fresh[:] = False
 
+    def add(self, node: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> None:
+        self.parts.append((node.astype(np.int64) * self.n + nbr, sim))
+        self.held += len(node)
+        if self.held > HELD:
+            self.merge()
 
-def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, nbr, sim, fresh) with DEGREE neighbours a node, over packed nodes (id, vector)."""
-
-    def dealt(batches):
-        """Every node once for each order, with its side of the planes as the place in it."""
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            for k in range(ORDERS):
-                r = np.random.default_rng(7919 + k).standard_normal((x.shape[1], PLANES)).astype(np.float32)
-                code = ((x @ r > 0) * (1 << np.arange(PLANES - 1, -1, -1))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, dtype=np.int32)), pa.array(code.astype(np.int64)), *batch.columns], names=["k", "code", "id", "vector"])
-
-    placed = nodes.mapInArrow(dealt, "k int, code long, id long, vector binary").repartitionByRange("k", "code", "id").sortWithinPartitions("k", "code", "id")
-    edges = scratch.save(_merged(placed.select("k", "id", "vector").mapInArrow(_start_blocks, EDGES)), "graph-0")
-    k = 0
+    def merge(self) -> None:
+        if not self.held:
+            return
+        node, place = np.nonzero(self.nbr >= 0)
+        known = node * self.n + self.nbr[node, place]
+        pair, sim = (np.concatenate(c) for c in zip((known, self.sim[node, place]), *self.parts, strict=True))
+        added = np.arange(len(pair)) >= len(known)
+        fresh = np.append(self.fresh[node, place], added[len(known) :])
+        self.parts, self.held = [], 0
+        order = np.argsort(pair * 2 + added)  # what a list holds is met first and stays as it is
+        order = order[_firsts(pair[order])]
+        node, nbr = np.divmod(pair[order], self.n)
+        sim, fresh = sim[order], fresh[order]
+        order = np.argsort(node << 32 | _falling(sim))
+        node, nbr, sim, fresh = node[order], nbr[order], sim[order], fresh[order]
+        place = _turns(node)
+        best = place < DEGREE
+        node, place = node[best], place[best]
+        self.nbr[node, place], self.sim[node, place], self.fresh[node, place] = nbr[best], sim[best], fresh[best]
+
+
+def sorted_orders(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places sorted, nodes in that order) of each sorted order."""
+    codes = [_sides(x, k) for k in range(ORDERS)]
+    return [(code[order], order) for code, order in zip(codes, (np.argsort(code, kind="stable") for code in codes), strict=True)]
+
+
+def _start(x: np.ndarray, lists: Lists) -> None:
+    """Cuts each sorted order into blocks and finds the nearest inside each."""
+    for _, order in sorted_orders(x):
+        for a in range(0, len(order), BLOCK):
+            # a short rest goes with the block before it
+            own = order[max(0, len(order) - BLOCK) :] if a + BLOCK > len(order) else order[a : a + BLOCK]
+            sims = x[own] @ x[own].T
+            np.fill_diagonal(sims, -np.inf)
+            n = min(DEGREE, len(own) - 1)
+            top = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n else np.zeros((len(own), 0), dtype=np.int64)
+            lists.add(np.repeat(own, n), own[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel())
+    lists.merge()
+
+
+def _links(lists: Lists, draw: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, fresh) about each node: its list, and REVERSED of the nodes that have it in theirs; -1 fills up."""
+    node, place = np.nonzero(lists.nbr >= 0)
+    center, fresh = lists.nbr[node, place], lists.fresh[node, place]
+    order = np.argsort((center.astype(np.int64) << 33) | (~fresh).astype(np.int64) << 32 | np.random.default_rng(draw).integers(1 << 32, size=len(node)))
+    node, center, fresh = node[order], center[order], fresh[order]
+    turn = _turns(center)
+    taken = turn < REVERSED
+    back, new = np.full((lists.n, REVERSED), -1, dtype=np.int32), np.zeros((lists.n, REVERSED), dtype=bool)
+    back[center[taken], turn[taken]], new[center[taken], turn[taken]] = node[taken], fresh[taken]
+    return np.concatenate([lists.nbr, back], axis=1), np.concatenate([lists.fresh, new], axis=1)
+
+
+def _join_neighbours(x: np.ndarray, lists: Lists, draw: int) -> None:
+    """Members of each node's neighbourhood against each other, if one of the two is new there; what betters a member's own list comes into it."""
+    members, fresh = _links(lists, draw)
+    lists.settle()
+    centers = np.flatnonzero(fresh.any(axis=1))
+    size = max(1, GATHERED // (members.shape[1] * max(members.shape[1], x.shape[1])))
+    for a in range(0, len(centers), size):
+        own, new = members[centers[a : a + size]], fresh[centers[a : a + size]]
+        near = x[own]
+        sims = near @ near.transpose(0, 2, 1)
+        there = own >= 0
+        worst = np.where(there, lists.sim[own, DEGREE - 1], np.inf)
+        better = (sims > worst[:, :, None]) & (new[:, :, None] | new[:, None, :]) & there[:, None, :] & (own[:, :, None] != own[:, None, :])
+        c, i, j = np.nonzero(better)
+        lists.add(own[c, i], own[c, j], sims[c, i, j])
+    lists.merge()
+
+
+def descend(x: np.ndarray) -> np.ndarray:
+    """The graph of a shard's vectors: the places of each one's DEGREE nearest and of REVERSED that it is near to; their number fills up."""
+    lists, draw = Lists(len(x)), 0
+    _start(x, lists)
+    lists.fresh = lists.nbr >= 0
+    while lists.fresh.sum() > LEAST_CHANGE * (lists.nbr >= 0).sum() or not draw:
+        draw += 1
+        _join_neighbours(x, lists, draw)
+    links = _links(lists, 0)[0]
+    return np.where(links < 0, len(x), links).astype(np.int32)
+
+
+def walk(q: np.ndarray, entry: np.ndarray, x: np.ndarray, links: np.ndarray, orders: list[tuple[np.ndarray, np.ndarray]], beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, inner products) of the nodes that queries hold at the end of their walks, the nearest first; -1 fills up. entry is a query's own place, -1 where it has none here."""
+    n, rows = len(x), np.arange(len(q))
+    seen = np.zeros((len(q), n + 1), dtype=bool)  # the last column takes what fills up
+    seen[:, n] = True
+    beam = min(beam, n)
+    node, sim, done = np.full((len(q), beam), -1, dtype=np.int64), np.full((len(q), beam), -np.inf, dtype=np.float32), np.ones((len(q), beam), dtype=bool)
+
+    def meet(near: np.ndarray, node, sim, done):
+        """The beams with what is met for the first time."""
+        flat = (rows[:, None] * (n + 1) + near).ravel()
+        flat = np.sort(flat[~seen.ravel()[flat]])
+        flat = flat[_firsts(flat)]
+        seen.ravel()[flat] = True
+        row, place = np.divmod(flat, n + 1)
+        new = np.concatenate([np.einsum("ij,ij->i", q[row[a : a + size]], x[place[a : a + size]]) for a in range(0, max(len(row), 1), size)])
+        turn = _turns(row)
+        width = int(turn.max(initial=-1)) + 1
+        more, theirs = np.full((len(q), width), -1, dtype=np.int64), np.full((len(q), width), -np.inf, dtype=np.float32)
+        more[row, turn], theirs[row, turn] = place, new
+        node, sim, done = np.concatenate([node, more], axis=1), np.concatenate([sim, theirs], axis=1), np.concatenate([done, more < 0], axis=1)
+        order = np.argsort(-sim, axis=1, kind="stable")[:, :beam]
+        return (np.take_along_axis(c, order, axis=1) for c in (node, sim, done))
+
+    size = max(1, GATHERED // x.shape[1])
+    start = [np.where(entry < 0, n, entry)[:, None], np.broadcast_to(np.random.default_rng(0).permutation(n)[:DRAWN], (len(q), min(DRAWN, n)))]
+    for k, (code, order) in enumerate(orders):
+        at = np.searchsorted(code, _sides(q, k))[:, None] + np.arange(-(ABOUT // 2), ABOUT // 2)
+        start.append(order[np.clip(at, 0, n - 1)])
+    node, sim, done = meet(np.concatenate(start, axis=1), node, sim, done)
     while True:
-        k += 1
-        links = _links(edges, k)
-        if k > 2:  # before, nearly every list is new
-            links = links.withColumn("new", F.max("fresh").over(Window.partitionBy("center"))).where("new").drop("new")
-        worst = edges.groupBy("id").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("kth"))
-        members = links.join(nodes.join(worst, "id"), "id").select("center", "id", "kth", "fresh", "vector")
-        better = members.repartition("center").sortWithinPartitions("center").mapInArrow(_joined_neighbours, EDGES)
-        edges = scratch.save(_merged(edges.withColumn("fresh", F.lit(False)).unionByName(better)), f"graph-{k}")
-        scratch.drop(f"graph-{k - 1}")
-        scratch.release()
-        sizes = edges.agg(F.count("*").alias("all"), F.count_if("fresh").alias("changed")).first()
-        if sizes["changed"] <= LEAST_CHANGE * sizes["all"]:
-            return edges
-
-
-def _walked(beam: int):
-    """Beams of the queries after a step: what is met for the first time is measured, and the nearest of all stay. Those among the first 7/8 that are not expanded yet are open."""
+        opened = ~done & (np.arange(beam) < max(1, beam * 7 // 8))
+        opened &= opened.cumsum(axis=1) <= AT_ONCE
+        if not opened.any():
+            return node, sim
+        done = done | opened
+        place = np.where(opened, node, -1)
+        place = np.take_along_axis(place, np.argsort(~opened, axis=1, kind="stable")[:, :AT_ONCE], axis=1)
+        near = np.where(place[:, :, None] < 0, n, links[place])
+        node, sim, done = meet(near.reshape(len(q), -1), node, sim, done)
+
+
+def _graphs(batches):
+    """One row for each shard of rows (shard, id, vector) in its order: ids, vectors and links as bytes."""
+    shard, ids, parts = None, [], []
+
+    def made():
+        x = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([descend(x).tobytes()], pa.binary())],
+            names=["shard", "ids", "vectors", "links"],
+        )
+
+    for batch in batches:
+        of, own, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)) if batch.num_rows else None
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if shard is not None and of[a] != shard:
+                yield made()
+                ids, parts = [], []
+            shard = of[a]
+            ids.append(own[a:b])
+            parts.append(x[a:b])
+    if shard is not None:
+        yield made()
+
+
+def build_graphs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(shard, ids, vectors, links): a graph for each shard of the packed nodes (id, vector)."""
+    shards = max(1, -(-nodes.count() // SHARD))
+    dealt = nodes.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
+    placed = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id")
+    return scratch.save(placed.mapInArrow(_graphs, "shard int, ids binary, vectors binary, links binary"), "graphs")
+
+
+def _walks(beam: int, kept: int):
+    """The nearest that queries find in each shard, over its graph and then its queries."""
 
     def run(batches):
-        for (query, kind, node, sim, expanded), x in _grouped(batches, 0, 5):
-            # its own vector comes first, then its beam, then the new nodes
-            new = kind[1:] == 2
-            node, sim = node[1:], np.where(new, x[1:] @ x[0], sim[1:]).astype(np.float32)
-            order = np.lexsort((node, -sim))[:beam]
-            done = expanded[1:][order]
-            opened = ~done & (np.arange(len(order)) < beam * 7 // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), query[0])), pa.array(node[order]), pa.array(sim[order]), pa.array(opened), pa.array(done)], names=["query_id", "id", "sim", "open", "expanded"])
+        graph = None
+        for batch in batches:
+            starts = [k for k, g in enumerate(batch.column("ids")) if g.is_valid]
+            for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if a in starts and b > a:
+                    row = {c: batch.column(c)[a].as_buffer() for c in ("ids", "vectors", "links")}
+                    ids = np.frombuffer(row["ids"], dtype=np.int64)
+                    x = np.frombuffer(row["vectors"], dtype=np.float32).reshape(len(ids), -1)
+                    graph = (x, np.frombuffer(row["links"], dtype=np.int32).reshape(len(ids), -1), sorted_orders(x))
+                    a += 1
+                for c in range(a, b, TOGETHER):
+                    own = batch.slice(c, min(TOGETHER, b - c))
+                    query, entry = (own.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("query_id", "entry"))
+                    at = np.minimum(np.searchsorted(ids, entry), len(ids) - 1)
+                    node, sim = walk(_matrix(own.column("vector")), np.where(ids[at] == entry, at, -1), *graph, beam)
+                    row, turn = np.nonzero(node[:, :kept] >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(ids[node[row, turn]]), pa.array(sim[row, turn])], names=["query_id", "id", "sim"])
 
     return run
 
 
+def walked(queries: DataFrame, graphs: DataFrame, beam: int, kept: int) -> DataFrame:
+    """(query_id, id, sim): the nearest nodes that the packed queries (query_id, entry, vector) find in all graphs."""
+    numbers = graphs.select("shard")
+    index = graphs.select("shard", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast("binary").alias("vector"), "ids", "vectors", "links")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "vectors", "links")]
+    asked = queries.crossJoin(numbers).select("shard", "query_id", "entry", "vector", *none)
+    every = index.unionByName(asked).repartitionByRange(max(1, numbers.count()), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    found = every.mapInArrow(_walks(beam, kept), "query_id long, id long, sim float")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= kept).drop("rank")
+
+
 def found_share(beams: DataFrame, truth: DataFrame) -> float:
     """The share of the pairs (query_id, id) of the truth that the beams hold."""
     row = truth.join(beams.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
     return row["hits"] / row["n"] if row["n"] else 1.0
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch, truth: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, sim): the beam of each query (query_id, entry node), over packed nodes.
+def search(queries: DataFrame, graphs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, sim): what the packed queries (query_id, entry, vector) find, 2 k + 8 each: single floats rank them so far, doubles will.
 
-    truth holds the nearest nodes (query_id, id) of some queries: the beams of all grow until
-    the walks have found LEAST_RECALL of it.
+    truth holds the k nearest nodes (query_id, id) of some queries, whose walks settle the
+    beam of all: it grows until they have found LEAST_RECALL of them.
     """
-    lists = scratch.save(_links(graph, 0).groupBy("center").agg(F.collect_set("id").alias("nbrs")), "neighbourhoods")
-    asked = scratch.save(queries.select("query_id", F.col("entry").alias("id")).join(nodes, "id").select("query_id", "id", "vector"), "queries")
-    # A query's own list is measured already; its own node, nearest of all, is expanded by that.
-    start = asked.select("query_id", "id").join(graph.select("id", "nbr", "sim"), "id").select("query_id", F.col("nbr").alias("id"), "sim", F.lit(True).alias("open"), F.lit(False).alias("expanded"))
-    itself = asked.select("query_id", "id", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("open"), F.lit(True).alias("expanded"))
-    state, step, beam = scratch.save(start.unionByName(itself), "search-0"), 0, BEAM
-    sample = nodes.select("vector").first()
-    no_sim, no_vector = F.lit(None).cast("float"), F.lit(bytes(len(sample["vector"]) if sample else 0))
-    schema, no = "query_id long, id long, sim float, open boolean, expanded boolean", F.lit(False).alias("expanded")
-    while True:
-        if state.where("open").isEmpty():
-            if truth is None or found_share(state, truth) >= LEAST_RECALL or beam >= nodes.count():
-                return state
-            beam += beam // 2
-            place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-            state = scratch.save(state.withColumn("open", ~F.col("expanded") & (place <= beam * 7 // 8)), f"search-{step}-{beam}")
-        step += 1
-        near = state.where("open").select("query_id", F.col("id").alias("center")).join(lists, "center").select("query_id", F.explode("nbrs").alias("id"))
-        seen = state.select("query_id", "id", F.lit(True).alias("seen"))
-        new = near.withColumn("seen", F.lit(False)).unionByName(seen).groupBy("query_id", "id").agg(F.max("seen").alias("seen")).where("not seen")
-        met = new.select("query_id", "id").join(nodes, "id").select("query_id", F.lit(2).alias("kind"), "id", no_sim.alias("sim"), no, "vector")
-        every = (
-            asked.select("query_id", F.lit(0).alias("kind"), "id", no_sim.alias("sim"), no, "vector")
-            .unionByName(state.select("query_id", F.lit(1).alias("kind"), "id", "sim", (F.col("expanded") | F.col("open")).alias("expanded"), no_vector.alias("vector")))
-            .unionByName(met)
-        )
-        walked = every.repartition("query_id").sortWithinPartitions("query_id", "kind").mapInArrow(_walked(beam), schema)
-        state = scratch.save(walked, f"search-{step}")
-        scratch.drop(f"search-{step - 1}", f"search-{step - 1}-{beam}")
+    beam, kept, largest = BEAM, 2 * k + 8, (graphs.agg(F.max(F.length("ids"))).first()[0] or 0) // 8
+    measured = queries.join(truth.select("query_id").distinct(), "query_id", "left_semi")
+    while beam < largest and found_share(walked(measured, graphs, beam, kept), truth) < LEAST_RECALL:
+        beam += beam // 2
+    return walked(queries, graphs, beam, kept)
 
 
 def exact_pass(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -292,8 +360,8 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id
     * of rows that repeat a vec_id, equal ones count once;
     * an empty table gives an empty result; further columns are ignored.
 
-    k may be up to BEAM - 1. The beam follows the table: walks go on with wider ones while the
-    MEASURED queries, which are compared with every node, show that they miss too much.
+    The beam follows the table: walks take wider ones while the MEASURED queries, which are
+    compared with every node, show that they miss too much.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = usable_vectors(vectors, id_col, vector_col).select("vec_id", "vector")
@@ -304,9 +372,10 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, k: int = 20, id
     nodes = scratch.save(reps.mapInArrow(_packed, "id long, vector binary"), "nodes")
     queries = members.where(query_filter).select(F.col("vec_id").alias("query_id"), F.col("id").alias("entry"), F.col("vector").alias("query"))
     queries = scratch.save(queries, "asked")
+    asked = scratch.save(queries.select("query_id", "entry", F.col("entry").alias("id")).join(nodes, "id").select("query_id", "entry", "vector"), "queries")
     measured = queries.select("query_id", "query").orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED)
     truth = scratch.save(exact_pass(measured, reps, k), "truth")
-    beams = search(queries, build_graph(nodes, scratch), nodes, scratch, truth)
+    beams = search(asked, build_graphs(nodes, scratch), truth, k)
     few = members.select("id", "vec_id").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
     size = F.least(F.lit(k), F.lit(members.select("vec_id").distinct().count() - 1))
     found = beams.select("query_id", "id").join(few, "id").where("vec_id <> query_id").select("query_id", "id", "vec_id").distinct()

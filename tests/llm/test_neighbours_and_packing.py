@@ -72,6 +72,39 @@ def test_a_beam_too_narrow_grows(spark, monkeypatch):
     assert hits >= 0.9 * 125 * 20
 
 
+def test_shards_are_searched_whole_and_without_a_job_for_each_step(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 400, raising=False)
+    x = np.random.default_rng(12).standard_normal((3000, 24))
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    spark.sparkContext.setJobGroup("shards", "")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("shards"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sims = x[::20] @ x.T
+    sims[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-sims, axis=1)[:, :20]
+    assert sum(len(got[20 * q] & set(best[q].tolist())) for q in range(150)) >= 0.95 * 150 * 20
+    assert jobs < 80
+
+
+def test_a_graph_and_its_walks_find_the_nearest_of_a_shard():
+    rnd = np.random.default_rng(13)
+    x = np.concatenate([rnd.standard_normal((2000, 16)), 9 + 0.01 * rnd.standard_normal((60, 16))]).astype(np.float32)
+    links = neighbours.descend(x)
+    assert links.shape == (2060, neighbours.DEGREE + neighbours.REVERSED) and links.min() >= 0 and links.max() <= 2060
+    sims = x @ x.T
+    np.fill_diagonal(sims, -np.inf)
+    best = np.argsort(-sims, axis=1)[:, :20]
+    assert np.mean([len(set(links[i]) & set(best[i])) / 20 for i in range(2060)]) >= 0.95
+    q = np.concatenate([rnd.standard_normal((50, 16)), x[2000:2010]]).astype(np.float32)
+    node, sim = neighbours.walk(q, np.append(np.full(50, -1), np.arange(2000, 2010)), x, links, neighbours.sorted_orders(x), 64)
+    assert (np.diff(sim, axis=1) <= 0).all() and all(len(set(row)) == 64 for row in node.tolist())
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(node[i]) & set(best[i])) / 20 for i in range(60)]) >= 0.95
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect()
