@@ -189,29 +189,27 @@ def law_navigation(tree: DataFrame) -> DataFrame:
 
 
 def article_viewer(tree: DataFrame, chunks: DataFrame, figures: DataFrame) -> DataFrame:
-    """Each article with its headings, full text, nested parts, chunk ids by part, figures by page, and status and enrichment of its first chunk.
-
-    tree is that of `lexer`, best a written one (`staged`), as two folds read it; chunks (doc_id, article_idx, chunk_id, part,
-    content, enrichment with observacoes), figures (doc_id, article_idx, page, figure_index, figure_id).
-    """
+    """Each article of a tree of `lexer` with its headings, full text, nested parts and what `with_chunks_and_figures` adds."""
     from lexmill.operators import lexer
 
-    law = lexer.law_documents(tree)  # the nested parts come from the law's own structure
-    section = lambda s: F.concat(s["artigos"], F.flatten(F.transform(s["subsecoes"], lambda u: u["artigos"])))
-    chapter = lambda c: F.concat(c["artigos"], F.flatten(F.transform(c["secoes"], section)))
-    nested = law.select("doc_id", F.posexplode(F.concat("law.artigos", F.flatten(F.transform("law.capitulos", chapter)))).alias("nth", "a"))
-    heads = lexer.articles_with_texts(tree).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
-    pieces = chunks.groupBy("doc_id", F.col("article_idx").alias("idx")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"), F.min_by(F.struct("content", "enrichment"), F.struct("part", "chunk_id")).alias("first")
+    return with_chunks_and_figures(lexer.articles_with_parts(tree), chunks, figures)
+
+
+def with_chunks_and_figures(articles: DataFrame, chunks: DataFrame, figures: DataFrame) -> DataFrame:
+    """Articles (doc_id, idx, ...) with chunk ids by part, figures by page, and status and enrichment of their first chunk.
+
+    chunks (doc_id, article_idx, chunk_id, part, content, enrichment with observacoes), figures (doc_id, article_idx, page,
+    figure_index, figure_id). A chunk is judged where it lies, so its content does not travel; all columns of the articles do.
+    """
+    status = legal_status(fold(F.concat_ws(" ", F.coalesce("enrichment.observacoes", F.lit("")), "content")))
+    judged = chunks.select("doc_id", F.col("article_idx").alias("idx"), "part", "chunk_id", "enrichment", status.alias("status"))
+    pieces = judged.groupBy("doc_id", "idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"), F.min_by(F.struct("status", "enrichment"), F.struct("part", "chunk_id")).alias("first")
     )
     shown = figures.groupBy("doc_id", F.col("article_idx").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "figure_index", "figure_id"))), lambda x: x["figure_id"]).alias("figure_ids"))
-    df = heads.join(nested, ["doc_id", "nth"]).join(pieces, ["doc_id", "idx"], "left").join(shown, ["doc_id", "idx"], "left")
-    status = F.when(F.col("first").isNull(), "Vigente").otherwise(legal_status(fold(F.concat_ws(" ", F.coalesce("first.enrichment.observacoes", F.lit("")), "first.content"))))
-    ids = lambda c: F.coalesce(c, F.array().cast("array<bigint>"))
-    return df.select(
-        "doc_id", "idx", "number", "label", "chapter", "section", "caput", "full_text", F.col("a.paragrafos").alias("paragrafos"), F.col("a.incisos").alias("incisos"),
-        ids("chunk_ids").alias("chunk_ids"), ids("figure_ids").alias("figure_ids"), status.alias("status"), F.col("first.enrichment").alias("enrichment"),
-    )
+    ids = lambda c: F.coalesce(c, F.array().cast("array<bigint>")).alias(c)
+    df = articles.join(pieces, ["doc_id", "idx"], "left").join(shown, ["doc_id", "idx"], "left")
+    return df.select(*articles.columns, ids("chunk_ids"), ids("figure_ids"), F.coalesce("first.status", F.lit("Vigente")).alias("status"), F.col("first.enrichment").alias("enrichment"))
 
 
 def jobs(rows: DataFrame) -> DataFrame:

@@ -290,6 +290,44 @@ def articles_with_texts(tree: DataFrame) -> DataFrame:
     return whole.select("doc_id", "idx", "own.*", "full_text")
 
 
+def _folded(df: DataFrame, name: str, kinds: tuple[str, ...], shape: Column) -> DataFrame:
+    """The rows of some types as an array of their shapes in their parents' rows, in document order, by one aggregate over (doc_id, node)."""
+    is_child = F.col("type").isin(*kinds)
+    own = F.first(F.when(~is_child, F.struct(*df.columns[1:])), ignorenulls=True)
+    child = F.array_sort(F.collect_list(F.when(is_child, F.struct(F.col("idx").alias("i"), shape.alias("child")))))
+    grouped = df.groupBy("doc_id", F.when(is_child, F.col("parent_idx")).otherwise(F.col("idx")).alias("n")).agg(own.alias("own"), child.alias("children"))
+    return grouped.where("own is not null").select("doc_id", "own.*", F.transform("children", lambda x: x["child"]).alias(name))
+
+
+def _with_parts(df: DataFrame) -> DataFrame:
+    """Articles with their paragraphs and incisos, alineas and items within these, from the kept rows (doc_id, idx, type, parent_idx, number, label, text, ...)."""
+    pair = lambda a, b, *more: F.struct(F.col("number").alias(a), F.col("text").alias(b), *more)
+    df = _folded(df, "itens", ("ITEM",), pair("numero", "texto"))
+    df = _folded(df, "alineas", ("ALINEA",), pair("letra", "texto", "itens"))
+    df = _folded(df, "incisos", ("INCISO",), pair("numero", "texto", "alineas"))
+    df = _folded(df, "paragrafos", ("PARAGRAFO",), F.struct(F.col("label").alias("rotulo"), F.col("text").alias("texto"), "incisos"))
+    return _folded(df, "observacoes", ("OBSERVACAO", "NOVA_REDACAO"), F.col("text"))
+
+
+def articles_with_parts(tree: DataFrame) -> DataFrame:
+    """(doc_id, idx, number, label, chapter, section, caput, full_text, paragrafos, incisos) of every article.
+
+    The full text is that of `full_texts`: incisos of the article itself stand before its
+    first paragraph, so its parts in their order are its lines. No join, and no exchange after
+    that of the lines.
+    """
+    article = F.col("type") == "ARTIGO"
+    df = _with_headings(tree).where(F.col("kept") & F.col("type").isin("ARTIGO", "PARAGRAFO", "INCISO", "ALINEA", "ITEM", "OBSERVACAO", "NOVA_REDACAO"))
+    heading = [F.when(article, F.col(c)).alias(c) for c in ("chapter", "section")]
+    df = _with_parts(df.select("doc_id", "idx", "type", "parent_idx", "number", "label", _body().alias("text"), *heading)).where(article)
+    line = lambda a, between, b: F.concat(a, F.lit(between), b)
+    alinea = lambda x: F.concat(F.array(line(x["letra"], ") ", x["texto"])), F.transform(x["itens"], lambda t: line(t["numero"], ". ", t["texto"])))
+    inciso = lambda x: F.concat(F.array(line(x["numero"], " - ", x["texto"])), F.flatten(F.transform(x["alineas"], alinea)))
+    paragraph = lambda x: F.concat(F.array(F.trim(line(x["rotulo"], " ", x["texto"]))), F.flatten(F.transform(x["incisos"], inciso)))
+    lines = F.concat(F.array(F.trim(line(F.col("label"), " ", F.col("text")))), F.flatten(F.transform("incisos", inciso)), F.flatten(F.transform("paragrafos", paragraph)), "observacoes")
+    return df.select("doc_id", "idx", "number", "label", "chapter", "section", F.col("text").alias("caput"), F.array_join(lines, "\n").alias("full_text"), "paragrafos", "incisos")
+
+
 def chapters_of(tree: DataFrame) -> DataFrame:
     """(doc_id, idx, chapter_index, label, title): sections before any chapter stand in one without a name (idx -1), which comes first."""
     real = F.col("type") == "CAPITULO"
@@ -356,31 +394,17 @@ def law_documents(tree: DataFrame) -> DataFrame:
     """
     parent = F.when(F.col("parent_idx") < 0, 0).otherwise(F.col("parent_idx"))
     text = F.when(F.col("type") == "NOVA_REDACAO", F.concat(F.lit("Nova redação: "), "text")).otherwise(F.col("text"))
-    df = tree.where("kept").select("doc_id", "idx", "type", parent.alias("parent_idx"), "number", "label", "title", text.alias("text"))
-
-    def fold(df: DataFrame, name: str, kinds: tuple[str, ...], shape) -> DataFrame:
-        is_child = F.col("type").isin(*kinds)
-        own = F.first(F.when(~is_child, F.struct(*df.columns[1:])), ignorenulls=True)
-        child = F.array_sort(F.collect_list(F.when(is_child, F.struct(F.col("idx").alias("i"), shape.alias("child")))))
-        grouped = df.groupBy("doc_id", F.when(is_child, F.col("parent_idx")).otherwise(F.col("idx")).alias("n")).agg(own.alias("own"), child.alias("children"))
-        return grouped.where("own is not null").select("doc_id", "own.*", F.transform("children", lambda x: x["child"]).alias(name))
-
-    pair = lambda a, b, *more: F.struct(F.col("number").alias(a), F.col("text").alias(b), *more)
-    df = fold(df, "itens", ("ITEM",), pair("numero", "texto"))
-    df = fold(df, "alineas", ("ALINEA",), pair("letra", "texto", "itens"))
-    df = fold(df, "incisos", ("INCISO",), pair("numero", "texto", "alineas"))
-    df = fold(df, "paragrafos", ("PARAGRAFO",), F.struct(F.col("label").alias("rotulo"), F.col("text").alias("texto"), "incisos"))
-    df = fold(df, "observacoes", ("OBSERVACAO", "NOVA_REDACAO"), F.col("text"))
-    df = fold(df, "referencias", ("REFERENCIA_LEGAL",), F.col("text"))
-    df = fold(df, "artigos", ("ARTIGO",), F.struct(F.col("number").alias("numero"), F.col("label").alias("rotulo"), F.col("text").alias("caput"), "paragrafos", "incisos", "observacoes", "referencias"))
+    df = _with_parts(tree.where("kept").select("doc_id", "idx", "type", parent.alias("parent_idx"), "number", "label", "title", text.alias("text")))
+    df = _folded(df, "referencias", ("REFERENCIA_LEGAL",), F.col("text"))
+    df = _folded(df, "artigos", ("ARTIGO",), F.struct(F.col("number").alias("numero"), F.col("label").alias("rotulo"), F.col("text").alias("caput"), "paragrafos", "incisos", "observacoes", "referencias"))
     section = lambda *more: F.struct(F.col("label").alias("rotulo"), F.col("title").alias("titulo"), (F.col("type") == "SUBSECAO").alias("subsecao"), "artigos", *more)
-    df = fold(df, "subsecoes", ("SUBSECAO",), section())
-    df = fold(df, "secoes", ("SECAO",), section("subsecoes"))
+    df = _folded(df, "subsecoes", ("SUBSECAO",), section())
+    df = _folded(df, "secoes", ("SECAO",), section("subsecoes"))
     # A subsection right under a chapter or the document counts as one of its sections.
     bare = F.transform("subsecoes", lambda s: F.struct(s["rotulo"].alias("rotulo"), s["titulo"].alias("titulo"), s["subsecao"].alias("subsecao"), s["artigos"].alias("artigos"), F.slice("subsecoes", 1, 0).alias("subsecoes")))
     df = df.withColumn("secoes", F.concat(bare, "secoes"))
     chapter = lambda label, title, sections, arts: F.struct(label.alias("rotulo"), title.alias("titulo"), sections.alias("secoes"), arts.alias("artigos"))
-    df = fold(df, "capitulos", ("CAPITULO",), chapter(F.col("label"), F.col("title"), F.col("secoes"), F.col("artigos")))
+    df = _folded(df, "capitulos", ("CAPITULO",), chapter(F.col("label"), F.col("title"), F.col("secoes"), F.col("artigos")))
     implicit = F.array(chapter(F.lit(""), F.lit(""), F.col("secoes"), F.slice("artigos", 1, 0)))
     every = F.concat(F.when(F.size("secoes") > 0, implicit).otherwise(F.slice("capitulos", 1, 0)), "capitulos")
     return df.where("type = 'DOCUMENT'").select("doc_id", F.struct(F.col("text").alias("titulo"), every.alias("capitulos"), F.col("artigos").alias("artigos")).alias("law"))

@@ -371,6 +371,23 @@ def test_chapters_and_searched_articles_read_the_texts_once(spark, tmp_path):
     assert {(r.query_id, r.document_id) for r in found.collect()} >= {(1, 1), (1, 3), (2, 1)}
 
 
+def test_viewed_articles_take_one_exchange(spark, tmp_path):
+    odd = "Art. 1º a\nI - b\na) c\n1. d\nObs: x\n§ 1º e (NR)\nII - f\na) g\nParágrafo único. h\n1. i\nCAPÍTULO I\nIII - k\nArt. 2º\nl"
+    spark.createDataFrame([(1, LAW), (2, odd), (3, "no article"), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    tree = lexer.nodes(lexer.tokens(lexer.lines(spark.read.parquet(str(tmp_path / "docs")))))
+    chunks = spark.createDataFrame([(1, 1, 5, 1, "x", ("REVOGADO",))], "doc_id long, article_idx int, chunk_id long, part int, content string, enrichment struct<observacoes: string>")
+    figures = spark.createDataFrame([], "doc_id long, article_idx int, page int, figure_index int, figure_id long")
+    done = history.article_viewer(tree, chunks, figures)
+    assert done._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    arts = lexer.articles_with_parts(tree)
+    assert arts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    texts = {(r.doc_id, r.idx): r.full_text for r in lexer.full_texts(lexer.structure_of(tree)).collect()}
+    assert {(r.doc_id, r.idx): r.full_text for r in done.collect()} == texts and len(texts) >= 3
+    nested = {r.doc_id: r.law for r in lexer.law_documents(tree).collect()}
+    own = {(r.doc_id, r.number): (r.paragrafos, r.incisos) for r in arts.collect()}
+    assert own[2, "1"] == (nested[2].artigos[0].paragrafos, nested[2].artigos[0].incisos) and own[2, "1"][1][0].alineas[0].itens[0].texto == "d"
+
+
 def test_entities_are_parsed_once_a_row(spark):
     raw = '{"medidas": ["3 m", " "], "lei": ["x", 4, null], "zona": "text", "other": ["y"]}'
     df = spark.createDataFrame([(raw,), ("[",), (None,)], "raw string").select(answers.parse_entities(F.col("raw")).alias("e"))
